@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelane.functions import bytes as B
+from bytelane.operators import runs as R
 from bytelane.operators import windows as W
+from bytelane.plans import epochs as P
+from bytelane.sources import logs as LG
 from bytelane.sources.corpus import corpus_from_table
 from bytelane.sources.tables import table
 
@@ -129,6 +132,164 @@ def q_row_shards(spark: SparkSession, d: str) -> DataFrame:
     return s.select("o_orderkey", F.col("row_idx").cast("bigint"), F.col("worker").cast("bigint"), F.col("item").cast("bigint"))
 
 
+# ---------------------------------------------------------------- plans
+PLAN = {"L": 2048, "B": 4, "iters": 1000, "acc": 3, "logs": 50, "valids": 10}
+RESUME = {"epoch": 2, "batch": 100, "iters": 700}
+BUDGET = {"workers": 4, "B": 4, "L": 2048, "log_amount": 100}
+BATCH_EVAL = 5
+
+
+def _plan(spark: SparkSession, d: str, iters: int, start_epoch: int = 0, start_batch: int = 0) -> DataFrame:
+    p = PLAN
+    _, tot = W.corpus_offsets(documents(spark, d))
+    spec = W.shard_spec(tot.total, p["L"])
+    lengths = P.window_batches(spec, p["B"], drop_last=True)
+    plan = P.training_plan(
+        spark, lengths, iters=iters, elements_per_batch=p["B"] * p["L"], start_epoch=start_epoch,
+        start_batch=start_batch, accumulate_every=p["acc"], log_amount=p["logs"], validate_amount=p["valids"],
+        period=p["L"],
+    )
+    return plan.select(
+        "it", "epoch", "batch", "next_epoch", "next_batch", "n_batches", "cum_batch",
+        "grad_step", "elements_seen", "is_log_point", "is_valid_point",
+    )
+
+
+def q_epoch_plan(spark: SparkSession, d: str) -> DataFrame:
+    """W-11 / W-13 / W-15 / W-16 / A-16: the iteration plan of a run on the documents' windows."""
+    return _plan(spark, d, PLAN["iters"])
+
+
+def q_resume_plan(spark: SparkSession, d: str) -> DataFrame:
+    """W-12: the same plan resumed at (epoch 2, batch 100)."""
+    return _plan(spark, d, RESUME["iters"], RESUME["epoch"], RESUME["batch"])
+
+
+def q_budget(spark: SparkSession, d: str) -> DataFrame:
+    """W-14: iteration budget for 1.5 passes over the documents' bytes."""
+    b = BUDGET
+    tot = documents(spark, d).agg(F.sum(F.octet_length("content")).alias("t"))
+    target = F.floor(F.col("t") * 3 / 2).cast("bigint")
+    return tot.select(target.alias("global_target"), *P.budget_columns(target, b["workers"], b["B"], b["L"]))
+
+
+def q_log_points(spark: SparkSession, d: str) -> DataFrame:
+    """W-15: evenly spaced log points over the budget's iterations."""
+    b = BUDGET
+    t = documents(spark, d).agg(F.sum(F.octet_length("content")).alias("t")).first()["t"]
+    bud = P.budget(t * 3 // 2, b["workers"], b["B"], b["L"])
+    return P.log_points(spark, bud.iters, b["log_amount"])
+
+
+def _batches(spark: SparkSession, d: str, batch_size: int, drop_last: bool) -> DataFrame:
+    w, spec = W.byte_windows(documents(spark, d), PLAN["L"])
+    kept = P.keep_full_batches(w.withColumn("md5", F.md5("tokens")), "idx", spec.count, batch_size, drop_last)
+    c = P.collate(kept, "idx", ["md5"])
+    return c.select(
+        "batch",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.md5(F.array_join(F.transform("items", lambda x: x["md5"]), ",")).alias("batch_md5"),
+    )
+
+
+def q_batches(spark: SparkSession, d: str) -> DataFrame:
+    """W-9 / A-15: training batches of 4 windows, last short batch dropped."""
+    return _batches(spark, d, PLAN["B"], True)
+
+
+def q_batches_eval(spark: SparkSession, d: str) -> DataFrame:
+    """W-9: evaluation batches of 5 windows, last short batch kept."""
+    return _batches(spark, d, BATCH_EVAL, False)
+
+
+# ---------------------------------------------------------------- run logs
+EVAL_STEPS = 500
+TOP_N = 3
+FIRST_K = 30
+
+
+def loss_log(spark: SparkSession, d: str) -> DataFrame:
+    return LG.loss_log_from_events(table(spark, d, "events"))
+
+
+def q_kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A-6 / PF-2: rows per run and kind."""
+    return R.kind_counts(loss_log(spark, d), ["run"])
+
+
+def q_eval_mean(spark: SparkSession, d: str) -> DataFrame:
+    """A-1 / A-2: evaluation mean over the first 500 batches and evaluation time."""
+    m = R.eval_mean(loss_log(spark, d), ["run"], EVAL_STEPS)
+    t = R.eval_time(LG.time_log_from_events(table(spark, d, "events")), ["run"])
+    return m.join(t, "run", "full").select(
+        "run", F.round("eval_loss", 6).alias("eval_loss"), "eval_batches", F.round("eval_seconds", 6).alias("eval_seconds")
+    )
+
+
+def q_last_loss(spark: SparkSession, d: str) -> DataFrame:
+    """A-9 / J-7: last training loss per run, rounded to 3, compared with the previous run."""
+    return R.grad_acc_check(R.last_value(loss_log(spark, d), ["run"]), "run")
+
+
+def q_chain_check(spark: SparkSession, d: str) -> DataFrame:
+    """J-5 / A-7 / A-8: does each run continue the previous one."""
+    return R.chain_check(R.run_extents(loss_log(spark, d), ["run"]), "run")
+
+
+def q_top_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """T-1 .. T-3: three best validation losses per run, ranked and named."""
+    v = R.by_kind(loss_log(spark, d), "valid").withColumn("model", F.concat(F.lit("run"), F.col("run").cast("string")))
+    t = R.best_checkpoints(v, ["run"], TOP_N, "model")
+    return t.select("run", F.col("rank").cast("bigint").alias("rank"), "cum_batch", "loss", "checkpoint")
+
+
+def q_best_model(spark: SparkSession, d: str) -> DataFrame:
+    """T-4: best validation row per run."""
+    return R.best_model(R.by_kind(loss_log(spark, d), "valid"), ["run"])
+
+
+def q_running_elements(spark: SparkSession, d: str) -> DataFrame:
+    """A-16: running token total per run (value in cents as tokens), skew-safe."""
+    lg = loss_log(spark, d).select("run", "cum_batch", F.round(F.col("loss") * 100).cast("bigint").alias("tokens"))
+    return R.running_total(lg, "run", "cum_batch", "tokens", "running_tokens")
+
+
+def q_first_k(spark: SparkSession, d: str) -> DataFrame:
+    """W-22: the first 30 training rows of each run."""
+    lg = R.by_kind(loss_log(spark, d), "train")
+    return P.first_k(lg, ["run"], ["cum_batch"], FIRST_K).select("run", "cum_batch")
+
+
+def q_error_lines(spark: SparkSession, d: str) -> DataFrame:
+    """PF-3: ERROR / CRITICAL lines of a text log."""
+    return R.error_lines(LG.log_lines_from_events(table(spark, d, "events")))
+
+
+def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A-17 / PF-6 / PF-7: run start, end, workers, rows, NaN flag; ISO check of rendered times."""
+    s = R.run_summary(loss_log(spark, d), ["run"])
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return s.select(
+        "run",
+        F.date_format("started", fmt).alias("started"),
+        F.date_format("ended", fmt).alias("ended"),
+        F.col("workers").cast("bigint").alias("workers"),
+        "n_rows",
+        "had_nan",
+        (R.valid_iso(F.date_format("started", fmt)) & R.valid_iso(F.date_format("ended", fmt))).alias("iso_ok"),
+    )
+
+
+def q_jsonl_undo(spark: SparkSession, d: str) -> DataFrame:
+    """IO-11: rows surviving undo in an append log (errors undo the user's last row)."""
+    ev = table(spark, d, "events").select(
+        F.col("user_id").alias("writer_id"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", "undo").otherwise("put").alias("op"),
+    )
+    return LG.jsonl_view(ev).select("writer_id", "seq")
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -139,4 +300,21 @@ QUERIES = {
     "safe_decode": q_safe_decode,
     "replace_decode": q_replace_decode,
     "row_shards": q_row_shards,
+    "epoch_plan": q_epoch_plan,
+    "resume_plan": q_resume_plan,
+    "budget": q_budget,
+    "log_points": q_log_points,
+    "batches": q_batches,
+    "batches_eval": q_batches_eval,
+    "kind_counts": q_kind_counts,
+    "eval_mean": q_eval_mean,
+    "last_loss": q_last_loss,
+    "chain_check": q_chain_check,
+    "top_checkpoints": q_top_checkpoints,
+    "best_model": q_best_model,
+    "running_elements": q_running_elements,
+    "first_k": q_first_k,
+    "error_lines": q_error_lines,
+    "run_summary": q_run_summary,
+    "jsonl_undo": q_jsonl_undo,
 }

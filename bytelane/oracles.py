@@ -79,3 +79,142 @@ WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row
 SELECT o_orderkey, row_idx::BIGINT AS row_idx, (row_idx // n)::BIGINT AS worker, (row_idx % n)::BIGINT AS item
 FROM r WHERE row_idx < {C.ROW_SHARD_WORKERS} * n""",
 }
+
+
+# ---------------------------------------------------------------- plans
+def _plan_sql(iters: int, start_epoch: int = 0, start_batch: int = 0) -> str:
+    p = C.PLAN
+    L, B = p["L"], p["B"]
+    n_log, n_val = min(p["logs"], iters), min(p["valids"], iters)
+
+    def pts(n: int) -> str:
+        if n == 1:
+            return "SELECT (SELECT cum0 FROM c0) AS p"
+        return f"SELECT DISTINCT (SELECT cum0 FROM c0) + (r.i * ({iters} - 1)) // ({n} - 1) AS p FROM range(0, {n}) r(i)"
+
+    return f"""
+WITH tot AS (SELECT sum(octet_length(encode(text)))::BIGINT AS t FROM documents),
+ep AS (SELECT e.epoch::BIGINT AS epoch, (greatest((t - e.epoch % {L}) // {L}, 0) // {B})::BIGINT AS n_batches
+       FROM tot, range({start_epoch}, {start_epoch} + 400) e(epoch)),
+ep2 AS (SELECT *, CASE WHEN epoch = {start_epoch} THEN {start_batch} ELSE 0 END AS first FROM ep),
+ep3 AS (SELECT *, greatest(n_batches - first, 0) AS todo,
+               coalesce(sum(greatest(n_batches - first, 0)) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS it0
+        FROM ep2),
+c0 AS (SELECT n_batches * epoch + {start_batch} AS cum0 FROM ep WHERE epoch = {start_epoch}),
+logs AS ({pts(n_log)}),
+vals AS ({pts(n_val)}),
+r AS (SELECT (it0 + k.k)::BIGINT AS it, epoch, (first + k.k)::BIGINT AS batch, n_batches
+      FROM ep3, range(0, todo) k(k) WHERE it0 < {iters})
+SELECT it, epoch, batch,
+       CASE WHEN batch = n_batches - 1 THEN epoch + 1 ELSE epoch END::BIGINT AS next_epoch,
+       CASE WHEN batch = n_batches - 1 THEN 0 ELSE batch + 1 END::BIGINT AS next_batch,
+       n_batches, (n_batches * epoch + batch)::BIGINT AS cum_batch,
+       (batch + 1) % {p['acc']} = 0 AS grad_step,
+       ((it + 1) * {B * L})::BIGINT AS elements_seen,
+       (n_batches * epoch + batch) IN (SELECT p FROM logs) AS is_log_point,
+       (n_batches * epoch + batch) IN (SELECT p FROM vals) AS is_valid_point
+FROM r WHERE it < {iters}"""
+
+
+def _batches_sql(B: int, drop_last: bool) -> str:
+    L = C.PLAN["L"]
+    keep = f"WHERE idx // {B} < (t // {L}) // {B}" if drop_last else ""
+    return f"""
+WITH {CORPUS},
+w AS (SELECT r.j AS idx, t, md5(unhex(substr(h, 2 * r.j * {L} + 1, 2 * {L}))) AS m FROM corpus, range(0, corpus.t // {L}) r(j))
+SELECT (idx // {B})::BIGINT AS batch, count(*)::BIGINT AS n_items, md5(string_agg(m, ',' ORDER BY idx)) AS batch_md5
+FROM w {keep} GROUP BY 1"""
+
+
+_b = C.BUDGET
+_BUDGET_CTE = f"""
+tot AS (SELECT sum(octet_length(encode(text)))::BIGINT AS t FROM documents),
+b0 AS (SELECT (t * 3 // 2)::BIGINT AS global_target FROM tot),
+b AS (SELECT global_target, global_target // {_b['workers']} AS local_target, {_b['B'] * _b['L']} AS epb FROM b0),
+b2 AS (SELECT *, ((local_target + epb - 1) // epb)::BIGINT AS iters FROM b)"""
+
+ORACLES.update(
+    {
+        "epoch_plan": _plan_sql(C.PLAN["iters"]),
+        "resume_plan": _plan_sql(C.RESUME["iters"], C.RESUME["epoch"], C.RESUME["batch"]),
+        "budget": f"""
+WITH {_BUDGET_CTE}
+SELECT global_target, local_target::BIGINT AS local_target, epb::BIGINT AS elements_per_batch, iters,
+       (epb * iters)::BIGINT AS expected_local, (epb * iters * {_b['workers']})::BIGINT AS expected_global,
+       (epb * iters * {_b['workers']} - global_target)::BIGINT AS delta
+FROM b2""",
+        "log_points": f"""
+WITH {_BUDGET_CTE}
+SELECT DISTINCT ((r.i * (iters - 1)) // (least({_b['log_amount']}, iters) - 1))::BIGINT AS point
+FROM b2, range(0, least({_b['log_amount']}, b2.iters)) r(i)""",
+        "batches": _batches_sql(C.PLAN["B"], True),
+        "batches_eval": _batches_sql(C.BATCH_EVAL, False),
+    }
+)
+
+# ---------------------------------------------------------------- run logs
+LOG_CTE = """
+lg AS (
+  SELECT user_id AS run, (user_id % 4)::INTEGER AS gpu_rank, ts AS timestamp, (event_id + 1) * 8 AS elements_seen,
+         CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'signup' THEN 'test' ELSE 'train' END AS kind,
+         (event_id // 1000)::INTEGER AS epoch, (event_id % 1000)::INTEGER AS batch, event_id AS cum_batch, value AS loss
+  FROM events)"""
+
+ORACLES.update(
+    {
+        "kind_counts": f"WITH {LOG_CTE} SELECT run, kind, count(*)::BIGINT AS n_rows FROM lg GROUP BY run, kind",
+        "eval_mean": f"""
+WITH {LOG_CTE},
+m AS (SELECT run, avg(loss) AS eval_loss, count(*)::BIGINT AS eval_batches FROM lg WHERE kind = 'valid' AND batch < {C.EVAL_STEPS} GROUP BY run),
+t AS (SELECT run, sum(loss / 100.0) AS eval_seconds FROM lg WHERE kind = 'valid' GROUP BY run)
+SELECT coalesce(m.run, t.run) AS run, round(eval_loss, 6) AS eval_loss, eval_batches, round(eval_seconds, 6) AS eval_seconds
+FROM m FULL OUTER JOIN t ON m.run = t.run""",
+        "last_loss": f"""
+WITH {LOG_CTE},
+ranked AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY timestamp DESC, cum_batch DESC) AS rn FROM lg WHERE kind = 'train'),
+l AS (SELECT run, round(loss, 3) AS last_loss FROM ranked WHERE rn = 1)
+SELECT run, last_loss, last_loss = lag(last_loss) OVER (ORDER BY run) AS equal_to_prev FROM l""",
+        "chain_check": f"""
+WITH {LOG_CTE},
+e AS (SELECT run, min(cum_batch) AS min_cum_batch, max(cum_batch) AS max_cum_batch, max(epoch) AS max_epoch,
+             sum(elements_seen) AS sum_elements FROM lg WHERE kind = 'train' GROUP BY run)
+SELECT run, min_cum_batch, max_cum_batch,
+       min_cum_batch = lag(max_cum_batch) OVER (ORDER BY run) + 1 AS starts_after_prev,
+       sum_elements = lag(sum_elements) OVER (ORDER BY run) AS same_elements,
+       max_epoch = lag(max_epoch) OVER (ORDER BY run) + 1 AS next_epoch
+FROM e""",
+        "top_checkpoints": f"""
+WITH {LOG_CTE},
+r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY loss, cum_batch) AS rnk FROM lg WHERE kind = 'valid')
+SELECT run, rnk::BIGINT AS rank, cum_batch, loss, 'run' || run || '_top' || rnk AS checkpoint FROM r WHERE rnk <= {C.TOP_N}""",
+        "best_model": f"""
+WITH {LOG_CTE},
+r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY loss, cum_batch) AS rnk FROM lg WHERE kind = 'valid')
+SELECT run, cum_batch AS best_cum_batch, loss AS best_loss FROM r WHERE rnk = 1""",
+        "running_elements": f"""
+WITH {LOG_CTE}
+SELECT run, cum_batch, round(loss * 100)::BIGINT AS tokens,
+       sum(round(loss * 100)::BIGINT) OVER (PARTITION BY run ORDER BY cum_batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running_tokens
+FROM lg""",
+        "first_k": f"""
+WITH {LOG_CTE},
+r AS (SELECT run, cum_batch, row_number() OVER (PARTITION BY run ORDER BY cum_batch) AS rn FROM lg WHERE kind = 'train')
+SELECT run, cum_batch FROM r WHERE rn <= {C.FIRST_K}""",
+        "error_lines": """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 'trainer' AS logger,
+       CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'CRITICAL' END AS level,
+       event_type || ' - ' || props AS message
+FROM events WHERE event_type IN ('error', 'signup')""",
+        "run_summary": f"""
+WITH {LOG_CTE}
+SELECT run, strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS ended,
+       (max(gpu_rank) + 1)::BIGINT AS workers, count(*)::BIGINT AS n_rows, bool_or(isnan(loss)) AS had_nan, true AS iso_ok
+FROM lg GROUP BY run""",
+        "jsonl_undo": """
+WITH ops AS (SELECT user_id AS writer_id, event_id AS seq, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS d FROM events),
+c AS (SELECT *, sum(d) OVER (PARTITION BY writer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ops),
+h AS (SELECT *, cum - least(0, min(cum) OVER (PARTITION BY writer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS ht FROM c),
+m AS (SELECT *, min(ht) OVER (PARTITION BY writer_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS min_after FROM h)
+SELECT writer_id, seq FROM m WHERE d = 1 AND min_after >= ht""",
+    }
+)
