@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelane.functions import bytes as B
+from bytelane.functions import scoring as SC
+from bytelane.functions import tokens as TK
+from bytelane.operators import patches as PT
 from bytelane.operators import runs as R
 from bytelane.operators import windows as W
 from bytelane.plans import epochs as P
@@ -290,6 +293,130 @@ def q_jsonl_undo(spark: SparkSession, d: str) -> DataFrame:
     return LG.jsonl_view(ev).select("writer_id", "seq")
 
 
+# ---------------------------------------------------------------- scoring
+SEQ_LEN_EMB = 8
+PAD_ID = 0
+TOPK_THRES = 0.9
+GUMBEL = {"T": 0.7, "seed": 11}
+
+
+def _emb(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(
+        "vec_id",
+        "embedding",
+        "label",
+        F.floor(F.col("vec_id") / SEQ_LEN_EMB).cast("bigint").alias("seq"),
+        F.pmod("vec_id", F.lit(SEQ_LEN_EMB)).alias("pos"),
+    )
+
+
+def q_ce_loss(spark: SparkSession, d: str) -> DataFrame:
+    """A-3 / A-4 / A-5: cross-entropy per position (pad ignored), nonzero weighted mean, masked mean."""
+    e = _emb(spark, d).withColumn("ce", SC.cross_entropy("embedding", "label", ignore_index=PAD_ID))
+    w = F.when(F.pmod("pos", F.lit(3)) == 0, 1.0).when(F.pmod("pos", F.lit(3)) == 1, 0.5).otherwise(0.0)
+    return e.groupBy("seq").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("ce"), 6).alias("ce_sum"),
+        F.round(SC.nonzero_weighted_mean(F.col("ce"), w), 6).alias("nonzero_mean"),
+        F.round(SC.masked_mean(F.col("ce"), F.pmod("pos", F.lit(4)) == 0), 6).alias("masked_mean"),
+    )
+
+
+def q_topk_filter(spark: SparkSession, d: str) -> DataFrame:
+    """T-5: indices kept by the top-k filter (k = max(int(0.1 V), 1)) and their logit sum."""
+    e = table(spark, d, "embeddings")
+    k = SC.top_k_count(64, TOPK_THRES)
+    f = SC.top_k_filter("embedding", k)
+    kept = F.filter(f, lambda x: x > F.lit(float("-inf")))
+    return e.select(
+        "vec_id",
+        F.array_join(SC.top_k_indices("embedding", k), ",").alias("kept"),
+        F.round(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), 6).alias("kept_sum"),
+    )
+
+
+def q_gumbel_sample(spark: SparkSession, d: str) -> DataFrame:
+    """F-24 after T-5: one temperature / Gumbel draw per row (md5 noise, reproducible)."""
+    e = table(spark, d, "embeddings")
+    k = SC.top_k_count(64, TOPK_THRES)
+    f = SC.top_k_filter("embedding", k)
+    g = SC.gumbel_argmax(f, GUMBEL["T"], F.lit(GUMBEL["seed"]), F.col("vec_id"), hash_mode="md5")
+    return e.select("vec_id", g.cast("bigint").alias("sample"))
+
+
+# ---------------------------------------------------------------- tokens / patches
+PATCH = {"L": 1000, "seq_lens": [32, 8, 4], "pad": 256}
+TOK = TK.TokenIds(pad=256, eom=257, som_text=259, som_image=258)
+TOKENIZE_LEN = 512
+QA = {"L": 8192, "weights": (0.5, 0.25, 0.5, 1.0)}
+
+
+def _nested_string(p: F.Column) -> F.Column:
+    return F.array_join(F.transform(p, lambda x: F.array_join(F.transform(x, lambda y: F.array_join(y, ",")), ";")), "|")
+
+
+def q_patches(spark: SparkSession, d: str) -> DataFrame:
+    """W-19 / W-20: windows nested into (32, 8, 4) patches and flattened back."""
+    p = PATCH
+    w, _ = W.byte_windows(documents(spark, d), p["L"])
+    t = B.bytes_to_array("tokens")
+    nested = PT.to_patches(t, p["seq_lens"], p["pad"])
+    back = PT.from_patches(nested, 2, F.size(t))
+    return w.select(
+        F.col("idx").cast("bigint").alias("idx"),
+        F.size(nested).cast("bigint").alias("n_outer"),
+        F.md5(_nested_string(nested)).alias("nested_md5"),
+        (back == t.cast("array<bigint>")).alias("round_trip"),
+    )
+
+
+def q_next_token_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """W-18: inputs shifted right by one with a start token."""
+    c = table(spark, d, "conversations")
+    inp = PT.shift_right(B.text_to_array("text"), TOK.som_text)
+    return c.select("conv_id", "turn", F.size(inp).cast("bigint").alias("n"), F.md5(F.array_join(inp, " ")).alias("inputs_md5"))
+
+
+def q_tokenize_pad(spark: SparkSession, d: str) -> DataFrame:
+    """F-10 .. F-12: start-of-text + bytes + end-of-modality, padded or cropped to 512."""
+    c = table(spark, d, "conversations")
+    a = TK.with_eom(TK.with_som(B.text_to_array("text"), TOK.som_text), TOK.eom)
+    padded = TK.pad_right_to(a, TOKENIZE_LEN, TOK.pad, strict=False)
+    return c.select(
+        "conv_id", "turn", F.size(a).cast("bigint").alias("n_tokens"), F.md5(F.array_join(padded, " ")).alias("padded_md5")
+    )
+
+
+def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(question, answer) = a user turn and the assistant turn right after it."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    q = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    return q.join(a, ["conv_id", "turn"])
+
+
+def q_qa_samples(spark: SparkSession, d: str) -> DataFrame:
+    """F-13 / F-17: question . image . question . answer samples (text-only rows: empty image)."""
+    p = qa_pairs(spark, d)
+    s = TK.qa_sample(
+        B.text_to_array("question"), F.array().cast("array<int>"), B.text_to_array("answer"),
+        TOK, QA["L"], QA["weights"], strict=False,
+    ).alias("s")
+    x = p.select("conv_id", "turn", s)
+    return x.select(
+        "conv_id",
+        "turn",
+        (F.lit(QA["L"]) - F.col("s.len_padding")).cast("bigint").alias("n_tokens"),
+        F.col("s.len_padding").cast("bigint").alias("len_padding"),
+        F.md5(F.array_join("s.tokens", " ")).alias("tokens_md5"),
+        F.round(F.aggregate("s.loss_mask", F.lit(0.0), lambda a, v: a + v), 6).alias("weight_sum"),
+        F.size(F.filter("s.loss_mask", lambda v: v != 0)).cast("bigint").alias("n_weighted"),
+    )
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -317,4 +444,11 @@ QUERIES = {
     "error_lines": q_error_lines,
     "run_summary": q_run_summary,
     "jsonl_undo": q_jsonl_undo,
+    "ce_loss": q_ce_loss,
+    "topk_filter": q_topk_filter,
+    "gumbel_sample": q_gumbel_sample,
+    "patches": q_patches,
+    "next_token_pairs": q_next_token_pairs,
+    "tokenize_pad": q_tokenize_pad,
+    "qa_samples": q_qa_samples,
 }

@@ -218,3 +218,80 @@ m AS (SELECT *, min(ht) OVER (PARTITION BY writer_id ORDER BY seq ROWS BETWEEN C
 SELECT writer_id, seq FROM m WHERE d = 1 AND min_after >= ht""",
     }
 )
+
+
+# ---------------------------------------------------------------- scoring / tokens / patches
+def _bytes_of(expr: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({expr})), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+_TOPK = f"list_slice(list_sort(list_transform(l, lambda x, i: {{'v': -x, 'i': i - 1}})), 1, {max(int((1 - C.TOPK_THRES) * 64), 1)})"
+_P = C.PATCH
+_INNER = _P["seq_lens"][1] * _P["seq_lens"][2]
+_T = C.TOK
+_QW = C.QA["weights"]
+
+ORACLES.update(
+    {
+        "ce_loss": f"""
+WITH e AS (SELECT vec_id // {C.SEQ_LEN_EMB} AS seq, vec_id % {C.SEQ_LEN_EMB} AS pos, label, embedding::DOUBLE[] AS l,
+                  list_max(embedding::DOUBLE[]) AS m FROM embeddings),
+c AS (SELECT seq, pos,
+             CASE WHEN label = {C.PAD_ID} THEN 0.0
+                  ELSE ln(list_sum(list_transform(l, lambda x: exp(x - m)))) + m - l[label + 1] END AS ce,
+             CASE pos % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS w
+      FROM e)
+SELECT seq::BIGINT AS seq, count(*)::BIGINT AS n, round(sum(ce), 6) AS ce_sum,
+       round(coalesce(avg(CASE WHEN ce * w <> 0 THEN ce * w END), 0.0), 6) AS nonzero_mean,
+       round(coalesce(avg(CASE WHEN pos % 4 = 0 THEN ce END), 'NaN'::DOUBLE), 6) AS masked_mean
+FROM c GROUP BY seq""",
+        "topk_filter": f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS l FROM embeddings),
+k AS (SELECT vec_id, {_TOPK} AS top FROM e)
+SELECT vec_id, array_to_string(list_sort(list_transform(top, lambda s: s.i)), ',') AS kept,
+       round(list_sum(list_transform(top, lambda s: -s.v)), 6) AS kept_sum
+FROM k""",
+        "gumbel_sample": f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS l FROM embeddings),
+k AS (SELECT vec_id, l, list_transform({_TOPK}, lambda s: s.i) AS keep FROM e),
+s AS (SELECT vec_id, list_transform(l, lambda x, i:
+        CASE WHEN list_contains(keep, i - 1)
+             THEN x / {C.GUMBEL['T']} - ln(greatest(-ln(greatest(
+                    ('0x' || substr(md5(concat_ws('|', {C.GUMBEL['seed']}, vec_id, i - 1)), 1, 8))::BIGINT / 4294967296.0, 1e-20)), 1e-20))
+             ELSE '-inf'::DOUBLE END) AS sc FROM k)
+SELECT vec_id, (list_position(sc, list_max(sc)) - 1)::BIGINT AS sample FROM s""",
+        "patches": f"""
+WITH {CORPUS},
+w AS (SELECT r.j AS idx, regexp_extract_all(substr(h, 2 * r.j * {_P['L']} + 1, 2 * {_P['L']}), '..') AS hx
+      FROM corpus, range(0, corpus.t // {_P['L']}) r(j)),
+b AS (SELECT idx, list_transform(hx, lambda x: ('0x' || x)::BIGINT) AS t FROM w),
+p AS (SELECT idx, list_resize(t, ((len(t) + {_INNER - 1}) // {_INNER}) * {_INNER}, {_P['pad']}) AS pb,
+             (len(t) + {_INNER - 1}) // {_INNER} AS n_outer FROM b)
+SELECT idx::BIGINT AS idx, n_outer::BIGINT AS n_outer,
+       md5(array_to_string(list_transform(range(0, n_outer), lambda o: array_to_string(list_transform(range(0, {_P['seq_lens'][1]}),
+           lambda m: array_to_string(list_slice(pb, o * {_INNER} + m * {_P['seq_lens'][2]} + 1, o * {_INNER} + m * {_P['seq_lens'][2]} + {_P['seq_lens'][2]}), ',')), ';')), '|')) AS nested_md5,
+       true AS round_trip
+FROM p""",
+        "next_token_pairs": f"""
+WITH x AS (SELECT conv_id, turn, {_bytes_of('text')} AS b FROM conversations)
+SELECT conv_id, turn, len(b)::BIGINT AS n, md5(array_to_string([{_T.som_text}] || list_slice(b, 1, len(b) - 1), ' ')) AS inputs_md5 FROM x""",
+        "tokenize_pad": f"""
+WITH x AS (SELECT conv_id, turn, [{_T.som_text}] || {_bytes_of('text')} || [{_T.eom}] AS a FROM conversations)
+SELECT conv_id, turn, len(a)::BIGINT AS n_tokens, md5(array_to_string(list_resize(a, {C.TOKENIZE_LEN}, {_T.pad}), ' ')) AS padded_md5 FROM x""",
+        "qa_samples": f"""
+WITH p AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
+           FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+           WHERE q.role = 'user'),
+t AS (SELECT conv_id, turn, [{_T.som_text}] || {_bytes_of('question')} || [{_T.eom}] AS q,
+             [{_T.som_image}, {_T.eom}]::BIGINT[] AS i,
+             [{_T.som_text}] || {_bytes_of('answer')} || [{_T.eom}] AS a FROM p),
+f AS (SELECT *, q || i || q || a AS fl,
+             list_resize(list_resize([]::DOUBLE[], len(q), {_QW[0]}) || list_resize([]::DOUBLE[], len(i), {_QW[1]})
+                         || list_resize([]::DOUBLE[], len(q), {_QW[2]}) || list_resize([]::DOUBLE[], len(a), {_QW[3]}), {C.QA['L']}, 0.0) AS w
+      FROM t)
+SELECT conv_id, turn, len(fl)::BIGINT AS n_tokens, ({C.QA['L']} - len(fl))::BIGINT AS len_padding,
+       md5(array_to_string(list_resize(fl, {C.QA['L']}, {_T.pad}), ' ')) AS tokens_md5,
+       round(list_sum(w), 6) AS weight_sum, len(list_filter(w, lambda v: v <> 0))::BIGINT AS n_weighted
+FROM f""",
+    }
+)
