@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelane.functions import bytes as B
+from bytelane.functions import pixels as PX
 from bytelane.functions import scoring as SC
 from bytelane.functions import tokens as TK
 from bytelane.operators import patches as PT
@@ -417,6 +418,59 @@ def q_qa_samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- pixels
+IMG = {"width": 16, "channels": 3, "crop": (0.25, 0.20), "bins": 5, "remap_start": 11}
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """Document bytes read as 16-pixel-wide RGB images (last row zero-padded)."""
+    docs = documents(spark, d)
+    return docs.select(F.col("doc_id").alias("image_id"), PX.image_from_bytes("content", IMG["width"], IMG["channels"]).alias("img"))
+
+
+def _md5_ints(a: F.Column) -> F.Column:
+    return F.md5(F.array_join(a, ","))
+
+
+def q_crop(spark: SparkSession, d: str) -> DataFrame:
+    """F-18: center crop by (25 %, 20 %)."""
+    c = images(spark, d).select("image_id", PX.crop(F.col("img"), *IMG["crop"]).alias("c"))
+    return c.select(
+        "image_id", F.col("c.height").cast("bigint").alias("height"), F.col("c.width").cast("bigint").alias("width"),
+        _md5_ints(F.col("c.data")).alias("data_md5"),
+    )
+
+
+def q_channel_bins(spark: SparkSession, d: str) -> DataFrame:
+    """F-19: channel values binned to 5 bins (mean value of each bin)."""
+    b = images(spark, d).select("image_id", PX.downsample_channels(F.col("img.data"), IMG["bins"]).alias("b"))
+    return b.select("image_id", _md5_ints(F.col("b")).alias("binned_md5"), F.size(F.array_distinct("b")).cast("bigint").alias("n_values"))
+
+
+def q_dense_remap(spark: SparkSession, d: str) -> DataFrame:
+    """A-13: binned values remapped densely from 11."""
+    b = images(spark, d).select("image_id", PX.dense_remap(PX.downsample_channels(F.col("img.data"), IMG["bins"]), IMG["remap_start"]).alias("r"))
+    return b.select(
+        "image_id",
+        _md5_ints(F.col("r.remapped")).alias("remapped_md5"),
+        F.array_join("r.unique", ",").alias("unique_values"),
+        _md5_ints(F.col("r.inverse")).alias("inverse_md5"),
+    )
+
+
+def q_grayscale(spark: SparkSession, d: str) -> DataFrame:
+    """F-20: RGB -> luma."""
+    g = images(spark, d).select("image_id", PX.grayscale(F.col("img")).alias("g"))
+    return g.select("image_id", F.size("g.data").cast("bigint").alias("n_pixels"), _md5_ints(F.col("g.data")).alias("gray_md5"))
+
+
+def q_chw(spark: SparkSession, d: str) -> DataFrame:
+    """F-9: HWC -> CHW layout and back."""
+    c = images(spark, d).select("image_id", "img", PX.hwc_to_chw(F.col("img")).alias("chw"))
+    back = PX.chw_to_hwc(F.col("chw"), F.col("img.height"), F.col("img.width"), F.col("img.n_channels"))
+    return c.select("image_id", _md5_ints(F.col("chw")).alias("chw_md5"), (back == F.col("img.data")).alias("round_trip"))
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -451,4 +505,9 @@ QUERIES = {
     "next_token_pairs": q_next_token_pairs,
     "tokenize_pad": q_tokenize_pad,
     "qa_samples": q_qa_samples,
+    "crop": q_crop,
+    "channel_bins": q_channel_bins,
+    "dense_remap": q_dense_remap,
+    "grayscale": q_grayscale,
+    "chw": q_chw,
 }

@@ -79,7 +79,8 @@ def _fdiv(a: Column, b: int) -> Column:
 
 def corpus_offsets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> tuple[DataFrame, Totals]:
     """W-1: `(key, n_bytes, start)` with start = bytes of all earlier documents."""
-    offs, tot = prefix_sum(docs, key, F.octet_length(content), "start")
+    length = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length(content)
+    offs, tot = prefix_sum(docs, key, length, "start")
     return offs.withColumnRenamed("_value", "n_bytes"), tot
 
 

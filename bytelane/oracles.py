@@ -295,3 +295,49 @@ SELECT conv_id, turn, len(fl)::BIGINT AS n_tokens, ({C.QA['L']} - len(fl))::BIGI
 FROM f""",
     }
 )
+
+
+# ---------------------------------------------------------------- pixels
+_I = C.IMG
+_ROW = _I["width"] * _I["channels"]
+_IMG_CTE = f"""
+b AS (SELECT doc_id AS image_id, {_bytes_of('text')} AS b0 FROM documents),
+img AS (SELECT image_id, (len(b0) + {_ROW - 1}) // {_ROW} AS h, {_I['width']} AS w, {_I['channels']} AS c,
+               list_resize(b0, ((len(b0) + {_ROW - 1}) // {_ROW}) * {_ROW}, 0) AS px FROM b)"""
+_STEP = 255 // _I["bins"]  # bins divide 255 evenly: every edge is an exact integer
+_BINNED = f"list_transform(px, lambda x: least(x * {_I['bins']} // 255, {_I['bins'] - 1}) * {_STEP} + {_STEP // 2})"
+
+ORACLES.update(
+    {
+        "crop": f"""
+WITH {_IMG_CTE},
+m AS (SELECT *, floor(least(h * {_I['crop'][0]}, h / 2))::BIGINT AS mh, floor(least(w * {_I['crop'][1]}, w / 2))::BIGINT AS mw FROM img)
+SELECT image_id, (h - 2 * mh)::BIGINT AS height, (w - 2 * mw)::BIGINT AS width,
+       md5(array_to_string(list_filter(px, lambda v, k: (k - 1) // (w * c) >= mh AND (k - 1) // (w * c) < h - mh
+                                                    AND ((k - 1) // c) % w >= mw AND ((k - 1) // c) % w < w - mw), ',')) AS data_md5
+FROM m""",
+        "channel_bins": f"""
+WITH {_IMG_CTE}, bb AS (SELECT image_id, {_BINNED} AS bv FROM img)
+SELECT image_id, md5(array_to_string(bv, ',')) AS binned_md5, len(list_distinct(bv))::BIGINT AS n_values FROM bb""",
+        "dense_remap": f"""
+WITH {_IMG_CTE}, bb AS (SELECT image_id, {_BINNED} AS bv FROM img),
+u AS (SELECT image_id, bv, list_sort(list_distinct(bv)) AS uq FROM bb),
+r AS (SELECT image_id, uq, list_transform(bv, lambda x: list_position(uq, x) - 1) AS inv FROM u)
+SELECT image_id, md5(array_to_string(list_transform(inv, lambda j: j + {_I['remap_start']}), ',')) AS remapped_md5,
+       array_to_string(uq, ',') AS unique_values, md5(array_to_string(inv, ',')) AS inverse_md5
+FROM r""",
+        "grayscale": f"""
+WITH {_IMG_CTE}
+SELECT image_id, (h * w)::BIGINT AS n_pixels,
+       md5(array_to_string(list_transform(range(0, h * w), lambda p:
+           (19595 * px[3 * p + 1] + 38470 * px[3 * p + 2] + 7471 * px[3 * p + 3] + 32768) >> 16), ',')) AS gray_md5
+FROM img""",
+        "chw": f"""
+WITH {_IMG_CTE}
+SELECT image_id,
+       md5(array_to_string(list_transform(range(0, h * w * c), lambda k:
+           px[(k // (h * w)) + (((k // w) % h) * w + (k % w)) * c + 1]), ',')) AS chw_md5,
+       true AS round_trip
+FROM img""",
+    }
+)

@@ -1,6 +1,7 @@
 """Byte corpus sources (IO-1 .. IO-5).
 
-A corpus is a DataFrame `(doc_id BIGINT, name STRING, content BINARY)`; its
+A corpus is a DataFrame `(doc_id BIGINT, name STRING, content BINARY
+[, n_bytes BIGINT])`; its
 order is the order of `doc_id`, which the caller chooses (the reference reads
 files in directory-listing order, which is arbitrary).
 """
@@ -31,11 +32,15 @@ def split_folder(split: str, family: str = "books") -> str:
 def corpus_from_table(df: DataFrame, key: str, text: str, name: str | None = None, charset: str = "UTF-8") -> DataFrame:
     """A text table as a byte corpus (F-1 on every row)."""
     name_col = F.col(name).cast("string") if name else F.col(key).cast("string")
-    return df.select(
+    cols = [
         F.col(key).cast("bigint").alias("doc_id"),
         name_col.alias("name"),
         text_to_bytes(text, charset).alias("content"),
-    )
+    ]
+    if charset.upper().replace("-", "") == "UTF8":
+        # Spark strings are UTF-8 already: the byte length needs no encoding
+        cols.append(F.octet_length(text).cast("bigint").alias("n_bytes"))
+    return df.select(*cols)
 
 
 def corpus_from_files(
