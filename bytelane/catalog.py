@@ -14,7 +14,9 @@ from bytelane.functions import bytes as B
 from bytelane.functions import pixels as PX
 from bytelane.functions import scoring as SC
 from bytelane.functions import tokens as TK
+from bytelane.operators import params as PM
 from bytelane.operators import patches as PT
+from bytelane.operators import qa as QA_
 from bytelane.operators import runs as R
 from bytelane.operators import windows as W
 from bytelane.plans import epochs as P
@@ -471,6 +473,90 @@ def q_chw(spark: SparkSession, d: str) -> DataFrame:
     return c.select("image_id", _md5_ints(F.col("chw")).alias("chw_md5"), (back == F.col("img.data")).alias("round_trip"))
 
 
+# ---------------------------------------------------------------- keyed vectors
+STATE_KEYS = 4
+STATE_SHIFT = 25
+RENAME_RULES = [("layer0", "stage0.embed"), ("layer1", "stage1.embed")]
+
+
+def state_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Target state: embeddings as `layer{vec_id % 4}` rows; source state: the same
+    vectors moved up by 25 rows, i.e. a smaller table of the same keys and width."""
+    e = table(spark, d, "embeddings")
+    key = F.concat(F.lit("layer"), F.pmod("vec_id", F.lit(STATE_KEYS)).cast("string"))
+    row = F.floor(F.col("vec_id") / STATE_KEYS).cast("int")
+    tgt = e.select(key.alias("key"), row.alias("row"), F.col("embedding").alias("vec"))
+    src = tgt.select("key", (F.col("row") - STATE_SHIFT).alias("row"), "vec").where(F.col("row") >= 0)
+    return src, tgt
+
+
+def _vec_sum(c: str) -> F.Column:
+    return F.round(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5)
+
+
+def q_extend_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """J-4: source rows overwrite the first rows of layers 0 and 2; the rest keep the target."""
+    src, tgt = state_tables(spark, d)
+    out = PM.extend_embeddings(src, tgt, ["layer0", "layer2"])
+    return out.select("key", F.col("row").cast("bigint").alias("row"), _vec_sum("vec").alias("vec_sum"), "from_source")
+
+
+def q_rename_keys(spark: SparkSession, d: str) -> DataFrame:
+    """PF-4: prefix rename of state keys, rules in order."""
+    _, tgt = state_tables(spark, d)
+    r = PM.rename_keys(tgt, RENAME_RULES)
+    return r.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.max("row").cast("bigint").alias("max_row"))
+
+
+def q_param_count(spark: SparkSession, d: str) -> DataFrame:
+    """A-11: trainable elements per key (layer3 frozen), with the total."""
+    _, tgt = state_tables(spark, d)
+    return PM.param_count(tgt, F.col("key"), trainable=F.col("key") != "layer3")
+
+
+def q_answer_map(spark: SparkSession, d: str) -> DataFrame:
+    """J-2: the first word of every part name as an answer, mapped to its class code (null if unknown)."""
+    p = table(spark, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("answer"))
+    return p.select("p_partkey", "answer", QA_.answer_codes(p, "answer", strict=False).alias("code"))
+
+
+def q_token_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """J-8: special ids 128..131 (as in the QA config) against the conversation bytes."""
+    c = table(spark, d, "conversations").select(B.text_to_array("text").alias("t"))
+    ids = TK.TokenIds(pad=128, eom=129, som_text=130, som_image=131)
+    return QA_.token_collisions(c, "t", ids).select("token", "id", F.col("occurrences").cast("bigint"))
+
+
+def q_byte_profile(spark: SparkSession, d: str) -> DataFrame:
+    """F-26: byte lengths of conversation turns per role against the 205-byte question limit."""
+    return QA_.byte_profile(table(spark, d, "conversations"), ["role"], "text")
+
+
+def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A-18: exact match and byte accuracy of generated answers per model and question type.
+
+    Stand-in records: the truth is the assistant turn, the "generation" the
+    user turn before it (a parrot model); models by conversation id mod 3.
+    """
+    p = qa_pairs(spark, d)
+    truth = B.text_to_array("answer")
+    gen = B.text_to_array("question")
+    recs = p.select(
+        F.concat(F.lit("m"), F.pmod("conv_id", F.lit(3)).cast("string")).alias("id_model"),
+        F.when(F.octet_length("question") <= QA_.MAX_QUESTION_LEN_BYTES, "short").otherwise("long").alias("question_type"),
+        truth.alias("truth"),
+        gen.alias("gen"),
+    )
+    acc = F.aggregate(
+        F.zip_with("gen", "truth", lambda g, t: F.coalesce((g == t).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x
+    ) / F.size("truth")
+    return recs.groupBy("id_model", "question_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((F.col("gen") == F.col("truth")).cast("double")), 6).alias("exact_match"),
+        F.round(F.avg(acc), 6).alias("byte_accuracy"),
+    )
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -510,4 +596,11 @@ QUERIES = {
     "dense_remap": q_dense_remap,
     "grayscale": q_grayscale,
     "chw": q_chw,
+    "extend_embeddings": q_extend_embeddings,
+    "rename_keys": q_rename_keys,
+    "param_count": q_param_count,
+    "answer_map": q_answer_map,
+    "token_collisions": q_token_collisions,
+    "byte_profile": q_byte_profile,
+    "generation_quality": q_generation_quality,
 }

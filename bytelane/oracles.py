@@ -7,6 +7,7 @@ the plain single-machine reading of the operator, and cuts windows out of it.
 from __future__ import annotations
 
 from bytelane import catalog as C
+from bytelane.operators.qa import ANSWER_CLASS_MAP
 
 CORPUS = """corpus AS (
   SELECT string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h,
@@ -341,3 +342,53 @@ SELECT image_id,
 FROM img""",
     }
 )
+
+
+# ---------------------------------------------------------------- keyed vectors, QA
+_STATE_CTE = f"""
+tgt AS (SELECT 'layer' || (vec_id % {C.STATE_KEYS}) AS key, (vec_id // {C.STATE_KEYS})::INTEGER AS row, embedding AS vec FROM embeddings),
+src AS (SELECT key, row - {C.STATE_SHIFT} AS row, vec FROM tgt WHERE row - {C.STATE_SHIFT} >= 0)"""
+_ANSWERS = ", ".join(f"('{k}', '{v}')" for k, v in ANSWER_CLASS_MAP.items())
+
+ORACLES.update(
+    {
+        "extend_embeddings": f"""
+WITH {_STATE_CTE},
+j AS (SELECT t.key, t.row, t.vec AS tv, s.vec AS sv FROM tgt t LEFT JOIN src s ON s.key = t.key AND s.row = t.row)
+SELECT key, row::BIGINT AS row,
+       round(list_sum(CASE WHEN key IN ('layer0', 'layer2') AND sv IS NOT NULL THEN sv ELSE tv END::DOUBLE[]), 5) AS vec_sum,
+       key IN ('layer0', 'layer2') AND sv IS NOT NULL AS from_source
+FROM j""",
+        "rename_keys": f"""
+WITH {_STATE_CTE},
+r AS (SELECT CASE WHEN starts_with(key, 'layer0') THEN 'stage0.embed' || substr(key, 7)
+                  WHEN starts_with(key, 'layer1') THEN 'stage1.embed' || substr(key, 7) ELSE key END AS key, row FROM tgt)
+SELECT key, count(*)::BIGINT AS n_rows, max(row)::BIGINT AS max_row FROM r GROUP BY key""",
+        "param_count": f"""
+WITH {_STATE_CTE}
+SELECT key AS prefix, sum(len(vec))::BIGINT AS n_params FROM tgt WHERE key <> 'layer3' GROUP BY ROLLUP (key)""",
+        "answer_map": f"""
+WITH m(answer, code) AS (VALUES {_ANSWERS}),
+p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS answer FROM part)
+SELECT p.p_partkey, p.answer, m.code FROM p LEFT JOIN m ON m.answer = p.answer""",
+        "token_collisions": f"""
+WITH s(token, id) AS (VALUES ('pad', 128), ('eom', 129), ('som_text', 130), ('som_image', 131)),
+b AS (SELECT unnest({_bytes_of('text')}) AS id FROM conversations)
+SELECT s.token, s.id::BIGINT AS id, count(*)::BIGINT AS occurrences FROM b JOIN s ON s.id = b.id GROUP BY s.token, s.id""",
+        "byte_profile": """
+SELECT role, count(*)::BIGINT AS n, max(octet_length(encode(text)))::BIGINT AS max_bytes,
+       round(avg(octet_length(encode(text))), 6) AS avg_bytes, count(*) FILTER (WHERE octet_length(encode(text)) > 205)::BIGINT AS n_over_limit
+FROM conversations GROUP BY role""",
+        "generation_quality": f"""
+WITH p AS (SELECT q.conv_id, q.text AS question, a.text AS answer
+           FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+           WHERE q.role = 'user'),
+r AS (SELECT 'm' || (conv_id % 3) AS id_model,
+             CASE WHEN octet_length(encode(question)) <= 205 THEN 'short' ELSE 'long' END AS question_type,
+             {_bytes_of('answer')} AS truth, {_bytes_of('question')} AS gen FROM p)
+SELECT id_model, question_type, count(*)::BIGINT AS n,
+       round(avg(CASE WHEN gen = truth THEN 1.0 ELSE 0.0 END), 6) AS exact_match,
+       round(avg(len(list_filter(range(1, least(len(gen), len(truth)) + 1), lambda i: gen[i] = truth[i])) / len(truth)), 6) AS byte_accuracy
+FROM r GROUP BY id_model, question_type""",
+    }
+)
