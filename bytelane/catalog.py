@@ -521,9 +521,10 @@ def q_answer_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_token_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """J-8: special ids 128..131 (as in the QA config) against the conversation bytes."""
+    """J-8: special ids of a config that reuses byte values (pad 0, eom 10, som_text 195,
+    som_image 128) against the conversation bytes: newline and the UTF-8 lead byte collide."""
     c = table(spark, d, "conversations").select(B.text_to_array("text").alias("t"))
-    ids = TK.TokenIds(pad=128, eom=129, som_text=130, som_image=131)
+    ids = TK.TokenIds(pad=0, eom=10, som_text=195, som_image=128)
     return QA_.token_collisions(c, "t", ids).select("token", "id", F.col("occurrences").cast("bigint"))
 
 

@@ -372,7 +372,7 @@ WITH m(answer, code) AS (VALUES {_ANSWERS}),
 p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS answer FROM part)
 SELECT p.p_partkey, p.answer, m.code FROM p LEFT JOIN m ON m.answer = p.answer""",
         "token_collisions": f"""
-WITH s(token, id) AS (VALUES ('pad', 128), ('eom', 129), ('som_text', 130), ('som_image', 131)),
+WITH s(token, id) AS (VALUES ('pad', 0), ('eom', 10), ('som_text', 195), ('som_image', 128)),
 b AS (SELECT unnest({_bytes_of('text')}) AS id FROM conversations)
 SELECT s.token, s.id::BIGINT AS id, count(*)::BIGINT AS occurrences FROM b JOIN s ON s.id = b.id GROUP BY s.token, s.id""",
         "byte_profile": """
