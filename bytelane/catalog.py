@@ -22,6 +22,8 @@ from bytelane.operators import windows as W
 from bytelane.plans import epochs as P
 from bytelane.sources import logs as LG
 from bytelane.sources.corpus import corpus_from_table
+from bytelane.streaming import bytestream as BS
+from bytelane.streaming import runner as RN
 from bytelane.sources.tables import table
 
 # fixed parameters shared with the SQL oracles
@@ -558,6 +560,74 @@ def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- streams
+STREAM_CHUNKS = 3
+STREAM_EOS = 10  # newline
+
+
+def conversation_tokens(spark: SparkSession, d: str, end_marker: bool = True) -> DataFrame:
+    """Every conversation turn as a token stream `(stream_id, seq, token)` (+ an END row)."""
+    c = table(spark, d, "conversations")
+    sid = (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id")
+    toks = c.select(sid, F.posexplode(B.text_to_array("text")).alias("seq", "token")).select(
+        "stream_id", F.col("seq").cast("long"), F.col("token").cast("long")
+    )
+    if end_marker:
+        ends = c.select(sid, F.octet_length("text").cast("long").alias("seq"), F.lit(BS.END).cast("long").alias("token"))
+        toks = toks.unionByName(ends)
+    return toks
+
+
+def _stream_text(spark: SparkSession, d: str, name: str, mode: str, **kw) -> DataFrame:
+    path = RN.scratch(spark, name + "-in")
+    RN.write_token_files(conversation_tokens(spark, d), path, STREAM_CHUNKS)
+    out = RN.run_available(BS.decode_stream(RN.token_stream(spark, path), mode, **kw), name)
+    parts = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "text"))).alias("p"))
+    return parts.select("stream_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+
+
+def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
+    """ST-1 / ST-2: incremental UTF-8 decoding of byte streams cut into 3 micro-batches."""
+    return _stream_text(spark, d, "decode", "utf8")
+
+
+def q_stream_int(spark: SparkSession, d: str) -> DataFrame:
+    """ST-3: bytes rendered as decimal integers, one space between items across batches."""
+    return _stream_text(spark, d, "int", "int")
+
+
+def q_stream_stop(spark: SparkSession, d: str) -> DataFrame:
+    """ST-6: decoding stops after the first newline (the stop token is emitted)."""
+    return _stream_text(spark, d, "stop", "utf8", eos_token=STREAM_EOS)
+
+
+def q_stream_top(spark: SparkSession, d: str) -> DataFrame:
+    """ST-8: running 3 best validation losses per run over a log that arrives in files."""
+    lg = R.by_kind(loss_log(spark, d), "valid").select(
+        "run", "loss", "cum_batch", F.concat(F.lit("run"), F.col("run").cast("string")).alias("item"),
+        F.pmod("cum_batch", F.lit(STREAM_CHUNKS)).alias("_part"),
+    )
+    path = RN.scratch(spark, "top-in")
+    lg.repartition(STREAM_CHUNKS, "_part").drop("_part").write.parquet(path)
+    src = spark.readStream.schema("run LONG, loss DOUBLE, cum_batch LONG, item STRING").option("maxFilesPerTrigger", 1).parquet(path)
+    out = RN.run_available(BS.running_top_n(src, TOP_N), "top", mode="update")
+    last = out.groupBy("run").agg(F.max("batch_id").alias("batch_id"))
+    return out.join(last, ["run", "batch_id"]).select("run", F.col("rank").cast("bigint").alias("rank"), "cum_batch", "loss")
+
+
+def q_metric_stream(spark: SparkSession, d: str) -> DataFrame:
+    """ST-7: running per-(run, kind) counts of a loss log written as CSV files."""
+    path = RN.scratch(spark, "log-in")
+    lg = loss_log(spark, d).drop("run")
+    lg = lg.withColumn("run", F.col("gpu_rank"))  # one log folder per worker rank
+    LG.write_csv_log(lg.select(*[f.name for f in LG.LOSS_LOG.fields], "run").repartition(STREAM_CHUNKS), path)
+    schema = LG.LOSS_LOG.add("run", "long")
+    src = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1).csv(path)
+    out = RN.run_available(RN.metric_counts(src, ["run"]), "metrics", mode="complete")
+    last = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(last, "batch_id").select("run", "kind", "n_rows", F.round("min_loss", 6).alias("min_loss"), F.round("last_loss", 6).alias("last_loss"))
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -604,4 +674,9 @@ QUERIES = {
     "token_collisions": q_token_collisions,
     "byte_profile": q_byte_profile,
     "generation_quality": q_generation_quality,
+    "stream_decode": q_stream_decode,
+    "stream_int": q_stream_int,
+    "stream_stop": q_stream_stop,
+    "stream_top": q_stream_top,
+    "metric_stream": q_metric_stream,
 }

@@ -392,3 +392,28 @@ SELECT id_model, question_type, count(*)::BIGINT AS n,
 FROM r GROUP BY id_model, question_type""",
     }
 )
+
+
+# ---------------------------------------------------------------- streams
+ORACLES.update(
+    {
+        "stream_decode": "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations",
+        "stream_int": f"""
+SELECT conv_id * 1000 + turn AS stream_id,
+       array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INTEGER), ' ') AS text
+FROM conversations""",
+        "stream_stop": f"""
+SELECT conv_id * 1000 + turn AS stream_id,
+       CASE WHEN strpos(text, chr({C.STREAM_EOS})) > 0 THEN left(text, strpos(text, chr({C.STREAM_EOS}))) ELSE text END AS text
+FROM conversations""",
+        "stream_top": f"""
+WITH {LOG_CTE},
+r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY loss, cum_batch) AS rnk FROM lg WHERE kind = 'valid')
+SELECT run, rnk::BIGINT AS rank, cum_batch, loss FROM r WHERE rnk <= {C.TOP_N}""",
+        "metric_stream": f"""
+WITH {LOG_CTE}
+SELECT gpu_rank::BIGINT AS run, kind, count(*)::BIGINT AS n_rows, round(min(loss), 6) AS min_loss,
+       round(arg_max(loss, cum_batch), 6) AS last_loss
+FROM lg GROUP BY gpu_rank, kind""",
+    }
+)
