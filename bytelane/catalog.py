@@ -140,6 +140,27 @@ def q_row_shards(spark: SparkSession, d: str) -> DataFrame:
     return s.select("o_orderkey", F.col("row_idx").cast("bigint"), F.col("worker").cast("bigint"), F.col("item").cast("bigint"))
 
 
+RANDOM = {"L": 2048, "k": 500, "seed": 5}
+SHUFFLE = {"seed": 3, "epoch": 2}
+
+
+def q_random_windows(spark: SparkSession, d: str) -> DataFrame:
+    """W-7: 500 windows at hashed random starts in [0, total - L - 1]."""
+    p = RANDOM
+    r = W.random_windows(documents(spark, d), p["L"], p["k"], seed=p["seed"], hash_mode="md5")
+    return r.select("draw", "start", F.octet_length("tokens").cast("bigint").alias("n_bytes"), F.md5("tokens").alias("md5"))
+
+
+def q_shuffle_order(spark: SparkSession, d: str) -> DataFrame:
+    """W-10 / T-8: seeded per-epoch random order of the documents, as a dense rank."""
+    from bytelane.functions.hashing import hash_bits
+    from bytelane.operators.offsets import global_row_index
+
+    docs = table(spark, d, "documents").select("doc_id")
+    keyed = docs.withColumn("h", hash_bits(F.lit(SHUFFLE["seed"]), F.lit(SHUFFLE["epoch"]), F.col("doc_id"), mode="md5"))
+    ranked, _ = global_row_index(keyed, "h", "position", tiebreak=["doc_id"])
+    return ranked.select("doc_id", F.col("position").cast("bigint"))
+
 # ---------------------------------------------------------------- plans
 PLAN = {"L": 2048, "B": 4, "iters": 1000, "acc": 3, "logs": 50, "valids": 10}
 RESUME = {"epoch": 2, "batch": 100, "iters": 700}
@@ -638,6 +659,8 @@ QUERIES = {
     "safe_decode": q_safe_decode,
     "replace_decode": q_replace_decode,
     "row_shards": q_row_shards,
+    "random_windows": q_random_windows,
+    "shuffle_order": q_shuffle_order,
     "epoch_plan": q_epoch_plan,
     "resume_plan": q_resume_plan,
     "budget": q_budget,

@@ -417,3 +417,18 @@ SELECT gpu_rank::BIGINT AS run, kind, count(*)::BIGINT AS n_rows, round(min(loss
 FROM lg GROUP BY gpu_rank, kind""",
     }
 )
+
+
+ORACLES.update(
+    {
+        "random_windows": f"""
+WITH {CORPUS},
+s AS (SELECT r.i AS draw, ('0x' || substr(md5(concat_ws('|', {C.RANDOM['seed']}, r.i)), 1, 8))::BIGINT % (t - {C.RANDOM['L']}) AS start, h
+      FROM corpus, range(0, {C.RANDOM['k']}) r(i))
+SELECT draw::BIGINT AS draw, start::BIGINT AS start, {C.RANDOM['L']}::BIGINT AS n_bytes,
+       md5(unhex(substr(h, 2 * start + 1, 2 * {C.RANDOM['L']}))) AS md5 FROM s""",
+        "shuffle_order": f"""
+SELECT doc_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', {C.SHUFFLE['seed']}, {C.SHUFFLE['epoch']}, doc_id)), 1, 8))::BIGINT, doc_id) - 1)::BIGINT AS position
+FROM documents""",
+    }
+)
