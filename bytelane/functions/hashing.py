@@ -44,3 +44,66 @@ def uniform_int(*keys, upper: Column | int, mode: str = "xxhash64") -> Column:
     """A BIGINT in [0, upper) that depends only on the keys."""
     up = upper if isinstance(upper, Column) else F.lit(upper)
     return F.pmod(hash_bits(*keys, mode=mode), up.cast("bigint"))
+
+
+def below(*keys, p: float, mode: str = "xxhash64") -> Column:
+    """uniform(*keys) < p without the division.
+
+    md5 mode compares the first 8 hex digits as text with the hex form of
+    ceil(p * 2^32): the digests are fixed-width lowercase hex, so text order
+    is numeric order, and h / 2^32 < p holds exactly when h < ceil(p * 2^32).
+    """
+    import math
+
+    if mode == "md5":
+        limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
+        if limit >= 2**32:
+            return F.lit(True)
+        threshold = format(limit, "08x")
+        joined = F.concat_ws("|", *[c.cast("string") for c in _cols(keys)])
+        return F.substring(F.md5(joined), 1, 8) < F.lit(threshold)
+    limit = min(max(math.ceil(p * TWO_53), 0), 2**53)
+    return hash_bits(*keys, mode=mode) < F.lit(limit)
+
+
+def below_with_prefix(prefix: Column, last: Column, *, p: float, mode: str = "md5") -> Column:
+    """`below` for keys whose leading part is already joined into `prefix` ('a|b|c').
+
+    Lets a per-element lambda reuse one prefix string per row.
+    """
+    import math
+
+    if mode != "md5":
+        raise ValueError("prefix form is for md5 mode")
+    limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
+    if limit >= 2**32:
+        return F.lit(True)
+    s = F.concat(prefix, F.lit("|"), last.cast("string"))
+    return F.substring(F.md5(s), 1, 8) < F.lit(format(limit, "08x"))
+
+
+def below_md5_positions(prefix: Column, n: Column, *, p: float) -> Column:
+    """ARRAY<BOOLEAN> of length n: position i is set when its md5 unit is below p.
+
+    The unit of position i is the (i mod 4)-th group of 8 hex digits of
+    md5(prefix || '|' || (i div 4)): one digest serves four positions.
+    """
+    import math
+
+    limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
+    thr = F.lit(format(min(limit, 2**32 - 1), "08x"))
+    groups = F.sequence(F.lit(0), F.greatest(F.ceil(n / 4).cast("int") - 1, F.lit(0)))
+
+    def per_group(g: Column) -> Column:
+        return F.element_at(
+            F.transform(
+                F.array(F.md5(F.concat(prefix, F.lit("|"), g.cast("string")))),
+                lambda h: F.transform(
+                    F.sequence(F.lit(0), F.lit(3)),
+                    lambda k: F.lit(True) if limit >= 2**32 else F.substring(h, k * 8 + 1, 8) < thr,
+                ),
+            ),
+            1,
+        )
+
+    return F.slice(F.flatten(F.transform(groups, per_group)), 1, n)

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytelane.functions.bytes import bytes_to_array
-from bytelane.functions.hashing import uniform, uniform_int
+from bytelane.functions.arrays import let
+from bytelane.functions.hashing import below, below_md5_positions, uniform_int
 from bytelane.operators.offsets import Totals, global_row_index, join_small_or_shuffle, prefix_sum
 
 
@@ -198,20 +199,30 @@ def masked_sample(
 ) -> DataFrame:
     """F-15 / F-16 / W-8: masked ids, mask, labels; short windows padded to L.
 
-    Position i of window (worker, idx) is masked when
-    uniform(seed, epoch, worker, idx, i) < p, so the mask changes with the
-    epoch and survives task retries. Padding is never masked.
+    Position i of window (worker, idx) is masked when its hash unit of
+    (seed, epoch, worker, idx, i) is below p, so the mask changes with the
+    epoch and survives task retries. Padding is never masked. In md5 mode one
+    digest of (seed, epoch, worker, idx, i div 4) gives the units of four
+    positions (see `hashing.below_md5_positions`).
     """
     if mask_token_id == pad_token_id:
         raise ValueError("You can't set the padding and the mask with the same value")
     ids = bytes_to_array(tokens)
     w = windows.withColumn("_ids", ids)
     n = F.size("_ids")
-    mask = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: uniform(F.lit(seed), F.lit(epoch), F.col("worker"), F.col("idx"), i, mode=hash_mode)
-        < F.lit(masking_proba),
-    )
+    positions = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    if hash_mode == "md5":
+        # one key prefix per window, one md5 per position
+        # one digest per four positions, one key prefix per window
+        mask = let(
+            F.concat_ws("|", *[c.cast("string") for c in (F.lit(seed), F.lit(epoch), F.col("worker"), F.col("idx"))]),
+            lambda pre: below_md5_positions(pre, n, p=masking_proba),
+        )
+    else:
+        mask = F.transform(
+            positions,
+            lambda i: below(F.lit(seed), F.lit(epoch), F.col("worker"), F.col("idx"), i, p=masking_proba, mode=hash_mode),
+        )
     mask = F.when(n == 0, F.array().cast("array<boolean>")).otherwise(mask)
     pad_n = F.greatest(F.lit(seq_len) - n, F.lit(0))
     w = w.withColumn("_mask", mask)

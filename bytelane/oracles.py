@@ -43,7 +43,7 @@ arr AS (
   SELECT idx, n, list_transform(regexp_extract_all(hw, '..'), lambda x: ('0x' || x)::INTEGER) AS b FROM wins),
 mk AS (
   SELECT idx, n, b,
-         list_transform(b, lambda x, i: ('0x' || substr(md5(concat_ws('|', {p['seed']}, {p['epoch']}, 0, idx, i - 1)), 1, 8))::BIGINT
+         list_transform(b, lambda x, i: ('0x' || substr(md5(concat_ws('|', {p['seed']}, {p['epoch']}, 0, idx, (i - 1) // 4)), 8 * ((i - 1) % 4) + 1, 8))::BIGINT
                                         / 4294967296.0 < {p['p']}) AS m
   FROM arr),
 pad AS (SELECT *, repeat(' {p['pad']}', {L} - n) AS padding, repeat(' {p['mask']}', {L} - n) AS pad_targets FROM mk)
