@@ -206,3 +206,24 @@ def artefact_check(listing: DataFrame, run: str, num_models_to_save: int) -> Dat
         F.bool_or(name == "loss.csv").alias("has_loss_csv"),
         F.bool_or(name == "timemem.csv").alias("has_timemem_csv"),
     ).withColumn("checkpoints_ok", F.col("n_checkpoints") == F.lit(num_models_to_save))
+
+
+def resume_lineage(runs: DataFrame, run: str = "run_id", checkpoint: str = "checkpoint_file", parent: str = "resumed_from") -> DataFrame:
+    """J-6: every run with the root run of its resume chain and its depth in it.
+
+    A recursive CTE joins each run to the run whose checkpoint it resumed from
+    (one join per level, distributed as ordinary equi-joins).
+    """
+    spark = runs.sparkSession
+    view = f"_bytelane_runs_{abs(hash((run, checkpoint, parent, id(runs))))}"
+    runs.select(F.col(run).alias("run_id"), F.col(checkpoint).alias("ckpt"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
+    return spark.sql(
+        f"""
+        WITH RECURSIVE chain(run_id, ckpt, root, depth) AS (
+          SELECT run_id, ckpt, run_id, 0 FROM {view} WHERE parent IS NULL
+          UNION ALL
+          SELECT r.run_id, r.ckpt, c.root, c.depth + 1 FROM {view} r JOIN chain c ON r.parent = c.ckpt
+        )
+        SELECT run_id AS {run}, root AS root_run, depth FROM chain
+        """
+    )
