@@ -378,10 +378,6 @@ TOKENIZE_LEN = 512
 QA = {"L": 8192, "weights": (0.5, 0.25, 0.5, 1.0)}
 
 
-def _nested_string(p: F.Column) -> F.Column:
-    return F.array_join(F.transform(p, lambda x: F.array_join(F.transform(x, lambda y: F.array_join(y, ",")), ";")), "|")
-
-
 def q_patches(spark: SparkSession, d: str) -> DataFrame:
     """W-19 / W-20: windows nested into (32, 8, 4) patches and flattened back."""
     p = PATCH
@@ -392,7 +388,7 @@ def q_patches(spark: SparkSession, d: str) -> DataFrame:
     return w.select(
         F.col("idx").cast("bigint").alias("idx"),
         F.size(nested).cast("bigint").alias("n_outer"),
-        F.md5(_nested_string(nested)).alias("nested_md5"),
+        F.md5(F.to_json(nested)).alias("nested_md5"),
         (back == t.cast("array<bigint>")).alias("round_trip"),
     )
 

@@ -269,8 +269,8 @@ b AS (SELECT idx, list_transform(hx, lambda x: ('0x' || x)::BIGINT) AS t FROM w)
 p AS (SELECT idx, list_resize(t, ((len(t) + {_INNER - 1}) // {_INNER}) * {_INNER}, {_P['pad']}) AS pb,
              (len(t) + {_INNER - 1}) // {_INNER} AS n_outer FROM b)
 SELECT idx::BIGINT AS idx, n_outer::BIGINT AS n_outer,
-       md5(array_to_string(list_transform(range(0, n_outer), lambda o: array_to_string(list_transform(range(0, {_P['seq_lens'][1]}),
-           lambda m: array_to_string(list_slice(pb, o * {_INNER} + m * {_P['seq_lens'][2]} + 1, o * {_INNER} + m * {_P['seq_lens'][2]} + {_P['seq_lens'][2]}), ',')), ';')), '|')) AS nested_md5,
+       md5(to_json(list_transform(range(0, n_outer), lambda o: list_transform(range(0, {_P['seq_lens'][1]}),
+           lambda m: list_slice(pb, o * {_INNER} + m * {_P['seq_lens'][2]} + 1, o * {_INNER} + m * {_P['seq_lens'][2]} + {_P['seq_lens'][2]}))))::VARCHAR) AS nested_md5,
        true AS round_trip
 FROM p""",
         "next_token_pairs": f"""
