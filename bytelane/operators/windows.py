@@ -254,24 +254,32 @@ def random_windows(
     hash_mode: str = "xxhash64",
     key: str = "doc_id",
     content: str = "content",
+    max_broadcast_draws: int = 1_000_000,
 ) -> DataFrame:
     """W-7: k windows with start uniform in [0, total - L - 1] (the last legal start excluded).
 
     A random window overlaps at most two aligned windows (idx = start div L and
     the next), so it is cut from an equi-join of the starts with the aligned
-    windows; no cross join, each start meets at most two rows.
+    windows; no cross join, each start meets at most two rows. When the draws
+    are few (2k ids below `max_broadcast_draws`), only the aligned windows they
+    touch are assembled: the pieces are semi-joined with the broadcast id set
+    before any shuffle.
     """
     located, tot = locate_documents(docs, key, content)
     L = seq_len
     if tot.total - L - 1 < 0:
         raise ValueError("corpus shorter than one window")
     spec = shard_spec(tot.total, L, 1, 0, include_tail=True)
-    aligned = assemble_windows(window_pieces(located, spec, key=key, content=content)).select("idx", "tokens")
     spark = docs.sparkSession
     starts = spark.range(k).select(
         F.col("id").alias("draw"),
         uniform_int(F.lit(seed), F.col("id"), upper=tot.total - L, mode=hash_mode).alias("start"),
     ).withColumn("a", _fdiv(F.col("start"), L))
+    pieces = window_pieces(located, spec, key=key, content=content)
+    if 2 * k <= max_broadcast_draws:
+        needed = starts.select(F.col("a").alias("idx")).union(starts.select((F.col("a") + 1).alias("idx"))).distinct()
+        pieces = pieces.join(F.broadcast(needed), "idx", "left_semi")
+    aligned = assemble_windows(pieces).select("idx", "tokens")
     first = aligned.select(F.col("idx").alias("a"), F.col("tokens").alias("t0"))
     second = aligned.select((F.col("idx") - 1).alias("a"), F.col("tokens").alias("t1"))
     j = starts.join(first, "a", "left").join(second, "a", "left")

@@ -67,10 +67,13 @@ def corpus_from_files(
         return named.select(hash_bits(F.col("path")).alias("doc_id"), "name", "content")
     if order != "path":
         raise ValueError(f"unknown order {order!r}")
-    from bytelane.operators.offsets import global_row_index
+    from bytelane.operators.offsets import global_row_index, join_small_or_shuffle
 
-    idx, _ = global_row_index(named.select("path"), "path", "doc_id")
-    return named.join(idx, "path").select(F.col("doc_id").cast("bigint"), "name", "content")
+    idx, tot = global_row_index(named.select("path"), "path", "doc_id")
+    # the (path -> index) lookup is broadcast only below a checked file count;
+    # beyond it the lookup side is hashed and the contents are shuffled once
+    located = join_small_or_shuffle(named, idx, "path", tot.rows, max_broadcast_rows=500_000)
+    return located.select(F.col("doc_id").cast("bigint"), "name", "content")
 
 
 def masked_corpus_options(mask_token_id: int = -100, masking_proba: float = 0.15, pad_token_id: int = -101) -> dict:
