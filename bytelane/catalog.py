@@ -90,9 +90,9 @@ def q_masked_windows(spark: SparkSession, d: str) -> DataFrame:
         F.col("idx").cast("bigint").alias("idx"),
         F.col("n_bytes").cast("bigint").alias("n_real"),
         F.aggregate("mask", F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint")).alias("n_masked"),
-        F.md5(F.array_join("masked_ids", " ")).alias("masked_md5"),
-        F.md5(F.array_join("labels", " ")).alias("labels_md5"),
-        F.md5(F.array_join(targets, " ")).alias("targets_md5"),
+        F.md5(F.to_json("masked_ids")).alias("masked_md5"),
+        F.md5(F.to_json("labels")).alias("labels_md5"),
+        F.md5(F.to_json(targets)).alias("targets_md5"),
     )
 
 

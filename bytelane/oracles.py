@@ -46,12 +46,12 @@ mk AS (
          list_transform(b, lambda x, i: ('0x' || substr(md5(concat_ws('|', {p['seed']}, {p['epoch']}, 0, idx, (i - 1) // 4)), 8 * ((i - 1) % 4) + 1, 8))::BIGINT
                                         / 4294967296.0 < {p['p']}) AS m
   FROM arr),
-pad AS (SELECT *, repeat(' {p['pad']}', {L} - n) AS padding, repeat(' {p['mask']}', {L} - n) AS pad_targets FROM mk)
+pad AS (SELECT *, list_resize([]::INTEGER[], {L} - n, {p['pad']}) AS padding, list_resize([]::INTEGER[], {L} - n, {p['mask']}) AS pad_targets FROM mk)
 SELECT 0::BIGINT AS worker, idx::BIGINT AS idx, n::BIGINT AS n_real,
        list_sum(list_transform(m, lambda x: x::BIGINT))::BIGINT AS n_masked,
-       md5(array_to_string(list_transform(list_zip(b, m), lambda z: CASE WHEN z[2] THEN {p['mask']} ELSE z[1] END), ' ') || padding) AS masked_md5,
-       md5(array_to_string(b, ' ') || padding) AS labels_md5,
-       md5(array_to_string(list_transform(list_zip(b, m), lambda z: CASE WHEN z[2] THEN z[1] ELSE {p['mask']} END), ' ') || pad_targets) AS targets_md5
+       md5(to_json(list_transform(list_zip(b, m), lambda z: CASE WHEN z[2] THEN {p['mask']} ELSE z[1] END) || padding)::VARCHAR) AS masked_md5,
+       md5(to_json(b || padding)::VARCHAR) AS labels_md5,
+       md5(to_json(list_transform(list_zip(b, m), lambda z: CASE WHEN z[2] THEN z[1] ELSE {p['mask']} END) || pad_targets)::VARCHAR) AS targets_md5
 FROM pad"""
 
 
