@@ -70,21 +70,46 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def jsonl_view(ops: DataFrame, writer: str = "writer_id", seq: str = "seq", op: str = "op") -> DataFrame:
+def jsonl_view(ops: DataFrame, writer: str = "writer_id", seq: str = "seq", op: str = "op", chunk: int = 65_536) -> DataFrame:
     """IO-11: rows of an append log with undo that are still present.
 
     `op` is 'put' (a written row) or 'undo' (remove the last present row of the
     same writer; a no-op on an empty file). With cum = running (+1 put, -1
     undo) and height = cum - least(0, running min cum), a put at height h
     survives when no later row of the writer drops below h.
+
+    Skew: a writer's log is cut into chunks of `chunk` consecutive sequence
+    numbers (seq must be unique per writer). Windows run per chunk, so one
+    writer with most of the rows still spreads over many tasks; only one
+    summary row per chunk (net change, lowest running total, lowest height)
+    is combined per writer, in a window over chunks.
     """
-    delta = F.when(F.col(op) == "put", 1).otherwise(-1)
-    w_run = Window.partitionBy(writer).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_rest = Window.partitionBy(writer).orderBy(seq).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = ops.withColumn("_cum", F.sum(delta).over(w_run))
-    x = x.withColumn("_h", F.col("_cum") - F.least(F.lit(0), F.min("_cum").over(w_run)))
-    x = x.withColumn("_min_after", F.min("_h").over(w_rest))
-    return x.where((F.col(op) == "put") & (F.col("_min_after") >= F.col("_h"))).drop("_cum", "_h", "_min_after")
+    d = F.when(F.col(op) == "put", 1).otherwise(-1)
+    x = ops.withColumn("_d", d.cast("bigint")).withColumn("_c", F.floor(F.col(seq) / chunk).cast("bigint"))
+    in_chunk = Window.partitionBy(writer, "_c").orderBy(seq)
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_lc", F.sum("_d").over(upto)).withColumn("_lmin", F.min("_lc").over(upto))
+
+    # chunk summaries -> totals and minima of all earlier chunks of the writer
+    summ = x.groupBy(writer, "_c").agg(F.sum("_d").alias("_D"), F.min("_lc").alias("_P"))
+    before = Window.partitionBy(writer).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_cb", F.coalesce(F.sum("_D").over(before), F.lit(0).cast("bigint")))
+    summ = summ.withColumn("_mb", F.least(F.lit(0).cast("bigint"), F.coalesce(F.min(F.col("_cb") + F.col("_P")).over(before), F.lit(0).cast("bigint"))))
+    x = x.join(summ.select(writer, "_c", "_cb", "_mb"), [writer, "_c"])
+    cum = F.col("_cb") + F.col("_lc")
+    low = F.least(F.col("_mb"), F.col("_cb") + F.col("_lmin"), F.lit(0).cast("bigint"))
+    x = x.withColumn("_h", cum - low)
+
+    # suffix minimum of the height: inside the chunk, then over later chunks
+    after_in = in_chunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    x = x.withColumn("_hmin_in", F.min("_h").over(after_in))
+    hsum = x.groupBy(writer, "_c").agg(F.min("_h").alias("_H"))
+    later = Window.partitionBy(writer).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
+    hsum = hsum.withColumn("_ha", F.min("_H").over(later))
+    x = x.join(hsum.select(writer, "_c", "_ha"), [writer, "_c"])
+    min_after = F.least(F.col("_hmin_in"), F.coalesce(F.col("_ha"), F.col("_hmin_in")))
+    keep = (F.col(op) == "put") & (min_after >= F.col("_h"))
+    return x.where(keep).select(*ops.columns)
 
 
 # ---------------------------------------------------------------------------

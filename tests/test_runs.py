@@ -45,8 +45,9 @@ def test_jsonl_undo_matches_stack_replay(spark):
         rows += [(w, s, o) for s, o in ops]
         expected |= {(w, s) for s in stack_replay(ops)}
     df = spark.createDataFrame(rows, "writer_id INT, seq INT, op STRING")
-    got = {(r.writer_id, r.seq) for r in LG.jsonl_view(df).collect()}
-    assert got == expected
+    for chunk in (65_536, 7, 1):  # one chunk per writer, several, one row per chunk
+        got = {(r.writer_id, r.seq) for r in LG.jsonl_view(df, chunk=chunk).collect()}
+        assert got == expected, chunk
 
 
 def test_error_lines_keep_dashes_in_message(spark):
