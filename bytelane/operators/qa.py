@@ -85,7 +85,7 @@ def read_questions(spark: SparkSession, path: str, partitions: int | None = None
 def raw_record(questions: DataFrame, idx: int, split: str) -> DataFrame:
     """IO-7: one record by index; the test split has no answers and is refused."""
     if split == "test":
-        raise ValueError("Clevr dataset does not support testing!")
+        raise ValueError("the test split has no answers and cannot be sampled")
     return questions.where(F.col("idx") == idx)
 
 

@@ -13,7 +13,7 @@ def one(spark, expr, schema, value):
     return spark.createDataFrame([(value,)], schema).select(expr.alias("r")).first().r
 
 
-def test_token_pipeline(spark):
+def test_special_tokens_and_padding(spark):
     expr = TK.pad_right_to(TK.with_som(TK.with_eom("x", IDS.eom), IDS.som_text), 15, IDS.pad)
     out = one(spark, expr, "x ARRAY<INT>", list(range(10)))
     assert len(out) == 15 and out[0] == 13 and out[11] == 11 and out[12:] == [10, 10, 10]
