@@ -76,3 +76,26 @@ def test_resume_lineage(spark):
     )
     got = sorted((r.run_id, r.root_run, r.depth) for r in R.resume_lineage(runs).collect())
     assert got == [("r1", "r1", 0), ("r2", "r1", 1), ("r3", "r1", 2), ("s1", "s1", 0)]
+
+
+def test_registry_and_sample_source(spark):
+    from bytelane.sources import registry as RG
+
+    assert {"books", "questions"} <= set(RG.registered())
+    try:
+        RG.retrieve("nope")
+        raise AssertionError("expected KeyError")
+    except KeyError:
+        pass
+
+    def get_sample(i):
+        data = [(i + k) % 256 for k in range(4)]
+        return data, [1.0] * 4
+
+    src = RG.sample_source("sine_like", get_sample, 21, "tokens ARRAY<INT>, loss_mask ARRAY<DOUBLE>", partitions=3)
+    spark.dataSource.register(src)
+    df = spark.read.format("sine_like").load()
+    rows = sorted(df.collect(), key=lambda r: r.idx)
+    assert [r.idx for r in rows] == list(range(21))
+    assert rows[5].tokens == [5, 6, 7, 8] and rows[5].loss_mask == [1.0] * 4
+    assert df.rdd.getNumPartitions() == 3
