@@ -406,7 +406,9 @@ def q_tokenize_pad(spark: SparkSession, d: str) -> DataFrame:
     a = TK.with_eom(TK.with_som(B.text_to_array("text"), TOK.som_text), TOK.eom)
     padded = TK.pad_right_to(a, TOKENIZE_LEN, TOK.pad, strict=False)
     return c.select(
-        "conv_id", "turn", F.size(a).cast("bigint").alias("n_tokens"), F.md5(F.array_join(padded, " ")).alias("padded_md5")
+        "conv_id", "turn", F.size(a).cast("bigint").alias("n_tokens"),
+        F.md5(F.array_join(a, " ")).alias("tokens_md5"),
+        F.md5(F.array_join(padded, " ")).alias("padded_md5"),
     )
 
 
@@ -534,9 +536,12 @@ def q_param_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_answer_map(spark: SparkSession, d: str) -> DataFrame:
-    """J-2: the first word of every part name as an answer, mapped to its class code (null if unknown)."""
-    p = table(spark, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("answer"))
-    return p.select("p_partkey", "answer", QA_.answer_codes(p, "answer", strict=False).alias("code"))
+    """J-2: every word of every part name as an answer, mapped to its class code (null if unknown)."""
+    p = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "answer"))
+    return p.select(
+        "p_partkey", (F.col("pos") + 1).cast("bigint").alias("pos"), "answer",
+        QA_.answer_codes(p, "answer", strict=False).alias("code"),
+    )
 
 
 def q_token_collisions(spark: SparkSession, d: str) -> DataFrame:

@@ -278,7 +278,8 @@ WITH x AS (SELECT conv_id, turn, {_bytes_of('text')} AS b FROM conversations)
 SELECT conv_id, turn, len(b)::BIGINT AS n, md5(array_to_string([{_T.som_text}] || list_slice(b, 1, len(b) - 1), ' ')) AS inputs_md5 FROM x""",
         "tokenize_pad": f"""
 WITH x AS (SELECT conv_id, turn, [{_T.som_text}] || {_bytes_of('text')} || [{_T.eom}] AS a FROM conversations)
-SELECT conv_id, turn, len(a)::BIGINT AS n_tokens, md5(array_to_string(list_resize(a, {C.TOKENIZE_LEN}, {_T.pad}), ' ')) AS padded_md5 FROM x""",
+SELECT conv_id, turn, len(a)::BIGINT AS n_tokens, md5(array_to_string(a, ' ')) AS tokens_md5,
+       md5(array_to_string(list_resize(a, {C.TOKENIZE_LEN}, {_T.pad}), ' ')) AS padded_md5 FROM x""",
         "qa_samples": f"""
 WITH p AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
            FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
@@ -369,8 +370,9 @@ WITH {_STATE_CTE}
 SELECT key AS prefix, sum(len(vec))::BIGINT AS n_params FROM tgt WHERE key <> 'layer3' GROUP BY ROLLUP (key)""",
         "answer_map": f"""
 WITH m(answer, code) AS (VALUES {_ANSWERS}),
-p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS answer FROM part)
-SELECT p.p_partkey, p.answer, m.code FROM p LEFT JOIN m ON m.answer = p.answer""",
+w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part),
+p AS (SELECT p_partkey, unnest(range(1, len(ws) + 1)) AS pos, ws FROM w)
+SELECT p.p_partkey, p.pos::BIGINT AS pos, p.ws[p.pos] AS answer, m.code FROM p LEFT JOIN m ON m.answer = p.ws[p.pos]""",
         "token_collisions": f"""
 WITH s(token, id) AS (VALUES ('pad', 0), ('eom', 10), ('som_text', 195), ('som_image', 128)),
 b AS (SELECT unnest({_bytes_of('text')}) AS id FROM conversations)
