@@ -94,3 +94,29 @@ def test_csv_log_round_trip(spark, tmp_path):
     assert R.valid_iso(F.lit("2024-01-01T10:00:00")) is not None
     iso = spark.range(1).select(R.valid_iso(F.lit("2024-01-01T10:00:00")).alias("a"), R.valid_iso(F.lit("nope")).alias("b")).first()
     assert iso.a is True and iso.b is False
+
+
+def test_rank_gate_nan_rows_and_loss_mask(spark):
+    from bytelane.operators import windows as W
+
+    log = spark.createDataFrame(
+        [(0, float("nan"), "train"), (1, 0.5, "train"), (2, 0.7, "valid")], "gpu_rank INT, loss DOUBLE, kind STRING"
+    )
+    assert sorted(r.gpu_rank for r in R.rank_gate(log, [0, 2]).collect()) == [0, 2]
+    assert R.rank_gate(log, None).count() == 3
+    assert [r.gpu_rank for r in R.nan_losses(log).collect()] == [0]
+    assert R.by_kind(log, "valid").count() == 1
+    w = spark.createDataFrame([(0, 0, bytes([1, 2, 3]))], "worker INT, idx BIGINT, tokens BINARY")
+    r = W.with_loss_mask(w).first()
+    assert r.token_ids == [1, 2, 3] and r.loss_mask == [1.0, 1.0, 1.0]
+
+
+def test_seeded_shuffles_are_permutations(spark):
+    from bytelane.operators import qa as QA
+
+    q = spark.range(50).select(F.col("id").alias("idx"))
+    a = [r.idx for r in QA.iter_records(q, shuffle=True, seed=1).collect()]
+    b = [r.idx for r in QA.iter_records(q, shuffle=True, seed=1).collect()]
+    c = [r.idx for r in QA.iter_records(q, shuffle=True, seed=2).collect()]
+    assert sorted(a) == list(range(50)) and a == b and a != c
+    assert [r.idx for r in QA.iter_records(q, max_items=3).collect()] == [0, 1, 2]
