@@ -36,6 +36,13 @@ SAFE_L = 1000
 SAFE_DEFAULT = "<invalid>"
 
 
+def dec(c, scale: int = 6) -> F.Column:
+    """A computed DOUBLE as an exact DECIMAL(24, scale): engines that sum or
+    average in another order still agree on every digit that is kept."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, scale).cast(f"decimal(24,{scale})")
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return corpus_from_table(table(spark, d, "documents"), "doc_id", "text")
 
@@ -251,13 +258,14 @@ def q_eval_mean(spark: SparkSession, d: str) -> DataFrame:
     m = R.eval_mean(loss_log(spark, d), ["run"], EVAL_STEPS)
     t = R.eval_time(LG.time_log_from_events(table(spark, d, "events")), ["run"])
     return m.join(t, "run", "full").select(
-        "run", F.round("eval_loss", 6).alias("eval_loss"), "eval_batches", F.round("eval_seconds", 6).alias("eval_seconds")
+        "run", dec("eval_loss").alias("eval_loss"), "eval_batches", dec("eval_seconds").alias("eval_seconds")
     )
 
 
 def q_last_loss(spark: SparkSession, d: str) -> DataFrame:
     """A-9 / J-7: last training loss per run, rounded to 3, compared with the previous run."""
-    return R.grad_acc_check(R.last_value(loss_log(spark, d), ["run"]), "run")
+    last = R.last_value(loss_log(spark, d), ["run"]).withColumn("last_loss", dec("last_loss", 3))
+    return R.grad_acc_check(last, "run")
 
 
 def q_chain_check(spark: SparkSession, d: str) -> DataFrame:
@@ -343,9 +351,9 @@ def q_ce_loss(spark: SparkSession, d: str) -> DataFrame:
     w = F.when(F.pmod("pos", F.lit(3)) == 0, 1.0).when(F.pmod("pos", F.lit(3)) == 1, 0.5).otherwise(0.0)
     return e.groupBy("seq").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.sum("ce"), 6).alias("ce_sum"),
-        F.round(SC.nonzero_weighted_mean(F.col("ce"), w), 6).alias("nonzero_mean"),
-        F.round(SC.masked_mean(F.col("ce"), F.pmod("pos", F.lit(4)) == 0), 6).alias("masked_mean"),
+        dec(F.sum("ce")).alias("ce_sum"),
+        dec(SC.nonzero_weighted_mean(F.col("ce"), w)).alias("nonzero_mean"),
+        dec(SC.masked_mean(F.col("ce"), F.pmod("pos", F.lit(4)) == 0)).alias("masked_mean"),
     )
 
 
@@ -358,7 +366,7 @@ def q_topk_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         "vec_id",
         F.array_join(SC.top_k_indices("embedding", k), ",").alias("kept"),
-        F.round(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), 6).alias("kept_sum"),
+        dec(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)).alias("kept_sum"),
     )
 
 
@@ -436,7 +444,7 @@ def q_qa_samples(spark: SparkSession, d: str) -> DataFrame:
         (F.lit(QA["L"]) - F.col("s.len_padding")).cast("bigint").alias("n_tokens"),
         F.col("s.len_padding").cast("bigint").alias("len_padding"),
         F.md5(F.array_join("s.tokens", " ")).alias("tokens_md5"),
-        F.round(F.aggregate("s.loss_mask", F.lit(0.0), lambda a, v: a + v), 6).alias("weight_sum"),
+        dec(F.aggregate("s.loss_mask", F.lit(0.0), lambda a, v: a + v)).alias("weight_sum"),
         F.size(F.filter("s.loss_mask", lambda v: v != 0)).cast("bigint").alias("n_weighted"),
     )
 
@@ -512,7 +520,7 @@ def state_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _vec_sum(c: str) -> F.Column:
-    return F.round(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5)
+    return dec(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5)
 
 
 def q_extend_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -554,7 +562,8 @@ def q_token_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 def q_byte_profile(spark: SparkSession, d: str) -> DataFrame:
     """F-26: byte lengths of conversation turns per role against the 205-byte question limit."""
-    return QA_.byte_profile(table(spark, d, "conversations"), ["role"], "text")
+    p = QA_.byte_profile(table(spark, d, "conversations"), ["role"], "text")
+    return p.withColumn("avg_bytes", dec("avg_bytes"))
 
 
 def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -577,8 +586,8 @@ def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
     ) / F.size("truth")
     return recs.groupBy("id_model", "question_type").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((F.col("gen") == F.col("truth")).cast("double")), 6).alias("exact_match"),
-        F.round(F.avg(acc), 6).alias("byte_accuracy"),
+        dec(F.avg((F.col("gen") == F.col("truth")).cast("double"))).alias("exact_match"),
+        dec(F.avg(acc)).alias("byte_accuracy"),
     )
 
 
@@ -647,7 +656,7 @@ def q_metric_stream(spark: SparkSession, d: str) -> DataFrame:
     src = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1).csv(path)
     out = RN.run_available(RN.metric_counts(src, ["run"]), "metrics", mode="complete")
     last = out.agg(F.max("batch_id").alias("batch_id"))
-    return out.join(last, "batch_id").select("run", "kind", "n_rows", F.round("min_loss", 6).alias("min_loss"), F.round("last_loss", 6).alias("last_loss"))
+    return out.join(last, "batch_id").select("run", "kind", "n_rows", dec("min_loss").alias("min_loss"), dec("last_loss").alias("last_loss"))
 
 
 QUERIES = {

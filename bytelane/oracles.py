@@ -168,12 +168,12 @@ ORACLES.update(
 WITH {LOG_CTE},
 m AS (SELECT run, avg(loss) AS eval_loss, count(*)::BIGINT AS eval_batches FROM lg WHERE kind = 'valid' AND batch < {C.EVAL_STEPS} GROUP BY run),
 t AS (SELECT run, sum(loss / 100.0) AS eval_seconds FROM lg WHERE kind = 'valid' GROUP BY run)
-SELECT coalesce(m.run, t.run) AS run, round(eval_loss, 6) AS eval_loss, eval_batches, round(eval_seconds, 6) AS eval_seconds
+SELECT coalesce(m.run, t.run) AS run, round(eval_loss, 6)::DECIMAL(24,6) AS eval_loss, eval_batches, round(eval_seconds, 6)::DECIMAL(24,6) AS eval_seconds
 FROM m FULL OUTER JOIN t ON m.run = t.run""",
         "last_loss": f"""
 WITH {LOG_CTE},
 ranked AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY timestamp DESC, cum_batch DESC) AS rn FROM lg WHERE kind = 'train'),
-l AS (SELECT run, round(loss, 3) AS last_loss FROM ranked WHERE rn = 1)
+l AS (SELECT run, round(loss, 3)::DECIMAL(24,3) AS last_loss FROM ranked WHERE rn = 1)
 SELECT run, last_loss, last_loss = lag(last_loss) OVER (ORDER BY run) AS equal_to_prev FROM l""",
         "chain_check": f"""
 WITH {LOG_CTE},
@@ -242,15 +242,15 @@ c AS (SELECT seq, pos,
                   ELSE ln(list_sum(list_transform(l, lambda x: exp(x - m)))) + m - l[label + 1] END AS ce,
              CASE pos % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS w
       FROM e)
-SELECT seq::BIGINT AS seq, count(*)::BIGINT AS n, round(sum(ce), 6) AS ce_sum,
-       round(coalesce(avg(CASE WHEN ce * w <> 0 THEN ce * w END), 0.0), 6) AS nonzero_mean,
-       round(coalesce(avg(CASE WHEN pos % 4 = 0 THEN ce END), 'NaN'::DOUBLE), 6) AS masked_mean
+SELECT seq::BIGINT AS seq, count(*)::BIGINT AS n, round(sum(ce), 6)::DECIMAL(24,6) AS ce_sum,
+       round(coalesce(avg(CASE WHEN ce * w <> 0 THEN ce * w END), 0.0), 6)::DECIMAL(24,6) AS nonzero_mean,
+       round(coalesce(avg(CASE WHEN pos % 4 = 0 THEN ce END), 'NaN'::DOUBLE), 6)::DECIMAL(24,6) AS masked_mean
 FROM c GROUP BY seq""",
         "topk_filter": f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS l FROM embeddings),
 k AS (SELECT vec_id, {_TOPK} AS top FROM e)
 SELECT vec_id, array_to_string(list_sort(list_transform(top, lambda s: s.i)), ',') AS kept,
-       round(list_sum(list_transform(top, lambda s: -s.v)), 6) AS kept_sum
+       round(list_sum(list_transform(top, lambda s: -s.v)), 6)::DECIMAL(24,6) AS kept_sum
 FROM k""",
         "gumbel_sample": f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS l FROM embeddings),
@@ -293,7 +293,7 @@ f AS (SELECT *, q || i || q || a AS fl,
       FROM t)
 SELECT conv_id, turn, len(fl)::BIGINT AS n_tokens, ({C.QA['L']} - len(fl))::BIGINT AS len_padding,
        md5(array_to_string(list_resize(fl, {C.QA['L']}, {_T.pad}), ' ')) AS tokens_md5,
-       round(list_sum(w), 6) AS weight_sum, len(list_filter(w, lambda v: v <> 0))::BIGINT AS n_weighted
+       round(list_sum(w), 6)::DECIMAL(24,6) AS weight_sum, len(list_filter(w, lambda v: v <> 0))::BIGINT AS n_weighted
 FROM f""",
     }
 )
@@ -357,7 +357,7 @@ ORACLES.update(
 WITH {_STATE_CTE},
 j AS (SELECT t.key, t.row, t.vec AS tv, s.vec AS sv FROM tgt t LEFT JOIN src s ON s.key = t.key AND s.row = t.row)
 SELECT key, row::BIGINT AS row,
-       round(list_sum(CASE WHEN key IN ('layer0', 'layer2') AND sv IS NOT NULL THEN sv ELSE tv END::DOUBLE[]), 5) AS vec_sum,
+       round(list_sum(CASE WHEN key IN ('layer0', 'layer2') AND sv IS NOT NULL THEN sv ELSE tv END::DOUBLE[]), 5)::DECIMAL(24,5) AS vec_sum,
        key IN ('layer0', 'layer2') AND sv IS NOT NULL AS from_source
 FROM j""",
         "rename_keys": f"""
@@ -379,7 +379,7 @@ b AS (SELECT unnest({_bytes_of('text')}) AS id FROM conversations)
 SELECT s.token, s.id::BIGINT AS id, count(*)::BIGINT AS occurrences FROM b JOIN s ON s.id = b.id GROUP BY s.token, s.id""",
         "byte_profile": """
 SELECT role, count(*)::BIGINT AS n, max(octet_length(encode(text)))::BIGINT AS max_bytes,
-       round(avg(octet_length(encode(text))), 6) AS avg_bytes, count(*) FILTER (WHERE octet_length(encode(text)) > 205)::BIGINT AS n_over_limit
+       round(avg(octet_length(encode(text))), 6)::DECIMAL(24,6) AS avg_bytes, count(*) FILTER (WHERE octet_length(encode(text)) > 205)::BIGINT AS n_over_limit
 FROM conversations GROUP BY role""",
         "generation_quality": f"""
 WITH p AS (SELECT q.conv_id, q.text AS question, a.text AS answer
@@ -389,8 +389,8 @@ r AS (SELECT 'm' || (conv_id % 3) AS id_model,
              CASE WHEN octet_length(encode(question)) <= 205 THEN 'short' ELSE 'long' END AS question_type,
              {_bytes_of('answer')} AS truth, {_bytes_of('question')} AS gen FROM p)
 SELECT id_model, question_type, count(*)::BIGINT AS n,
-       round(avg(CASE WHEN gen = truth THEN 1.0 ELSE 0.0 END), 6) AS exact_match,
-       round(avg(len(list_filter(range(1, least(len(gen), len(truth)) + 1), lambda i: gen[i] = truth[i])) / len(truth)), 6) AS byte_accuracy
+       round(avg(CASE WHEN gen = truth THEN 1.0 ELSE 0.0 END), 6)::DECIMAL(24,6) AS exact_match,
+       round(avg(len(list_filter(range(1, least(len(gen), len(truth)) + 1), lambda i: gen[i] = truth[i])) / len(truth)), 6)::DECIMAL(24,6) AS byte_accuracy
 FROM r GROUP BY id_model, question_type""",
     }
 )
@@ -414,8 +414,8 @@ r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY
 SELECT run, rnk::BIGINT AS rank, cum_batch, loss FROM r WHERE rnk <= {C.TOP_N}""",
         "metric_stream": f"""
 WITH {LOG_CTE}
-SELECT gpu_rank::BIGINT AS run, kind, count(*)::BIGINT AS n_rows, round(min(loss), 6) AS min_loss,
-       round(arg_max(loss, cum_batch), 6) AS last_loss
+SELECT gpu_rank::BIGINT AS run, kind, count(*)::BIGINT AS n_rows, round(min(loss), 6)::DECIMAL(24,6) AS min_loss,
+       round(arg_max(loss, cum_batch), 6)::DECIMAL(24,6) AS last_loss
 FROM lg GROUP BY gpu_rank, kind""",
     }
 )
