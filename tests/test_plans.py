@@ -71,3 +71,29 @@ def test_batches_and_flags(spark):
     assert sorted({r.batch for r in ev.collect()}) == [0, 1, 2]
     flags = P.step_flags(spark.range(6).select(F.col("id").alias("batch")), 3).orderBy("batch").collect()
     assert [r.grad_step for r in flags] == [False, False, True, False, False, True]
+
+
+def test_chained_runs_continue_each_other(spark):
+    from bytelane.operators import runs as R
+
+    L = P.constant_batches(10)
+    runs, start, cum_end = [], (0, 0), -1
+    for run_no, iters in enumerate([10, 15, 5]):
+        plan = P.epoch_plan(spark, L, max_iters=iters, start_epoch=start[0], start_batch=start[1])
+        rows = plan.orderBy("it").collect()
+        assert rows[0].cum_batch == cum_end + 1  # resumes right after the previous run
+        start, cum_end = (rows[-1].next_epoch, rows[-1].next_batch), rows[-1].cum_batch
+        runs += [(run_no, r.cum_batch, r.epoch, 8) for r in rows]
+    log = spark.createDataFrame(runs, "run INT, cum_batch BIGINT, epoch BIGINT, elements_seen INT").withColumn("kind", F.lit("train"))
+    chk = {r.run: r for r in R.chain_check(R.run_extents(log, ["run"]), "run").collect()}
+    assert chk[1].starts_after_prev and chk[2].starts_after_prev
+    assert (chk[1].max_cum_batch, chk[2].min_cum_batch) == (24, 25)
+
+
+def test_weighted_loss_identities(spark):
+    from bytelane.functions import scoring as SC
+
+    df = spark.createDataFrame([(0.5,), (0.0,), (2.0,)], "l DOUBLE")
+    ones = df.agg(SC.nonzero_weighted_mean("l", F.lit(1.0))).first()[0]
+    assert ones == pytest.approx((0.5 + 2.0) / 2)  # an exactly zero loss is dropped too (Q11)
+    assert df.agg(SC.nonzero_weighted_mean("l", F.lit(0.0))).first()[0] == 0.0
