@@ -98,3 +98,27 @@ def book(corpus: DataFrame, name: str) -> str:
     if not rows:
         raise ValueError(f"Book {name} does not exist")
     return rows[0]["t"]
+
+
+def bucket_corpus(docs: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write a corpus once as a table bucketed and sorted by `doc_id`; return it.
+
+    Every later join on `doc_id` (the offsets lookup of W-1/W-3, per epoch and
+    offset) then shuffles only the small side: the document contents stay
+    where they were written. This is the layout to use when a corpus has too
+    many documents for the offsets to be broadcast. The table files go to
+    `path`, by default below the session's checkpoint folder (the shared
+    folder named by `spark.checkpoint.dir` on a cluster).
+    """
+    from bytelane.session import ensure_checkpoint_dir
+
+    spark = docs.sparkSession
+    location = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    (
+        docs.write.bucketBy(buckets, "doc_id")
+        .sortBy("doc_id")
+        .mode("overwrite")
+        .option("path", location)
+        .saveAsTable(name)
+    )
+    return spark.table(name)

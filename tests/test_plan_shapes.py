@@ -44,3 +44,25 @@ def test_windows_do_not_shuffle_whole_documents(spark):
     df = entry.queries()["byte_windows"](spark, SF_CHECK)
     p = plan_text(df)
     assert "Union" in p and "ObjectHashAggregate" in p
+
+
+def test_bucketed_corpus_keeps_contents_in_place(spark):
+    from bytelane.operators import offsets as O
+    from bytelane.operators import windows as W
+    from bytelane.sources.corpus import bucket_corpus, corpus_from_table
+    from bytelane.sources.tables import table
+
+    docs = corpus_from_table(table(spark, SF_CHECK, "documents"), "doc_id", "text")
+    b = bucket_corpus(docs, "bytelane_test_docs", 8)
+    offs, tot = W.corpus_offsets(b)
+    joined = O.join_small_or_shuffle(b.select("doc_id", "content"), offs, "doc_id", tot.rows, max_broadcast_rows=0)
+    p = plan_text(joined)
+    # the only exchanges move metadata (bucket of the prefix sum, offsets by doc_id)
+    exchanges = [line for line in p.split("\n") if "Exchange" in line]
+    assert len(exchanges) == 2 and all("content" not in e for e in exchanges)
+    assert "Bucketed: true" in p
+    # and the windows over the bucketed table are the same
+    w1, _ = W.byte_windows(docs, 2048)
+    w2, _ = W.byte_windows(b, 2048)
+    key = lambda r: (r.idx, bytes(r.tokens))
+    assert sorted(map(key, w1.collect())) == sorted(map(key, w2.collect()))
