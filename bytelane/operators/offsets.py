@@ -107,7 +107,11 @@ def prefix_sum(
     p = buckets or default_buckets(df)
     bounds = range_bounds(meta, key, p)
     # the metadata is read twice more (totals, running sum): keep it; it is
-    # a few bytes per row and recomputable from the source on executor loss
+    # a few bytes per row and recomputable from the source on executor loss.
+    # Re-windowing the same corpus (every epoch, every offset) builds the
+    # same plan, which Spark's cache manager maps to the same cached entry,
+    # so repeated calls do not pin more memory. (A reliable checkpoint here
+    # measured ~2 s slower on the sf0.1 flagship.)
     meta = meta.withColumn("_b", _bucket_of(F.col(key), bounds)).persist()
 
     per_bucket = meta.groupBy("_b").agg(F.sum("_v").alias("t"), F.count(F.lit(1)).alias("n")).collect()
