@@ -665,6 +665,20 @@ def q_metric_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.join(last, "batch_id").select("run", "kind", "n_rows", dec("min_loss").alias("min_loss"), dec("last_loss").alias("last_loss"))
 
 
+def q_rank_gate(spark: SparkSession, d: str) -> DataFrame:
+    """IO-14: only the listed worker ranks (0 and 2) log; rows per run and kind."""
+    return R.kind_counts(R.rank_gate(loss_log(spark, d), [0, 2]), ["run", "gpu_rank"])
+
+
+def q_next_token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """W-18 on tall rows: one row per byte, the model input is the previous byte of the sequence."""
+    c = table(spark, d, "conversations")
+    rows = c.select("conv_id", "turn", F.posexplode(B.text_to_array("text")).alias("pos", "token"))
+    out = PT.shift_right_rows(rows, ["conv_id", "turn"], "pos", "token", TOK.som_text)
+    return out.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"),
+                      F.col("token").cast("bigint").alias("token"), F.col("input").cast("bigint").alias("input"))
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -718,4 +732,6 @@ QUERIES = {
     "stream_stop": q_stream_stop,
     "stream_top": q_stream_top,
     "metric_stream": q_metric_stream,
+    "rank_gate": q_rank_gate,
+    "next_token_rows": q_next_token_rows,
 }

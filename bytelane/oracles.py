@@ -434,3 +434,18 @@ SELECT doc_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', {
 FROM documents""",
     }
 )
+
+
+ORACLES.update(
+    {
+        "rank_gate": f"""
+WITH {LOG_CTE}
+SELECT run, gpu_rank, kind, count(*)::BIGINT AS n_rows FROM lg WHERE gpu_rank IN (0, 2) GROUP BY run, gpu_rank, kind""",
+        "next_token_rows": f"""
+WITH x AS (SELECT conv_id, turn, {_bytes_of('text')} AS b FROM conversations),
+r AS (SELECT conv_id, turn, unnest(range(0, len(b))) AS pos, b FROM x)
+SELECT conv_id, turn, pos::BIGINT AS pos, b[pos + 1]::BIGINT AS token,
+       coalesce(lag(b[pos + 1]) OVER (PARTITION BY conv_id, turn ORDER BY pos), {C.TOK.som_text})::BIGINT AS input
+FROM r""",
+    }
+)
