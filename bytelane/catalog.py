@@ -679,6 +679,16 @@ def q_next_token_rows(spark: SparkSession, d: str) -> DataFrame:
                       F.col("token").cast("bigint").alias("token"), F.col("input").cast("bigint").alias("input"))
 
 
+def q_raw_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """F-8 / ST-4 / ST-5: token rows (with an end marker) -> raw bytes -> one byte string per stream."""
+    raw = BS.raw_bytes(conversation_tokens(spark, d))
+    per = raw.groupBy("stream_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", F.decode("byte", "ISO-8859-1").alias("c")))).alias("p")
+    )
+    data = F.encode(F.array_join(F.transform("p", lambda x: x["c"]), ""), "ISO-8859-1")
+    return per.select("stream_id", F.octet_length(data).cast("bigint").alias("n_bytes"), F.hex(data).alias("hex"))
+
+
 QUERIES = {
     "byte_windows": q_byte_windows,
     "byte_offsets": q_byte_offsets,
@@ -734,4 +744,5 @@ QUERIES = {
     "metric_stream": q_metric_stream,
     "rank_gate": q_rank_gate,
     "next_token_rows": q_next_token_rows,
+    "raw_bytes": q_raw_bytes,
 }

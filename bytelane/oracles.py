@@ -449,3 +449,8 @@ SELECT conv_id, turn, pos::BIGINT AS pos, b[pos + 1]::BIGINT AS token,
 FROM r""",
     }
 )
+
+
+ORACLES["raw_bytes"] = """
+SELECT conv_id * 1000 + turn AS stream_id, octet_length(encode(text))::BIGINT AS n_bytes, hex(encode(text)) AS hex
+FROM conversations"""
