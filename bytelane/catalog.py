@@ -449,9 +449,9 @@ def q_qa_samples(spark: SparkSession, d: str) -> DataFrame:
         "turn",
         (F.lit(QA["L"]) - F.col("s.len_padding")).cast("bigint").alias("n_tokens"),
         F.col("s.len_padding").cast("bigint").alias("len_padding"),
-        F.md5(F.array_join("s.tokens", " ")).alias("tokens_md5"),
+        F.md5(F.to_json("s.tokens")).alias("tokens_md5"),
         dec(F.aggregate("s.loss_mask", F.lit(0.0), lambda a, v: a + v)).alias("weight_sum"),
-        F.size(F.filter("s.loss_mask", lambda v: v != 0)).cast("bigint").alias("n_weighted"),
+        F.size(F.array_remove("s.loss_mask", 0.0)).cast("bigint").alias("n_weighted"),
     )
 
 

@@ -292,7 +292,7 @@ f AS (SELECT *, q || i || q || a AS fl,
                          || list_resize([]::DOUBLE[], len(q), {_QW[2]}) || list_resize([]::DOUBLE[], len(a), {_QW[3]}), {C.QA['L']}, 0.0) AS w
       FROM t)
 SELECT conv_id, turn, len(fl)::BIGINT AS n_tokens, ({C.QA['L']} - len(fl))::BIGINT AS len_padding,
-       md5(array_to_string(list_resize(fl, {C.QA['L']}, {_T.pad}), ' ')) AS tokens_md5,
+       md5(to_json(list_resize(fl, {C.QA['L']}, {_T.pad}))::VARCHAR) AS tokens_md5,
        round(list_sum(w), 6)::DECIMAL(24,6) AS weight_sum, len(list_filter(w, lambda v: v <> 0))::BIGINT AS n_weighted
 FROM f""",
     }
