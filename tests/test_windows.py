@@ -152,3 +152,20 @@ def test_random_windows(spark):
     for row in r:
         assert 0 <= row.start <= len(data) - 50 - 1
         assert bytes(row.tokens) == data[row.start: row.start + 50]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 16])
+def test_prefix_sum_with_repeated_keys(spark, buckets):
+    from bytelane.operators.offsets import prefix_sum
+
+    rnd = random.Random(buckets)
+    # one key holds a third of the rows; ties are ordered by the tie-break column
+    rows = [(0 if i % 3 == 0 else rnd.randrange(1, 50), i, rnd.randrange(0, 100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k BIGINT, tb BIGINT, v BIGINT")
+    out, tot = prefix_sum(df, "k", "v", "start", tiebreak=["tb"], buckets=buckets)
+    got = {(r.k, r.tb): r.start for r in out.collect()}
+    acc, exp = 0, {}
+    for k, tb, v in sorted(rows):
+        exp[(k, tb)] = acc
+        acc += v
+    assert got == exp and tot.total == acc and tot.rows == 300
