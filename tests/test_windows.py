@@ -169,3 +169,17 @@ def test_prefix_sum_with_repeated_keys(spark, buckets):
         exp[(k, tb)] = acc
         acc += v
     assert got == exp and tot.total == acc and tot.rows == 300
+
+
+def test_hot_key_is_split_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from bytelane.operators.offsets import _tuple_bucket_of, tuple_bounds
+
+    rows = [(0 if i % 3 == 0 else i, i) for i in range(3000)]  # key 0 holds a third of the rows
+    df = spark.createDataFrame(rows, "k BIGINT, tb BIGINT")
+    bounds = tuple_bounds(df, ["k", "tb"], 8)
+    b = df.withColumn("_b", _tuple_bucket_of(["k", "tb"], [df.schema["k"].dataType, df.schema["tb"].dataType], bounds))
+    hot = b.where(F.col("k") == 0).select("_b").distinct().count()
+    sizes = [r["count"] for r in b.groupBy("_b").count().collect()]
+    assert hot >= 2 and max(sizes) < 0.4 * len(rows)
