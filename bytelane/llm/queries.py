@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, secrets
+from bytelane.llm import chat, decontam, secrets, simhash
 from bytelane.sources.tables import table
 
 
@@ -32,8 +32,25 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
         secrets.spans_text(F.col("secret_spans")).alias("spans"))
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = simhash.near_duplicates(docs)
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return d.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_secret_scan": op4_secret_scan,
+    "op6_simhash": op6_simhash,
+    "op9_decontaminate": op9_decontaminate,
 }
