@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, secrets, simhash
+from bytelane.llm import chat, decontam, pieces, secrets, simhash
 from bytelane.sources.tables import table
 
 
@@ -18,6 +19,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(hostile)))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document text encoded and decoded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole document text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +57,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_secret_scan": op4_secret_scan,
     "op6_simhash": op6_simhash,
     "op9_decontaminate": op9_decontaminate,
