@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, pieces, secrets, simhash
+from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, toxicity
 from bytelane.sources.tables import table
 
 
@@ -25,6 +25,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(docs, pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document text, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine, "score").select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole document text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +48,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
         secrets.spans_text(F.col("secret_spans")).alias("spans"))
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document text, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, network, "score").select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,7 +76,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
