@@ -24,7 +24,6 @@ out of the list of items, but their windows hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,21 +235,8 @@ def test_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield build_tests([r["id"] for r in rows], [r["text"] for r in rows])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` rows as `id, n_words, n_hit, items, hit_runs, contaminated`, merged over the benchmark's blocks."""
-    tests = list(test_blocks(benchmark))
-    if len(tests) == 1:
-        found = hits(docs, tests[0], id_col, text_col)
-    else:
-        found = _merged(docs, tests, id_col, text_col)
-    n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["start"]))
-    found = found.withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct("items")))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
-
-
-def _merged(docs: DataFrame, tests: list[TestSet | None], id_col: str, text_col: str) -> DataFrame:
-    """Results of several benchmark blocks, united per row."""
-    rows = settle(docs.select(F.expr("uuid()").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows")
+def _merged(rows: DataFrame, tests: list[TestSet | None]) -> DataFrame:
+    """Results of several benchmark blocks, united per `(row, id)` of `rows (row, id, text)`."""
     parts = None
     for t in tests:
         one = hits(rows.select(F.struct("row", "id").alias("id"), "text"), t, "id", "text")
@@ -265,14 +251,44 @@ def _merged(docs: DataFrame, tests: list[TestSet | None], id_col: str, text_col:
         return F.when((F.size(acc) > 0) & (r["start"] <= F.element_at(acc, -1)["end"]), grown).otherwise(F.concat(acc, F.array(r)))
 
     merged = F.aggregate("runs", F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
-    return g.select(F.col("id.id").alias("id"), "n_words", merged.alias("hit_runs"), "items")
+    return g.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), "n_words", merged.alias("hit_runs"), "items")
+
+
+def _with_verdict(found: DataFrame) -> DataFrame:
+    n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["start"]))
+    found = found.withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct("items")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of each row, written once so that the keys stay."""
+    return settle(docs.withColumn("_row", F.expr("uuid()")), "rows")
 
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: `id, n_words, hit_runs, items, n_hit, contaminated`."""
+    tests = list(test_blocks(benchmark))
+    if len(tests) == 1:
+        return _with_verdict(hits(docs, tests[0], id_col, text_col))
+    rows = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return _with_verdict(_merged(rows.withColumnRenamed("_row", "row"), tests)).drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    tests = list(test_blocks(benchmark))
+    if len(tests) > 1:
+        rows = _numbered(docs)
+        found = _merged(rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), tests)
+        bad = _with_verdict(found).where("contaminated").select(F.col("row").alias("_row"))
+        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    test = tests[0]
+    if test is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, text_col):
+            n, n_hit, *_ = search_shard(block.column(text_col), test)
+            yield block.filter(pa.array((n_hit == 0) | (SHARE * n_hit < n)))
+
+    return docs.mapInArrow(run, docs.schema)

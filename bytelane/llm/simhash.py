@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytelane.llm import golay
 from bytelane.llm.components import components
@@ -72,16 +73,17 @@ def fingerprint_block(texts: list[str | None], shingle: int = SHINGLE) -> np.nda
     return (majority << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`(id, fp)` of every row; `fp` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`(id, *keep, fp)` of every row; `fp` holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
             fp = fingerprint_block(block.column("text").to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(fp)], names=["id", "fp"])
+            kept = [block.column(c) for c in ("id", *keep)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp)], names=["id", *keep, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    d = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(run, T.StructType([d.schema[c] for c in ("id", *keep)] + [T.StructField("fp", T.LongType())]))
 
 
 def keys(distinct: DataFrame) -> DataFrame:
@@ -122,14 +124,30 @@ def links(distinct: DataFrame) -> DataFrame:
     return close.union(wide)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`(id, fp, component_id)` of every row."""
-    fps = settle(fingerprints(docs, id_col, text_col, shingle), "fps")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`(id, *keep, fp, root, component_id)` of every row.
+
+    `root` is the component's least fingerprint, its key also among rows that share an id.
+    """
+    fps = settle(fingerprints(docs, id_col, text_col, shingle, keep), "fps")
     distinct = settle(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     linked = components(links(distinct))
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = settle(named, "named")
     ids = settle(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    labels = settle(named.join(ids, "root").select("fp", "component_id"), "labels")
-    return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    labels = settle(named.join(ids, "root").select("fp", "root", "component_id"), "labels")
+    return fps.join(labels, "fp").select(F.col("id").alias(id_col), *keep, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The row of each component with the least id (null last, then the text's hash), with all columns of `docs`."""
+    d = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    rows = near_duplicates(d, id_col, text_col, shingle, ("_text_hash",))
+    least = rows.groupBy("root").agg(F.min(F.struct(
+        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_text_hash").alias("h"))).alias("x"))
+    chosen = settle(least.select(F.col("x.id").alias("_id"), F.col("x.h").alias("_h")), "chosen")
+    kept = d.join(chosen, d[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
+    # rows repeated with id and text: one of them
+    nth = F.row_number().over(Window.partitionBy(id_col, "_text_hash").orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
