@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, toxicity
+from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, substrings, toxicity
 from bytelane.sources.tables import table
 
 
@@ -64,6 +64,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by repeated windows removed from every document."""
+    d = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept_sha").alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,5 +86,6 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
