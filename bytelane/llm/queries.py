@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, substrings, toxicity
+from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, substrings, suffixmerge, toxicity
 from bytelane.sources.tables import table
 
 
@@ -79,6 +79,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that earlier documents hold already removed from every document."""
+    d = suffixmerge.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept_sha").alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,4 +94,5 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
