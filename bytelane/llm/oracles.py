@@ -101,8 +101,28 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+tf AS (SELECT rid, doc_id, t, count(*) AS tf FROM (SELECT rid, doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+q AS (
+  SELECT DISTINCT doc_id AS query_id, t FROM tf
+  WHERE doc_id % 50 = 0),
+scored AS (
+  SELECT q.query_id, tf.rid, any_value(tf.doc_id) AS doc_id,
+    round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.w) / mean))), 6) AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t) JOIN d ON d.rid = tf.rid, s GROUP BY q.query_id, tf.rid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op1_chat_format": OP1,
     "op4_secret_scan": OP4,
+    "op8_bm25_top_k": OP8,
     "op9_decontaminate": OP9,
 }

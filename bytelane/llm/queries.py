@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, labelled, pieces, quality, secrets, simhash, substrings, suffixmerge, toxicity
+from bytelane.llm import chat, decontam, labelled, pieces, quality, search, secrets, simhash, substrings, suffixmerge, toxicity
 from bytelane.sources.tables import table
 
 
@@ -70,6 +70,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept_sha").alias("kept_sha256"))
 
 
+def op8_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 50, its whole text being the query."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,6 +99,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_bm25_top_k": op8_bm25_top_k,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
