@@ -254,16 +254,17 @@ def q_kind_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_eval_mean(spark: SparkSession, d: str) -> DataFrame:
-    """A-1 / A-2: evaluation mean over the first 500 batches and evaluation time."""
-    m = R.eval_mean(loss_log(spark, d), ["run"], EVAL_STEPS)
-    t = R.eval_time(LG.time_log_from_events(table(spark, d, "events")), ["run"])
-    return m.join(t, "run", "full").select(
-        "run", dec("eval_loss").alias("eval_loss"), "eval_batches", dec("eval_seconds").alias("eval_seconds")
+    """A-1 / A-2: mean and forward time of each evaluation, both over its first 500 batches."""
+    lg = loss_log(spark, d)
+    m = R.eval_mean(lg, ["run", "epoch"], EVAL_STEPS)
+    t = R.eval_time(LG.time_log_from_events(table(spark, d, "events")), lg, ["run", "epoch"], EVAL_STEPS)
+    return m.join(t, ["run", "epoch"], "full").select(
+        "run", "epoch", dec("eval_loss").alias("eval_loss"), "eval_batches", dec("eval_seconds").alias("eval_seconds")
     )
 
 
 def q_last_loss(spark: SparkSession, d: str) -> DataFrame:
-    """A-9 / J-7: last training loss per run, rounded to 3, compared with the previous run."""
+    """A-9 / J-7: last loss of any kind per run, rounded to 3, compared with the previous run."""
     last = R.last_value(loss_log(spark, d), ["run"]).withColumn("last_loss", dec("last_loss", 3))
     return R.grad_acc_check(last, "run")
 
@@ -286,9 +287,18 @@ def q_best_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_running_elements(spark: SparkSession, d: str) -> DataFrame:
-    """A-16: running token total per run (value in cents as tokens), skew-safe."""
-    lg = loss_log(spark, d).select("run", "cum_batch", F.round(F.col("loss") * 100).cast("bigint").alias("tokens"))
-    return R.running_total(lg, "run", "cum_batch", "tokens", "running_tokens")
+    """A-16: running token total per run (value in cents as tokens); four log rows share a cumulative batch."""
+    lg = loss_log(spark, d).select(
+        "run", F.expr("cum_batch div 4").alias("cum_batch"), F.col("cum_batch").alias("event_id"),
+        F.round(F.col("loss") * 100).cast("bigint").alias("tokens"))
+    return R.running_total(lg, "run", "cum_batch", "tokens", "running_tokens", ties=["event_id"])
+
+
+def q_total_check(spark: SparkSession, d: str) -> DataFrame:
+    """A-16: tokens seen per run against a target of 5,000 for each logged row."""
+    lg = loss_log(spark, d).select("run", F.round(F.col("loss") * 100).cast("bigint").alias("tokens"))
+    n = lg.groupBy("run").agg((F.count(F.lit(1)) * 5000).alias("target"))
+    return R.total_check(lg.join(n, "run"), ["run"], "tokens", F.col("target"))
 
 
 def q_first_k(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +392,8 @@ def q_gumbel_sample(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- tokens / patches
 PATCH = {"L": 1000, "seq_lens": [32, 8, 4], "pad": 256}
 TOK = TK.TokenIds(pad=256, eom=257, som_text=259, som_image=258)
-TOKENIZE_LEN = 512
+TOKENIZE_LEN = 4096
+CROP_LEN = 512
 QA = {"L": 8192, "weights": (0.5, 0.25, 0.5, 1.0)}
 
 
@@ -415,10 +426,10 @@ def q_next_token_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_tokenize_pad(spark: SparkSession, d: str) -> DataFrame:
-    """F-10 .. F-12: start-of-text + bytes + end-of-modality, padded or cropped to 512."""
+    """F-10 .. F-12: start-of-text + bytes + end-of-modality, padded to 4,096; a longer row is an error."""
     c = table(spark, d, "conversations")
     a = TK.with_eom(TK.with_som(B.text_to_array("text"), TOK.som_text), TOK.eom)
-    padded = TK.pad_right_to(a, TOKENIZE_LEN, TOK.pad, strict=False)
+    padded = TK.pad_right_to(a, TOKENIZE_LEN, TOK.pad)
     return c.select(
         "conv_id", "turn", F.size(a).cast("bigint").alias("n_tokens"),
         F.md5(F.array_join(a, " ")).alias("tokens_md5"),
@@ -426,6 +437,14 @@ def q_tokenize_pad(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_tokenize_crop(spark: SparkSession, d: str) -> DataFrame:
+    """F-11 with cropping allowed: fixed rows of 512 tokens, longer ones lose their end (that is the feature)."""
+    c = table(spark, d, "conversations")
+    a = TK.with_eom(TK.with_som(B.text_to_array("text"), TOK.som_text), TOK.eom)
+    fixed = TK.pad_right_to(a, CROP_LEN, TOK.pad, strict=False)
+    return c.select("conv_id", "turn", (F.size(a) > CROP_LEN).alias("cropped"), F.md5(F.array_join(fixed, " ")).alias("fixed_md5"))
+
+
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(question, answer) = a user turn and the assistant turn right after it."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -441,7 +460,7 @@ def q_qa_samples(spark: SparkSession, d: str) -> DataFrame:
     p = qa_pairs(spark, d)
     s = TK.qa_sample(
         B.text_to_array("question"), F.array().cast("array<int>"), B.text_to_array("answer"),
-        TOK, QA["L"], QA["weights"], strict=False,
+        TOK, QA["L"], QA["weights"],
     ).alias("s")
     x = p.select("conv_id", "turn", s)
     return x.select(
@@ -714,6 +733,7 @@ QUERIES = {
     "top_checkpoints": q_top_checkpoints,
     "best_model": q_best_model,
     "running_elements": q_running_elements,
+    "total_check": q_total_check,
     "first_k": q_first_k,
     "error_lines": q_error_lines,
     "run_summary": q_run_summary,
@@ -724,6 +744,7 @@ QUERIES = {
     "patches": q_patches,
     "next_token_pairs": q_next_token_pairs,
     "tokenize_pad": q_tokenize_pad,
+    "tokenize_crop": q_tokenize_crop,
     "qa_samples": q_qa_samples,
     "crop": q_crop,
     "channel_bins": q_channel_bins,

@@ -5,9 +5,9 @@ uses it. A uniform number in [0, 1) comes from a hash of stable keys instead.
 
 Two modes:
   "xxhash64"  fast, JVM-side; the default for production runs.
-  "md5"       the first 8 hex digits of md5 over the keys joined by '|'. Slower,
-              but any SQL engine with md5 computes the very same numbers, so
-              results can be checked against an independent oracle.
+  "md5"       the first 15 hex digits (60 bits) of md5 over the keys joined by
+              '|'. Slower, but any SQL engine with md5 computes the very same
+              numbers, so results can be checked against an independent oracle.
 """
 
 from __future__ import annotations
@@ -24,20 +24,20 @@ def _cols(keys) -> list[Column]:
 
 
 def hash_bits(*keys, mode: str = "xxhash64") -> Column:
-    """Non-negative BIGINT hash of the keys (53 bits for xxhash64, 32 for md5)."""
+    """Non-negative BIGINT hash of the keys (53 bits for xxhash64, 60 for md5)."""
     cols = _cols(keys)
     if mode == "xxhash64":
         return F.shiftrightunsigned(F.xxhash64(*cols), 11)
     if mode == "md5":
         joined = F.concat_ws("|", *[c.cast("string") for c in cols])
-        return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("bigint")
+        return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
     raise ValueError(f"unknown hash mode {mode!r}")
 
 
 def uniform(*keys, mode: str = "xxhash64") -> Column:
-    """A DOUBLE in [0, 1) that depends only on the keys."""
-    scale = TWO_53 if mode == "xxhash64" else TWO_32
-    return hash_bits(*keys, mode=mode) / F.lit(scale)
+    """A DOUBLE in [0, 1) that depends only on the keys (53 bits, exact as a double)."""
+    bits = hash_bits(*keys, mode=mode)
+    return (bits if mode == "xxhash64" else F.shiftright(bits, 7)) / F.lit(TWO_53)
 
 
 def uniform_int(*keys, upper: Column | int, mode: str = "xxhash64") -> Column:
@@ -49,39 +49,22 @@ def uniform_int(*keys, upper: Column | int, mode: str = "xxhash64") -> Column:
 def below(*keys, p: float, mode: str = "xxhash64") -> Column:
     """uniform(*keys) < p without the division.
 
-    md5 mode compares the first 8 hex digits as text with the hex form of
-    ceil(p * 2^32): the digests are fixed-width lowercase hex, so text order
-    is numeric order, and h / 2^32 < p holds exactly when h < ceil(p * 2^32).
+    md5 mode compares the first 15 hex digits as text with the hex form of
+    ceil(p * 2^53) * 2^7: the digests are fixed-width lowercase hex, so text
+    order is numeric order.
     """
     import math
 
     if mode == "md5":
-        limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
-        if limit >= 2**32:
+        limit = min(max(math.ceil(p * TWO_53), 0), 2**53)
+        if limit >= 2**53:
             return F.lit(True)
-        threshold = format(limit, "08x")
         joined = F.concat_ws("|", *[c.cast("string") for c in _cols(keys)])
-        return F.substring(F.md5(joined), 1, 8) < F.lit(threshold)
+        return F.substring(F.md5(joined), 1, 15) < F.lit(format(limit << 7, "015x"))
     limit = min(max(math.ceil(p * TWO_53), 0), 2**53)
     return hash_bits(*keys, mode=mode) < F.lit(limit)
 
 
-def below_with_prefix(prefix: Column, last: Column, *, p: float, mode: str = "md5") -> Column:
-    """`below` for keys whose leading part is already joined into `prefix` ('a|b|c').
-
-    Lets a per-element lambda reuse one prefix string per row.
-    """
-    import math
-
-    if mode != "md5":
-        raise ValueError("prefix form is for md5 mode")
-    limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
-    if limit >= 2**32:
-        return F.lit(True)
-    s = F.concat(prefix, F.lit("|"), last.cast("string"))
-    return F.substring(F.md5(s), 1, 8) < F.lit(format(limit, "08x"))
-
-
 def below_md5_positions(prefix: Column, n: Column, *, p: float) -> Column:
     """ARRAY<BOOLEAN> of length n: position i is set when its md5 unit is below p.
 

@@ -90,7 +90,8 @@ def tuple_bounds(df: DataFrame, cols: list[str], buckets: int, seed: int = 17) -
     if not sample:
         return []
     picks = [sample[min(len(sample) - 1, (i * len(sample)) // buckets)] for i in range(1, buckets)]
-    return sorted(set(picks))
+    # the sample is sorted by Spark (nulls first), which Python can't compare
+    return list(dict.fromkeys(picks))
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int, accuracy: int = 10_000) -> list:

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelane.operators.offsets import join_small_or_shuffle, prefix_sum
+from bytelane.operators.offsets import global_row_index, join_small_or_shuffle, prefix_sum
+from bytelane.session import ensure_checkpoint_dir
 
 LOG_LEVELS_BAD = ("ERROR", "CRITICAL")
 
@@ -51,9 +52,20 @@ def eval_mean(log: DataFrame, group: list[str], max_eval_steps: int | None, kind
     )
 
 
-def eval_time(timelog: DataFrame, group: list[str], kind: str = "valid") -> DataFrame:
-    """A-2: total forward time of evaluation."""
-    return timelog.where(F.col("kind") == kind).groupBy(*group).agg(F.sum("fw_time").alias("eval_seconds"))
+def eval_time(
+    timelog: DataFrame, log: DataFrame, group: list[str], max_eval_steps: int | None, kind: str = "valid", run: str = "run"
+) -> DataFrame:
+    """A-2: total forward time of the evaluation batches that A-1 averages.
+
+    The time log has no batch number: its rows are matched with the loss rows
+    of the same run, kind and cumulative batch, which carry the bound.
+    """
+    rows = log.where(F.col("kind") == kind)
+    if max_eval_steps:
+        rows = rows.where(F.col("batch") < F.lit(max_eval_steps))
+    keys = rows.select(*dict.fromkeys([run, *group, "cum_batch"])).distinct()
+    times = timelog.where(F.col("kind") == kind).select(run, "cum_batch", "fw_time")
+    return times.join(keys, [run, "cum_batch"]).groupBy(*group).agg(F.sum("fw_time").alias("eval_seconds"))
 
 
 def run_extents(log: DataFrame, group: list[str], kind: str = "train") -> DataFrame:
@@ -66,9 +78,13 @@ def run_extents(log: DataFrame, group: list[str], kind: str = "train") -> DataFr
     )
 
 
-def last_value(log: DataFrame, group: list[str], value: str = "loss", digits: int = 3, kind: str = "train") -> DataFrame:
-    """A-9: value of the latest row (by timestamp, then cum_batch), rounded."""
-    return log.where(F.col("kind") == kind).groupBy(*group).agg(
+def last_value(log: DataFrame, group: list[str], value: str = "loss", digits: int = 3, kind: str | None = None) -> DataFrame:
+    """A-9: value of the latest row of any kind (by timestamp, then cum_batch), rounded.
+
+    `kind` restricts it to one kind of row.
+    """
+    rows = log if kind is None else by_kind(log, kind)
+    return rows.groupBy(*group).agg(
         F.round(F.max_by(value, F.struct("timestamp", "cum_batch")), digits).alias("last_" + value)
     )
 
@@ -76,26 +92,32 @@ def last_value(log: DataFrame, group: list[str], value: str = "loss", digits: in
 def chain_check(extents: DataFrame, run_no: str) -> DataFrame:
     """J-5: run i+1 continues run i: start = previous max + 1, equal element sums, epoch + 1.
 
-    `extents` has one row per run, so the ordered window sees #runs rows.
+    Runs are numbered densely and each meets its predecessor by number, so no
+    task sees them all.
     """
-    w = Window.orderBy(run_no)
-    prev_max = F.lag("max_cum_batch").over(w)
-    prev_sum = F.lag("sum_elements").over(w)
-    prev_ep = F.lag("max_epoch").over(w)
-    return extents.select(
+    pairs = with_previous(extents, run_no, ["max_cum_batch", "sum_elements", "max_epoch"])
+    return pairs.select(
         run_no,
         "min_cum_batch",
         "max_cum_batch",
-        (F.col("min_cum_batch") == prev_max + 1).alias("starts_after_prev"),
-        (F.col("sum_elements") == prev_sum).alias("same_elements"),
-        (F.col("max_epoch") == prev_ep + 1).alias("next_epoch"),
+        (F.col("min_cum_batch") == F.col("prev_max_cum_batch") + 1).alias("starts_after_prev"),
+        (F.col("sum_elements") == F.col("prev_sum_elements")).alias("same_elements"),
+        (F.col("max_epoch") == F.col("prev_max_epoch") + 1).alias("next_epoch"),
     )
 
 
+def with_previous(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Rows with the `values` of the row before them in `key` order, as `prev_*` (null for the first)."""
+    keep = [c for c in rows.columns if c != key]
+    indexed, _ = global_row_index(rows, key, "_at", keep=keep)
+    before = indexed.select((F.col("_at") + 1).alias("_at"), *[F.col(v).alias("prev_" + v) for v in values])
+    return indexed.join(before, "_at", "left").drop("_at")
+
+
 def grad_acc_check(last: DataFrame, run_no: str, value: str = "last_loss") -> DataFrame:
     """J-7: adjacent runs end at the same rounded loss."""
-    w = Window.orderBy(run_no)
-    return last.select(run_no, value, (F.col(value) == F.lag(value).over(w)).alias("equal_to_prev"))
+    pairs = with_previous(last, run_no, [value])
+    return pairs.select(run_no, value, (F.col(value) == F.col("prev_" + value)).alias("equal_to_prev"))
 
 
 def top_n(
@@ -135,23 +157,29 @@ def best_model(valid: DataFrame, group: list[str]) -> DataFrame:
     ).select(*group, F.col("best.cum_batch").alias("best_cum_batch"), F.col("best.loss").alias("best_loss"))
 
 
-def running_total(df: DataFrame, group: str, order: str, value: str, out: str, *, order_bits: int = 40) -> DataFrame:
-    """A-16: running sum of `value` per group in `order`, without one task per group.
+def running_total(
+    df: DataFrame, group: str, order: str, value: str, out: str, *, ties: list[str] | None = None
+) -> DataFrame:
+    """A-16: running sum of `value` per group in `order` (then `ties`), without one task per group.
 
-    A composite key group * 2^order_bits + order turns the per-group running sum
-    into a global one (W-1's bucketed prefix sum), minus the group's base.
-    Requires 0 <= order < 2^order_bits and a non-negative integer group.
+    The rows are summed globally in (group, order, ties) order by the bucketed
+    prefix sum, which splits a group or an order value of any size, and the
+    sum at the group's start is taken off. All other columns are carried
+    along, so rows that share an order value stay the rows they are.
     """
-    key = (F.col(group).cast("bigint") * F.lit(2**order_bits) + F.col(order).cast("bigint")).alias("_k")
-    keyed = df.select("*", key)
-    sums, tot = prefix_sum(keyed, "_k", F.col(value), "_before")
-    sums = sums.withColumn("_grp", F.shiftright("_k", order_bits))
-    base = sums.groupBy("_grp").agg(F.min("_before").alias("_base"))
+    ties = ties or []
+    keep = [c for c in df.columns if c not in {group, order, *ties}]
+    sums, _ = prefix_sum(df, group, F.coalesce(F.col(value), F.lit(0)), "_before", tiebreak=[order, *ties], keep=keep)
+    base = sums.groupBy(F.col(group).alias("_group")).agg(F.min("_before").alias("_base"), F.count(F.lit(1)).alias("_n"))
     # one base row per group: bounded by the number of groups, checked by count
-    n_groups = base.count()
-    sums = join_small_or_shuffle(sums, base, "_grp", n_groups)
-    res = sums.select("_k", (F.col("_before") - F.col("_base") + F.col("_value")).alias(out))
-    return keyed.join(res, "_k").drop("_k")
+    joined = sums.join(F.broadcast(base) if base.count() <= 500_000 else base, sums[group].eqNullSafe(F.col("_group")))
+    return joined.select(*df.columns, (F.col("_before") - F.col("_base") + F.col("_value")).alias(out))
+
+
+def total_check(log: DataFrame, group: list[str], value: str, expected: Column) -> DataFrame:
+    """A-16: elements seen in the end against the expected total; `delta` = seen - expected."""
+    return log.groupBy(*group).agg(F.sum(value).alias("seen"), F.max(expected).cast("bigint").alias("expected")).withColumn(
+        "delta", F.col("seen") - F.col("expected")).withColumn("reached", F.col("delta") >= 0)
 
 
 def parse_log_lines(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -176,15 +204,25 @@ def valid_iso(col: Column | str) -> Column:
     return F.try_to_timestamp(c).isNotNull()
 
 
-def run_summary(log: DataFrame, group: list[str]) -> DataFrame:
-    """A-17: start, end, number of workers, rows, and whether a NaN loss occurred."""
-    return log.groupBy(*group).agg(
+def run_summary(log: DataFrame, group: list[str], params: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """A-17: start, end, number of workers, rows, and whether a NaN loss occurred.
+
+    `params` (group, n_params) adds the model's size; `errors` (group, time,
+    message) the first error text of each run, if any.
+    """
+    out = log.groupBy(*group).agg(
         F.min("timestamp").alias("started"),
         F.max("timestamp").alias("ended"),
         (F.max("gpu_rank") + 1).alias("workers"),
         F.count(F.lit(1)).alias("n_rows"),
         F.bool_or(F.isnan("loss")).alias("had_nan"),
     )
+    if params is not None:
+        out = out.join(params.select(*group, "n_params"), group, "left")
+    if errors is not None:
+        first = errors.groupBy(*group).agg(F.min_by("message", F.struct("time", "message")).alias("error"))
+        out = out.join(first, group, "left")
+    return out
 
 
 def run_key_from_path(path: Column | str, name_model: str) -> Column:
@@ -198,32 +236,66 @@ def run_key_from_path(path: Column | str, name_model: str) -> Column:
     return F.when(parent.startswith(prefix), F.substring(parent, len(prefix) + 1, 1 << 30))
 
 
-def artefact_check(listing: DataFrame, run: str, num_models_to_save: int) -> DataFrame:
-    """A-10: checkpoint files per run against `num_models_to_save`; required files present."""
+# fixed values: files that every run leaves behind
+REQUIRED_FILES = {"loss_csv": "loss.csv", "config": "config.yaml", "train_log": "train.log"}
+
+
+def artefact_check(listing: DataFrame, run: str, configs: DataFrame, log_lines: DataFrame | None = None) -> DataFrame:
+    """A-10: files of each run against its own configuration.
+
+    `configs` (run, num_models_to_save) has one row per run; runs without any
+    file are reported too. `log_lines` (run, value) adds the number of error
+    lines in the run's train log.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    return listing.groupBy(run).agg(
+    found = listing.groupBy(run).agg(
         F.count_if(name.endswith(".pth")).alias("n_checkpoints"),
-        F.bool_or(name == "loss.csv").alias("has_loss_csv"),
-        F.bool_or(name == "timemem.csv").alias("has_timemem_csv"),
-    ).withColumn("checkpoints_ok", F.col("n_checkpoints") == F.lit(num_models_to_save))
+        *[F.bool_or(name == file).alias(f"has_{label}") for label, file in REQUIRED_FILES.items()],
+    )
+    has = [f"has_{label}" for label in REQUIRED_FILES]
+    out = configs.join(found, run, "left").fillna(0, ["n_checkpoints"]).fillna(False, has)
+    out = out.withColumn("checkpoints_ok", F.col("n_checkpoints") == F.col("num_models_to_save"))
+    if log_lines is not None:
+        bad = error_lines_of(log_lines, run).groupBy(run).agg(F.count(F.lit(1)).alias("n_errors"))
+        out = out.join(bad, run, "left").fillna(0, ["n_errors"])
+    return out
+
+
+def error_lines_of(lines: DataFrame, run: str, text: str = "value") -> DataFrame:
+    """PF-3 with the run kept: `(run, time, logger, level, message)` of bad lines."""
+    parts = F.split(F.col(text), " - ", 4)
+    names = ("time", "logger", "level", "message")
+    parsed = lines.select(run, *[F.element_at(parts, i + 1).alias(n) for i, n in enumerate(names)])
+    return parsed.where(F.col("level").isin(*LOG_LEVELS_BAD))
+
+
+def kind_count_check(log: DataFrame, run: str, configured: DataFrame) -> DataFrame:
+    """A-6: rows per run and kind against the configured amounts `(run, kind, expected)`."""
+    counts = kind_counts(log, [run])
+    out = configured.join(counts, [run, "kind"], "full").fillna(0, ["n_rows", "expected"])
+    return out.withColumn("matches", F.col("n_rows") == F.col("expected"))
 
 
 def resume_lineage(runs: DataFrame, run: str = "run_id", checkpoint: str = "checkpoint_file", parent: str = "resumed_from") -> DataFrame:
-    """J-6: every run with the root run of its resume chain and its depth in it.
+    """J-6: every run with the root run of its resume chain, its depth in it, and whether it is an orphan.
 
-    A recursive CTE joins each run to the run whose checkpoint it resumed from
-    (one join per level, distributed as ordinary equi-joins).
+    Pointer doubling: each run points to the run whose checkpoint it resumed
+    from, and each round doubles the length of all pointers by one equi-join,
+    so a chain of n runs takes log2(n) rounds. A run whose parent checkpoint
+    isn't in the table is its own root and flagged. Of runs with one
+    checkpoint name the least run id counts.
     """
-    spark = runs.sparkSession
-    view = f"_bytelane_runs_{abs(hash((run, checkpoint, parent, id(runs))))}"
-    runs.select(F.col(run).alias("run_id"), F.col(checkpoint).alias("ckpt"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(run_id, ckpt, root, depth) AS (
-          SELECT run_id, ckpt, run_id, 0 FROM {view} WHERE parent IS NULL
-          UNION ALL
-          SELECT r.run_id, r.ckpt, c.root, c.depth + 1 FROM {view} r JOIN chain c ON r.parent = c.ckpt
-        )
-        SELECT run_id AS {run}, root AS root_run, depth FROM chain
-        """
-    )
+    ensure_checkpoint_dir(runs.sparkSession)
+    r = runs.select(F.col(run).alias("_run"), F.col(checkpoint).alias("_ckpt"), F.col(parent).alias("_parent"))
+    owners = r.where(F.col("_ckpt").isNotNull()).groupBy(F.col("_ckpt").alias("_parent")).agg(F.min("_run").alias("_up"))
+    state = r.join(owners, "_parent", "left").select(
+        "_run", F.coalesce("_up", "_run").alias("_up"), F.col("_up").isNotNull().cast("long").alias("_depth"),
+        (F.col("_parent").isNotNull() & F.col("_up").isNull()).alias("orphan")).checkpoint()
+    for _ in range(state.count().bit_length() + 1):
+        far = state.select(F.col("_run").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"))
+        moved = state.join(far, "_up").select(
+            "_run", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"), "orphan", (F.col("_more") > 0).alias("_moved")).checkpoint()
+        state = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return state.select(F.col("_run").alias(run), F.col("_up").alias("root_run"), F.col("_depth").alias("depth"), "orphan")
+    raise ValueError("the resume chain runs in a circle")

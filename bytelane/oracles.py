@@ -166,13 +166,13 @@ ORACLES.update(
         "kind_counts": f"WITH {LOG_CTE} SELECT run, kind, count(*)::BIGINT AS n_rows FROM lg GROUP BY run, kind",
         "eval_mean": f"""
 WITH {LOG_CTE},
-m AS (SELECT run, avg(loss) AS eval_loss, count(*)::BIGINT AS eval_batches FROM lg WHERE kind = 'valid' AND batch < {C.EVAL_STEPS} GROUP BY run),
-t AS (SELECT run, sum(loss / 100.0) AS eval_seconds FROM lg WHERE kind = 'valid' GROUP BY run)
-SELECT coalesce(m.run, t.run) AS run, round(eval_loss, 6)::DECIMAL(24,6) AS eval_loss, eval_batches, round(eval_seconds, 6)::DECIMAL(24,6) AS eval_seconds
-FROM m FULL OUTER JOIN t ON m.run = t.run""",
+m AS (SELECT run, epoch, avg(loss) AS eval_loss, count(*)::BIGINT AS eval_batches, sum(loss / 100.0) AS eval_seconds
+      FROM lg WHERE kind = 'valid' AND batch < {C.EVAL_STEPS} GROUP BY run, epoch)
+SELECT run, epoch, round(eval_loss, 6)::DECIMAL(24,6) AS eval_loss, eval_batches, round(eval_seconds, 6)::DECIMAL(24,6) AS eval_seconds
+FROM m""",
         "last_loss": f"""
 WITH {LOG_CTE},
-ranked AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY timestamp DESC, cum_batch DESC) AS rn FROM lg WHERE kind = 'train'),
+ranked AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY timestamp DESC, cum_batch DESC) AS rn FROM lg),
 l AS (SELECT run, round(loss, 3)::DECIMAL(24,3) AS last_loss FROM ranked WHERE rn = 1)
 SELECT run, last_loss, last_loss = lag(last_loss) OVER (ORDER BY run) AS equal_to_prev FROM l""",
         "chain_check": f"""
@@ -194,9 +194,13 @@ r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY
 SELECT run, cum_batch AS best_cum_batch, loss AS best_loss FROM r WHERE rnk = 1""",
         "running_elements": f"""
 WITH {LOG_CTE}
-SELECT run, cum_batch, round(loss * 100)::BIGINT AS tokens,
+SELECT run, cum_batch // 4 AS cum_batch, cum_batch AS event_id, round(loss * 100)::BIGINT AS tokens,
        sum(round(loss * 100)::BIGINT) OVER (PARTITION BY run ORDER BY cum_batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running_tokens
 FROM lg""",
+        "total_check": f"""
+WITH {LOG_CTE},
+t AS (SELECT run, sum(round(loss * 100)::BIGINT)::BIGINT AS seen, count(*) * 5000 AS expected FROM lg GROUP BY run)
+SELECT run, seen, expected, seen - expected AS delta, seen >= expected AS reached FROM t""",
         "first_k": f"""
 WITH {LOG_CTE},
 r AS (SELECT run, cum_batch, row_number() OVER (PARTITION BY run ORDER BY cum_batch) AS rn FROM lg WHERE kind = 'train')
@@ -258,7 +262,7 @@ k AS (SELECT vec_id, l, list_transform({_TOPK}, lambda s: s.i) AS keep FROM e),
 s AS (SELECT vec_id, list_transform(l, lambda x, i:
         CASE WHEN list_contains(keep, i - 1)
              THEN x / {C.GUMBEL['T']} - ln(greatest(-ln(greatest(
-                    ('0x' || substr(md5(concat_ws('|', {C.GUMBEL['seed']}, vec_id, i - 1)), 1, 8))::BIGINT / 4294967296.0, 1e-20)), 1e-20))
+                    (('0x' || substr(md5(concat_ws('|', {C.GUMBEL['seed']}, vec_id, i - 1)), 1, 15))::BIGINT >> 7) / 9007199254740992.0, 1e-20)), 1e-20))
              ELSE '-inf'::DOUBLE END) AS sc FROM k)
 SELECT vec_id, (list_position(sc, list_max(sc)) - 1)::BIGINT AS sample FROM s""",
         "patches": f"""
@@ -280,6 +284,9 @@ SELECT conv_id, turn, len(b)::BIGINT AS n, md5(array_to_string([{_T.som_text}] |
 WITH x AS (SELECT conv_id, turn, [{_T.som_text}] || {_bytes_of('text')} || [{_T.eom}] AS a FROM conversations)
 SELECT conv_id, turn, len(a)::BIGINT AS n_tokens, md5(array_to_string(a, ' ')) AS tokens_md5,
        md5(array_to_string(list_resize(a, {C.TOKENIZE_LEN}, {_T.pad}), ' ')) AS padded_md5 FROM x""",
+        "tokenize_crop": f"""
+WITH x AS (SELECT conv_id, turn, [{_T.som_text}] || {_bytes_of('text')} || [{_T.eom}] AS a FROM conversations)
+SELECT conv_id, turn, len(a) > {C.CROP_LEN} AS cropped, md5(array_to_string(list_resize(a, {C.CROP_LEN}, {_T.pad}), ' ')) AS fixed_md5 FROM x""",
         "qa_samples": f"""
 WITH p AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
            FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
@@ -425,12 +432,12 @@ ORACLES.update(
     {
         "random_windows": f"""
 WITH {CORPUS},
-s AS (SELECT r.i AS draw, ('0x' || substr(md5(concat_ws('|', {C.RANDOM['seed']}, r.i)), 1, 8))::BIGINT % (t - {C.RANDOM['L']}) AS start, h
+s AS (SELECT r.i AS draw, ('0x' || substr(md5(concat_ws('|', {C.RANDOM['seed']}, r.i)), 1, 15))::BIGINT % (t - {C.RANDOM['L']}) AS start, h
       FROM corpus, range(0, {C.RANDOM['k']}) r(i))
 SELECT draw::BIGINT AS draw, start::BIGINT AS start, {C.RANDOM['L']}::BIGINT AS n_bytes,
        md5(unhex(substr(h, 2 * start + 1, 2 * {C.RANDOM['L']}))) AS md5 FROM s""",
         "shuffle_order": f"""
-SELECT doc_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', {C.SHUFFLE['seed']}, {C.SHUFFLE['epoch']}, doc_id)), 1, 8))::BIGINT, doc_id) - 1)::BIGINT AS position
+SELECT doc_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', {C.SHUFFLE['seed']}, {C.SHUFFLE['epoch']}, doc_id)), 1, 15))::BIGINT, doc_id) - 1)::BIGINT AS position
 FROM documents""",
     }
 )

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from bytelane import catalog
 from conftest import SF_CHECK
 
-NO_STREAMS = [n for n in entry.queries() if not (n.startswith("stream_") or n == "metric_stream")]
+NO_STREAMS = [n for n in catalog.QUERIES if not (n.startswith("stream_") or n == "metric_stream")]
 
 
 def plan_text(df) -> str:
@@ -19,10 +20,8 @@ def plans(spark):
 
 
 def test_no_single_partition_exchange_over_data(plans):
-    # chain_check / last_loss order one row per run (an aggregate) and budget
-    # is a global sum (one partial row per task crosses the exchange);
-    # everything that touches per-document or per-event rows stays partitioned
-    allowed = {"chain_check", "last_loss", "budget"}
+    # budget is a global sum (one partial row per task crosses the exchange)
+    allowed = {"budget"}
     offenders = [n for n, p in plans.items() if "SinglePartition" in p and n not in allowed]
     assert offenders == []
 

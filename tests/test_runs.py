@@ -65,8 +65,10 @@ def test_run_key_and_artefacts(spark):
     )
     keyed = paths.withColumn("run", R.run_key_from_path("path", "my-model"))
     assert sorted({r.run for r in keyed.collect()}) == ["7", "grad_acc_2"]
-    a = {r.run: (r.n_checkpoints, r.has_loss_csv) for r in R.artefact_check(keyed, "run", 1).collect()}
-    assert a == {"grad_acc_2": (1, True), "7": (0, False)}
+    conf = spark.createDataFrame([("grad_acc_2", 1), ("7", 2), ("gone", 0)], "run STRING, num_models_to_save INT")
+    lines = spark.createDataFrame([("7", "t - x - ERROR - a - b"), ("7", "t - x - INFO - fine")], "run STRING, value STRING")
+    a = {r.run: (r.n_checkpoints, r.checkpoints_ok, r.has_loss_csv, r.n_errors) for r in R.artefact_check(keyed, "run", conf, lines).collect()}
+    assert a == {"grad_acc_2": (1, True, True, 0), "7": (0, False, False, 1), "gone": (0, True, False, 0)}
 
 
 def test_chain_and_running_total(spark):
@@ -119,3 +121,36 @@ def test_seeded_shuffles_are_permutations(spark):
     c = [r.idx for r in QA.iter_records(q, shuffle=True, seed=2).collect()]
     assert sorted(a) == list(range(50)) and a == b and a != c
     assert [r.idx for r in QA.iter_records(q, max_items=3).collect()] == [0, 1, 2]
+
+
+def test_running_total_keeps_rows_that_share_an_order_value(spark):
+    rows = [(1, 10, 0, 10), (1, 10, 1, 20), (1, 2**40, 0, 5), (2, 5, 0, 20), (None, 1, 0, 7), (1, 11, 0, None)]
+    df = spark.createDataFrame(rows, "run LONG, cum LONG, rank INT, v LONG")
+    got = sorted((str(r.run), r.cum, r["rank"], r.rt) for r in R.running_total(df, "run", "cum", "v", "rt", ties=["rank"]).collect())
+    assert got == [("1", 10, 0, 10), ("1", 10, 1, 30), ("1", 11, 0, 30), ("1", 2**40, 0, 35), ("2", 5, 0, 20), ("None", 1, 0, 7)]
+
+
+def test_lineage_of_long_chains_orphans_and_circles(spark):
+    import pytest
+
+    n = 70
+    rows = [(i, f"c{i}", f"c{i - 1}" if i else None) for i in range(n)] + [(500, "x", "lost"), (501, None, "x")]
+    df = spark.createDataFrame(rows, "run_id LONG, checkpoint_file STRING, resumed_from STRING")
+    got = {r.run_id: (r.root_run, r.depth, r.orphan) for r in R.resume_lineage(df).collect()}
+    assert got == {**{i: (0, i, False) for i in range(n)}, 500: (500, 0, True), 501: (500, 1, False)}
+    circle = spark.createDataFrame([(1, "a", "b"), (2, "b", "a")], "run_id LONG, checkpoint_file STRING, resumed_from STRING")
+    with pytest.raises(ValueError):
+        R.resume_lineage(circle).collect()
+
+
+def test_kind_counts_against_configured_amounts(spark):
+    log = spark.createDataFrame([(1, "train"), (1, "train"), (1, "valid"), (2, "test")], "run LONG, kind STRING")
+    conf = spark.createDataFrame([(1, "train", 2), (1, "valid", 2), (2, "train", 1)], "run LONG, kind STRING, expected LONG")
+    got = {(r.run, r.kind): r.matches for r in R.kind_count_check(log, "run", conf).collect()}
+    assert got == {(1, "train"): True, (1, "valid"): False, (2, "train"): False, (2, "test"): False}
+
+
+def test_last_value_takes_any_kind(spark):
+    log = spark.createDataFrame([(1, "train", 1, 5, 1.0), (1, "test", 2, 5, 9.0)], "run LONG, kind STRING, timestamp LONG, cum_batch LONG, loss DOUBLE")
+    assert R.last_value(log, ["run"]).first().last_loss == 9.0
+    assert R.last_value(log, ["run"], kind="train").first().last_loss == 1.0
