@@ -634,10 +634,11 @@ def conversation_tokens(spark: SparkSession, d: str, end_marker: bool = True) ->
     return toks
 
 
-def _stream_text(spark: SparkSession, d: str, name: str, mode: str, **kw) -> DataFrame:
+def _stream_text(spark: SparkSession, d: str, name: str, mode: str, tokens: DataFrame | None = None, **kw) -> DataFrame:
     path = RN.scratch(spark, name + "-in")
-    RN.write_token_files(conversation_tokens(spark, d), path, STREAM_CHUNKS)
-    out = RN.run_available(BS.decode_stream(RN.token_stream(spark, path), mode, **kw), name)
+    tokens = conversation_tokens(spark, d) if tokens is None else tokens
+    files = RN.write_token_files(tokens, path, STREAM_CHUNKS)
+    out = RN.run_available(BS.decode_stream(RN.token_stream(spark, path, files), mode, **kw), name)
     parts = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "text"))).alias("p"))
     return parts.select("stream_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
@@ -657,6 +658,26 @@ def q_stream_stop(spark: SparkSession, d: str) -> DataFrame:
     return _stream_text(spark, d, "stop", "utf8", eos_token=STREAM_EOS)
 
 
+# every 11th token is moved past the bytes; one of the moved ids stops a stream
+LIMITS = {"every": 11, "shift": 256, "eos": 256 + 101, "max_tokens": 200}
+
+
+def q_stream_limits(spark: SparkSession, d: str) -> DataFrame:
+    """ST-4 .. ST-6 / PF-1: ids above 255 in the stream, a stop id above 255 and a token limit, printed as integers."""
+    p = LIMITS
+    moved = (F.col("token") >= 0) & (F.pmod("seq", F.lit(p["every"])) == p["every"] - 1)
+    tokens = conversation_tokens(spark, d).withColumn("token", F.when(moved, F.col("token") + p["shift"]).otherwise(F.col("token")))
+    return _stream_text(spark, d, "limits", "int", tokens, eos_token=p["eos"], max_tokens=p["max_tokens"], ignore_overflowing=False)
+
+
+def q_stream_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """ST-5: the same stream with the ids that are no bytes left out."""
+    p = LIMITS
+    moved = (F.col("token") >= 0) & (F.pmod("seq", F.lit(p["every"])) == p["every"] - 1)
+    tokens = conversation_tokens(spark, d).withColumn("token", F.when(moved, F.col("token") + p["shift"]).otherwise(F.col("token")))
+    return _stream_text(spark, d, "overflow", "int", tokens, eos_token=p["eos"], max_tokens=p["max_tokens"])
+
+
 def q_stream_top(spark: SparkSession, d: str) -> DataFrame:
     """ST-8: running 3 best validation losses per run over a log that arrives in files."""
     lg = R.by_kind(loss_log(spark, d), "valid").select(
@@ -761,6 +782,8 @@ QUERIES = {
     "stream_decode": q_stream_decode,
     "stream_int": q_stream_int,
     "stream_stop": q_stream_stop,
+    "stream_limits": q_stream_limits,
+    "stream_overflow": q_stream_overflow,
     "stream_top": q_stream_top,
     "metric_stream": q_metric_stream,
     "rank_gate": q_rank_gate,

@@ -404,6 +404,15 @@ FROM r GROUP BY id_model, question_type""",
 
 
 # ---------------------------------------------------------------- streams
+def _stream_limits_sql(shown: str) -> str:
+    p = C.LIMITS
+    return f"""
+WITH b AS (SELECT conv_id * 1000 + turn AS stream_id,
+  list_transform({_bytes_of('text')}, lambda x, i: CASE WHEN (i - 1) % {p['every']} = {p['every'] - 1} THEN x + {p['shift']} ELSE x END) AS t FROM conversations),
+c AS (SELECT stream_id, t[1:least(CASE WHEN list_contains(t, {p['eos']}) THEN list_position(t, {p['eos']}) ELSE len(t) END, {p['max_tokens']})] AS kept FROM b)
+SELECT stream_id, array_to_string({shown or 'kept'}, ' ') AS text FROM c"""
+
+
 ORACLES.update(
     {
         "stream_decode": "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations",
@@ -415,6 +424,8 @@ FROM conversations""",
 SELECT conv_id * 1000 + turn AS stream_id,
        CASE WHEN strpos(text, chr({C.STREAM_EOS})) > 0 THEN left(text, strpos(text, chr({C.STREAM_EOS}))) ELSE text END AS text
 FROM conversations""",
+        "stream_limits": _stream_limits_sql(""),
+        "stream_overflow": _stream_limits_sql("list_filter(kept, lambda x: x <= 255)"),
         "stream_top": f"""
 WITH {LOG_CTE},
 r AS (SELECT run, cum_batch, loss, row_number() OVER (PARTITION BY run ORDER BY loss, cum_batch) AS rnk FROM lg WHERE kind = 'valid')

@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,23 @@ def raw_bytes(stream: DataFrame, token: str = "token") -> DataFrame:
     return stream.where((F.col(token) >= 0) & (F.col(token) <= 255)).withColumn("byte", int_to_byte(F.col(token)))
 
 
-def _decoder(pending: bytes | None):
-    dec = codecs.getincrementaldecoder("utf-8")(errors="replace")
-    if pending:
-        dec.decode(pending)  # incomplete prefix: produces nothing, is kept
-    return dec
+def cut_point(tokens: np.ndarray, emitted: int, eos_token: int | None, max_tokens: int | None) -> tuple[int, bool, bool]:
+    """How many of the tokens are taken, whether the stream stops there, and whether by its end marker.
+
+    The stop token is looked for among all tokens, bytes or not, and every
+    token counts towards the limit, as each of them was generated (ST-6).
+    """
+    n, stop, ended = len(tokens), False, False
+    marks = np.flatnonzero(tokens == END)
+    if len(marks):
+        n, stop, ended = int(marks[0]), True, True
+    if eos_token is not None:
+        hits = np.flatnonzero(tokens[:n] == eos_token)
+        if len(hits):
+            n, stop, ended = int(hits[0]) + 1, True, False
+    if max_tokens is not None and n >= max_tokens - emitted:
+        n, stop, ended = max(max_tokens - emitted, 0), True, False
+    return n, stop, ended
 
 
 def make_processor(
@@ -59,61 +72,74 @@ def make_processor(
     eos_token: int | None = None,
     max_tokens: int | None = None,
     ignore_overflowing: bool = True,
+    ttl_ms: int | None = None,
 ):
     """Build the per-stream function for `applyInPandasWithState`.
 
     mode: "utf8" (ST-1/ST-2, U+FFFD for malformed bytes) or "int" (ST-3,
     decimal values separated by one space across batches).
-    eos_token: stop after this token (it is emitted; later rows are ignored).
-    max_tokens: stop after this many emitted tokens (ST-6).
+    eos_token: stop after this token, which may be no byte (it is emitted if
+    it is one; later rows are ignored). max_tokens: stop after this many
+    generated tokens (ST-6).
+    ignore_overflowing: leave out ids that are no byte; else "int" prints them
+    and "utf8" refuses them (ST-5).
+    ttl_ms: the state of a stream that saw no row for so long is removed. If
+    rows before a gap never came, the stream ends at the gap: the pending
+    bytes are flushed and the rows behind the gap are dropped. For live
+    streams; `None` keeps the state (a drain with `availableNow` would go on
+    with empty batches until every timeout had passed).
+
+    The contiguous run of tokens of a call is sorted, cut at its stop and
+    decoded with one call.
     """
     if mode not in ("utf8", "int"):
         raise ValueError(f"unknown mode {mode!r}")
 
+    def render(tokens: np.ndarray, pending: bytes, started: bool, final: bool, stream_id) -> tuple[str, bytes]:
+        fits = (tokens >= 0) & (tokens <= 255)
+        if mode == "int":
+            shown = tokens[fits] if ignore_overflowing else tokens
+            text = " ".join(map(str, shown.tolist()))
+            return (" " + text if started and text else text), b""
+        if not ignore_overflowing and not fits.all():
+            raise ValueError(f"token {int(tokens[~fits][0])} of stream {stream_id} is not a byte")
+        dec = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        text = dec.decode(pending + tokens[fits].astype(np.uint8).tobytes(), final=final)
+        return text, b"" if final else dec.getstate()[0]
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (stream_id,) = key
         if state.exists:
             next_seq, pending, started, done, emitted, buf_seq, buf_tok = state.get
-            buf = dict(zip(list(buf_seq or []), list(buf_tok or [])))
         else:
-            next_seq, pending, started, done, emitted, buf = 0, b"", False, False, 0, {}
+            next_seq, pending, started, done, emitted, buf_seq, buf_tok = 0, b"", False, False, 0, [], []
+        pending = bytes(pending or b"")
+        if ttl_ms is not None and state.hasTimedOut:
+            text = "" if done else render(np.zeros(0, np.int64), pending, started, True, stream_id)[0]
+            state.remove()
+            if not done:
+                yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [next_seq], "text": [text], "finished": [True]})
+            return
+        seqs, toks = [np.asarray(buf_seq or [], np.int64)], [np.asarray(buf_tok or [], np.int64)]
         for pdf in pdfs:
-            for s, t in zip(pdf["seq"].tolist(), pdf["token"].tolist()):
-                if s >= next_seq:
-                    buf[int(s)] = int(t)
-        first_seq = next_seq
-        out: list[str] = []
-        dec = _decoder(bytes(pending or b"")) if mode == "utf8" else None
-        finished = False
-        while not done and next_seq in buf:
-            t = buf.pop(next_seq)
-            next_seq += 1
-            if t == END:
-                if mode == "utf8":
-                    out.append(dec.decode(b"", final=True))
-                done = finished = True
-                break
-            if t > 255 or t < 0:
-                if ignore_overflowing:
-                    continue
-                raise ValueError(f"token {t} of stream {stream_id} is not a byte")
-            if mode == "utf8":
-                out.append(dec.decode(bytes([t])))
-            else:
-                out.append((" " if started else "") + str(t))
-            started = True
-            emitted += 1
-            if (eos_token is not None and t == eos_token) or (max_tokens is not None and emitted >= max_tokens):
-                if mode == "utf8":
-                    out.append(dec.decode(b"", final=True))
-                done = finished = True
-        if done:
-            buf = {}
-        pending = dec.getstate()[0] if (dec is not None and not done) else b""
-        state.update((next_seq, pending, started, done, emitted, sorted(buf), [buf[k] for k in sorted(buf)]))
-        text = "".join(out)
-        if text or finished:
-            yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [first_seq], "text": [text], "finished": [finished]})
+            if not done:
+                seqs.append(pdf["seq"].to_numpy(np.int64))
+                toks.append(pdf["token"].to_numpy(np.int64))
+        seq, first = np.unique(np.concatenate(seqs), return_index=True)
+        tok = np.concatenate(toks)[first]
+        seq, tok = seq[seq >= next_seq], tok[seq >= next_seq]
+        run = int((seq == next_seq + np.arange(len(seq))).sum())
+        first_seq, text, stop = next_seq, "", False
+        if not done:
+            n, stop, _ = cut_point(tok[:run], emitted, eos_token, max_tokens)
+            text, pending = render(tok[:n], pending, started, stop and mode == "utf8", stream_id)
+            started, emitted, next_seq, done = started or bool(text), emitted + n, next_seq + run, stop
+        left = slice(len(seq), None) if done else slice(run, None)
+        state.update((next_seq, b"" if done else pending, started, done, emitted, seq[left].tolist(), tok[left].tolist()))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        if text or stop:
+            yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [first_seq], "text": [text], "finished": [stop]})
 
     return fn
 
@@ -121,7 +147,8 @@ def make_processor(
 def decode_stream(stream: DataFrame, mode: str = "utf8", **kw) -> DataFrame:
     """ST-1 / ST-2 / ST-3 / ST-6 on a (streaming or batch) token DataFrame."""
     return stream.groupBy("stream_id").applyInPandasWithState(
-        make_processor(mode, **kw), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
+        make_processor(mode, **kw), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        "NoTimeout" if kw.get("ttl_ms") is None else "ProcessingTimeTimeout",
     )
 
 
@@ -154,9 +181,10 @@ def running_top_n(stream: DataFrame, n: int, *, group: str = "run", value: str =
             entries = list(zip(vals, seqs, items))
         else:
             entries = []
-        for pdf in pdfs:
-            entries.extend(zip(pdf[value].tolist(), pdf[seq].tolist(), pdf[item].tolist()))
-        entries = sorted(entries, key=lambda e: (e[0], e[1]))[: max(n, 0)]
+        for pdf in pdfs:  # trimmed with every Arrow batch, so at most n entries and one batch are held
+            best = pdf.sort_values([value, seq], kind="stable").head(max(n, 0))
+            entries.extend(zip(best[value].tolist(), best[seq].tolist(), best[item].tolist()))
+            entries = sorted(entries, key=lambda e: (e[0], e[1]))[: max(n, 0)]
         state.update(([e[0] for e in entries], [e[1] for e in entries], [e[2] for e in entries]))
         yield pd.DataFrame(
             {

@@ -32,14 +32,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/bytelane-{name}-{uuid.uuid4().hex}"
 
 
-def write_token_files(tokens: DataFrame, path: str, chunks: int) -> None:
-    """Lay out `(stream_id, seq, token)` rows as `chunks` files: chunk c holds the
-    c-th part of every stream, so each micro-batch continues every stream."""
+ROWS_PER_FILE = 2_000_000
+
+
+def write_token_files(tokens: DataFrame, path: str, chunks: int) -> int:
+    """Lay out `(stream_id, seq, token)` rows in `chunks` parts: part c holds the
+    c-th piece of every stream, so each micro-batch continues every stream.
+
+    A part is as many files as its rows need; their number, the files of one
+    micro-batch, is returned.
+    """
+    files = max(1, -(-tokens.count() // (chunks * ROWS_PER_FILE)))
     span = tokens.groupBy("stream_id").agg(F.max("seq").alias("_n"))
     t = tokens.join(span, "stream_id").withColumn(
         "_chunk", F.floor(F.col("seq") * F.lit(chunks) / (F.col("_n") + 1)).cast("int")
     )
-    t.repartition(chunks, "_chunk").drop("_chunk", "_n").write.mode("overwrite").parquet(path)
+    t = t.withColumn("_file", F.pmod(F.xxhash64("stream_id"), F.lit(files)).cast("int"))
+    t.repartition(chunks * files, "_chunk", "_file").drop("_chunk", "_n", "_file").write.mode("overwrite").parquet(path)
+    return files
 
 
 def token_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -50,8 +60,9 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a streaming DataFrame (availableNow) into parquet; return the result table.
 
     Append mode writes with the file sink (exactly once through its log);
-    update / complete modes go through `foreachBatch`, tagging rows with the
-    batch id so readers can take the latest row per key.
+    update / complete modes go through `foreachBatch`, which gives each batch a
+    folder of its own and overwrites it, so a replayed batch leaves its rows
+    once; `batch_id` lets readers take the latest row per key.
     """
     spark = df.sparkSession
     out = scratch(spark, name)
@@ -60,12 +71,20 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append")
     else:
 
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
-
-        q = df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).outputMode(mode)
+        q = df.writeStream.foreachBatch(batch_sink(out)).option("checkpointLocation", ckpt).outputMode(mode)
     q.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    if mode == "append":
+        return spark.read.parquet(out)
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+
+
+def batch_sink(out: str):
+    """A `foreachBatch` function that writes each batch to its own folder of `out`, replays included."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return sink
 
 
 def metric_counts(log_stream: DataFrame, group: list[str]) -> DataFrame:

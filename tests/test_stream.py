@@ -82,3 +82,55 @@ def test_running_top_n(spark):
     out = RN.run_available(BS.running_top_n(src, 2), "top-out", mode="update")
     last = out.where(F.col("batch_id") == out.agg(F.max("batch_id")).first()[0]).orderBy("rank").collect()
     assert [(r.item, r.loss) for r in last] == [("c", 0.1), ("a", 0.5)]
+
+
+def test_stop_tokens_above_bytes_and_counting(spark):
+    rows = [(1, i, t) for i, t in enumerate([65, 300, 66])]
+    assert run_stream(spark, [rows], eos_token=300)[1] == "A"
+    rows = [(1, i, t) for i, t in enumerate([65, 300, 66, 67])]
+    assert run_stream(spark, [rows[:1], rows[1:]], max_tokens=2)[1] == "A"
+    assert run_stream(spark, [rows], mode="int", ignore_overflowing=False)[1] == "65 300 66 67"
+    assert run_stream(spark, [rows[:2], rows[2:]], mode="int")[1] == "65 66 67"
+
+
+def test_a_replayed_batch_leaves_its_rows_once(spark):
+    out = RN.scratch(spark, "replay")
+    sink = RN.batch_sink(out)
+    for batch_id, n in ((0, 3), (1, 2), (0, 3)):
+        sink(spark.range(n), batch_id)
+    assert spark.read.parquet(out).count() == 5
+
+
+class State:
+    """A stand-in for the engine's group state."""
+
+    def __init__(self, timed_out=False, value=None):
+        self.hasTimedOut, self.value, self.removed, self.timeout = timed_out, value, False, None
+        self.exists = value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+    def remove(self):
+        self.removed = True
+
+
+def test_timeouts_flush_gaps_and_remove_finished_state():
+    fn = BS.make_processor(ttl_ms=1000)
+    state = State()
+    rows = pd.DataFrame({"seq": [0, 1, 5], "token": [65, 0xF0, 66]})
+    assert [d["text"][0] for d in fn((1,), iter([rows]), state)] == ["A"] and state.timeout == 1000
+    late = State(True, state.value)
+    out = list(fn((1,), iter([]), late))
+    assert out[0]["text"][0] == "�" and bool(out[0]["finished"][0]) and late.removed
+    state = State()
+    list(BS.make_processor(ttl_ms=1000, max_tokens=1)((1,), iter([rows]), state))
+    late = State(True, state.value)
+    assert list(fn((1,), iter([]), late)) == [] and late.removed
