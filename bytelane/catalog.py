@@ -217,6 +217,39 @@ def q_log_points(spark: SparkSession, d: str) -> DataFrame:
     return P.log_points(spark, bud.iters, b["log_amount"])
 
 
+SHUFFLED = {"seed": 3, "epoch": 2}
+
+
+def _shuffled(spark: SparkSession, d: str, batch_size: int, drop_last: bool) -> DataFrame:
+    from bytelane.functions.hashing import hash_bits
+    from bytelane.operators.offsets import global_row_index, join_small_or_shuffle
+
+    w, spec = W.byte_windows(documents(spark, d), PLAN["L"])
+    # the order is drawn for window numbers alone; contents join it afterwards
+    h = hash_bits(F.lit(SHUFFLED["seed"]), F.lit(SHUFFLED["epoch"]), F.col("idx"), mode="md5")
+    drawn = spark.range(spec.count).select(F.col("id").alias("idx")).withColumn("h", h)
+    order, tot = global_row_index(drawn, "h", "position", tiebreak=["idx"])
+    placed = join_small_or_shuffle(w.select("idx", F.md5("tokens").alias("md5")), order.select("idx", "position"), "idx", tot.rows)
+    kept = P.keep_full_batches(placed, "position", spec.count, batch_size, drop_last)
+    c = P.collate(kept, "position", ["idx", "md5"])
+    return c.select(
+        "batch",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.array_join(F.transform("items", lambda x: x["idx"].cast("string")), ",").alias("windows"),
+        F.md5(F.array_join(F.transform("items", lambda x: x["md5"]), ",")).alias("batch_md5"),
+    )
+
+
+def q_shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
+    """U-3 / W-9 / W-10: training batches of the windows in one epoch's random order, short batch dropped."""
+    return _shuffled(spark, d, PLAN["B"], True)
+
+
+def q_shuffled_batches_eval(spark: SparkSession, d: str) -> DataFrame:
+    """U-3 / W-9 / W-10: the same order in batches of 5, short batch kept."""
+    return _shuffled(spark, d, BATCH_EVAL, False)
+
+
 def _batches(spark: SparkSession, d: str, batch_size: int, drop_last: bool) -> DataFrame:
     w, spec = W.byte_windows(documents(spark, d), PLAN["L"])
     kept = P.keep_full_batches(w.withColumn("md5", F.md5("tokens")), "idx", spec.count, batch_size, drop_last)
@@ -527,6 +560,27 @@ def q_chw(spark: SparkSession, d: str) -> DataFrame:
     return c.select("image_id", _md5_ints(F.col("chw")).alias("chw_md5"), (back == F.col("img.data")).alias("round_trip"))
 
 
+QA_IMAGE_LEN = 65_536
+
+
+def q_qa_image_samples(spark: SparkSession, d: str) -> DataFrame:
+    """J-1 / F-17 / F-22: each question with its conversation's image, cropped, binned and remapped once per image.
+
+    The image of a conversation is the document of the same number.
+    """
+    p = qa_pairs(spark, d).withColumn("image_id", F.col("conv_id"))
+    asked = images(spark, d).join(p.select("image_id").distinct(), "image_id", "left_semi")
+    pixels = PX.process_images(asked, "image_id", "img", crop_hw=IMG["crop"], bins=IMG["bins"], shift_start=IMG["remap_start"])
+    x = QA_.join_images(p, pixels, "image_id")
+    s = TK.qa_sample(B.text_to_array("question"), F.col("pixels"), B.text_to_array("answer"), TOK, QA_IMAGE_LEN, QA["weights"])
+    x = x.select("conv_id", "turn", F.size("pixels").cast("bigint").alias("n_pixels"), s.alias("s"))
+    return x.select(
+        "conv_id", "turn", "n_pixels", F.col("s.len_padding").cast("bigint").alias("len_padding"),
+        F.md5(F.array_join("s.i", ",")).alias("image_md5"),
+        F.md5(F.array_join(F.slice("s.tokens", 1, F.lit(QA_IMAGE_LEN) - F.col("s.len_padding").cast("int")), ",")).alias("tokens_md5"),
+    )
+
+
 # ---------------------------------------------------------------- keyed vectors
 STATE_KEYS = 4
 STATE_SHIFT = 25
@@ -747,6 +801,8 @@ QUERIES = {
     "log_points": q_log_points,
     "batches": q_batches,
     "batches_eval": q_batches_eval,
+    "shuffled_batches": q_shuffled_batches,
+    "shuffled_batches_eval": q_shuffled_batches_eval,
     "kind_counts": q_kind_counts,
     "eval_mean": q_eval_mean,
     "last_loss": q_last_loss,
@@ -767,6 +823,7 @@ QUERIES = {
     "tokenize_pad": q_tokenize_pad,
     "tokenize_crop": q_tokenize_crop,
     "qa_samples": q_qa_samples,
+    "qa_image_samples": q_qa_image_samples,
     "crop": q_crop,
     "channel_bins": q_channel_bins,
     "dense_remap": q_dense_remap,

@@ -63,30 +63,3 @@ def below(*keys, p: float, mode: str = "xxhash64") -> Column:
         return F.substring(F.md5(joined), 1, 15) < F.lit(format(limit << 7, "015x"))
     limit = min(max(math.ceil(p * TWO_53), 0), 2**53)
     return hash_bits(*keys, mode=mode) < F.lit(limit)
-
-
-def below_md5_positions(prefix: Column, n: Column, *, p: float) -> Column:
-    """ARRAY<BOOLEAN> of length n: position i is set when its md5 unit is below p.
-
-    The unit of position i is the (i mod 4)-th group of 8 hex digits of
-    md5(prefix || '|' || (i div 4)): one digest serves four positions.
-    """
-    import math
-
-    limit = min(max(math.ceil(p * TWO_32), 0), 2**32)
-    thr = F.lit(format(min(limit, 2**32 - 1), "08x"))
-    groups = F.sequence(F.lit(0), F.greatest(F.ceil(n / 4).cast("int") - 1, F.lit(0)))
-
-    def per_group(g: Column) -> Column:
-        return F.element_at(
-            F.transform(
-                F.array(F.md5(F.concat(prefix, F.lit("|"), g.cast("string")))),
-                lambda h: F.transform(
-                    F.sequence(F.lit(0), F.lit(3)),
-                    lambda k: F.lit(True) if limit >= 2**32 else F.substring(h, k * 8 + 1, 8) < thr,
-                ),
-            ),
-            1,
-        )
-
-    return F.slice(F.flatten(F.transform(groups, per_group)), 1, n)

@@ -9,6 +9,9 @@ joined to its many questions afterwards (see `operators/qa.py`).
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +20,8 @@ from bytelane.functions.arrays import let
 from bytelane.functions.bytes import bytes_to_array
 
 MAX_CHANNEL_VALUES = 256
-# fixed values: bin value weights (left edge, right edge) per bin mode
-BIN_MODES = {"lower": (1.0, 0.0), "upper": (0.0, 1.0), "mean": (0.5, 0.5)}
+# which value stands for a bin between two edges
+BIN_VALUES = {"lower": min, "upper": max, "mean": lambda lo, hi: (lo + hi) / 2}
 # fixed values: 16-bit fixed-point luma weights of R, G, B and the rounding term
 LUMA = (19595, 38470, 7471, 32768)
 
@@ -36,20 +39,24 @@ def image_from_bytes(content: Column | str, width: int, channels: int = 3) -> Co
     return let(px, body)
 
 
+def _positions(n: Column) -> Column:
+    """0 .. n - 1, empty for n = 0 (a sequence would count down)."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def bgr_to_rgb(img: Column) -> Column:
-    """Spark's image source stores BGR(A); keep three channels in RGB order."""
+    """Spark's image source stores gray, BGR or BGRA; three channels in RGB order.
+
+    A gray value stands for all three channels; an image without pixels stays one.
+    """
 
     def body(i: Column) -> Column:
         c = i["n_channels"]
-        n = i["height"] * i["width"]
-        data = F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda p: F.array(
-                    F.element_at(i["data"], p * c + 3), F.element_at(i["data"], p * c + 2), F.element_at(i["data"], p * c + 1)
-                ),
-            )
-        )
+
+        def channel(p: Column, nth: int) -> Column:
+            return F.get(i["data"], p * c + F.when(c < 3, 0).otherwise(nth))
+
+        data = F.flatten(F.transform(_positions(i["height"] * i["width"]), lambda p: F.array(channel(p, 2), channel(p, 1), channel(p, 0))))
         return F.struct(i["height"].alias("height"), i["width"].alias("width"), F.lit(3).alias("n_channels"), data.alias("data"))
 
     return let(img, body)
@@ -76,7 +83,7 @@ def chw_to_hwc(data: Column, height: Column, width: Column, channels: Column) ->
     return let(
         data,
         lambda a: F.transform(
-            F.sequence(F.lit(0), F.size(a) - 1),
+            _positions(F.size(a)),
             lambda k: F.element_at(
                 a,
                 (F.pmod(k, channels) * height * width + F.floor(k / (width * channels)) * width + F.pmod(F.floor(k / channels), width) + 1).cast("int"),
@@ -113,16 +120,19 @@ def crop(img: Column, factor_h: float, factor_w: float) -> Column:
 
 
 def bin_lookup(n_bins: int, mode: str = "mean") -> list[int]:
-    """256-entry table value -> binned value, with the same float rules as the reference."""
+    """The value that stands for each channel value 0 .. 255 (256 entries).
+
+    n bins cut [0, 255] at the edges k * 255 / n; a value belongs to the last
+    bin whose lower edge it reaches. With 255 bins or more nothing is merged.
+    """
     if n_bins < 1:
-        raise ValueError(f"Min number of bins must be positive, received {n_bins}")
-    if n_bins + 1 >= MAX_CHANNEL_VALUES:
+        raise ValueError(f"{n_bins} bins cannot hold any value")
+    top = MAX_CHANNEL_VALUES - 1
+    if n_bins >= top:
         return list(range(MAX_CHANNEL_VALUES))
-    left_w, right_w = BIN_MODES[mode]
-    edges = np.linspace(0, MAX_CHANNEL_VALUES - 1, n_bins + 1, endpoint=True)
-    values = edges[:-1] * left_w + edges[1:] * right_w
-    idx = np.digitize(np.arange(MAX_CHANNEL_VALUES), edges[:-1]) - 1
-    return [int(v) for v in values[idx].astype(np.uint8)]
+    edges = [k * (top / n_bins) for k in range(n_bins)]
+    stand_in = [int(BIN_VALUES[mode](lo, hi)) for lo, hi in zip(edges, [*edges[1:], top])]
+    return [stand_in[bisect_right(edges, v) - 1] for v in range(MAX_CHANNEL_VALUES)]
 
 
 def downsample_channels(data: Column, n_bins: int, mode: str = "mean") -> Column:
@@ -138,7 +148,7 @@ def grayscale(img: Column) -> Column:
     def body(i: Column) -> Column:
         n = i["height"] * i["width"]
         luma = F.transform(
-            F.sequence(F.lit(0), n - 1),
+            _positions(n),
             lambda p: F.shiftright(
                 F.element_at(i["data"], p * 3 + 1) * r_w
                 + F.element_at(i["data"], p * 3 + 2) * g_w
@@ -183,6 +193,7 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
     return np.where(x < LANCZOS_A, np.sinc(x) * np.sinc(x / LANCZOS_A), 0.0)
 
 
+@lru_cache(maxsize=64)
 def _resample_matrix(n_in: int, n_out: int) -> np.ndarray:
     """(n_out, n_in) weights of a separable Lanczos-3 resampling (antialiased when shrinking)."""
     scale = n_in / n_out

@@ -57,7 +57,7 @@ def pad_right_to(a: ColumnOrName, length: int, pad: int | float, strict: bool =
     padded = F.slice(F.concat(a, fill.cast(a_type_hint(pad))), 1, length)
     if strict:
         return F.when(
-            F.assert_true(n <= F.lit(length), f"array larger than desired padded size {length}").isNull(),
+            F.assert_true(n <= F.lit(length), f"a row is longer than {length}").isNull(),
             padded,
         )
     return padded
@@ -73,11 +73,6 @@ def loss_weights(parts: Sequence[tuple[ColumnOrName, float]]) -> Column:
     return F.concat(*runs)
 
 
-def ones_like(a: ColumnOrName) -> Column:
-    """F-14: all-ones weights."""
-    return F.array_repeat(F.lit(1.0).cast("float"), F.size(_c(a)))
-
-
 def qa_sample(
     question: ColumnOrName,
     image: ColumnOrName,

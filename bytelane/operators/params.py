@@ -51,16 +51,16 @@ def extend_embeddings(
     s_keys = src.select(key).distinct()
     t_keys = tgt.select(key).distinct()
     if s_keys.exceptAll(t_keys).limit(1).count() or t_keys.exceptAll(s_keys).limit(1).count():
-        raise ValueError("Expected source and target state dict to match")
+        raise ValueError("source and target hold different keys")
     shape = lambda d: d.groupBy(key).agg(F.max(F.size(vec)).alias("w"), F.max(row).alias("r"))
     cmp = shape(src).alias("s").join(shape(tgt).alias("t"), key).where(F.col(key).isin(list(keys)))
     bad = cmp.where((F.col("s.w") != F.col("t.w")) | (F.col("s.r") > F.col("t.r"))).select(key, "s.w", "t.w", "s.r", "t.r").limit(1).collect()
     if bad:
         b = bad[0]
         if b[1] != b[2]:
-            raise ValueError("Mapping to a smaller embedding dimension is not supported")
-        raise ValueError("Mapping to a smaller number of embeddings is not supported")
-    moved = list(keys) + ([] if not carry_unlisted else [])
+            raise ValueError("the vectors of a key differ in width")
+        raise ValueError("the source has more rows than the target")
+    moved = list(keys)
     s = src.select(key, row, F.col(vec).alias("_src_vec"))
     j = tgt.join(s, [key, row], "left")
     listed = F.col(key).isin(moved) if moved else F.lit(False)

@@ -8,7 +8,7 @@ their (many) questions by file name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,15 +97,22 @@ def iter_records(questions: DataFrame, *, shuffle: bool = False, seed: int = 0,
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """IO-9: image files decoded by Spark's image source, one row per distinct file name."""
-    img = spark.read.format("image").option("dropInvalid", True).load(path)
-    return img.select(
+    """IO-9: image files decoded by Spark's image source, one row per file.
+
+    An unreadable file is an error. Files of different folders may share a
+    name: `image_path` tells them apart, and `join_images` refuses a name that
+    stands for two images.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(path)
+    readable = F.assert_true(F.col("image.nChannels") > 0, F.concat(F.lit("unreadable image "), F.col("image.origin")))
+    return img.where(readable.isNull()).select(
         F.element_at(F.split("image.origin", "/"), -1).alias("image_filename"),
+        F.col("image.origin").alias("image_path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),
         F.col("image.data").alias("data"),
-    ).dropDuplicates(["image_filename"])
+    )
 
 
 def iter_images(images: DataFrame, *, shuffle: bool = False, seed: int = 0, max_items: int | None = None) -> DataFrame:
@@ -119,9 +126,14 @@ def join_images(questions: DataFrame, processed_images: DataFrame, key: str = "i
     """J-1: each question with its (already processed) image; many questions per image.
 
     Images are processed before the join, once per file. The join is a
-    shuffle join on the file name: image tables grow with the data set.
+    shuffle join on the file name: image tables grow with the data set. A
+    question whose image is missing, or whose image name is taken twice, is an
+    error.
     """
-    return questions.join(processed_images, key, "inner")
+    one = processed_images.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    joined = questions.join(one, key, "left")
+    found = F.assert_true(F.coalesce(F.col("_copies"), F.lit(0)) == 1, F.concat(F.lit("no single image for "), F.col(key).cast("string")))
+    return joined.where(found.isNull()).drop("_copies")
 
 
 def answer_codes(df: DataFrame, answer: str = "answer", *, strict: bool = True) -> Column:

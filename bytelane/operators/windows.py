@@ -18,14 +18,19 @@ j starts at w*S + offset + j*L and the tail (S - offset) % L is dropped unless
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytelane.functions.bytes import bytes_to_array
-from bytelane.functions.arrays import let
-from bytelane.functions.hashing import below, below_md5_positions, uniform_int
+from bytelane.functions.hashing import uniform_int
 from bytelane.operators.offsets import Totals, global_row_index, join_small_or_shuffle, prefix_sum
 
 
@@ -52,27 +57,20 @@ def shard_spec(
 ) -> ShardSpec:
     """W-2 / W-5 / W-6 with the reference's argument checks."""
     if workers <= 0:
-        raise ValueError("num_workers must be positive")
+        raise ValueError("at least one worker is needed")
     if seq_len <= 0:
-        raise ValueError("seq_len must be positive")
+        raise ValueError("a window needs at least one element")
     shard = total // workers
     if sequential and shard < seq_len:
-        raise ValueError("Worker's data is too small")
+        raise ValueError("a worker's share is smaller than one window")
     if not sequential and shard < 1:
-        raise ValueError("Worker's data is too small")
+        raise ValueError("a worker's share is smaller than one window")
     if not sequential:
         return ShardSpec(total, workers, shard, seq_len, 0, shard, False)
     off = offset % seq_len
     return ShardSpec(total, workers, shard, seq_len, off, max((shard - off) // seq_len, 0), include_tail)
 
 
-def window_count(shard: Column | int, seq_len: int, offset: Column | int) -> Column:
-    """W-6 as an expression: max((n - offset) div L, 0)."""
-    n = shard if isinstance(shard, Column) else F.lit(shard)
-    o = offset if isinstance(offset, Column) else F.lit(offset)
-    return F.greatest(F.floor((n - F.pmod(o, F.lit(seq_len))) / F.lit(seq_len)), F.lit(0)).cast("bigint")
-
-
 def _fdiv(a: Column, b: int) -> Column:
     """Exact floor division of BIGINT by a positive constant."""
     return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
@@ -81,7 +79,7 @@ def _fdiv(a: Column, b: int) -> Column:
 def corpus_offsets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> tuple[DataFrame, Totals]:
     """W-1: `(key, n_bytes, start)` with start = bytes of all earlier documents."""
     length = F.col("n_bytes") if "n_bytes" in docs.columns else F.octet_length(content)
-    offs, tot = prefix_sum(docs, key, length, "start")
+    offs, tot = prefix_sum(docs, key, length, "start", unique=True)
     return offs.withColumnRenamed("_value", "n_bytes"), tot
 
 
@@ -101,7 +99,7 @@ def window_pieces(located: DataFrame, spec: ShardSpec, *, key: str = "doc_id", c
     w_hi = F.least(_fdiv(e - F.lit(1 + off), S), F.lit(spec.workers - 1))
     if worker is not None:
         if not 0 <= worker < spec.workers:
-            raise ValueError(f"worker_id ({worker}) must be smaller than num_workers ({spec.workers})")
+            raise ValueError(f"worker {worker} is not among the {spec.workers} workers")
         w_lo = F.greatest(w_lo, F.lit(worker))
         w_hi = F.least(w_hi, F.lit(worker))
     per_worker = located.select(
@@ -130,19 +128,24 @@ def window_pieces(located: DataFrame, spec: ShardSpec, *, key: str = "doc_id", c
         ws.alias("win_start"),
         (we - ws).alias("win_len"),
         p0.alias("p0"),
+        (p1 - p0).alias("piece_len"),
         F.substring(F.col(content), (p0 - s + 1).cast("int"), (p1 - p0).cast("int")).alias("piece"),
     )
 
 
 def assemble_windows(pieces: DataFrame) -> DataFrame:
-    """Whole-window pieces pass through; the rest are concatenated per window."""
-    whole = pieces.where(F.octet_length("piece") == F.col("win_len")).select(
+    """Whole-window pieces pass through; the rest are concatenated per window.
+
+    The branches are told apart by lengths alone, so a piece is cut out of its
+    document only in the branch that keeps it.
+    """
+    whole = pieces.where(F.col("piece_len") == F.col("win_len")).select(
         "worker", "idx", F.col("win_start").alias("start"), F.col("piece").alias("tokens")
     )
     # ISO-8859-1 maps bytes 1:1 to characters, so array_join concatenates the
     # ordered pieces in linear time and encode() turns them back into bytes.
     parts = (
-        pieces.where(F.octet_length("piece") != F.col("win_len"))
+        pieces.where(F.col("piece_len") != F.col("win_len"))
         .groupBy("worker", "idx", "win_start")
         .agg(F.sort_array(F.collect_list(F.struct("p0", F.decode("piece", "ISO-8859-1").alias("s")))).alias("ps"))
     )
@@ -203,36 +206,63 @@ def masked_sample(
     (seed, epoch, worker, idx, i) is below p, so the mask changes with the
     epoch and survives task retries. Padding is never masked. In md5 mode one
     digest of (seed, epoch, worker, idx, i div 4) gives the units of four
-    positions (see `hashing.below_md5_positions`).
+    positions; "xxhash64" stands for the fast mode, a vectorised counter hash.
+    Both run over Arrow batches of windows, which hold a few MB.
     """
     if mask_token_id == pad_token_id:
-        raise ValueError("You can't set the padding and the mask with the same value")
-    ids = bytes_to_array(tokens)
-    w = windows.withColumn("_ids", ids)
-    n = F.size("_ids")
-    positions = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        raise ValueError("mask and padding need two different ids")
+    if hash_mode not in ("xxhash64", "md5"):
+        raise ValueError(f"unknown hash mode {hash_mode!r}")
+    kept = [c for c in windows.columns if c != tokens]
+    limit = min(max(math.ceil(masking_proba * 2**32), 0), 2**32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            workers, idx = batch.column("worker").to_pylist(), batch.column("idx").to_pylist()
+            data = batch.column(tokens)
+            pieces = [x or b"" for x in data.to_pylist()]
+            n = np.array([len(x) for x in pieces], np.int64)
+            raw = np.frombuffer(b"".join(pieces), np.uint8)
+            units = [mask_units(k, seed, epoch, w, j, hash_mode) for k, w, j in zip(n.tolist(), workers, idx)]
+            hit = (np.concatenate(units) if units else np.zeros(0, np.uint32)) < limit
+            # every window becomes a row of max(n, seq_len) elements
+            size = np.maximum(n, seq_len)
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(len(raw))
+            labels = np.full(int(bounds[-1]), pad_token_id, np.int32)
+            mask = np.zeros(len(labels), bool)
+            labels[at], mask[at] = raw, hit
+            masked = np.where(mask, np.int32(mask_token_id), labels)
+            offsets = pa.array(bounds.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (masked, mask, labels)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], *lists], names=[*kept, "masked_ids", "mask", "labels"])
+
+    schema = T.StructType([
+        *[windows.schema[c] for c in kept],
+        T.StructField("masked_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("mask", T.ArrayType(T.BooleanType())),
+        T.StructField("labels", T.ArrayType(T.IntegerType())),
+    ])
+    return windows.mapInArrow(run, schema)
+
+
+def mask_units(n: int, seed: int, epoch: int, worker: int, idx: int, hash_mode: str) -> np.ndarray:
+    """32-bit units of the n positions of one window, from stable keys only."""
     if hash_mode == "md5":
-        # one key prefix per window, one md5 per position
-        # one digest per four positions, one key prefix per window
-        mask = let(
-            F.concat_ws("|", *[c.cast("string") for c in (F.lit(seed), F.lit(epoch), F.col("worker"), F.col("idx"))]),
-            lambda pre: below_md5_positions(pre, n, p=masking_proba),
-        )
-    else:
-        mask = F.transform(
-            positions,
-            lambda i: below(F.lit(seed), F.lit(epoch), F.col("worker"), F.col("idx"), i, p=masking_proba, mode=hash_mode),
-        )
-    mask = F.when(n == 0, F.array().cast("array<boolean>")).otherwise(mask)
-    pad_n = F.greatest(F.lit(seq_len) - n, F.lit(0))
-    w = w.withColumn("_mask", mask)
-    masked = F.zip_with("_ids", "_mask", lambda t, m: F.when(m, F.lit(mask_token_id)).otherwise(t))
-    return w.select(
-        *[c for c in windows.columns if c != tokens],
-        F.concat(masked, F.array_repeat(F.lit(pad_token_id), pad_n)).alias("masked_ids"),
-        F.concat(F.col("_mask"), F.array_repeat(F.lit(False), pad_n)).alias("mask"),
-        F.concat(F.col("_ids"), F.array_repeat(F.lit(pad_token_id), pad_n)).alias("labels"),
-    )
+        prefix = f"{seed}|{epoch}|{worker}|{idx}|".encode()
+        digests = b"".join([hashlib.md5(prefix + str(g).encode()).digest() for g in range(-(-n // 4))])
+        return np.frombuffer(digests, ">u4")[:n]
+    # a counter hash: the window's key, then one step per position
+    with np.errstate(over="ignore"):
+        key = np.uint64(0x9E3779B97F4A7C15)
+        for part in (seed, epoch, worker, idx):
+            key = (key ^ np.uint64(part & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        x = key + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
 def mlm_targets(labels: Column | str, mask: Column | str, mask_token_id: int) -> Column:

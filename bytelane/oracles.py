@@ -469,6 +469,51 @@ FROM r""",
 )
 
 
+def _shuffled_sql(batch: int, drop_last: bool) -> str:
+    L, p = C.PLAN["L"], C.SHUFFLED
+    return f"""
+WITH {CORPUS},
+w AS (SELECT r.j AS idx, md5(unhex(substr(h, 2 * r.j * {L} + 1, 2 * {L}))) AS m, t // {L} AS n FROM corpus, range(0, corpus.t // {L}) r(j)),
+o AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', {p['seed']}, {p['epoch']}, idx)), 1, 15))::BIGINT, idx) - 1 AS pos FROM w)
+SELECT (pos // {batch})::BIGINT AS batch, count(*)::BIGINT AS n_items, string_agg(idx::VARCHAR, ',' ORDER BY pos) AS windows,
+       md5(string_agg(m, ',' ORDER BY pos)) AS batch_md5
+FROM o {f'WHERE pos // {batch} < n // {batch}' if drop_last else ''} GROUP BY pos // {batch}"""
+
+
+ORACLES["shuffled_batches"] = _shuffled_sql(C.PLAN["B"], True)
+ORACLES["shuffled_batches_eval"] = _shuffled_sql(C.BATCH_EVAL, False)
+
+# Windows of valid text are malformed at their ends only: each leading
+# continuation byte becomes one U+FFFD, and so does a character cut at the end.
+ORACLES["replace_decode"] = f"""
+WITH {CORPUS},
+w AS (SELECT r.j AS idx, substr(h, 2 * r.j * {C.SAFE_L} + 1, 2 * {C.SAFE_L}) AS x FROM corpus, range(0, corpus.t // {C.SAFE_L}) r(j)),
+b AS (SELECT idx, list_transform(regexp_extract_all(x, '..'), lambda y: ('0x' || y)::INTEGER) AS b FROM w),
+e AS (SELECT idx, b, len(b) AS n,
+        CASE WHEN b[1] // 64 <> 2 THEN 0 WHEN b[2] // 64 <> 2 THEN 1 WHEN b[3] // 64 <> 2 THEN 2 ELSE 3 END AS lead,
+        CASE WHEN b[len(b)] >= 192 OR (b[len(b)] // 64 = 2 AND b[len(b) - 1] >= 224)
+               OR (b[len(b)] // 64 = 2 AND b[len(b) - 1] // 64 = 2 AND b[len(b) - 2] >= 240) THEN 1 ELSE 0 END AS cut FROM b)
+SELECT idx::BIGINT AS idx, (len(list_filter(b, lambda y: y // 64 <> 2)) + lead)::BIGINT AS n_chars, (lead + cut)::BIGINT AS n_replaced FROM e"""
+
+ORACLES["qa_image_samples"] = f"""
+WITH {_IMG_CTE},
+m AS (SELECT *, floor(least(h * {_I['crop'][0]}, h / 2))::BIGINT AS mh, floor(least(w * {_I['crop'][1]}, w / 2))::BIGINT AS mw FROM img),
+k AS (SELECT image_id, h - 2 * mh AS h, w - 2 * mw AS w, c,
+        list_filter(px, lambda v, k: (k - 1) // (w * c) >= mh AND (k - 1) // (w * c) < h - mh
+                                     AND ((k - 1) // c) % w >= mw AND ((k - 1) // c) % w < w - mw) AS px FROM m),
+bb AS (SELECT *, {_BINNED} AS bv FROM k),
+u AS (SELECT *, list_sort(list_distinct(bv)) AS uq FROM bb),
+r AS (SELECT *, list_transform(bv, lambda x: list_position(uq, x) - 1 + {_I['remap_start']}) AS rm FROM u),
+i AS (SELECT image_id, list_transform(range(0, h * w * c), lambda k: rm[(k // (h * w)) + (((k // w) % h) * w + (k % w)) * c + 1]) AS pixels FROM r),
+p AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
+      FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'),
+t AS (SELECT conv_id, turn, len(pixels) AS n_pixels, [{_T.som_text}] || {_bytes_of('question')} || [{_T.eom}] AS q,
+        [{_T.som_image}]::BIGINT[] || pixels || [{_T.eom}]::BIGINT[] AS im, [{_T.som_text}] || {_bytes_of('answer')} || [{_T.eom}] AS a
+      FROM p JOIN i ON i.image_id = p.conv_id)
+SELECT conv_id, turn, n_pixels::BIGINT AS n_pixels, ({C.QA_IMAGE_LEN} - len(q || im || q || a))::BIGINT AS len_padding,
+       md5(array_to_string(im, ',')) AS image_md5, md5(array_to_string(q || im || q || a, ',')) AS tokens_md5
+FROM t"""
+
 ORACLES["raw_bytes"] = """
 SELECT conv_id * 1000 + turn AS stream_id, octet_length(encode(text))::BIGINT AS n_bytes, hex(encode(text)) AS hex
 FROM conversations"""

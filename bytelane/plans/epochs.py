@@ -78,7 +78,7 @@ def collate(df: DataFrame, idx: str, payload: list[str], batch: str = "batch") -
 def _epochs_needed(lengths: EpochLengths, start_epoch: int, start_batch: int, max_iters: int, period: int) -> int:
     first = lengths.py(start_epoch)
     if start_batch >= first:
-        raise IndexError(f"start_batch ({start_batch}) is larger than the length of the sequence ({first})")
+        raise IndexError(f"epoch {start_epoch} has {first} batches, none numbered {start_batch}")
     done, e, idle = 0, start_epoch, 0
     while done < max_iters:
         n = lengths.py(e) - (start_batch if e == start_epoch else 0)

@@ -55,31 +55,38 @@ def corpus_from_files(
     """IO-1 / IO-3: every file of a split folder as one document.
 
     `order="path"` orders documents by their path (a stable rule instead of
-    the listing order); `order="hash"` orders them by a hash of the path,
-    which spreads similar names. Files can be up to 2 GB each.
+    the listing order); `order="hash"` orders them by a hash of the path (then
+    the path), which spreads similar names. `doc_id` is the dense position in
+    that order, so it is unique whatever the hashes are. `n_bytes` is the
+    listed file length: offsets need no file to be opened. Files can be up to
+    2 GB each.
     """
+    if order not in ("path", "hash"):
+        raise ValueError(f"unknown order {order!r}")
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(f"{root.rstrip('/')}/{split_folder(split, family)}")
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    if order == "hash":
-        return named.select(hash_bits(F.col("path")).alias("doc_id"), "name", "content")
-    if order != "path":
-        raise ValueError(f"unknown order {order!r}")
+    named = files.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.col("length").alias("n_bytes"))
     from bytelane.operators.offsets import global_row_index, join_small_or_shuffle
 
-    idx, tot = global_row_index(named.select("path"), "path", "doc_id")
+    if order == "hash":
+        keyed = named.select(hash_bits(F.col("path")).alias("_h"), "path")
+        idx, tot = global_row_index(keyed, "_h", "doc_id", tiebreak=["path"])
+        idx = idx.drop("_h")
+    else:
+        idx, tot = global_row_index(named.select("path"), "path", "doc_id")
     # the (path -> index) lookup is broadcast only below a checked file count;
     # beyond it the lookup side is hashed and the contents are shuffled once
     located = join_small_or_shuffle(named, idx, "path", tot.rows, max_broadcast_rows=500_000)
-    return located.select(F.col("doc_id").cast("bigint"), "name", "content")
+    return located.select(F.col("doc_id").cast("bigint"), "name", "content", "n_bytes")
 
 
 def masked_corpus_options(mask_token_id: int = -100, masking_proba: float = 0.15, pad_token_id: int = -101) -> dict:
     """IO-2: validated options of the masked corpus."""
     if mask_token_id == pad_token_id:
-        raise ValueError("You can't set the padding and the mask with the same value")
+        raise ValueError("mask and padding need two different ids")
     if not 0.0 <= masking_proba <= 1.0:
         raise ValueError("masking_proba must lie in [0, 1]")
     return {"mask_token_id": mask_token_id, "masking_proba": masking_proba, "pad_token_id": pad_token_id}
@@ -96,7 +103,7 @@ def book(corpus: DataFrame, name: str) -> str:
     """IO-5: the text of one document by name; ValueError when absent."""
     rows = corpus.where(F.col("name") == name).select(bytes_to_text_strict("content").alias("t")).limit(1).collect()
     if not rows:
-        raise ValueError(f"Book {name} does not exist")
+        raise ValueError(f"no document is named {name!r}")
     return rows[0]["t"]
 
 

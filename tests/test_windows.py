@@ -87,7 +87,7 @@ def test_windows_reconcatenate_to_corpus_prefix(spark):
 def test_argument_checks(spark):
     with pytest.raises(ValueError):
         W.shard_spec(10, 3, workers=0)
-    with pytest.raises(ValueError, match="too small"):
+    with pytest.raises(ValueError, match="smaller than one window"):
         W.shard_spec(10, 6, workers=2)
     with pytest.raises(ValueError):
         W.byte_windows(corpus_df(spark, [bytes(range(20))]), 3, workers=2, worker=2)
