@@ -26,6 +26,7 @@ from bytelane.llm.words import BLANK, mix, prefix_hash, span_hashes, split_words
 NO_ID = -(1 << 63)  # stands for a null id among the candidates
 ANCHORS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 12
+BLOCK = 4 << 20  # bytes of text looked at together: repeats inside a block need no exchange
 
 
 @dataclass
@@ -120,7 +121,7 @@ def shared_grams(docs: DataFrame, cut: Callable[[pa.Array, int], Units], window:
     buckets = max(MIN_BUCKETS, 2 * units // ((window - gram + 2) * ANCHORS_PER_BUCKET) + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK):
             ids = block.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             s = stretches(cut(block.column("text"), gram), window, gram)
             known, own, h = _in_block(ids[s.text], s.gram, distinct_ids)

@@ -37,7 +37,7 @@ from bytelane.llm.words import text_blocks
 BLANK = "▁"
 SHORT = 96
 NEVER = float("inf")
-CACHE_STRETCHES = 200_000  # or as many as one block of texts holds
+CACHE_STRETCHES = 150_000  # or as many as one block of texts holds
 TOKENS = "array<struct<id:int,start:int,end:int>>"
 
 # Piece types and field numbers of the public model format (fixed values).
@@ -474,6 +474,8 @@ def _each_block(docs: DataFrame, id_col: str, text_col: str, blob: bytes, row, c
             rows = list(row(model, [t or "" for t in block.column("text").to_pylist()]))
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
             yield pa.RecordBatch.from_arrays([block.column("id"), *arrays], names=["id", *columns])
+        model.cache.clear()
+        gc.enable()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

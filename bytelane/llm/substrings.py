@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelane.llm.anchors import Units, candidate_stretches, merged, shared_grams, stretches, word_units
+from bytelane.llm.anchors import BLOCK, Units, candidate_stretches, merged, shared_grams, stretches, word_units
 from bytelane.llm.store import settle
 from bytelane.llm.words import BLANK, expand, mix, split_words, text_blocks, text_buffer
 
@@ -83,7 +83,7 @@ def crowded_prefixes(rows: DataFrame) -> list[np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK):
             _, _, _, first, last, prefixes = _block(block)
             for level in range(len(PREFIXES)):
                 values, at = np.unique(prefixes[:, level], return_inverse=True)
@@ -111,7 +111,7 @@ def suffix_records(rows: DataFrame, crowded: list[np.ndarray], partitions: int)
     """`(part, words, lead, ids, keys, places)`: each distinct stretch of a block with all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK):
             units, text, anchor, first, last, prefixes = _block(block)
             part = mix(group_of(prefixes, crowded).view(np.uint64)) % np.uint64(partitions)
             ids, keys = block.column("id").to_pylist(), block.column("key").to_pylist()
@@ -229,7 +229,7 @@ def cut_words(rows: DataFrame) -> DataFrame:
     """`(id, key, n_removed, kept_sha, kept)` of rows `(id, key, text, spans)`; spans in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK):
             raw, offsets = text_buffer(block.column("text"))
             first = split_words(raw, offsets, BLANK)[2]
             removed, kept = [], []

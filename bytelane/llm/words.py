@@ -9,7 +9,7 @@ import pyarrow as pa
 
 # A block of rows holds about this many bytes of text (one longer text is a
 # block of its own), so that the arrays below stay small in every task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -60,7 +60,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
         with np.errstate(over="ignore"):
             _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _P, np.uint64))])
             _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _P_INV, np.uint64))])
