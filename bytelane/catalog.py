@@ -432,23 +432,16 @@ QA = {"L": 8192, "weights": (0.5, 0.25, 0.5, 1.0)}
 
 def q_patches(spark: SparkSession, d: str) -> DataFrame:
     """W-19 / W-20: windows nested into (32, 8, 4) patches and flattened back."""
-    from bytelane.functions.arrays import let
-
     p = PATCH
     w, _ = W.byte_windows(documents(spark, d), p["L"])
-    t = w.select("idx", B.bytes_to_array("tokens").cast("array<bigint>").alias("t"))
-
-    def check(nested: F.Column) -> F.Column:
-        back = PT.from_patches(nested, 2, F.size("t"))
-        return F.struct(
-            F.size(nested).cast("bigint").alias("n_outer"),
-            F.md5(F.to_json(nested)).alias("nested_md5"),
-            (back == F.col("t")).alias("round_trip"),
-        )
-
-    # the nested array is built once and feeds both the digest and the round trip
-    r = t.select("idx", let(PT.to_patches("t", p["seq_lens"], p["pad"]), check).alias("r"))
-    return r.select(F.col("idx").cast("bigint").alias("idx"), "r.n_outer", "r.nested_md5", "r.round_trip")
+    n = PT.patch_windows(w.select("idx", "tokens"), p["seq_lens"], p["pad"])
+    back = PT.from_patches("patches", 2, F.octet_length("tokens"))
+    return n.select(
+        F.col("idx").cast("bigint").alias("idx"),
+        F.size("patches").cast("bigint").alias("n_outer"),
+        F.md5(F.to_json("patches")).alias("nested_md5"),
+        (back == B.bytes_to_array("tokens").cast("array<bigint>")).alias("round_trip"),
+    )
 
 
 def q_next_token_pairs(spark: SparkSession, d: str) -> DataFrame:

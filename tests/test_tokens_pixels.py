@@ -98,3 +98,37 @@ def test_patches_round_trip(spark):
     with pytest.raises(Exception):
         df.select(PT.to_patches("x", [2, 2, 3], pad=-1)).collect()
     assert one(spark, PT.shift_right("x", 99), "x ARRAY<INT>", [1, 2, 3]) == [99, 1, 2]
+
+
+def test_patch_windows_equal_the_array_form(spark):
+    from bytelane.functions.bytes import bytes_to_array
+    from bytelane.operators import patches as PT
+
+    data = [bytes(range(n)) for n in (0, 1, 31, 32, 33, 64, 200)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "idx INT, tokens BINARY")
+    a = PT.patch_windows(df, [8, 8, 4], 256).select("idx", "patches").collect()
+    b = df.select("idx", PT.to_patches(bytes_to_array("tokens"), [8, 8, 4], 256).alias("p")).collect()
+    assert {r.idx: r.patches for r in a} == {r.idx: r.p for r in b}
+
+
+def test_bins_for_every_count():
+    from bytelane.functions import pixels as PX
+
+    for n in range(1, 255):
+        low, high, mean = (PX.bin_lookup(n, m) for m in ("lower", "upper", "mean"))
+        assert len(set(low)) <= n and low == sorted(low) and high == sorted(high)
+        assert all(a <= v <= b + 1 and a <= m <= b for v, (a, m, b) in enumerate(zip(low, mean, high)))
+        assert low[0] == 0 and high[255] == 255
+
+
+def test_images_without_pixels_and_gray_ones(spark):
+    from pyspark.sql import functions as F
+
+    from bytelane.functions import pixels as PX
+
+    rows = [(0, 4, 3, []), (1, 2, 1, [7, 9]), (1, 1, 4, [1, 2, 3, 4])]
+    df = spark.createDataFrame([(r,) for r in rows], "img STRUCT<height: INT, width: INT, n_channels: INT, data: ARRAY<INT>>")
+    got = [r.d for r in df.select(PX.bgr_to_rgb(F.col("img"))["data"].alias("d")).collect()]
+    assert got == [[], [7, 7, 7, 9, 9, 9], [3, 2, 1]]
+    assert [r.d for r in df.limit(2).select(PX.grayscale(F.col("img"))["data"].alias("d")).collect()] == [[], [7, 9]]
+    assert df.limit(1).select(PX.chw_to_hwc(F.col("img.data"), F.col("img.height"), F.col("img.width"), F.col("img.n_channels")).alias("d")).first().d == []

@@ -183,3 +183,18 @@ def test_hot_key_is_split_over_buckets(spark):
     hot = b.where(F.col("k") == 0).select("_b").distinct().count()
     sizes = [r["count"] for r in b.groupBy("_b").count().collect()]
     assert hot >= 2 and max(sizes) < 0.4 * len(rows)
+
+
+def test_random_starts_reach_any_corpus_size(spark):
+    from bytelane.functions.hashing import uniform, uniform_int
+
+    for mode in ("md5", "xxhash64"):
+        r = spark.range(20_000).select(uniform_int(F.lit(1), F.col("id"), upper=10**14, mode=mode).alias("s"), uniform(F.col("id"), mode=mode).alias("u"))
+        top = r.agg(F.max("s").alias("s"), F.max("u").alias("u"), F.min("u").alias("v")).first()
+        assert top.s > 9.9 * 10**13 and 0.999 < top.u < 1 and 0 <= top.v < 0.001
+
+
+def test_duplicate_document_ids_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", b"x" * 50), (1, "b", b"y" * 50)], "doc_id LONG, name STRING, content BINARY")
+    with pytest.raises(ValueError, match="unique"):
+        W.byte_windows(docs, 10)
