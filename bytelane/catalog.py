@@ -346,9 +346,16 @@ def q_error_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    """A-17 / PF-6 / PF-7: run start, end, workers, rows, NaN flag; ISO check of rendered times."""
-    s = R.run_summary(loss_log(spark, d), ["run"])
+    """A-17 / PF-6 / PF-7: run start, end, workers, rows, NaN flag, first error; ISO check of rendered times.
+
+    Every 50th loss is NaN, and each 7th run renders its times in another way.
+    """
+    lg = loss_log(spark, d).withColumn("loss", F.when(F.pmod("cum_batch", F.lit(50)) == 0, float("nan")).otherwise(F.col("loss")))
+    ev = table(spark, d, "events").where(F.col("event_type") == "error")
+    errors = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("time"), F.col("props").alias("message"))
+    s = R.run_summary(lg, ["run"], errors=errors)
     fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    shown = F.when(F.pmod("run", F.lit(7)) == 0, F.date_format("started", "dd.MM.yyyy")).otherwise(F.date_format("started", fmt))
     return s.select(
         "run",
         F.date_format("started", fmt).alias("started"),
@@ -356,10 +363,44 @@ def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
         F.col("workers").cast("bigint").alias("workers"),
         "n_rows",
         "had_nan",
-        (R.valid_iso(F.date_format("started", fmt)) & R.valid_iso(F.date_format("ended", fmt))).alias("iso_ok"),
+        "error",
+        (R.valid_iso(shown) & R.valid_iso(F.date_format("ended", fmt))).alias("iso_ok"),
     )
 
 
+def q_nan_losses(spark: SparkSession, d: str) -> DataFrame:
+    """PF-6: the log rows whose loss is NaN (every 50th is made one)."""
+    lg = loss_log(spark, d).withColumn("loss", F.when(F.pmod("cum_batch", F.lit(50)) == 0, float("nan")).otherwise(F.col("loss")))
+    return R.nan_losses(lg).select("run", "cum_batch")
+
+
+def q_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """J-6: resume chains of up to ten runs, one event a run; some parents are lost."""
+    e = F.col("event_id")
+    runs = table(spark, d, "events").select(
+        e.alias("run_id"), F.concat(F.lit("ckpt"), e).alias("checkpoint_file"),
+        F.when(e % 10 == 0, F.lit(None)).when(e % 97 == 0, F.lit("lost")).otherwise(F.concat(F.lit("ckpt"), e - 1)).alias("resumed_from"))
+    return R.resume_lineage(runs)
+
+
+def q_run_keys(spark: SparkSession, d: str) -> DataFrame:
+    """IO-22: run ids from artefact paths; the id may hold the separator, other folders give none."""
+    p = table(spark, d, "pages").select("page_id")
+    model = F.when(F.pmod("page_id", F.lit(5)) == 0, "other").otherwise("my_model")
+    path = F.concat(F.lit("/out/"), model, F.lit("_"), F.col("page_id"), F.lit("_b/loss.csv"))
+    return p.select("page_id", R.run_key_from_path(path, "my_model").alias("run"))
+
+
+def q_window_ones(spark: SparkSession, d: str) -> DataFrame:
+    """F-14: windows as ids with an all-ones loss mask."""
+    w, _ = W.byte_windows(documents(spark, d), FLAGSHIP_L, include_tail=True)
+    m = W.with_loss_mask(w)
+    return m.select(
+        F.col("idx").cast("bigint").alias("idx"), F.size("token_ids").cast("bigint").alias("n"),
+        F.aggregate("loss_mask", F.lit(0.0).cast("double"), lambda a, x: a + x).cast("bigint").alias("ones"),
+        F.aggregate("token_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
 def q_jsonl_undo(spark: SparkSession, d: str) -> DataFrame:
     """IO-11: rows surviving undo in an append log (errors undo the user's last row)."""
     ev = table(spark, d, "events").select(
@@ -615,6 +656,30 @@ def q_param_count(spark: SparkSession, d: str) -> DataFrame:
     return PM.param_count(tgt, F.col("key"), trainable=F.col("key") != "layer3")
 
 
+def q_question_types(spark: SparkSession, d: str) -> DataFrame:
+    """J-3: the type of a question from the last step of its program; every 14th step is unknown."""
+    names = F.array(*[F.lit(x) for x in sorted(QA_.QUESTION_TYPES)])
+    fn = F.get(names, F.pmod("p_partkey", F.lit(14)).cast("int"))
+    step = lambda f: F.struct(f.alias("function"))
+    p = table(spark, d, "part").select("p_partkey", F.array(step(F.lit("count")), step(F.coalesce(fn, F.lit("scene")))).alias("program"))
+    return p.select("p_partkey", QA_.question_type("program").alias("question_type"))
+
+
+RECORDS = {"seed": 4, "n": 50}
+
+
+def q_first_records(spark: SparkSession, d: str) -> DataFrame:
+    """IO-8 / T-6: the first 50 question records in seeded random order (the limit is the feature)."""
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("question"))
+    return QA_.iter_records(q, shuffle=True, seed=RECORDS["seed"], max_items=RECORDS["n"], hash_mode="md5")
+
+
+def q_one_record(spark: SparkSession, d: str) -> DataFrame:
+    """IO-7: the record of one index."""
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("question"))
+    return QA_.raw_record(q, 7, "valid")
+
+
 def q_answer_map(spark: SparkSession, d: str) -> DataFrame:
     """J-2: every word of every part name as an answer, mapped to its class code (null if unknown)."""
     p = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "answer"))
@@ -807,6 +872,13 @@ QUERIES = {
     "first_k": q_first_k,
     "error_lines": q_error_lines,
     "run_summary": q_run_summary,
+    "nan_losses": q_nan_losses,
+    "lineage": q_lineage,
+    "run_keys": q_run_keys,
+    "window_ones": q_window_ones,
+    "question_types": q_question_types,
+    "first_records": q_first_records,
+    "one_record": q_one_record,
     "jsonl_undo": q_jsonl_undo,
     "ce_loss": q_ce_loss,
     "topk_filter": q_topk_filter,

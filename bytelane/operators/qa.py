@@ -89,9 +89,11 @@ def raw_record(questions: DataFrame, idx: int, split: str) -> DataFrame:
     return questions.where(F.col("idx") == idx)
 
 
-def iter_records(questions: DataFrame, *, shuffle: bool = False, seed: int = 0, max_items: int | None = None) -> DataFrame:
+def iter_records(
+    questions: DataFrame, *, shuffle: bool = False, seed: int = 0, max_items: int | None = None, hash_mode: str = "xxhash64"
+) -> DataFrame:
     """IO-8: records in index or seeded random order, at most `max_items` (a limit is the feature)."""
-    order = [hash_bits(F.lit(seed), F.col("idx")), F.col("idx")] if shuffle else [F.col("idx")]
+    order = [hash_bits(F.lit(seed), F.col("idx"), mode=hash_mode), F.col("idx")] if shuffle else [F.col("idx")]
     out = questions.orderBy(*order)
     return out.limit(max_items) if max_items else out
 

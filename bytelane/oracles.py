@@ -7,7 +7,7 @@ the plain single-machine reading of the operator, and cuts windows out of it.
 from __future__ import annotations
 
 from bytelane import catalog as C
-from bytelane.operators.qa import ANSWER_CLASS_MAP
+from bytelane.operators.qa import ANSWER_CLASS_MAP, QUESTION_TYPES
 
 CORPUS = """corpus AS (
   SELECT string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h,
@@ -211,10 +211,37 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 'trainer' AS logger,
        event_type || ' - ' || props AS message
 FROM events WHERE event_type IN ('error', 'signup')""",
         "run_summary": f"""
-WITH {LOG_CTE}
-SELECT run, strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS ended,
-       (max(gpu_rank) + 1)::BIGINT AS workers, count(*)::BIGINT AS n_rows, bool_or(isnan(loss)) AS had_nan, true AS iso_ok
-FROM lg GROUP BY run""",
+WITH {LOG_CTE},
+e AS (SELECT user_id AS run, arg_min(props, event_id) AS error FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT lg.run, strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS ended,
+       (max(gpu_rank) + 1)::BIGINT AS workers, count(*)::BIGINT AS n_rows, bool_or(cum_batch % 50 = 0) AS had_nan,
+       any_value(error) AS error, lg.run % 7 <> 0 AS iso_ok
+FROM lg LEFT JOIN e ON e.run = lg.run GROUP BY lg.run""",
+        "nan_losses": "SELECT user_id AS run, event_id AS cum_batch FROM events WHERE event_id % 50 = 0",
+        "lineage": """
+WITH RECURSIVE r AS (
+  SELECT event_id AS run_id, CASE WHEN event_id % 10 = 0 OR event_id % 97 = 0 THEN NULL ELSE event_id - 1 END AS up,
+         event_id % 10 <> 0 AND event_id % 97 = 0 AS orphan FROM events),
+known AS (
+  SELECT r.run_id, p.run_id AS up, r.orphan OR (r.up IS NOT NULL AND p.run_id IS NULL) AS orphan FROM r LEFT JOIN r p ON p.run_id = r.up),
+c AS (
+  SELECT run_id, run_id AS root_run, 0::BIGINT AS depth, orphan FROM known WHERE up IS NULL
+  UNION ALL SELECT k.run_id, c.root_run, c.depth + 1, k.orphan FROM known k JOIN c ON c.run_id = k.up)
+SELECT run_id, root_run, depth, orphan FROM c""",
+        "run_keys": "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN page_id || '_b' END AS run FROM pages",
+        "window_ones": f"""
+WITH {CORPUS},
+w AS (SELECT r.j AS idx, regexp_extract_all(substr(h, 2 * r.j * {C.FLAGSHIP_L} + 1, 2 * {C.FLAGSHIP_L}), '..') AS b
+      FROM corpus, range(0, corpus.t // {C.FLAGSHIP_L} + 1) r(j) WHERE r.j * {C.FLAGSHIP_L} < t)
+SELECT idx::BIGINT AS idx, len(b)::BIGINT AS n, len(b)::BIGINT AS ones, list_sum(list_transform(b, lambda x: ('0x' || x)::BIGINT))::BIGINT AS id_sum FROM w""",
+        "question_types": f"""
+WITH m(fn, kind) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(QUESTION_TYPES.items()))}),
+n AS (SELECT list(fn ORDER BY fn) AS names FROM m)
+SELECT p_partkey, m.kind AS question_type FROM part CROSS JOIN n LEFT JOIN m ON m.fn = n.names[p_partkey % 14 + 1]""",
+        "first_records": f"""
+SELECT o_orderkey AS idx, o_orderpriority AS question FROM orders
+ORDER BY ('0x' || substr(md5(concat_ws('|', {C.RECORDS['seed']}, o_orderkey)), 1, 15))::BIGINT, o_orderkey LIMIT {C.RECORDS['n']}""",
+        "one_record": "SELECT o_orderkey AS idx, o_orderpriority AS question FROM orders WHERE o_orderkey = 7",
         "jsonl_undo": """
 WITH ops AS (SELECT user_id AS writer_id, event_id AS seq, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS d FROM events),
 c AS (SELECT *, sum(d) OVER (PARTITION BY writer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ops),
