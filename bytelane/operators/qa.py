@@ -75,9 +75,17 @@ QUESTION_FILE = T.StructType(
 
 
 def read_questions(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """IO-6: records of a question file with their 0-based index `idx`."""
+    """IO-6: records of one or several question files with their 0-based index `idx`.
+
+    The index runs on over the files, in the order of their paths.
+    """
+    from bytelane.operators.offsets import prefix_sum
+
     doc = spark.read.schema(QUESTION_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    recs = doc.select(F.posexplode("questions").alias("idx", "q")).select("idx", "q.*")
+    doc = doc.select(F.col("_metadata.file_path").alias("_file"), "questions")
+    starts, _ = prefix_sum(doc.select("_file", F.size("questions").alias("_n")), "_file", "_n", "_start")
+    recs = doc.join(starts.select("_file", "_start"), "_file").select("_start", F.posexplode("questions").alias("_pos", "q"))
+    recs = recs.select((F.col("_start") + F.col("_pos")).cast("int").alias("idx"), "q.*")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     return recs.repartition(n, "idx")
 

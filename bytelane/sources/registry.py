@@ -17,20 +17,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _BUILDERS: dict[str, Callable[..., DataFrame]] = {}
+_MASKED: dict[str, Callable[..., DataFrame]] = {}
+_WITHOUT_TEST: set[str] = set()
 
 
-def register(name: str, builder: Callable[..., DataFrame]) -> None:
-    _BUILDERS[name] = builder
+def register(name: str, builder: Callable[..., DataFrame], *, masked: bool = False, supports_test: bool = True) -> None:
+    """Add a builder; masked sources have names of their own.
 
+    `supports_test` tells whether the test split has all that a sample needs (U-7).
+    """
+    (_MASKED if masked else _BUILDERS)[name] = builder
+    (_WITHOUT_TEST.discard if supports_test else _WITHOUT_TEST.add)(name)
 
-def retrieve(name: str) -> Callable[..., DataFrame]:
-    if name not in _BUILDERS:
-        raise KeyError(f"no source registered under {name!r}")
-    return _BUILDERS[name]
+
+def retrieve(name: str, *, masked: bool = False) -> Callable[..., DataFrame]:
+    found = (_MASKED if masked else _BUILDERS).get(name)
+    if found is None:
+        raise KeyError(f"no {'masked ' if masked else ''}source registered under {name!r}")
+    return found
 
 
-def registered() -> list[str]:
-    return sorted(_BUILDERS)
+def registered(*, masked: bool = False) -> list[str]:
+    return sorted(_MASKED if masked else _BUILDERS)
+
+
+def supports_test(name: str) -> bool:
+    """U-7: whether the source can be used for a test run."""
+    if name not in _BUILDERS and name not in _MASKED:
+        raise KeyError(f"no source registered under {name!r}")
+    return name not in _WITHOUT_TEST
 
 
 def _books(spark: SparkSession, root: str, split: str = "train", **kw) -> DataFrame:
@@ -45,8 +60,23 @@ def _questions(spark: SparkSession, path: str, **kw) -> DataFrame:
     return read_questions(spark, path, **kw)
 
 
+def _masked_books(
+    spark: SparkSession, root: str, split: str = "train", *, seq_len: int, workers: int = 1, worker: int | None = None,
+    epoch: int = 0, seed: int = 0, include_tail: bool = False, hash_mode: str = "xxhash64", **options
+) -> DataFrame:
+    """IO-2: windows of a split's books with masked ids, mask and labels."""
+    from bytelane.operators.windows import byte_windows, masked_sample
+    from bytelane.sources.corpus import corpus_from_files, masked_corpus_options
+
+    opts = masked_corpus_options(**options)
+    docs = corpus_from_files(spark, root, split, family="books")
+    w, _ = byte_windows(docs, seq_len, workers=workers, worker=worker, offset=epoch, include_tail=include_tail)
+    return masked_sample(w, seq_len, seed=seed, epoch=epoch, hash_mode=hash_mode, **opts)
+
+
 register("books", _books)
-register("questions", _questions)
+register("questions", _questions, supports_test=False)  # the test split has no answers
+register("masked_books", _masked_books, masked=True)
 
 
 # ---------------------------------------------------------------------------

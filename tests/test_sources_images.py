@@ -99,3 +99,48 @@ def test_registry_and_sample_source(spark):
     assert [r.idx for r in rows] == list(range(21))
     assert rows[5].tokens == [5, 6, 7, 8] and rows[5].loss_mask == [1.0] * 4
     assert df.rdd.getNumPartitions() == 3
+
+
+def test_masked_source_and_test_split_flag(spark, tmp_path):
+    import pytest
+
+    from bytelane.sources import registry as REG
+
+    (tmp_path / "train").mkdir()
+    for name, data in (("b.txt", b"y" * 70), ("a.txt", b"x" * 50)):
+        (tmp_path / "train" / name).write_bytes(data)
+    build = REG.retrieve("masked_books", masked=True)
+    rows = build(spark, str(tmp_path), seq_len=40, masking_proba=0.5).orderBy("idx").collect()
+    assert [r.idx for r in rows] == [0, 1, 2] and rows[0].labels == [120] * 40
+    for r in rows:
+        assert all((i == -100) == m and (m or i == t) for i, m, t in zip(r.masked_ids, r.mask, r.labels))
+    assert 0 < sum(sum(r.mask) for r in rows) < 120
+    with pytest.raises(KeyError):
+        REG.retrieve("masked_books")
+    assert REG.supports_test("books") and REG.supports_test("masked_books") and not REG.supports_test("questions")
+
+
+def test_file_order_by_hash_is_dense_and_reads_no_content(spark, tmp_path):
+    from bytelane.operators import windows as W
+    from bytelane.sources.corpus import corpus_from_files
+
+    (tmp_path / "train").mkdir()
+    for i in range(9):
+        (tmp_path / "train" / f"f{i}.txt").write_bytes(bytes([65 + i]) * (i + 1))
+    docs = corpus_from_files(spark, str(tmp_path), order="hash")
+    assert sorted(r.doc_id for r in docs.collect()) == list(range(9))
+    offs, tot = W.corpus_offsets(corpus_from_files(spark, str(tmp_path)))
+    assert tot.total == 45
+    scans = [x for x in offs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in x]
+    assert all("content" not in x for x in scans)
+
+
+def test_question_index_runs_on_over_files(spark, tmp_path):
+    import json
+
+    from bytelane.operators import qa as QA
+
+    for name, n in (("a.json", 2), ("b.json", 3)):
+        (tmp_path / name).write_text(json.dumps({"info": {}, "questions": [{"question": f"{name}{i}"} for i in range(n)]}))
+    got = sorted((r.idx, r.question) for r in QA.read_questions(spark, str(tmp_path)).collect())
+    assert got == [(0, "a.json0"), (1, "a.json1"), (2, "b.json0"), (3, "b.json1"), (4, "b.json2")]
