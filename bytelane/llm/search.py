@@ -1,6 +1,6 @@
 """Exact BM25 top-k by an inverted index with block-max pruning, shard by shard.
 
-1. Every shard (some MB of documents) is indexed once: its terms with the
+1. Every shard (a few MB of documents) is indexed once: its terms with the
    documents and counts of each. Documents of a shard are put in order of
    their most frequent term, so that a block of `BLOCK` neighbours shares a
    vocabulary and its maxima are tight.
@@ -40,10 +40,10 @@ from bytelane.llm.words import ALNUM, LOWER, expand, prefix_hash, span_hashes, s
 
 K1, B = 1.2, 0.75
 DIGITS = 6
-SHARD_BYTES = 16 << 20
-BLOCK = 64  # documents under one maximum
-FREQUENT = 48  # terms in at least this many documents of a shard are scored by block
-CHUNK = 256  # queries scored together
+SHARD_BYTES = 4 << 20
+BLOCK = 32  # documents under one maximum
+FREQUENT = 192  # terms in at least this many documents of a shard are scored by block
+CHUNK = 128  # queries scored together
 QUERY_TERMS = 4_000_000
 LAST = (1 << 63) - 1  # stands for a null id in comparisons
 
@@ -200,23 +200,28 @@ def with_statistics(queries: Queries, shards: DataFrame) -> Queries:
 
 
 class Best:
-    """The best k of each query so far: rounded score, then id."""
+    """The best k of each query so far: rounded score, then id. Empty places score 0."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.least = np.full(n, -np.inf)  # k-th best score of each query
+        self.scores, self.ids = np.zeros((n, k)), np.full((n, k), LAST)
 
-    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        query, score, ids = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.id, ids)))
+    def add(self, lo: int, hi: int, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Merge candidates of the queries `lo:hi` (`query` counts from `lo`)."""
+        old = self.scores[lo:hi] > 0
+        query = np.concatenate([np.nonzero(old)[0], query])
+        score, ids = np.concatenate([self.scores[lo:hi][old], score]), np.concatenate([self.ids[lo:hi][old], ids])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
-        first = np.searchsorted(query, np.arange(len(self.least)))
-        nth = np.arange(len(query)) - first[query]
+        nth = np.arange(len(query)) - np.searchsorted(query, np.arange(hi - lo))[query]
         keep = nth < self.k
-        self.query, self.score, self.id = query[keep], score[keep], ids[keep]
-        last = nth == self.k - 1
-        self.least[query[last]] = score[last]
+        self.scores[lo:hi], self.ids[lo:hi] = 0, LAST
+        self.scores[lo + query[keep], nth[keep]] = score[keep]
+        self.ids[lo + query[keep], nth[keep]] = ids[keep]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, nth = np.nonzero(self.scores > 0)
+        return query, self.scores[query, nth], self.ids[query, nth]
 
 
 def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
@@ -252,27 +257,29 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
         if not len(s):
             continue
         isf = often[s]
-        wants = np.zeros((hi - lo, len(dense)))
-        wants[q[isf], column[s[isf]]] = 1
+        # only the frequent terms that this chunk asks for
+        used, asked = np.unique(column[s[isf]], return_inverse=True)
+        wants = np.zeros((hi - lo, len(used)))
+        wants[q[isf], asked] = 1
         q, s = q[~isf], s[~isf]
         n = rare_upto[s + 1] - rare_upto[s]
         entry = expand(rare_upto[s], n)
         rare = np.bincount(np.repeat(q, n) * n_docs + rare_doc[entry], rare_value[entry], (hi - lo) * n_docs).reshape(hi - lo, n_docs)
-        bound = wants @ peak + np.maximum.reduceat(rare, blocks, axis=1)
-        least = best.least[lo:hi, None]
+        bound = wants @ peak[used] + np.maximum.reduceat(rare, blocks, axis=1)
+        least = best.scores[lo:hi, -1:]  # the k-th best of each query so far
         open_ = (bound > 0) & (bound >= least - 10.0 ** -DIGITS)
         scored += int(open_.sum())
         picked = np.flatnonzero(open_.any(axis=0))
         if not len(picked):
             continue
         docs = expand(blocks[picked], np.minimum(BLOCK, n_docs - blocks[picked]))
-        score = wants @ dense[:, docs] + rare[:, docs]
+        score = wants @ dense[np.ix_(used, docs)] + rare[:, docs]
         # the k-th best here or so far, whichever is higher
         if len(docs) > best.k:
             here = -np.partition(-score, best.k - 1, axis=1)[:, best.k - 1:best.k]
             least = np.maximum(least, here)
         row, col = np.nonzero((score >= least - 10.0 ** -DIGITS) & (score > 0))
-        best.add(row + lo, np.round(score[row, col], DIGITS), shard.ids[docs[col]])
+        best.add(lo, hi, row, np.round(score[row, col], DIGITS), shard.ids[docs[col]])
     return scored
 
 
@@ -297,8 +304,9 @@ def _searched(shards: DataFrame, queries: Queries, k: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 search_shard(Shard.of(batch, i), queries, best)
-        columns = [queries.ids[best.query], best.id]
+        query, score, ids = best.rows()
+        columns = [queries.ids[query], ids]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, mask=c == LAST) for c in columns], pa.array(best.score)], names=["query_id", "doc_id", "score"])
+            [*[pa.array(c, mask=c == LAST) for c in columns], pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return shards.select("ids", "lengths", "terms", "upto", "docs", "counts").mapInArrow(run, "query_id long, doc_id long, score double")

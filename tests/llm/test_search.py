@@ -71,5 +71,5 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     again = search.search_shard(shard, q, best)
     n = -(-len(docs) // search.BLOCK)
     assert first < n and again <= first
-    want = sorted(((-s, i) for s, i in zip(best.score, best.id)))[:1]
+    want = sorted(((-s, i) for s, i in zip(best.scores[0].tolist(), best.ids[0].tolist())))[:1]
     assert want[0][1] == 0
