@@ -10,7 +10,8 @@
    exact; for frequent terms the block's greatest weight bounds what a
    document of the block can get. A block whose bound stays below the k-th
    best score that the task knows is skipped for the chunk; the others are
-   scored exactly. The k-th best score rises from shard to shard.
+   scored exactly. The k-th best score rises from shard to shard, and starts
+   from that of a pilot: one shard in `PILOT`, searched before the others.
 4. The tasks' lists are merged by score, then id. Every document that can be
    in the answer was scored with the global statistics, so the merge is exact.
 
@@ -45,6 +46,8 @@ BLOCK = 32  # documents under one maximum
 FREQUENT = 192  # terms in at least this many documents of a shard are scored by block
 CHUNK = 128  # queries scored together
 QUERY_TERMS = 4_000_000
+PILOT = 8  # one shard in so many is searched first
+SHARDS_PER_PILOT_TASK = 8
 LAST = (1 << 63) - 1  # stands for a null id in comparisons
 
 
@@ -202,9 +205,14 @@ def with_statistics(queries: Queries, shards: DataFrame) -> Queries:
 class Best:
     """The best k of each query so far: rounded score, then id. Empty places score 0."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
         self.scores, self.ids = np.zeros((n, k)), np.full((n, k), LAST)
+        self.floor = np.zeros(n) if floor is None else floor  # no lower score can be among the k best
+
+    def least(self, lo: int, hi: int) -> np.ndarray:
+        """What a score has to reach, for each of the queries `lo:hi`."""
+        return np.maximum(self.scores[lo:hi, -1], self.floor[lo:hi])[:, None]
 
     def add(self, lo: int, hi: int, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """Merge candidates of the queries `lo:hi` (`query` counts from `lo`)."""
@@ -266,7 +274,7 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
         entry = expand(rare_upto[s], n)
         rare = np.bincount(np.repeat(q, n) * n_docs + rare_doc[entry], rare_value[entry], (hi - lo) * n_docs).reshape(hi - lo, n_docs)
         bound = wants @ peak[used] + np.maximum.reduceat(rare, blocks, axis=1)
-        least = best.scores[lo:hi, -1:]  # the k-th best of each query so far
+        least = best.least(lo, hi)
         open_ = (bound > 0) & (bound >= least - 10.0 ** -DIGITS)
         scored += int(open_.sum())
         picked = np.flatnonzero(open_.any(axis=0))
@@ -279,7 +287,9 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
             here = -np.partition(-score, best.k - 1, axis=1)[:, best.k - 1:best.k]
             least = np.maximum(least, here)
         row, col = np.nonzero((score >= least - 10.0 ** -DIGITS) & (score > 0))
-        best.add(lo, hi, row, np.round(score[row, col], DIGITS), shard.ids[docs[col]])
+        exact = np.round(score[row, col], DIGITS)
+        fits = exact >= best.floor[lo + row]
+        best.add(lo, hi, row[fits], exact[fits], shard.ids[docs[col[fits]]])
     return scored
 
 
@@ -290,17 +300,39 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     parts = None
     for block in query_blocks(queries, query_id, query_text):
         q = with_statistics(block, shards)
-        found = _searched(shards, q, k)
+        found = _pilot_then_rest(shards, q, k)
         parts = found if parts is None else parts.union(found)
     if parts is None:
         parts = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    return _ranked(parts, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def _pilot_then_rest(shards: DataFrame, queries: Queries, k: int) -> DataFrame:
+    """Candidates from all shards: one in `PILOT` first, whose k-th best scores are the floor for the others.
+
+    A task then reports only what can still be among the best, instead of its
+    own k best for each query.
+    """
+    pilot = F.pmod(F.xxhash64("ids"), F.lit(PILOT)) == 0
+    tasks = shards.where(pilot).count() // SHARDS_PER_PILOT_TASK + 1
+    first = settle(_ranked(_searched(shards.where(pilot).coalesce(tasks), queries, k), k).drop("rank"), "pilot")
+    # one number a query of the block
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") == k).toArrow()
+    place = {x: i for i, x in enumerate(queries.ids.tolist())}
+    floor = np.zeros(len(queries.ids))
+    for query, score in zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True):
+        floor[place[LAST if query is None else query]] = score
+    return first.union(_searched(shards.where(~pilot), queries, k, floor))
 
 
-def _searched(shards: DataFrame, queries: Queries, k: int) -> DataFrame:
+def _searched(shards: DataFrame, queries: Queries, k: int, floor: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(queries.ids), k)
+        best = Best(len(queries.ids), k, floor)
         for batch in batches:
             for i in range(batch.num_rows):
                 search_shard(Shard.of(batch, i), queries, best)
