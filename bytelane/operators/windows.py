@@ -34,6 +34,9 @@ from bytelane.functions.hashing import uniform_int
 from bytelane.operators.offsets import Totals, global_row_index, join_small_or_shuffle, prefix_sum
 
 
+SMALL_PER_CORE = 32 << 20  # bytes of text
+
+
 @dataclass(frozen=True)
 class ShardSpec:
     """Arithmetic of one sharding: all values are plain driver-side integers."""
@@ -86,7 +89,13 @@ def corpus_offsets(docs: DataFrame, key: str = "doc_id", content: str = "content
 def locate_documents(docs: DataFrame, key: str = "doc_id", content: str = "content") -> tuple[DataFrame, Totals]:
     """Documents with their global start offset: `(key, content, n_bytes, start)`."""
     offs, tot = corpus_offsets(docs, key, content)
-    located = join_small_or_shuffle(docs.select(key, content), offs, key, tot.rows)
+    contents = docs.select(key, content)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if tot.total < cores * SMALL_PER_CORE:
+        # a corpus of one file part would be cut by one task; only so few
+        # bytes are ever moved for it, larger corpora stay where they are read
+        contents = contents.repartition(cores, key)
+    located = join_small_or_shuffle(contents, offs, key, tot.rows)
     return located, tot
 
 
