@@ -1,11 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its words and their leading 4 and 6 bytes (A-Z
-lower-cased), hashed into 2^18 buckets; a term counts once per document. Over
-the labelled sample the buckets are counted in Spark and the `FEATURES` of
-them that tell the classes apart best (chi-squared) become the machine's
-inputs. It learns a weight for each and a vector of `FACTORS` numbers, whose
-products are the weights of all pairs, by AdaGrad on the logistic loss.
+lower-cased), hashed into 2^18 buckets; a term counts once per document. All
+buckets that occur in the labelled sample are the machine's inputs, however
+rare. It learns a weight for each and a vector of `FACTORS` numbers, whose
+products are the weights of all pairs, on the logistic loss.
 
 The fit reads at most `TRAIN_ROWS` labelled documents (whole texts), the
 smallest by a hash of the id; scoring reads every whole text of every row.
@@ -33,9 +32,11 @@ from bytelane.llm.words import ALNUM, LOWER, mix, prefix_hash, span_hashes, spli
 TRAIN_ROWS = 20_000
 BITS = 18
 PREFIXES = (4, 6)
-FEATURES = 1024
 FACTORS = 4
 EPOCHS = 12
+PENALTY = 20.0  # L1, on the weights
+SETTLED = 1e-3  # a smaller error moves nothing but the bias
+PATIENCE = 3  # epochs without a smaller loss on the rows kept apart
 
 
 @dataclass
@@ -106,59 +107,82 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     slots = np.full(1 << BITS, -1, np.int64)
     if pos == 0 or pos == n:
         return Machine(base, slots, np.zeros(1), np.zeros((1, FACTORS)))
-    counts = sets.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("label").alias("p"))
-    # chi-squared of the two-by-two table of term and label
-    c, p = F.col("c").cast("double"), F.col("p").cast("double")
-    gap = p * n - c * pos
-    chi = gap * gap / (c * (F.lit(float(n)) - c + 1e-9) * pos * (n - pos))
-    best = [r["term"] for r in counts.where("c >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(FEATURES).collect()]
-    slots[best] = np.arange(len(best))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [[s for s in slots[np.asarray(x, np.int64)].tolist() if s >= 0] for x in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], names=["label", "features"])
-
-    # at most TRAIN_ROWS rows of at most FEATURES numbers
-    rows = sets.mapInArrow(own, "label int, features array<int>").collect()
-    rows.sort(key=lambda r: (r["label"], r["features"]))
-    return _learn([np.array(sorted(r["features"]), np.int64) for r in rows], np.array([r["label"] for r in rows], float), slots, base, len(best))
+    # at most TRAIN_ROWS rows, as Arrow
+    rows = sets.toArrow()
+    lists, y = rows.column("terms").combine_chunks(), rows.column("label").to_numpy()
+    bounds, found = lists.offsets.to_numpy(), lists.values.to_numpy()
+    known = np.unique(found[bounds[0]:bounds[-1]])
+    slots[known] = np.arange(len(known))
+    features = [slots[found[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+    order = sorted(range(len(y)), key=lambda i: (y[i], features[i].astype(">i4").tobytes()))
+    return _learn([features[i] for i in order], y[order].astype(float), slots, base, len(known))
 
 
 def _learn(features: list[np.ndarray], y: np.ndarray, slots: np.ndarray, base: float, n: int) -> Machine:
+    """`EPOCHS` over the weights alone, then as many over weights and factors.
+
+    The weights follow the regularised leader with an L1 penalty, so a term
+    gets one as soon as its documents ask for it, however rare it is. The
+    factors then learn what the sums leave. Every fifth row at random is kept
+    apart, and the epoch with the least loss on those rows is the result.
+    """
     rng = np.random.default_rng(7)
-    m = Machine(base, slots, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)))
-    seen_w, seen_v, seen_b = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    rate, decay = 0.1, 1e-5
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), 64):
-            batch = order[at:at + 64]
-            sizes = np.array([len(features[i]) for i in batch])
-            text = np.repeat(np.arange(len(batch)), sizes)
+    bias = base
+    # weight, factors and the factors' squares side by side: one look-up a term
+    p = np.zeros((n, FACTORS + 2), np.float32)
+    p[:, 1:-1] = rng.normal(0, 0.01, (n, FACTORS))
+    p[:, -1] = (p[:, 1:-1] ** 2).sum(axis=1)
+    pull, seen_w, seen_v, seen_b = np.zeros(n), np.zeros(n), np.full((n, FACTORS), 100.0), 1.0
+    rate = 0.1
+    sizes = np.array([len(f) for f in features])
+    shuffled = rng.permutation(len(y))
+    apart, rows = shuffled[:len(y) // 5], shuffled[len(y) // 5:]
+    text_apart = np.repeat(np.arange(len(apart)), sizes[apart])
+    f_apart = np.concatenate([np.zeros(0, np.int64), *(features[i] for i in apart)])
+    least, best, best_epoch = np.inf, None, 0
+    for epoch in range(2 * EPOCHS):
+        order = rng.permutation(rows)
+        for begin in range(0, len(order), 64):
+            batch = order[begin:begin + 64]
+            q = np.zeros((len(batch), FACTORS + 2))
+            size = sizes[batch]
             f = np.concatenate([features[i] for i in batch])
-            error = (sigmoid(m.logits(text, f, len(batch))) - y[batch]) / len(batch)
+            if len(f):
+                q[size > 0] = np.add.reduceat(p[f], (np.cumsum(size) - size)[size > 0], axis=0)
+            s = q[:, 1:-1]
+            error = sigmoid(bias + q[:, 0] + 0.5 * ((s * s).sum(axis=1) - q[:, -1])) - y[batch]
             g = error.sum()
             seen_b += g * g
-            m.bias -= rate * g / np.sqrt(seen_b)
-            if not len(f):
+            bias -= rate * g / np.sqrt(seen_b)
+            on = (np.abs(error) > SETTLED) & (size > 0)
+            if not on.any():
+                continue
+            used, at = np.unique(f[np.repeat(on, size)], return_inverse=True)
+            text = np.repeat(np.flatnonzero(on), size[on])
+            gw = np.bincount(at, error[text])
+            v = p[used, 1:-1].astype(float)
+            es = error[:, None] * s
+            gv = np.stack([np.bincount(at, es[text, k]) for k in range(FACTORS)], axis=1) - v * gw[:, None]
+            more = seen_w[used] + gw ** 2
+            pull[used] += gw - (np.sqrt(more) - np.sqrt(seen_w[used])) * p[used, 0]
+            seen_w[used] = more
+            p[used, 0] = -np.sign(pull[used]) * np.maximum(np.abs(pull[used]) - PENALTY, 0) / (1 + np.sqrt(more))
+            if epoch < EPOCHS:
                 continue
-            v = m.factors[f]
-            s = np.zeros((len(batch), FACTORS))
-            np.add.at(s, text, v)
-            e = error[text]
-            gw, gv = np.zeros(n), np.zeros((n, FACTORS))
-            np.add.at(gw, f, e)
-            np.add.at(gv, f, e[:, None] * (s[text] - v))
-            used = np.unique(f)
-            gw[used] += decay * m.weights[used]
-            gv[used] += decay * m.factors[used]
-            seen_w[used] += gw[used] ** 2
-            seen_v[used] += gv[used] ** 2
-            m.weights[used] -= rate * gw[used] / np.sqrt(seen_w[used])
-            m.factors[used] -= rate * gv[used] / np.sqrt(seen_v[used])
-    return m
+            seen_v[used] += gv ** 2
+            v -= rate * gv / np.sqrt(seen_v[used])
+            p[used, 1:-1] = v
+            p[used, -1] = (v * v).sum(axis=1)
+        if epoch < EPOCHS - 1:
+            continue
+        m = Machine(bias, slots, p[:, 0].astype(float), p[:, 1:-1].astype(float))
+        chance = sigmoid(m.logits(text_apart, f_apart, len(apart)))
+        loss = -np.log(np.where(y[apart] == 1, chance, 1 - chance)).sum()
+        if loss < least or not len(apart):
+            least, best, best_epoch = loss, m, epoch
+        elif epoch - best_epoch >= PATIENCE:
+            break
+    return best
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "toxicity", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,26 @@ def test_the_machine_learns_a_pair_that_no_sum_tells_apart():
         assert (p > 0.5) == (want == 1)
 
 
+def test_fit_learns_a_pair_among_more_terms_than_any_cut(spark):
+    # label 1: exactly one of the two words; each alone tells nothing
+    rng = np.random.default_rng(17)
+    cases = [("zeppelin", 1), ("aardvark", 1), ("zeppelin aardvark", 0), ("", 0)]
+    rows = [(i, " ".join([cases[i % 4][0], *(f"{w:05d}x" for w in rng.integers(0, 6000, 8))]), cases[i % 4][1]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert [int(p > 0.5) for p in m.scores(pa.array([c[0] for c in cases]))] == [c[1] for c in cases]
+
+
+def test_every_term_of_the_sample_is_an_input(spark):
+    # 1,500 insults, each in two documents
+    rows = [(i, f"common words {i // 2:04d}" if i < 3000 else f"common words {i:05d}", int(i < 3000)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    seen = [t for i, t, _ in docs.collect() if zlib.crc32(str(i).encode()) % 5]
+    _, bucket = toxicity.terms(pa.array(seen))
+    assert (m.slots[np.unique(bucket)] >= 0).all() and len(m.weights) == len(np.unique(bucket)) > 1024
+
+
 def test_logits_against_the_formula():
     rng = np.random.default_rng(3)
     m = toxicity.Machine(0.3, None, rng.normal(size=6), rng.normal(size=(6, 4)))
