@@ -7,8 +7,9 @@ it at all) and the chunk's length pass a hidden layer. The hidden values'
 maximum and mean over all chunks of the document give one probability.
 
 The fit reads at most `TRAIN_ROWS` labelled documents, the smallest by a hash
-of the id, and of each at most `TRAIN_CHUNKS` evenly spread chunks. Scoring
-reads every chunk of every document, a bounded number at a time.
+of the id, and of these as many whole ones, by a hash of the text, as
+`TRAIN_BYTES` hold. Fit and scoring read every chunk of a document, a bounded
+number at a time.
 
 Defined results: null and empty texts are one chunk without bytes; without
 labelled rows, or with one class only, every score is the smoothed share of
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bytelane.llm.labelled import labelled_texts, sigmoid, with_block_scores
 from bytelane.llm.words import expand, text_blocks, text_buffer
 
 TRAIN_ROWS = 8_000
-TRAIN_CHUNKS = 24
+TRAIN_BYTES = 64 << 20
 EPOCHS = 5
 CHUNK, WIDTH, STRIDE = 256, 8, 2
 STEP = CHUNK - WIDTH
@@ -113,12 +115,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             first = np.searchsorted(owner, np.arange(block.num_rows + 1))
             rows = []
             for i in range(block.num_rows):
-                picked = np.unique(np.linspace(first[i], first[i + 1] - 1, TRAIN_CHUNKS).astype(np.int64))
-                rows.append([raw[starts[j]:ends[j]].tobytes() for j in picked])
+                rows.append([raw[starts[j]:ends[j]].tobytes() for j in range(first[i], first[i + 1])])
             yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(rows, pa.list_(pa.binary()))], names=["label", "chunks"])
 
-    sample = labelled_texts(docs, labels, label, TRAIN_ROWS, id_col, text_col).mapInArrow(run, "label int, chunks array<binary>")
-    # at most TRAIN_ROWS rows of at most TRAIN_CHUNKS chunks
+    texts = labelled_texts(docs, labels, label, TRAIN_ROWS, id_col, text_col)
+    order = F.xxhash64("text")
+    sizes = texts.select(order.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    if len(sizes) and total[-1] > TRAIN_BYTES:
+        texts = texts.where(order <= sizes[max(int(np.searchsorted(total, TRAIN_BYTES, "right")) - 1, 0)]["h"])
+    sample = texts.mapInArrow(run, "label int, chunks array<binary>")
+    # whole documents of about TRAIN_BYTES
     rows = sorted(((r["label"], [bytes(c) for c in r["chunks"]]) for r in sample.collect()), key=lambda r: (r[0], r[1]))
     return learn([r[1] for r in rows], np.array([r[0] for r in rows], np.float32))
 
@@ -154,26 +161,37 @@ def _gradients(net: Network, docs: list[list[bytes]], y: np.ndarray) -> dict[str
     sizes = np.array([len(c) for c in parts])
     raw = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(sizes)
-    chunks = chunk_bytes(raw, ends - sizes, ends)
-    h, h_raw, pooled, top, z, w = net.chunk_values(chunks, sizes, keep=True)
+    blocks = [slice(at, at + AT_ONCE) for at in range(0, len(parts), AT_ONCE)]
+
+    def values(block: slice):
+        chunks = chunk_bytes(raw, (ends - sizes)[block], ends[block])
+        return chunks, net.chunk_values(chunks, sizes[block], keep=True)
+
+    # one block's values are kept; those of more blocks are computed again
+    only = values(blocks[0]) if len(blocks) == 1 else None
+    h = only[1][0] if only else np.concatenate([values(block)[1][0] for block in blocks])
     first = np.searchsorted(owner, np.arange(len(docs)))
     best, count = np.maximum.reduceat(h, first, axis=0), np.bincount(owner)[:, None]
     features = np.concatenate([best, np.add.reduceat(h, first, axis=0) / count], axis=1)
     error = ((sigmoid(features @ p["out"] + p["out_b"]) - y) / len(y)).astype(np.float32)
-    g = {"out": features.T @ error, "out_b": error.sum(keepdims=True)}
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["out"], g["out_b"] = features.T @ error, error.sum(keepdims=True)
     to_features = error[:, None] * p["out"][None, :]
     is_best = h == best[owner]
-    dh = is_best * to_features[owner, :HIDDEN] + (to_features[:, HIDDEN:] / count)[owner]
-    dh = (dh * (h_raw > 0)).astype(np.float32)
-    g["hidden"], g["hidden_b"] = pooled.T @ dh, dh.sum(axis=0)
-    dtop = (dh @ p["hidden"].T)[:, :FILTERS] * (top > 0)
-    g["conv_b"] = dtop.sum(axis=0)
-    place = z.argmax(axis=1)
-    chosen = w[np.arange(len(w))[:, None], place]  # chunk, filter, window
-    g["conv"] = np.einsum("cf,cfw->wf", dtop, chosen)
-    dw = (dtop[:, :, None] * p["conv"].T[None]).reshape(len(w), FILTERS, WIDTH, VECTOR)
-    at = chunks[np.arange(len(w))[:, None, None], place[:, :, None] * STRIDE + np.arange(WIDTH)]
-    g["bytes"] = np.stack([np.bincount(at.ravel(), dw[..., j].ravel(), 257) for j in range(VECTOR)], axis=1).astype(np.float32)
+    dh_all = is_best * to_features[owner, :HIDDEN] + (to_features[:, HIDDEN:] / count)[owner]
+    for block in blocks:
+        chunks, (_, h_raw, pooled, top, z, w) = only or values(block)
+        dh = (dh_all[block] * (h_raw > 0)).astype(np.float32)
+        g["hidden"] += pooled.T @ dh
+        g["hidden_b"] += dh.sum(axis=0)
+        dtop = (dh @ p["hidden"].T)[:, :FILTERS] * (top > 0)
+        g["conv_b"] += dtop.sum(axis=0)
+        place = z.argmax(axis=1)
+        chosen = w[np.arange(len(w))[:, None], place]  # chunk, filter, window
+        g["conv"] += np.einsum("cf,cfw->wf", dtop, chosen)
+        dw = (dtop[:, :, None] * p["conv"].T[None]).reshape(len(w), FILTERS, WIDTH, VECTOR)
+        at = chunks[np.arange(len(w))[:, None, None], place[:, :, None] * STRIDE + np.arange(WIDTH)]
+        g["bytes"] += np.stack([np.bincount(at.ravel(), dw[..., j].ravel(), 257) for j in range(VECTOR)], axis=1).astype(np.float32)
     return g
 
 

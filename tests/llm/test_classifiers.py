@@ -119,6 +119,25 @@ def test_network_gradients():
             assert g[i] == pytest.approx((up - down) / 2e-5, abs=2e-4)
 
 
+def test_fit_reads_every_chunk_of_a_long_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda docs, y: seen.extend(docs))
+    text = "".join(f"{i:07d} " for i in range(12_500))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    raw = max(seen, key=len)
+    assert raw[0] + b"".join(c[quality.WIDTH:] for c in raw[1:]) == text.encode()
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    docs = [[b"some text %d" % i for i in range(9)], [b"x"], [b"!!!! %d ????" % i for i in range(7)]]
+    y = np.array([1.0, 0.0, 1.0], np.float32)
+    whole = quality._gradients(quality.Network(), docs, y)
+    monkeypatch.setattr(quality, "AT_ONCE", 4)
+    parts = quality._gradients(quality.Network(), docs, y)
+    assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
+
+
 @pytest.mark.parametrize("module,out,label", [(toxicity, "toxicity", "toxic"), (quality, "p", "quality")])
 def test_edge_cases(spark, module, out, label):
     docs = spark.createDataFrame(
