@@ -7,7 +7,7 @@ engine can produce exactly the same rows; the SQL lives in `oracles.py`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelane.functions import bytes as B
@@ -733,10 +733,22 @@ STREAM_CHUNKS = 3
 STREAM_EOS = 10  # newline
 
 
+def turn_span(conversations: DataFrame) -> int:
+    """More than any turn number: `conv_id * span + turn` is a key of its own for every turn."""
+    return max(1000, int(conversations.agg(F.max("turn")).first()[0] or 0) + 1)
+
+
+def shown_stream_id(spark: SparkSession, d: str) -> Column:
+    """`conv_id * 1000 + turn`, the number under which a stream is returned, from its key."""
+    span = F.lit(turn_span(table(spark, d, "conversations"))).cast("long")
+    turn = F.pmod(F.col("stream_id"), span)
+    return (F.call_function("div", F.col("stream_id") - turn, span) * 1000 + turn).alias("stream_id")
+
+
 def conversation_tokens(spark: SparkSession, d: str, end_marker: bool = True) -> DataFrame:
     """Every conversation turn as a token stream `(stream_id, seq, token)` (+ an END row)."""
     c = table(spark, d, "conversations")
-    sid = (F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id")
+    sid = (F.col("conv_id") * F.lit(turn_span(c)).cast("long") + F.col("turn")).alias("stream_id")
     toks = c.select(sid, F.posexplode(B.text_to_array("text")).alias("seq", "token")).select(
         "stream_id", F.col("seq").cast("long"), F.col("token").cast("long")
     )
@@ -752,7 +764,7 @@ def _stream_text(spark: SparkSession, d: str, name: str, mode: str, tokens: Data
     files = RN.write_token_files(tokens, path, STREAM_CHUNKS)
     out = RN.run_available(BS.decode_stream(RN.token_stream(spark, path, files), mode, **kw), name)
     parts = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "text"))).alias("p"))
-    return parts.select("stream_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return parts.select(shown_stream_id(spark, d), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
 
 def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -838,7 +850,7 @@ def q_raw_bytes(spark: SparkSession, d: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("seq", F.decode("byte", "ISO-8859-1").alias("c")))).alias("p")
     )
     data = F.encode(F.array_join(F.transform("p", lambda x: x["c"]), ""), "ISO-8859-1")
-    return per.select("stream_id", F.octet_length(data).cast("bigint").alias("n_bytes"), F.hex(data).alias("hex"))
+    return per.select(shown_stream_id(spark, d), F.octet_length(data).cast("bigint").alias("n_bytes"), F.hex(data).alias("hex"))
 
 
 QUERIES = {

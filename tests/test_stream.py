@@ -134,3 +134,17 @@ def test_timeouts_flush_gaps_and_remove_finished_state():
     list(BS.make_processor(ttl_ms=1000, max_tokens=1)((1,), iter([rows]), state))
     late = State(True, state.value)
     assert list(fn((1,), iter([]), late)) == [] and late.removed
+
+
+def test_long_conversations_keep_every_turn(spark, tmp_path):
+    from bytelane import catalog as C
+
+    rows = [(0, 1000, "user", "late turn\n"), (1, 0, "user", "next"), (-3, 2400, "user", "é"), (-1, 400, "user", "own"), (2, 3, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = sorted((c * 1000 + t, text) for c, t, _, text in rows)
+    for q in (C.q_stream_decode, C.q_stream_stop):
+        assert sorted((r.stream_id, r.text) for r in q(spark, str(tmp_path)).collect()) == want
+    printed = sorted((i, " ".join(map(str, x.encode()))) for i, x in want)
+    assert sorted((r.stream_id, r.text) for r in C.q_stream_int(spark, str(tmp_path)).collect()) == printed
+    raw = sorted((r.stream_id, bytes.fromhex(r.hex).decode()) for r in C.q_raw_bytes(spark, str(tmp_path)).collect())
+    assert raw == want
