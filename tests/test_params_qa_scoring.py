@@ -10,7 +10,7 @@ from bytelane.functions import scoring as SC
 from bytelane.functions.tokens import TokenIds
 from bytelane.operators import params as PM
 from bytelane.operators import qa as QA
-from conftest import SF_SMALL
+from corpus_helpers import SF_SMALL
 
 STATE = "key STRING, row INT, vec ARRAY<FLOAT>"
 

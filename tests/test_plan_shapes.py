@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from bytelane import catalog
-from conftest import SF_CHECK
+from corpus_helpers import SF_CHECK
 
 NO_STREAMS = [n for n in catalog.QUERIES if not (n.startswith("stream_") or n == "metric_stream")]
 

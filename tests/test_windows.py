@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelane.operators import windows as W
-from conftest import corpus_df, ref_windows
+from corpus_helpers import corpus_df, ref_windows
 
 
 def split_random(data: bytes, n_docs: int, seed: int):
