@@ -2,9 +2,6 @@ import pytest
 
 from bytelane.session import ensure_checkpoint_dir
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(autouse=True)
 def shared_folder(spark):
