@@ -120,9 +120,54 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+df AS (SELECT t, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY t),
+q AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(min(coalesce(text, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark GROUP BY item_id) GROUP BY ALL),
+sizes AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(w)::BIGINT * s.n) // s.l) AS m FROM d, s WHERE len(w) > 0),
+scored AS (
+  SELECT q.item_id, tf.rid, any_value(z.doc_id) AS doc_id,
+    sum(q.times * df.weight * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * z.m)))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t) JOIN sizes z ON z.rid = tf.rid
+  GROUP BY q.item_id, tf.rid)
+SELECT * FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+OP13 = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+pairs AS (
+  SELECT a.rid AS a, b.rid AS b, CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END AS c
+  FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE a.usable AND b.usable),
+links AS (SELECT a, b FROM pairs WHERE c >= 0.93),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = r.b GROUP BY r.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.rid) AS n_links, least.component_id,
+  v.vec_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM v JOIN least ON least.a = v.rid
+"""
+
 ORACLES = {
     "op1_chat_format": OP1,
     "op4_secret_scan": OP4,
     "op8_bm25_top_k": OP8,
     "op9_decontaminate": OP9,
+    "op12_ranked_search": OP12,
+    "op13_embedding_dedup": OP13,
 }

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelane.llm import chat, decontam, labelled, pieces, quality, search, secrets, simhash, substrings, suffixmerge, toxicity
+from bytelane.llm import (
+    chat, decontam, labelled, pieces, pigeonhole, quality, ranked, search, secrets, simhash, substrings, suffixmerge, toxicity, whitening)
 from bytelane.sources.tables import table
 
 
@@ -91,6 +92,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept_sha").alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every whole and finite vector, from the covariance of the distinct ones."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.component_rows(*whitening.whiten(vectors))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.top_k(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, among vectors of its label with cosine 0.93 or more."""
+    d = pigeonhole.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return d.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -102,4 +121,7 @@ QUERIES = {
     "op8_bm25_top_k": op8_bm25_top_k,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
