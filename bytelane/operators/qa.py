@@ -1,14 +1,14 @@
 """Question / image / answer records (IO-6 .. IO-9, J-1 .. J-3, J-8, F-26).
 
-Questions live in one JSON document with the records under `questions`; one
-document is parsed by one task, so the exploded records are repartitioned
-right away. Images are processed once per distinct file and then joined to
+Questions live in one JSON document with the records under `questions`. Small
+documents are parsed whole, one by a task; `split=True` cuts large ones by
+their structure (`sources.json_ranges`). Images are processed once per distinct file and then joined to
 their (many) questions by file name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,16 @@ QUESTION_FILE = T.StructType(
 )
 
 
-def read_questions(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_questions(spark: SparkSession, path: str, partitions: int | None = None, split: bool = False) -> DataFrame:
     """IO-6: records of one or several question files with their 0-based index `idx`.
 
-    The index runs on over the files, in the order of their paths.
+    The index runs on over the files, in the order of their paths. `split`:
+    by as many tasks as a file has ranges, instead of one a file.
     """
+    if split:
+        from bytelane.sources.json_ranges import read_records
+
+        return read_records(spark, path, QUESTION, "questions")
     from bytelane.operators.offsets import prefix_sum
 
     doc = spark.read.schema(QUESTION_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -98,12 +103,22 @@ def raw_record(questions: DataFrame, idx: int, split: str) -> DataFrame:
 
 
 def iter_records(
-    questions: DataFrame, *, shuffle: bool = False, seed: int = 0, max_items: int | None = None, hash_mode: str = "xxhash64"
+    questions: DataFrame, *, shuffle: bool = False, seed: int = 0, max_items: int | None = None, hash_mode: str = "xxhash64",
+    images: DataFrame | None = None, key: str = "image_filename",
 ) -> DataFrame:
-    """IO-8: records in index or seeded random order, at most `max_items` (a limit is the feature)."""
+    """IO-8: records in index or seeded random order, at most `max_items` (a limit is the feature).
+
+    With `images` the records come in parts, `(idx, question, answer,
+    *image columns)`: the picked questions meet their images (J-1) without any
+    processing, so no image is moved that isn't asked for.
+    """
     order = [hash_bits(F.lit(seed), F.col("idx"), mode=hash_mode), F.col("idx")] if shuffle else [F.col("idx")]
     out = questions.orderBy(*order)
-    return out.limit(max_items) if max_items else out
+    out = out.limit(max_items) if max_items else out
+    if images is None:
+        return out
+    parts = join_images(out.select("idx", "question", "answer", key), images, key)
+    return parts.orderBy(*order).select("idx", "question", "answer", *[c for c in images.columns if c != key])
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -140,10 +155,10 @@ def join_images(questions: DataFrame, processed_images: DataFrame, key: str = "i
     question whose image is missing, or whose image name is taken twice, is an
     error.
     """
-    one = processed_images.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    joined = questions.join(one, key, "left")
+    copies = processed_images.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))  # names only: no pixel is moved for the check
+    checked = questions.join(copies, key, "left")
     found = F.assert_true(F.coalesce(F.col("_copies"), F.lit(0)) == 1, F.concat(F.lit("no single image for "), F.col(key).cast("string")))
-    return joined.where(found.isNull()).drop("_copies")
+    return checked.where(found.isNull()).drop("_copies").join(processed_images, key)
 
 
 def answer_codes(df: DataFrame, answer: str = "answer", *, strict: bool = True) -> Column:
