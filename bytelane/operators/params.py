@@ -7,9 +7,9 @@ so only per-key summaries reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,33 @@ def param_count(df: DataFrame, prefix: Column, *, trainable: Column | None = Non
     """A-11: number of elements per key prefix, with the total as the rollup row (prefix NULL)."""
     x = df if trainable is None else df.where(trainable)
     return x.rollup(prefix.alias("prefix")).agg(F.sum(F.size(vec)).cast("bigint").alias("n_params"))
+
+
+def mapped_state(
+    src: DataFrame, tgt: DataFrame, rules: Sequence[tuple[str, str]], keys: Sequence[str], *, key: str = "key", row: str = "row", vec: str = "vec"
+) -> tuple[DataFrame, Observation]:
+    """U-6: PF-4 then J-4, with counts that the very pass that uses the rows fills in.
+
+    The observation holds `rows`, and of these `renamed` (rows of a key that a
+    rule has changed), `extended` (taken from the source) and `kept`. Both
+    tables are renamed alike, so that their keys still agree.
+    """
+    changed = [F.col(key).startswith(dst) for _, dst in rules]
+    renamed = changed[0] if changed else F.lit(False)
+    for c in changed[1:]:
+        renamed = renamed | c
+    out = extend_embeddings(rename_keys(src, rules, key), rename_keys(tgt, rules, key), keys, key=key, row=row, vec=vec)
+    seen = Observation()
+    taken = F.col("from_source")
+    observed = out.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(renamed).alias("renamed"), F.count_if(taken).alias("extended"), F.count_if(~taken).alias("kept"))
+    return observed, seen
+
+
+def write_mapped(state: DataFrame, seen: Observation, path: str, notify: Callable[[str], object]) -> dict[str, int]:
+    """Write a mapped state and tell `notify` what was mapped; no job beside the write."""
+    state.write.parquet(path)
+    counts = dict(seen.get)
+    for name in ("renamed", "extended", "kept"):
+        notify(f"{counts[name]} of {counts['rows']} rows {name}")
+    return counts
