@@ -10,6 +10,8 @@ map task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,21 +283,52 @@ def resume_lineage(runs: DataFrame, run: str = "run_id", checkpoint: str = "chec
 
     Pointer doubling: each run points to the run whose checkpoint it resumed
     from, and each round doubles the length of all pointers by one equi-join,
-    so a chain of n runs takes log2(n) rounds. A run whose parent checkpoint
-    isn't in the table is its own root and flagged. Of runs with one
-    checkpoint name the least run id counts.
+    so a chain of n runs takes log2(n) rounds. A run whose pointer has reached
+    a root is done and leaves the joins: only runs that still move are joined,
+    with the few runs they can point to, so a root that very many runs go
+    back to is no hot key. A run whose parent checkpoint isn't in the table is
+    its own root and flagged. Of runs with one checkpoint name the least run id
+    counts.
     """
     ensure_checkpoint_dir(runs.sparkSession)
     r = runs.select(F.col(run).alias("_run"), F.col(checkpoint).alias("_ckpt"), F.col(parent).alias("_parent"))
     owners = r.where(F.col("_ckpt").isNotNull()).groupBy(F.col("_ckpt").alias("_parent")).agg(F.min("_run").alias("_up"))
-    state = r.join(owners, "_parent", "left").select(
+    linked = r.join(owners, "_parent", "left").select(
         "_run", F.coalesce("_up", "_run").alias("_up"), F.col("_up").isNotNull().cast("long").alias("_depth"),
         (F.col("_parent").isNotNull() & F.col("_up").isNull()).alias("orphan")).checkpoint()
-    for _ in range(state.count().bit_length() + 1):
-        far = state.select(F.col("_run").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"))
-        moved = state.join(far, "_up").select(
-            "_run", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"), "orphan", (F.col("_more") > 0).alias("_moved")).checkpoint()
-        state = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return state.select(F.col("_run").alias(run), F.col("_up").alias("root_run"), F.col("_depth").alias("depth"), "orphan")
+    roots = linked.where("_depth = 0").select("_run", F.col("_run").alias("_up"), "_depth", "orphan")
+    # `_at_root`: the pointer is a root; told by a flag, so nothing is joined to a root again
+    state = linked.where("_depth > 0").join(roots.select(F.col("_run").alias("_up"), F.lit(True).alias("_at_root")), "_up", "left").select(
+        "_run", "_up", "_depth", "orphan", F.coalesce("_at_root", F.lit(False)).alias("_at_root")).checkpoint()
+    done = [roots]
+    for _ in range(linked.count().bit_length() + 1):
+        done.append(state.where("_at_root").drop("_at_root"))
+        moving = state.where("not _at_root")
+        if moving.isEmpty():
+            out = done[0]
+            for d in done[1:]:
+                out = out.unionByName(d)
+            return out.select(F.col("_run").alias(run), F.col("_up").alias("root_run"), F.col("_depth").alias("depth"), "orphan")
+        # a pointer that is no root is that of a run in `state` or of one that was done in an earlier round
+        known = state
+        for d in done[1:-1]:
+            known = known.unionByName(d.withColumn("_at_root", F.lit(True)))
+        far = known.select(F.col("_run").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"), F.col("_at_root").alias("_there"))
+        state = moving.drop("_at_root").join(far, "_up").select(
+            "_run", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"), "orphan", F.col("_there").alias("_at_root")).checkpoint()
     raise ValueError("the resume chain runs in a circle")
+
+
+def generation_quality(records: DataFrame, group: Sequence[str], truth: str = "truth", generated: str = "generated", ce: str = "ce") -> DataFrame:
+    """A-18: per group the number of generations, mean cross entropy, exact matches and byte accuracy.
+
+    `truth` and `generated` are arrays of byte values. Byte accuracy is the mean
+    over the records of the share of the truth's bytes that the generation has
+    at the same place; an empty truth counts as right if nothing was generated.
+    Partial aggregation: one row a group and task is shuffled.
+    """
+    t, g = F.col(truth), F.col(generated)
+    same = F.aggregate(F.zip_with(g, t, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda n, x: n + x)
+    share = F.when(F.size(t) == 0, (F.size(g) == 0).cast("double")).otherwise(same / F.size(t))
+    return records.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(ce).alias("mean_ce"), F.avg((g == t).cast("double")).alias("exact_match"), F.avg(share).alias("byte_accuracy"))

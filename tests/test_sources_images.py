@@ -144,3 +144,56 @@ def test_question_index_runs_on_over_files(spark, tmp_path):
         (tmp_path / name).write_text(json.dumps({"info": {}, "questions": [{"question": f"{name}{i}"} for i in range(n)]}))
     got = sorted((r.idx, r.question) for r in QA.read_questions(spark, str(tmp_path)).collect())
     assert got == [(0, "a.json0"), (1, "a.json1"), (2, "b.json0"), (3, "b.json1"), (4, "b.json2")]
+
+
+def plain_resize(pixels, h, w, c, width, height):
+    """Lanczos-3 in whole numbers, pixel by pixel."""
+    import math
+
+    def weights(n_in, n_out):
+        scale = n_in / n_out
+        wide = max(scale, 1.0)
+        out = []
+        for o in range(n_out):
+            centre = (o + 0.5) * scale
+            lo, hi = max(int(centre - 3 * wide + 0.5), 0), min(int(centre + 3 * wide + 0.5), n_in)
+            ks = []
+            for j in range(lo, hi):
+                x = (j - centre + 0.5) * (1.0 / wide)
+                sinc = lambda v: 1.0 if v == 0 else math.sin(v * math.pi) / (v * math.pi)
+                ks.append(sinc(x) * sinc(x / 3) if -3 <= x < 3 else 0.0)
+            total = sum(ks)
+            out.append((lo, [int(k / total * (1 << 22) + (0.5 if k >= 0 else -0.5)) for k in ks]))
+        return out
+
+    def byte(s):
+        return min(max((s + (1 << 21)) >> 22, 0), 255)
+
+    wide = weights(w, width)
+    rows = [[[byte(sum(k * pixels[(y * w + lo + i) * c + ch] for i, k in enumerate(ks))) for ch in range(c)] for lo, ks in wide] for y in range(h)]
+    tall = weights(h, height)
+    return [byte(sum(k * rows[lo + i][x][ch] for i, k in enumerate(ks))) for lo, ks in tall for x in range(width) for ch in range(c)]
+
+
+def test_resize_against_whole_numbers(spark):
+    import random
+
+    rnd = random.Random(2)
+    images = []
+    for i, (h, w, c) in enumerate([(7, 9, 3), (4, 3, 1), (1, 1, 3), (30, 17, 3), (5, 6, 3)]):
+        images.append((i, (h, w, c, [rnd.choice([0, 255, rnd.randrange(256)]) for _ in range(h * w * c)])))
+    df = spark.createDataFrame(images, "k long, img struct<height:int,width:int,n_channels:int,data:array<int>>").repartition(2)
+    for width, height in ((6, 5), (12, 20), (1, 1)):
+        got = {r.k: r.img for r in PX.resize_images(df, "k", "img", width, height).collect()}
+        for k, (h, w, c, data) in images:
+            assert (got[k].height, got[k].width, got[k].n_channels) == (height, width, c)
+            assert list(got[k].data) == plain_resize(data, h, w, c, width, height)
+
+
+def test_resize_fixed_vectors():
+    import numpy as np
+
+    # a step edge rings and is clipped; a flat image stays flat
+    edge = np.array([[0, 0, 0, 255, 255, 255]], np.uint8)[:, :, None]
+    assert PX.resize_array(edge, 3, 1).ravel().tolist() == plain_resize(edge.ravel().tolist(), 1, 6, 1, 3, 1) == [0, 128, 255]
+    assert (PX.resize_array(np.full((5, 4, 3), 77, np.uint8), 9, 2) == 77).all()
