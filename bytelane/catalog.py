@@ -19,7 +19,9 @@ from bytelane.operators import patches as PT
 from bytelane.operators import qa as QA_
 from bytelane.operators import runs as R
 from bytelane.operators import windows as W
+from bytelane.operators.offsets import global_row_index
 from bytelane.plans import epochs as P
+from bytelane.session import written
 from bytelane.sources import logs as LG
 from bytelane.sources.corpus import corpus_from_table
 from bytelane.streaming import bytestream as BS
@@ -91,7 +93,12 @@ def q_masked_windows(spark: SparkSession, d: str) -> DataFrame:
         w, p["L"], mask_token_id=p["mask"], pad_token_id=p["pad"], masking_proba=p["p"],
         seed=p["seed"], epoch=p["epoch"], hash_mode="md5",
     )
-    targets = W.mlm_targets("labels", "mask", p["mask"])
+    return masked_digest(m)
+
+
+def masked_digest(m: DataFrame) -> DataFrame:
+    """Masked samples as flat rows."""
+    targets = W.mlm_targets("labels", "mask", MASKED["mask"])
     return m.select(
         F.col("worker").cast("bigint").alias("worker"),
         F.col("idx").cast("bigint").alias("idx"),
@@ -704,28 +711,22 @@ def q_byte_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_generation_quality(spark: SparkSession, d: str) -> DataFrame:
-    """A-18: exact match and byte accuracy of generated answers per model and question type.
+    """A-18: mean cross entropy, exact match and byte accuracy of generated answers per model and question type.
 
     Stand-in records: the truth is the assistant turn, the "generation" the
-    user turn before it (a parrot model); models by conversation id mod 3.
+    user turn before it (a parrot model), the cross entropy the difference of
+    their lengths in hundreds of bytes; models by conversation id mod 3.
     """
     p = qa_pairs(spark, d)
-    truth = B.text_to_array("answer")
-    gen = B.text_to_array("question")
     recs = p.select(
         F.concat(F.lit("m"), F.pmod("conv_id", F.lit(3)).cast("string")).alias("id_model"),
         F.when(F.octet_length("question") <= QA_.MAX_QUESTION_LEN_BYTES, "short").otherwise("long").alias("question_type"),
-        truth.alias("truth"),
-        gen.alias("gen"),
-    )
-    acc = F.aggregate(
-        F.zip_with("gen", "truth", lambda g, t: F.coalesce((g == t).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x
-    ) / F.size("truth")
-    return recs.groupBy("id_model", "question_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        dec(F.avg((F.col("gen") == F.col("truth")).cast("double"))).alias("exact_match"),
-        dec(F.avg(acc)).alias("byte_accuracy"),
+        B.text_to_array("answer").alias("truth"),
+        B.text_to_array("question").alias("generated"),
+        (F.abs(F.octet_length("question") - F.octet_length("answer")) / 100).alias("ce"),
     )
+    q = R.generation_quality(recs, ["id_model", "question_type"])
+    return q.select("id_model", "question_type", "n", *[dec(c).alias(c) for c in ("mean_ce", "exact_match", "byte_accuracy")])
 
 
 # ---------------------------------------------------------------- streams
@@ -733,38 +734,39 @@ STREAM_CHUNKS = 3
 STREAM_EOS = 10  # newline
 
 
-def turn_span(conversations: DataFrame) -> int:
-    """More than any turn number: `conv_id * span + turn` is a key of its own for every turn."""
-    return max(1000, int(conversations.agg(F.max("turn")).first()[0] or 0) + 1)
+def numbered_turns(spark: SparkSession, d: str) -> DataFrame:
+    """`(stream_id, conv_id, turn, text)`: every row of the conversations is a stream of its own.
 
-
-def shown_stream_id(spark: SparkSession, d: str) -> Column:
-    """`conv_id * 1000 + turn`, the number under which a stream is returned, from its key."""
-    span = F.lit(turn_span(table(spark, d, "conversations"))).cast("long")
-    turn = F.pmod(F.col("stream_id"), span)
-    return (F.call_function("div", F.col("stream_id") - turn, span) * 1000 + turn).alias("stream_id")
+    The number is the dense position by conversation, turn and text, so rows
+    that share a turn, or have none, stay apart. It is written once, so that
+    the tokens and the results carry the same numbers.
+    """
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    idx, tot = global_row_index(c.withColumn("_h", F.xxhash64("text")), "conv_id", "stream_id", tiebreak=["turn", "_h"], keep=["text"])
+    out = written(idx.select("stream_id", "conv_id", "turn", "text"), "turns")
+    tot.release()
+    return out
 
 
-def conversation_tokens(spark: SparkSession, d: str, end_marker: bool = True) -> DataFrame:
-    """Every conversation turn as a token stream `(stream_id, seq, token)` (+ an END row)."""
-    c = table(spark, d, "conversations")
-    sid = (F.col("conv_id") * F.lit(turn_span(c)).cast("long") + F.col("turn")).alias("stream_id")
-    toks = c.select(sid, F.posexplode(B.text_to_array("text")).alias("seq", "token")).select(
+def turn_tokens(turns: DataFrame, end_marker: bool = True) -> DataFrame:
+    """Every turn as a token stream `(stream_id, seq, token)` (+ an END row)."""
+    toks = turns.select("stream_id", F.posexplode(B.text_to_array("text")).alias("seq", "token")).select(
         "stream_id", F.col("seq").cast("long"), F.col("token").cast("long")
     )
     if end_marker:
-        ends = c.select(sid, F.octet_length("text").cast("long").alias("seq"), F.lit(BS.END).cast("long").alias("token"))
+        ends = turns.select("stream_id", F.octet_length("text").cast("long").alias("seq"), F.lit(BS.END).cast("long").alias("token"))
         toks = toks.unionByName(ends)
     return toks
 
 
-def _stream_text(spark: SparkSession, d: str, name: str, mode: str, tokens: DataFrame | None = None, **kw) -> DataFrame:
+def _stream_text(spark: SparkSession, d: str, name: str, mode: str, change=lambda tokens: tokens, **kw) -> DataFrame:
     path = RN.scratch(spark, name + "-in")
-    tokens = conversation_tokens(spark, d) if tokens is None else tokens
-    files = RN.write_token_files(tokens, path, STREAM_CHUNKS)
+    turns = numbered_turns(spark, d)
+    files = RN.write_token_files(change(turn_tokens(turns)), path, STREAM_CHUNKS)
     out = RN.run_available(BS.decode_stream(RN.token_stream(spark, path, files), mode, **kw), name)
     parts = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "text"))).alias("p"))
-    return parts.select(shown_stream_id(spark, d), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return turns.join(parts, "stream_id", "left").select(
+        "conv_id", "turn", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("text"))
 
 
 def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -786,20 +788,20 @@ def q_stream_stop(spark: SparkSession, d: str) -> DataFrame:
 LIMITS = {"every": 11, "shift": 256, "eos": 256 + 101, "max_tokens": 200}
 
 
-def q_stream_limits(spark: SparkSession, d: str) -> DataFrame:
-    """ST-4 .. ST-6 / PF-1: ids above 255 in the stream, a stop id above 255 and a token limit, printed as integers."""
+def _moved(tokens: DataFrame) -> DataFrame:
     p = LIMITS
     moved = (F.col("token") >= 0) & (F.pmod("seq", F.lit(p["every"])) == p["every"] - 1)
-    tokens = conversation_tokens(spark, d).withColumn("token", F.when(moved, F.col("token") + p["shift"]).otherwise(F.col("token")))
-    return _stream_text(spark, d, "limits", "int", tokens, eos_token=p["eos"], max_tokens=p["max_tokens"], ignore_overflowing=False)
+    return tokens.withColumn("token", F.when(moved, F.col("token") + p["shift"]).otherwise(F.col("token")))
+
+
+def q_stream_limits(spark: SparkSession, d: str) -> DataFrame:
+    """ST-4 .. ST-6 / PF-1: ids above 255 in the stream, a stop id above 255 and a token limit, printed as integers."""
+    return _stream_text(spark, d, "limits", "int", _moved, eos_token=LIMITS["eos"], max_tokens=LIMITS["max_tokens"], ignore_overflowing=False)
 
 
 def q_stream_overflow(spark: SparkSession, d: str) -> DataFrame:
     """ST-5: the same stream with the ids that are no bytes left out."""
-    p = LIMITS
-    moved = (F.col("token") >= 0) & (F.pmod("seq", F.lit(p["every"])) == p["every"] - 1)
-    tokens = conversation_tokens(spark, d).withColumn("token", F.when(moved, F.col("token") + p["shift"]).otherwise(F.col("token")))
-    return _stream_text(spark, d, "overflow", "int", tokens, eos_token=p["eos"], max_tokens=p["max_tokens"])
+    return _stream_text(spark, d, "overflow", "int", _moved, eos_token=LIMITS["eos"], max_tokens=LIMITS["max_tokens"])
 
 
 def q_stream_top(spark: SparkSession, d: str) -> DataFrame:
@@ -845,12 +847,14 @@ def q_next_token_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def q_raw_bytes(spark: SparkSession, d: str) -> DataFrame:
     """F-8 / ST-4 / ST-5: token rows (with an end marker) -> raw bytes -> one byte string per stream."""
-    raw = BS.raw_bytes(conversation_tokens(spark, d))
+    turns = numbered_turns(spark, d)
+    raw = BS.raw_bytes(turn_tokens(turns))
     per = raw.groupBy("stream_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", F.decode("byte", "ISO-8859-1").alias("c")))).alias("p")
     )
-    data = F.encode(F.array_join(F.transform("p", lambda x: x["c"]), ""), "ISO-8859-1")
-    return per.select(shown_stream_id(spark, d), F.octet_length(data).cast("bigint").alias("n_bytes"), F.hex(data).alias("hex"))
+    data = F.encode(F.coalesce(F.array_join(F.transform("p", lambda x: x["c"]), ""), F.lit("")), "ISO-8859-1")
+    return turns.join(per, "stream_id", "left").select(
+        "conv_id", "turn", F.octet_length(data).cast("bigint").alias("n_bytes"), F.hex(data).alias("hex"))
 
 
 QUERIES = {

@@ -30,11 +30,11 @@ SELECT worker::BIGINT AS worker, idx::BIGINT AS idx, start::BIGINT AS start,
 FROM w WHERE start < t"""
 
 
-def _masked_sql() -> str:
+def _masked_sql(corpus: str = CORPUS, epoch: int = C.MASKED["epoch"]) -> str:
     p = C.MASKED
     L = p["L"]
     return f"""
-WITH {CORPUS},
+WITH {corpus},
 wins AS (
   SELECT r.j AS idx, least({L}, t - r.j * {L}) AS n,
          substr(h, 2 * r.j * {L} + 1, 2 * least({L}, t - r.j * {L})) AS hw
@@ -43,7 +43,7 @@ arr AS (
   SELECT idx, n, list_transform(regexp_extract_all(hw, '..'), lambda x: ('0x' || x)::INTEGER) AS b FROM wins),
 mk AS (
   SELECT idx, n, b,
-         list_transform(b, lambda x, i: ('0x' || substr(md5(concat_ws('|', {p['seed']}, {p['epoch']}, 0, idx, (i - 1) // 4)), 8 * ((i - 1) % 4) + 1, 8))::BIGINT
+         list_transform(b, lambda x, i: ('0x' || substr(md5(concat_ws('|', {p['seed']}, {epoch}, 0, idx, (i - 1) // 4)), 8 * ((i - 1) % 4) + 1, 8))::BIGINT
                                         / 4294967296.0 < {p['p']}) AS m
   FROM arr),
 pad AS (SELECT *, list_resize([]::INTEGER[], {L} - n, {p['pad']}) AS padding, list_resize([]::INTEGER[], {L} - n, {p['mask']}) AS pad_targets FROM mk)
@@ -421,10 +421,12 @@ WITH p AS (SELECT q.conv_id, q.text AS question, a.text AS answer
            WHERE q.role = 'user'),
 r AS (SELECT 'm' || (conv_id % 3) AS id_model,
              CASE WHEN octet_length(encode(question)) <= 205 THEN 'short' ELSE 'long' END AS question_type,
-             {_bytes_of('answer')} AS truth, {_bytes_of('question')} AS gen FROM p)
-SELECT id_model, question_type, count(*)::BIGINT AS n,
+             {_bytes_of('answer')} AS truth, {_bytes_of('question')} AS gen,
+             abs(octet_length(encode(question)) - octet_length(encode(answer))) / 100 AS ce FROM p)
+SELECT id_model, question_type, count(*)::BIGINT AS n, round(avg(ce), 6)::DECIMAL(24,6) AS mean_ce,
        round(avg(CASE WHEN gen = truth THEN 1.0 ELSE 0.0 END), 6)::DECIMAL(24,6) AS exact_match,
-       round(avg(len(list_filter(range(1, least(len(gen), len(truth)) + 1), lambda i: gen[i] = truth[i])) / len(truth)), 6)::DECIMAL(24,6) AS byte_accuracy
+       round(avg(CASE WHEN len(truth) = 0 THEN (CASE WHEN len(gen) = 0 THEN 1.0 ELSE 0.0 END)
+         ELSE len(list_filter(range(1, least(len(gen), len(truth)) + 1), lambda i: gen[i] = truth[i])) / len(truth) END), 6)::DECIMAL(24,6) AS byte_accuracy
 FROM r GROUP BY id_model, question_type""",
     }
 )
@@ -434,22 +436,22 @@ FROM r GROUP BY id_model, question_type""",
 def _stream_limits_sql(shown: str) -> str:
     p = C.LIMITS
     return f"""
-WITH b AS (SELECT conv_id * 1000 + turn AS stream_id,
-  list_transform({_bytes_of('text')}, lambda x, i: CASE WHEN (i - 1) % {p['every']} = {p['every'] - 1} THEN x + {p['shift']} ELSE x END) AS t FROM conversations),
-c AS (SELECT stream_id, t[1:least(CASE WHEN list_contains(t, {p['eos']}) THEN list_position(t, {p['eos']}) ELSE len(t) END, {p['max_tokens']})] AS kept FROM b)
-SELECT stream_id, array_to_string({shown or 'kept'}, ' ') AS text FROM c"""
+WITH b AS (SELECT conv_id, turn,
+  list_transform({_bytes_of("coalesce(text, '')")}, lambda x, i: CASE WHEN (i - 1) % {p['every']} = {p['every'] - 1} THEN x + {p['shift']} ELSE x END) AS t FROM conversations),
+c AS (SELECT conv_id, turn, t[1:least(CASE WHEN list_contains(t, {p['eos']}) THEN list_position(t, {p['eos']}) ELSE len(t) END, {p['max_tokens']})] AS kept FROM b)
+SELECT conv_id, turn, array_to_string({shown or 'kept'}, ' ') AS text FROM c"""
 
 
 ORACLES.update(
     {
-        "stream_decode": "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations",
+        "stream_decode": "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations",
         "stream_int": f"""
-SELECT conv_id * 1000 + turn AS stream_id,
-       array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INTEGER), ' ') AS text
+SELECT conv_id, turn,
+       array_to_string(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::INTEGER), ' ') AS text
 FROM conversations""",
         "stream_stop": f"""
-SELECT conv_id * 1000 + turn AS stream_id,
-       CASE WHEN strpos(text, chr({C.STREAM_EOS})) > 0 THEN left(text, strpos(text, chr({C.STREAM_EOS}))) ELSE text END AS text
+SELECT conv_id, turn,
+       CASE WHEN strpos(text, chr({C.STREAM_EOS})) > 0 THEN left(text, strpos(text, chr({C.STREAM_EOS}))) ELSE coalesce(text, '') END AS text
 FROM conversations""",
         "stream_limits": _stream_limits_sql(""),
         "stream_overflow": _stream_limits_sql("list_filter(kept, lambda x: x <= 255)"),
@@ -542,5 +544,5 @@ SELECT conv_id, turn, n_pixels::BIGINT AS n_pixels, ({C.QA_IMAGE_LEN} - len(q ||
 FROM t"""
 
 ORACLES["raw_bytes"] = """
-SELECT conv_id * 1000 + turn AS stream_id, octet_length(encode(text))::BIGINT AS n_bytes, hex(encode(text)) AS hex
+SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, hex(encode(coalesce(text, ''))) AS hex
 FROM conversations"""

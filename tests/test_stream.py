@@ -136,15 +136,18 @@ def test_timeouts_flush_gaps_and_remove_finished_state():
     assert list(fn((1,), iter([]), late)) == [] and late.removed
 
 
-def test_long_conversations_keep_every_turn(spark, tmp_path):
+def test_every_row_is_a_stream_of_its_own(spark, tmp_path):
     from bytelane import catalog as C
 
-    rows = [(0, 1000, "user", "late turn\n"), (1, 0, "user", "next"), (-3, 2400, "user", "é"), (-1, 400, "user", "own"), (2, 3, "user", "x")]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    want = sorted((c * 1000 + t, text) for c, t, _, text in rows)
+    rows = [(0, 1000, "late turn\n"), (1, 0, "next"), (-3, 2400, "é"), (-1, 400, "own"), (2, 3, "x"), (1, 0, "other text"), (1, 0, "other text"), (1, 0, ""),
+            (1, None, "no turn"), (None, None, "no conversation"), (None, 3, None), (9_000_000_000_000_000, 9_000_000_000_000_000, "large")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = sorted(((c, t, x or "") for c, t, x in rows), key=str)
+
+    def got(q, text):
+        return sorted(((r.conv_id, r.turn, text(r)) for r in q(spark, str(tmp_path)).collect()), key=str)
+
     for q in (C.q_stream_decode, C.q_stream_stop):
-        assert sorted((r.stream_id, r.text) for r in q(spark, str(tmp_path)).collect()) == want
-    printed = sorted((i, " ".join(map(str, x.encode()))) for i, x in want)
-    assert sorted((r.stream_id, r.text) for r in C.q_stream_int(spark, str(tmp_path)).collect()) == printed
-    raw = sorted((r.stream_id, bytes.fromhex(r.hex).decode()) for r in C.q_raw_bytes(spark, str(tmp_path)).collect())
-    assert raw == want
+        assert got(q, lambda r: r.text) == want
+    assert got(C.q_stream_int, lambda r: r.text) == sorted(((c, t, " ".join(map(str, x.encode()))) for c, t, x in want), key=str)
+    assert got(C.q_raw_bytes, lambda r: bytes.fromhex(r.hex).decode()) == want
