@@ -27,6 +27,7 @@ NO_ID = -(1 << 63)  # stands for a null id among the candidates
 ANCHORS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 12
 BLOCK = 4 << 20  # bytes of text looked at together: repeats inside a block need no exchange
+ANSWERED = 1 << 20  # shared hashes that a task remembers, at most
 
 
 @dataclass
@@ -115,17 +116,23 @@ def shared_grams(docs: DataFrame, cut: Callable[[pa.Array, int], Units], window:
     `distinct_ids`: only under another id; otherwise at any other place. Hashes
     travel packed, in buckets that grow in number with the corpus (`units`).
     Within a block a gram that is shared already answers for itself: all its
-    places are known, and only two of them go on as witnesses for the others.
-    So a gram that fills a third of the corpus costs two entries a block.
+    places are known, and only two or three of them go on to the bucket of the
+    hash as witnesses for other blocks, once a task. Known places need no
+    comparison; they go to buckets by their id. So a gram that fills a third of
+    the corpus costs its bucket a few entries a task.
     """
     buckets = max(MIN_BUCKETS, 2 * units // ((window - gram + 2) * ANCHORS_PER_BUCKET) + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answered = np.zeros(0, np.uint64)
         for block in text_blocks(batches, "text", BLOCK):
             ids = block.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             s = stretches(cut(block.column("text"), gram), window, gram)
-            known, own, h = _in_block(ids[s.text], s.gram, distinct_ids)
-            bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
+            known, own, h = _in_block(ids[s.text], s.gram, distinct_ids, answered)
+            if len(answered) < ANSWERED:
+                answered = np.union1d(answered, h[known])[:ANSWERED]
+            place = np.where(known, mix(own.view(np.uint64)), h)
+            bucket = (place >> np.uint64(40)).astype(np.int64) % buckets
             for flag in (True, False):
                 picked = np.flatnonzero(known == flag)
                 order = picked[np.lexsort((own[picked], bucket[picked]))]
@@ -175,14 +182,20 @@ def _shared(own: np.ndarray, h: np.ndarray, distinct_ids: bool) -> np.ndarray:
     return out
 
 
-def _in_block(own: np.ndarray, h: np.ndarray, distinct_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries `(known, id, hash)` of a block: answers, and what other blocks have to see."""
-    shared = _shared(own, h, distinct_ids)
+def _in_block(own: np.ndarray, h: np.ndarray, distinct_ids: bool, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries `(known, id, hash)` of a block: answers, and what other blocks have to see.
+
+    `answered`: sorted hashes that are shared, and whose witnesses have been sent.
+    """
+    before = answered[np.minimum(np.searchsorted(answered, h), len(answered) - 1)] == h if len(answered) else np.zeros(len(h), bool)
+    shared = before | _shared(own, h, distinct_ids)
     alone = np.unique(np.stack([own[~shared], h[~shared].view(np.int64)], axis=1), axis=0) if distinct_ids else np.stack([own[~shared], h[~shared].view(np.int64)], axis=1)
     both = np.unique(np.stack([h[shared].view(np.int64), own[shared]], axis=1), axis=0)
-    # the least and the largest id of each shared hash
-    new = both[1:, 0] != both[:-1, 0]
-    ends = both[np.concatenate([[True], new]) | np.concatenate([new, [True]])] if len(both) else both
+    # the least and the largest id of each hash that is shared from this block on
+    news = shared & ~before
+    fresh = np.unique(np.stack([h[news].view(np.int64), own[news]], axis=1), axis=0) if before.any() else both
+    new = fresh[1:, 0] != fresh[:-1, 0]
+    ends = fresh[np.concatenate([[True], new]) | np.concatenate([new, [True]])] if len(fresh) else fresh
     if not distinct_ids and len(ends):
         ends = np.concatenate([ends, ends[np.concatenate([[True], ends[1:, 0] != ends[:-1, 0]])]])
     known = np.concatenate([np.zeros(len(alone) + len(ends), bool), np.ones(len(both), bool)])

@@ -8,8 +8,10 @@ also start anywhere else, in the same document or another one.
 2. `anchors.shared_grams` finds the windows that can be repeated at all.
 3. Suffixes are partitioned by variable-length prefixes: the first word of a
    window's anchor gram, or as many more words as it takes until no more than
-   `GROUP` suffixes share the prefix (at most the gram). Groups are packed
-   into partitions of a size set by their counts.
+   `GROUP` suffixes share the prefix. Groups are packed into partitions of a
+   size set by their counts. Where even the whole gram has more suffixes, its
+   windows are counted one by one instead (`crowded`), so that no group is
+   larger than `GROUP`.
 4. In a partition equal stretches of text are merged, their suffixes sorted,
    and the tree's nodes read from neighbours' common prefixes: an internal
    node at least `WINDOW` words deep holds the places of one repeated window.
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytelane.llm import crowded as crowded_windows
 from bytelane.llm.anchors import BLOCK, Units, candidate_stretches, merged, shared_grams, stretches, word_units
 from bytelane.llm.store import settle
 from bytelane.llm.words import BLANK, expand, mix, split_words, text_blocks, text_buffer
@@ -66,13 +69,30 @@ def _prefix_hashes(units: Units, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(block: pa.RecordBatch):
-    """Units, candidate stretches and prefix hashes of a block of `(text, grams)`."""
+def _block(block: pa.RecordBatch, grams: np.ndarray | None = None, inside: bool = True):
+    """Units, candidate stretches and prefix hashes of a block of `(text, grams)`; only those whose whole gram is (not) in `grams`."""
     units = word_units(block.column("text"), GRAM)
     s = stretches(units, WINDOW, GRAM)
     keep = candidate_stretches(s, block.column("grams").to_pylist())
     first, last, anchor, text = s.first[keep], s.last[keep], s.anchor[keep], s.text[keep]
-    return units, text, anchor, first, last, _prefix_hashes(units, anchor)
+    prefixes = _prefix_hashes(units, anchor)
+    if grams is not None:
+        some = np.isin(prefixes[:, -1], grams) == inside
+        text, anchor, first, last, prefixes = text[some], anchor[some], first[some], last[some], prefixes[some]
+    return units, text, anchor, first, last, prefixes
+
+
+def windows_under(grams: np.ndarray):
+    """`(words of each window, text, place)` of a block's windows whose anchor's gram is in `grams`."""
+
+    def of(block: pa.RecordBatch):
+        units, text, _, first, last, _ = _block(block, grams)
+        stretch, start = crowded_windows.starts_of(first, last)
+        raw = units.raw.tobytes()
+        lo, hi = units.starts[start].tolist(), units.ends[start + WINDOW - 1].tolist()
+        return (b" ".join(raw[a:b].split()) for a, b in zip(lo, hi, strict=True)), text[stretch], start - units.bounds[text[stretch]]
+
+    return of
 
 
 def crowded_prefixes(rows: DataFrame) -> list[np.ndarray]:
@@ -97,7 +117,7 @@ def crowded_prefixes(rows: DataFrame) -> list[np.ndarray]:
 
 
 def group_of(prefixes: np.ndarray, crowded: list[np.ndarray]) -> np.ndarray:
-    """Each suffix' group: its shortest prefix that isn't crowded, or the whole gram."""
+    """Each suffix' group: its shortest prefix that isn't crowded, or the whole gram (crowded grams are left out before)."""
     out = prefixes[:, -1].copy()
     open_ = np.ones(len(prefixes), bool)
     for level in range(len(PREFIXES) - 1):
@@ -112,7 +132,7 @@ def suffix_records(rows: DataFrame, crowded: list[np.ndarray], partitions: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text", BLOCK):
-            units, text, anchor, first, last, prefixes = _block(block)
+            units, text, anchor, first, last, prefixes = _block(block, crowded[-1], False)
             part = mix(group_of(prefixes, crowded).view(np.uint64)) % np.uint64(partitions)
             ids, keys = block.column("id").to_pylist(), block.column("key").to_pylist()
             raw, begin = units.raw.tobytes(), units.bounds
@@ -248,9 +268,9 @@ def cut_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, key long, n_removed long, kept_sha string, kept string")
 
 
-def candidate_rows(docs: DataFrame, rows: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`(id, key, text, grams)` of the rows `(id, key)` that have shared grams, written once."""
-    wanted = rows.join(shared, F.coalesce(rows["id"], F.lit(-(1 << 63))) == shared["id"]).select(
+def candidate_rows(docs: DataFrame, rows: DataFrame, shared: DataFrame, by: str, id_col: str, text_col: str) -> DataFrame:
+    """`(id, key, text, grams)` of the rows `(id, key)` that have shared grams, written once; `by`: which of the two `shared` goes by."""
+    wanted = rows.join(shared, rows[by] == shared["id"]).select(
         rows["id"].alias("_id"), rows["key"].alias("_key"), "grams").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -266,16 +286,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = settle(rows.join(groups, "sha"), "counted")
     total = int(rows.agg(F.sum("n_words")).first()[0] or 0)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    # places are told apart by their text, so that no list of grams grows with the rows of one id
+    d = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     shared = shared_grams(d, word_units, WINDOW, GRAM, total, distinct_ids=False)
     reps = rows.where(F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("n_words") >= WINDOW)).select("id", "key")
-    own = candidate_rows(docs, reps, shared, id_col, text_col)
+    own = candidate_rows(docs, reps, shared, "key", id_col, text_col)
     crowded = crowded_prefixes(own)
     # a stretch repeats its window's words: about three times the candidates' text
     n = int(own.agg(F.sum(F.size("grams"))).first()[0] or 0)
     partitions = max(24, n * (WINDOW + GRAM) // PARTITION + 1)
     records = suffix_records(own, crowded, partitions)
     found = records.groupBy("part").applyInArrow(repeated_places, f"id long, key long, spans {PLACES}")
+    if len(crowded[-1]):
+        hot = crowded_windows.window_rows(own, windows_under(crowded[-1]))
+        found = found.unionByName(crowded_windows.spans(
+            hot, WINDOW, F.sum(F.size("ids")), lambda _: F.col("_fact") > 1, "crowded-words"))
     spans = found.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return rows, own, spans
 

@@ -56,6 +56,44 @@ def test_crowded_prefixes_are_split(spark, monkeypatch):
     check(spark, cases(3, ["a", "b", "c", "d"]))
 
 
+def quoted(n, seed=9):
+    """A passage in many documents, with other text around it each time."""
+    rnd = random.Random(seed)
+    words = lambda k: [f"u{rnd.randrange(10**9)}" for _ in range(k)]
+    passage = words(40)
+    return [(i, " ".join(words(rnd.randrange(3, 30)) + passage + words(rnd.randrange(3, 30)))) for i in range(n)]
+
+
+def test_a_passage_in_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 20)
+    rows = quoted(300) + cases(4, ["a", "b", "c", "d"]) + [(None, quoted(1)[0][1]), (None, quoted(2)[1][1] + " tail")]
+    check(spark, rows)
+
+
+def test_no_group_grows_with_the_places_of_a_gram(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 200)
+    seen = {}
+    kept = substrings.suffix_records
+
+    def watch(rows, crowded, partitions):
+        out = kept(rows, crowded, partitions)
+        seen["records"] = max([r["count"] for r in out.groupBy("part").count().collect()], default=0)
+        seen["crowded"] = len(crowded[-1])
+        return out
+
+    monkeypatch.setattr(substrings, "suffix_records", watch)
+    rows = quoted(3000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.dedup(df).select("n_removed").collect()
+    assert all(r["n_removed"] == 40 for r in got)
+    assert seen["crowded"] > 0 and seen["records"] <= 400
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, t) for _, t in quoted(120)] + [(7, t) for _, t in quoted(60, 10)]
+    check(spark, rows)
+
+
 def test_edges(spark):
     check(spark, [])
     check(spark, [(1, None)])
