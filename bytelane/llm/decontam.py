@@ -2,15 +2,25 @@
 
 Each block of documents (a shard of a few MB) is turned into word numbers
 over the benchmark's vocabulary; words outside it end every match. The shard's
-suffixes, compared over the window length, are sorted into a suffix array and
-every test suffix is binary-searched in it: the two bounds give all places of
-the window, the neighbours of the bound its longest verbatim match when no
-whole window occurs. Only suffixes whose leading words begin some test suffix
-are sorted; no other suffix can match one. Nothing is shuffled.
+suffixes, compared over the window length, are sorted into a suffix array.
+
+- `contamination` and `decontaminate` binary-search every test window in it:
+  the two bounds give all its places. Only suffixes whose leading words begin
+  some window are sorted; no other suffix can hold one.
+- `matches` reports where: the places of an item's neighbouring windows that
+  are neighbours in a document too are one verbatim match, which is maximal at
+  both ends, with the item, both places, and its length.
+- `longest_matches` binary-searches every test suffix, down to the last word of
+  an item, among all suffixes that begin with a word of the benchmark. The
+  neighbours of the bound give its longest match below a window's length, the
+  maximal matches that cover it any longer one.
+
+Nothing but the found matches is shuffled.
 
 The benchmark travels to the tasks in blocks of at most `TEST_BYTES` of text
-(the bound of what is broadcast); a larger benchmark is searched block by
-block, each against all documents, and the results are merged per document.
+(the bound of what is on the driver and broadcast); a larger benchmark is
+searched block by block. The result of a block is written before the next
+block is read, and the results are merged per document.
 
 Words are mapped by a 64-bit hash and then compared byte by byte, so no
 collision can make a match.
@@ -57,6 +67,11 @@ class TestSet:
     lead: int  # number of leading words
     width: int  # words in a suffix key
     digits: int  # bytes of a word number
+    numbers: np.ndarray  # word numbers of all items, end to end
+    item_words: np.ndarray  # item i has words item_words[i]:item_words[i + 1]
+    place_window: np.ndarray  # windows by item and place: the distinct window, the item, and the place
+    place_item: np.ndarray
+    place_at: np.ndarray
 
 
 def lead_slots(numbers: np.ndarray, lead: int, bits: int) -> np.ndarray:
@@ -100,7 +115,8 @@ def build_tests(ids: list, texts: list[str | None], window: int = WINDOW) -> Tes
     places = expand(first[:-1], per_item)
     owner = np.repeat(np.arange(len(n)), per_item)
     lengths = size[owner]
-    digits = max(1, (int(len(hashes)).bit_length() + 7) // 8)
+    # the largest value of the digits stays free: `_after` relies on it
+    digits = max(1, (int(len(hashes) + 1).bit_length() + 7) // 8)
     keys = pack(numbers, places, lengths, window, digits)
     distinct, at = np.unique(keys, return_inverse=True)
     pairs = np.unique(np.stack([at, owner], axis=1), axis=0)
@@ -112,7 +128,7 @@ def build_tests(ids: list, texts: list[str | None], window: int = WINDOW) -> Tes
     return TestSet(
         hashes, raw, starts[one], (ends - starts)[one], distinct, window_length,
         np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1],
-        [None if i is None else str(i) for i in ids], bitmap, lead, window, digits)
+        [None if i is None else str(i) for i in ids], bitmap, lead, window, digits, numbers, first, at, owner, places - first[owner])
 
 
 def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, tests: TestSet) -> np.ndarray:
@@ -138,29 +154,12 @@ def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, tests: T
 def search_shard(texts: pa.Array, tests: TestSet):
     """Hits of one shard.
 
-    Returns the words per text, hit words per text, and the distinct
-    `(text, item)` pairs, and all `(word place, window)` matches with the
-    texts' first words for further use.
+    Returns the words per text, hit words per text, the distinct
+    `(text, item)` pairs, which words are hit, and the texts' first words.
     """
-    raw, offsets = text_buffer(texts)
-    raw = LOWER[raw]
-    starts, ends, first = split_words(raw, offsets, ALNUM)
-    numbers = word_numbers(raw, starts, ends, tests)
-    n_texts = len(first) - 1
-    # leading words that begin some test suffix, inside one text
-    owner_end = np.repeat(first[1:], np.diff(first))
-    room = owner_end - np.arange(len(starts))
-    possible = (numbers > 0) & tests.leads[lead_slots(numbers, tests.lead, LEAD_BITS)]
-    places = np.flatnonzero(possible & (room >= tests.lead))
-    suffixes = pack(numbers, places, room[places], tests.width, tests.digits)
-    order = np.argsort(suffixes, kind="stable")
-    array, places = suffixes[order], places[order]
-    # binary search of every test window: all suffixes that begin with it
-    low = np.searchsorted(array, tests.keys, "left")
-    high = np.searchsorted(array, _after(tests), "left")
-    count = np.maximum(high - low, 0)
-    match = places[expand(low, count)]
-    window = np.repeat(np.arange(len(count)), count)
+    starts, numbers, first, room = _numbered_words(texts, tests)
+    array, places = _suffix_array(numbers, room, tests)
+    match, window, count = _window_places(array, places, tests)
     covered = np.zeros(len(starts) + 1, np.int64)
     np.add.at(covered, match, 1)
     np.add.at(covered, match + tests.lengths[window], -1)
@@ -174,6 +173,152 @@ def search_shard(texts: pa.Array, tests: TestSet):
     return np.diff(first), total[first[1:]] - total[first[:-1]], pairs // len(tests.names), pairs % len(tests.names), hit, first
 
 
+def _numbered_words(texts: pa.Array, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's words: byte starts, numbers, first word of each text, and words left in the text."""
+    raw, offsets = text_buffer(texts)
+    raw = LOWER[raw]
+    starts, ends, first = split_words(raw, offsets, ALNUM)
+    room = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))
+    return starts, word_numbers(raw, starts, ends, tests), first, room
+
+
+def _suffix_array(numbers: np.ndarray, room: np.ndarray, tests: TestSet, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes and their places: those whose leading words begin some window, or all that begin with a known word."""
+    possible = numbers > 0
+    if not whole:
+        possible &= tests.leads[lead_slots(numbers, tests.lead, LEAD_BITS)] & (room >= tests.lead)
+    places = np.flatnonzero(possible)
+    suffixes = pack(numbers, places, room[places], tests.width, tests.digits)
+    order = np.argsort(suffixes, kind="stable")
+    return suffixes[order], places[order]
+
+
+def _window_places(array: np.ndarray, places: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary search of every test window: `(place, window)` of all suffixes that begin with it, and the count of each."""
+    low = np.searchsorted(array, tests.keys, "left")
+    high = np.searchsorted(array, _after(tests), "left")
+    count = np.maximum(high - low, 0)
+    return places[expand(low, count)], np.repeat(np.arange(len(count)), count), count
+
+
+def _maximal(match: np.ndarray, window: np.ndarray, first: np.ndarray, tests: TestSet) -> tuple[np.ndarray, ...]:
+    """`(text, item, place in the item, place in the text, length)` of the maximal matches."""
+    # the items' places of each distinct window
+    order = np.argsort(tests.place_window, kind="stable")
+    begin = np.searchsorted(tests.place_window[order], np.arange(len(tests.keys) + 1))
+    n = begin[window + 1] - begin[window]
+    own = order[expand(begin[window], n)]
+    place, window = np.repeat(match, n), np.repeat(window, n)
+    item, at = tests.place_item[own], tests.place_at[own]
+    text = np.searchsorted(first, place, "right") - 1
+    # neighbours on one diagonal of a text and an item
+    by = np.lexsort((place, place - at, item, text))
+    place, item, at, text, size = place[by], item[by], at[by], text[by], tests.lengths[window[by]]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (item[1:] != item[:-1]) | (text[1:] != text[:-1])
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(place))[:len(lo)] - 1
+    return text[lo], item[lo], at[lo], place[lo] - first[text[lo]], place[hi] + size[hi] - place[lo]
+
+
+MATCH = "item string, item_place int, place int, length int"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(id, item, item_place, place, length)` in words: every maximal verbatim match of at least a window (or a whole shorter item)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def found(tests: TestSet) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in text_blocks(batches, "text"):
+                _, numbers, first, room = _numbered_words(block.column("text"), tests)
+                match, window, _ = _window_places(*_suffix_array(numbers, room, tests), tests)
+                text, item, *rest = _maximal(match, window, first, tests)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("id").take(pa.array(text)), pa.array([tests.names[i] for i in item.tolist()], pa.string()), *[pa.array(r.astype(np.int32)) for r in rest]],
+                    names=["id", "item", "item_place", "place", "length"])
+
+        return d.mapInArrow(run, f"id {kind}, {MATCH}")
+
+    parts = [settle(found(t), "matches") for t in test_blocks(benchmark) if t is not None]
+    out = parts[0] if parts else d.where("false").selectExpr("id", "cast(null as string) item", "0 item_place", "0 place", "0 length")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _longest_in_shard(array: np.ndarray, places: np.ndarray, numbers: np.ndarray, room: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """For every test suffix its longest match, of a window's length at most, and a word place where it is."""
+    n = np.diff(tests.item_words)
+    at = np.arange(len(tests.numbers))
+    left = np.repeat(tests.item_words[1:], n) - at
+    keys = pack(tests.numbers, at, left, tests.width, tests.digits)
+    low = np.searchsorted(array, keys, "left")
+    best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    padded, test_padded = np.concatenate([numbers, np.zeros(tests.width, np.int64)]), np.concatenate([tests.numbers, np.zeros(tests.width, np.int64)])
+    for side in (low - 1, low):
+        ok = (side >= 0) & (side < len(array))
+        place = places[np.where(ok, side, 0)] if len(places) else np.zeros(len(at), np.int64)
+        common, open_ = np.zeros(len(at), np.int64), ok.copy()
+        for j in range(tests.width if len(places) else 0):
+            open_ &= (j < left) & (j < room[place]) & (padded[place + j] == test_padded[at + j])
+            common += open_
+        better = common > best
+        best, where = np.where(better, common, best), np.where(better, place, where)
+    return best, where
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(item, item_place, length, id, place)` for every suffix of every item: its longest verbatim match in `docs` and one document that has it.
+
+    A suffix whose first word is in no document has no row. Of several longest
+    matches the one with the least id and place is reported among those that
+    the shards report, one a shard.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def found(tests: TestSet) -> DataFrame:
+        owner = np.repeat(np.arange(len(tests.names)), np.diff(tests.item_words))
+        item_place = np.arange(len(tests.numbers)) - tests.item_words[owner]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in text_blocks(batches, "text"):
+                _, numbers, first, room = _numbered_words(block.column("text"), tests)
+                array, places = _suffix_array(numbers, room, tests, whole=True)
+                best, where = _longest_in_shard(array, places, numbers, room, tests)
+                # maximal matches give the lengths beyond a window to all suffixes that they cover
+                match, window, _ = _window_places(array, places, tests)
+                text, item, at, place, length = _maximal(match, window, first, tests)
+                covered = np.repeat(np.arange(len(text)), length)
+                step = expand(np.zeros(len(text), np.int64), length)
+                suffix = tests.item_words[item[covered]] + at[covered] + step
+                rest, spot = length[covered] - step, first[text[covered]] + place[covered] + step
+                order = np.lexsort((spot, -rest, suffix))
+                suffix, rest, spot = suffix[order], rest[order], spot[order]
+                lead = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]])) if len(suffix) else np.zeros(0, np.int64)
+                longer = rest[lead] > best[suffix[lead]]
+                best[suffix[lead][longer]], where[suffix[lead][longer]] = rest[lead][longer], spot[lead][longer]
+                got = np.flatnonzero(best)
+                text = np.searchsorted(first, where[got], "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner[got].astype(np.int32)), pa.array([tests.names[i] for i in owner[got].tolist()], pa.string()), pa.array(item_place[got].astype(np.int32)),
+                     pa.array(best[got].astype(np.int32)), block.column("id").take(pa.array(text)), pa.array((where[got] - first[text]).astype(np.int32))],
+                    names=["number", "item", "item_place", "length", "id", "place"])
+
+        rows = d.mapInArrow(run, f"number int, item string, item_place int, length int, id {kind}, place int")
+        # items are told apart by their number, for ids may repeat
+        best = rows.groupBy("number", "item", "item_place").agg(F.min(F.struct((-F.col("length")).alias("n"), "id", "place")).alias("b"))
+        return best.select("item", "item_place", (-F.col("b.n")).alias("length"), F.col("b.id").alias("id"), F.col("b.place").alias("place"))
+
+    parts = [settle(found(t), "longest") for t in test_blocks(benchmark) if t is not None]
+    out = parts[0] if parts else d.where("false").selectExpr("cast(null as string) item", "0 item_place", "0 length", "id", "0 place")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _after(tests: TestSet) -> np.ndarray:
     """For each window, a key just above all keys that begin with it."""
     size = tests.width * tests.digits
@@ -224,22 +369,31 @@ def hits(docs: DataFrame, tests: TestSet | None, id_col: str = "doc_id", text_co
         run, f"id {kind}, n_words long, hit_runs array<struct<start:int,end:int>>, items array<string>")
 
 
-def test_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = TEST_BYTES) -> Iterator[TestSet | None]:
-    """The benchmark in blocks of at most `limit` bytes (or one longer item)."""
+def block_count(benchmark: DataFrame, text_col: str = "text") -> int:
+    """Blocks of about `TEST_BYTES` that the benchmark is searched in."""
+    return -(-int(benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // TEST_BYTES) or 1
+
+
+def test_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[TestSet | None]:
+    """The benchmark block by block, one on the driver at a time."""
     b = benchmark.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
+    n = block_count(benchmark, text_col)
     for i in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
         rows = part.orderBy("id", "text").collect()
         yield build_tests([r["id"] for r in rows], [r["text"] for r in rows])
 
 
-def _merged(rows: DataFrame, tests: list[TestSet | None]) -> DataFrame:
-    """Results of several benchmark blocks, united per `(row, id)` of `rows (row, id, text)`."""
+def _merged(rows: DataFrame, tests: Iterator[TestSet | None]) -> DataFrame:
+    """Results of several benchmark blocks, united per `(row, id)` of `rows (row, id, text)`.
+
+    A block's result is written before the next block is read: all rows for
+    the first block, those with hits for the others.
+    """
     parts = None
     for t in tests:
         one = hits(rows.select(F.struct("row", "id").alias("id"), "text"), t, "id", "text")
+        one = settle(one if parts is None else one.where(F.size("hit_runs") > 0), "hits")
         parts = one if parts is None else parts.union(one)
     g = parts.groupBy("id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"),
@@ -260,29 +414,24 @@ def _with_verdict(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a key of each row, written once so that the keys stay."""
-    return settle(docs.withColumn("_row", F.expr("uuid()")), "rows")
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: `id, n_words, hit_runs, items, n_hit, contaminated`."""
-    tests = list(test_blocks(benchmark))
-    if len(tests) == 1:
-        return _with_verdict(hits(docs, tests[0], id_col, text_col))
-    rows = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return _with_verdict(_merged(rows.withColumnRenamed("_row", "row"), tests)).drop("row")
+    if block_count(benchmark) == 1:
+        return _with_verdict(hits(docs, next(test_blocks(benchmark)), id_col, text_col))
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr("uuid()").alias("row")), "rows")
+    return _with_verdict(_merged(rows, test_blocks(benchmark))).drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not contaminated, with all their columns."""
-    tests = list(test_blocks(benchmark))
-    if len(tests) > 1:
-        rows = _numbered(docs)
-        found = _merged(rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), tests)
-        bad = _with_verdict(found).where("contaminated").select(F.col("row").alias("_row"))
-        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
-    test = tests[0]
+    if block_count(benchmark) > 1:
+        # all columns in one, so that none can clash with the key of the row
+        rows = settle(docs.select(F.expr("uuid()").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
+        doc = lambda c: F.col("doc").getField(c)
+        found = _merged(rows.select("row", doc(id_col).alias("id"), doc(text_col).cast("string").alias("text")), test_blocks(benchmark))
+        bad = _with_verdict(found).where("contaminated").select("row")
+        return rows.join(bad, "row", "left_anti").select("doc.*")
+    test = next(test_blocks(benchmark))
     if test is None:
         return docs
 

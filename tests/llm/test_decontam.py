@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from bytelane.llm import decontam
 
 
@@ -69,5 +72,88 @@ def test_empty_tables(spark):
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     docs, items = cases(4)
     docs = docs[:30]
-    monkeypatch.setattr(decontam, "test_blocks", lambda b: [decontam.build_tests(*zip(*items[i::3])) for i in range(3)])
+    monkeypatch.setattr(decontam, "TEST_BYTES", 300)
+    got, d, b = run(spark, docs, items)
+    assert decontam.block_count(b) > 3
+    assert got == brute(docs, items)
+    clean = [x for x in docs if not brute([x], items)[0][4]]
+    clashing = d.withColumn("row", d["text"]).withColumn("doc", d["doc_id"])
+    kept = decontam.decontaminate(clashing, b)
+    assert kept.columns == clashing.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted((str(x), t or "") for x, t in clean)
+
+
+@pytest.mark.parametrize("n", [254, 255, 256])
+def test_vocabularies_that_fill_the_digits(spark, n):
+    ordered = [f"w{i}" for i in range(n)]
+    test = decontam.build_tests([0], [" ".join(ordered)])
+    # the word with the largest number, alone in a window and in a one-word item
+    last = next(w for w in ordered if decontam.word_numbers(*one_word(w), test)[0] == n)
+    items = [(0, " ".join(ordered)), (1, " ".join([last] * 13)), (2, last)]
+    docs = [(1, " ".join([last] * 20)), (2, f"x {last} y"), (3, " ".join([last] * 12 + ["x"])), (4, " ".join(ordered[5:30]))]
     assert run(spark, docs, items)[0] == brute(docs, items)
+    assert run(spark, docs, items[:2])[0] == brute(docs, items[:2])
+
+
+def one_word(w):
+    raw = np.frombuffer(w.encode(), np.uint8)
+    return raw, np.array([0]), np.array([len(raw)])
+
+
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def hard_cases(seed):
+    docs, items = cases(seed)
+    items = items + [(70, items[0][1]), (71, items[3][1] + " " + items[4][1])]  # repeated and overlapping passages
+    docs = [d for d in docs if len(d[1] or "") < 2000][:40] + [(200, items[-1][1]), (201, "b " * 40)]
+    return docs, items
+
+
+def test_maximal_matches(spark):
+    for seed in (5, 6):
+        docs, items = hard_cases(seed)
+        want = []
+        for d, t in docs:
+            w = words(t)
+            for item, x in items:
+                v = words(x)
+                for i in range(len(v)):
+                    for j in range(len(w)):
+                        if i and j and v[i - 1] == w[j - 1]:
+                            continue
+                        n = common(v[i:], w[j:])
+                        if n >= 13 or 0 < n == len(v):
+                            want.append((d, None if item is None else str(item), i, j, n))
+        _, df, b = run(spark, docs, items)
+        got = [tuple(r) for r in decontam.matches(df, b).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_longest_match_of_every_suffix(spark, monkeypatch):
+    for seed, size in ((5, 1 << 20), (6, 400)):
+        monkeypatch.setattr(decontam, "TEST_BYTES", size)
+        docs, items = hard_cases(seed)
+        bags = [(d, words(t)) for d, t in docs]
+        want = []
+        for item, x in items:
+            v = words(x)
+            for i in range(len(v)):
+                n = max(common(v[i:], w[j:]) for _, w in bags for j in range(len(w)))
+                if n:
+                    want.append((None if item is None else str(item), i, n))
+        _, df, b = run(spark, docs, items)
+        rows = decontam.longest_matches(df, b).collect()
+        assert sorted(((r["item"], r["item_place"], r["length"]) for r in rows), key=str) == sorted(want, key=str)
+        texts = [(d, w) for d, w in bags]
+        by_item = {}
+        for item, x in items:
+            by_item.setdefault(None if item is None else str(item), []).append(words(x))
+        for r in rows:
+            n, p = r["length"], r["place"]
+            assert any(d == r["id"] and any(v[r["item_place"]:r["item_place"] + n] == w[p:p + n] and len(w) >= p + n for v in by_item[r["item"]]) for d, w in texts)
+    assert decontam.longest_matches(df, b.where("false")).collect() == [] == decontam.matches(df, b.where("false")).collect()
