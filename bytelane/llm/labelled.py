@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bytelane.llm.store import settle
 from bytelane.llm.words import text_blocks
 
 
@@ -29,10 +30,32 @@ def sample_of(labels: DataFrame, label: str, rows: int, id_col: str = "doc_id")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """`(label, text)` of the sampled documents; the sample is bounded, so it is broadcast."""
+    """`(label, text, h)` of the sampled documents, written once: one row an id, so at most `rows`; h orders them.
+
+    Of rows that share an id the one with the least text counts; the sample is
+    bounded, so it is broadcast.
+    """
     sample = F.broadcast(sample_of(labels, label, rows, id_col))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id").select(
-        F.col("_label").alias("label"), "text")
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "_id")
+    one = found.groupBy("_id").agg(F.max("_label").alias("label"), F.min("text").alias("text"))
+    return settle(one.select("label", "text", F.xxhash64("_id").alias("h")), "labelled")
+
+
+def within(rows: DataFrame, size: Column, limit: int) -> DataFrame:
+    """The first rows in the order of `h` whose sizes sum up to `limit` at most; larger rows are left out.
+
+    `rows` is a sample, so its hashes and sizes fit on the driver.
+    """
+    sizes = sorted((r["h"], r["n"]) for r in rows.select("h", size.cast("long").alias("n")).collect())
+    total, last = 0, None
+    for h, n in sizes:
+        if n <= limit:
+            total += n
+            if total > limit:
+                # rows that share the hash of the first one too many stay out with it
+                return rows.where((size <= limit) & (F.col("h") < h))
+            last = h
+    return rows.where((size <= limit) & (F.col("h") <= last)) if last is not None else rows.where("false")
 
 
 def with_block_scores(docs: DataFrame, text_col: str, out: str, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:

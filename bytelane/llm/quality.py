@@ -7,27 +7,26 @@ it at all) and the chunk's length pass a hidden layer. The hidden values'
 maximum and mean over all chunks of the document give one probability.
 
 The fit reads at most `TRAIN_ROWS` labelled documents, the smallest by a hash
-of the id, and of these as many whole ones, by a hash of the text, as
-`TRAIN_BYTES` hold. Fit and scoring read every chunk of a document, a bounded
-number at a time.
+of the id, and of these, in that order, as many whole ones as `TRAIN_BYTES`
+hold (none that is larger by itself). Fit and scoring read every chunk of a
+document, a bounded number at a time.
 
 Defined results: null and empty texts are one chunk without bytes; without
 labelled rows, or with one class only, every score is the smoothed share of
-label 1; repeated rows score alike; an empty table gives no rows; other
+label 1; of labelled rows that share an id the least text counts; repeated
+rows score alike; an empty table gives no rows; other
 columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelane.llm.labelled import labelled_texts, sigmoid, with_block_scores
-from bytelane.llm.words import expand, text_blocks, text_buffer
+from bytelane.llm.labelled import labelled_texts, sigmoid, with_block_scores, within
+from bytelane.llm.words import expand, text_buffer
 
 TRAIN_ROWS = 8_000
 TRAIN_BYTES = 64 << 20
@@ -107,26 +106,17 @@ def chunk_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
-            raw, offsets = text_buffer(block.column("text"))
-            starts, ends, owner = chunk_spans(offsets)
-            first = np.searchsorted(owner, np.arange(block.num_rows + 1))
-            rows = []
-            for i in range(block.num_rows):
-                rows.append([raw[starts[j]:ends[j]].tobytes() for j in range(first[i], first[i + 1])])
-            yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(rows, pa.list_(pa.binary()))], names=["label", "chunks"])
-
     texts = labelled_texts(docs, labels, label, TRAIN_ROWS, id_col, text_col)
-    order = F.xxhash64("text")
-    sizes = texts.select(order.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").collect()
-    total = np.cumsum([r["n"] for r in sizes])
-    if len(sizes) and total[-1] > TRAIN_BYTES:
-        texts = texts.where(order <= sizes[max(int(np.searchsorted(total, TRAIN_BYTES, "right")) - 1, 0)]["h"])
-    sample = texts.mapInArrow(run, "label int, chunks array<binary>")
-    # whole documents of about TRAIN_BYTES
-    rows = sorted(((r["label"], [bytes(c) for c in r["chunks"]]) for r in sample.collect()), key=lambda r: (r[0], r[1]))
+    # whole documents of TRAIN_BYTES in all
+    sample = within(texts, F.octet_length("text"), TRAIN_BYTES).select("label", "text").toArrow()
+    rows = []
+    for batch in sample.to_batches():
+        raw, offsets = text_buffer(batch.column("text"))
+        starts, ends, owner = chunk_spans(offsets)
+        first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        for i, y in enumerate(batch.column("label").to_pylist()):
+            rows.append((y, [raw[a:b].tobytes() for a, b in zip(starts[first[i]:first[i + 1]], ends[first[i]:first[i + 1]], strict=True)]))
+    rows.sort()
     return learn([r[1] for r in rows], np.array([r[0] for r in rows], np.float32))
 
 

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -162,6 +164,92 @@ def test_held_out_ids_are_never_sampled(spark):
                for r in labels.select("doc_id", labelled.held_out(F.col("doc_id")).alias("h")).collect())
 
 
+def test_repeated_ids_stay_within_the_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "x" * i) for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.range(1, 30).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    rows = labelled.labelled_texts(docs, labels, "toxic", 100, "doc_id", "text")
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 30))
+    assert not rows.where("text like 'text %'").count() or [r["text"] for r in rows.where("text like 'text %'").collect()] == ["text 0"]
+    ordered = [(r["h"], len(r["text"])) for r in rows.orderBy("h").collect()]
+    for limit in (0, 5, 40, 200, 10_000):
+        want, total = [], 0
+        for h, n in ordered:
+            if n <= limit:
+                total += n
+                if total > limit:
+                    break
+                want.append(h)
+        assert sorted(r["h"] for r in labelled.within(rows, F.length("text"), limit).collect()) == want
+
+
+def hashed(word):
+    """The terms' hash in whole numbers."""
+    mask = (1 << 64) - 1
+    h = (sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word)) + len(word)) & mask
+    return finish(h)
+
+
+def finish(h):
+    mask = (1 << 64) - 1
+    h = ((h ^ h >> 33) * 0xFF51AFD7ED558CCD) & mask
+    h = ((h ^ h >> 33) * 0xC4CEB9FE1A85EC53) & mask
+    return h ^ h >> 33
+
+
+def plain_terms(text):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    out, shift = [], 64 - toxicity.BITS
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", low):
+        out.append(hashed(w) >> shift)
+        out += [finish((hashed(w[:n]) + n) & ((1 << 64) - 1)) >> shift for n in toxicity.PREFIXES if len(w) >= n]
+    return out
+
+
+def test_terms_and_scores_against_plain_python():
+    texts = ["Hello, WORLD hello", "", None, "été été-abcdef 12", "a b c", "!!", "toxicword toxicwords x9"]
+    owner, bucket = toxicity.terms(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert sorted(bucket[owner == i].tolist()) == sorted(plain_terms(t))
+    known = sorted({b for t in texts[:4] for b in plain_terms(t)})
+    slots = np.full(1 << toxicity.BITS, -1, np.int64)
+    slots[known] = np.arange(len(known))
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(-0.4, slots, rng.normal(size=len(known)), rng.normal(size=(len(known), 4)))
+    for t, got in zip(texts, m.scores(pa.array(texts)), strict=True):
+        own = sorted({slots[b] for b in plain_terms(t)} - {-1})
+        z = -0.4 + sum(m.weights[i] for i in own) + sum(m.factors[i] @ m.factors[j] for i in own for j in own if i < j)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_the_forward_pass_against_plain_python():
+    net = quality.Network(3)
+    net.p["hidden_b"] += 0.1
+    net.p["conv_b"] -= 0.2
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    texts = ["short", "", "x" * 255 + "é", "many words, " * 60, "0123456789" * 77]
+    for text, got in zip(texts, net.scores(pa.array(texts)), strict=True):
+        data, hidden = list(text.encode()), []
+        at = 0
+        while True:
+            chunk = data[at:at + 256]
+            symbols = chunk + [256] * (256 - len(chunk))
+            values = []
+            for f in range(quality.FILTERS):
+                sums = []
+                for place in range(0, 256 - 8 + 1, 2):
+                    row = [x for s in symbols[place:place + 8] for x in p["bytes"][s]]
+                    sums.append(sum(a * p["conv"][i][f] for i, a in enumerate(row)))
+                values.append(max(0.0, max(sums) + p["conv_b"][f]))
+            values.append(math.log1p(len(chunk)) / math.log1p(256))
+            hidden.append([max(0.0, sum(v * p["hidden"][i][j] for i, v in enumerate(values)) + p["hidden_b"][j]) for j in range(quality.HIDDEN)])
+            if at + 256 >= len(data):
+                break
+            at += 248
+        pooled = [max(h[j] for h in hidden) for j in range(quality.HIDDEN)] + [sum(h[j] for h in hidden) / len(hidden) for j in range(quality.HIDDEN)]
+        z = sum(a * b for a, b in zip(pooled, p["out"], strict=True)) + p["out_b"][0]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_scores_do_not_depend_on_blocks():
     net = quality.Network()
     texts = ["a b c " * n for n in (0, 1, 50, 3000)] + ["été\n" * 700]
