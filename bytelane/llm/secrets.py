@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytelane.functions.arrays import let
+from bytelane.llm.store import free_name
 from bytelane.llm.trigrams import trigram_query
 
 
@@ -120,18 +121,26 @@ def match_spans(text: Column, number: int, rule: Rule) -> Column:
 
 
 def find_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
-    """`docs` with `out`: array of `(start, kind, end)`, kind = the rule's number, ordered by start, then kind."""
+    """`docs` with `out`: array of `(start, kind, end)`, kind = the rule's number, ordered by start, then kind.
+
+    All columns of `docs` pass through, whatever their names; one that is named
+    like `out` is refused.
+    """
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {out!r} already")
     indexed = [bool(trigram_query(r.pattern)[0]) for r in rules]
-    found = candidates(docs, rules, id_col, text_col).select(
-        F.col(id_col).alias("_candidate"), F.col("rules").alias("_rules"))
-    d = docs.join(found, docs[id_col].eqNullSafe(F.col("_candidate")), "left").drop("_candidate")
+    key, numbers = free_name(docs, "_candidate"), free_name(docs, "_rules")
+    found = candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rules, "id", "text").select(
+        F.col("id").alias(key), F.col("rules").alias(numbers))
+    d = docs.join(found, docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.expr(f"cast(array() as {SPAN})")
+    parts = []
     for i, rule in enumerate(rules):
         spans = match_spans(text, i, rule)
-        d = d.withColumn(f"_s{i}", F.when(F.array_contains("_rules", F.lit(i)), spans).otherwise(none) if indexed[i] else spans)
-    parts = [f"_s{i}" for i in range(len(rules))]
-    return d.withColumn(out, F.array_sort(F.concat(*parts))).drop("_rules", *parts)
+        parts.append(free_name(docs, f"_s{i}"))
+        d = d.withColumn(parts[-1], F.when(F.array_contains(numbers, F.lit(i)), spans).otherwise(none) if indexed[i] else spans)
+    return d.withColumn(out, F.array_sort(F.concat(*parts))).drop(numbers, *parts)
 
 
 def redact(docs: DataFrame, spans_col: str, text_col: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -24,3 +24,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

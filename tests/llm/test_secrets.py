@@ -45,6 +45,18 @@ def test_spans_against_brute_force(spark):
     assert secrets.find_spans(df.limit(0)).count() == 0
 
 
+def test_all_columns_pass_through(spark):
+    names = ["_s0", "_S1", "_rules", "_candidate", "_candidate_", "rules", "id", "trigram", "secret_spans"]
+    df = spark.createDataFrame([(1, "token=abcdefg", *[f"own {n}" for n in names]), (1, None, *[""] * len(names))], ["doc_id", "text", *names])
+    got = secrets.find_spans(df, out="found")
+    assert got.columns == [*df.columns, "found"]
+    rows = got.orderBy("_rules").collect()
+    assert [len(r["found"]) for r in rows] == [0, 1]
+    assert all(rows[1][n] == f"own {n}" for n in names)
+    with pytest.raises(ValueError, match="has a column"):
+        secrets.find_spans(df)
+
+
 def test_trigram_queries_hold_for_every_match():
     for rule in secrets.RULES:
         query = trigram_query(rule.pattern)
