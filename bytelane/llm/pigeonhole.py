@@ -97,15 +97,8 @@ def _share(size: int, threshold: float) -> float:
 class Leaf:
     number: int
     homes: float
-    visitors: float = 0.0
-
-    @property
-    def home_pieces(self) -> int:
-        return int(self.homes / PIECE) + 1
-
-    @property
-    def visitor_pieces(self) -> int:
-        return int(self.visitors / PIECE) + 1
+    home_pieces: int = 1
+    visitor_pieces: int = 1
 
 
 @dataclass
@@ -181,7 +174,7 @@ def layout(groups: DataFrame, threshold: float) -> Layout:
             part, leaves = x[:, b * BLOCK_DIMS:(b + 1) * BLOCK_DIMS], []
             tree = Node.grow(part, scale, leaves)
             for leaf, at, _ in tree.visit(part, np.arange(len(part)), np.zeros_like(part), np.ones(len(part), bool), share):
-                leaf.visitors += len(at) * scale
+                leaf.home_pieces, leaf.visitor_pieces = int(leaf.homes / PIECE) + 1, int(len(at) * scale / PIECE) + 1
             own_trees.append(tree)
     return Layout(trees)
 
@@ -230,7 +223,7 @@ def _mixed(cid: np.ndarray) -> np.ndarray:
 def _places(x: np.ndarray, trees: list[Node] | None, block: int, share: float) -> Iterator[tuple[Leaf, np.ndarray, np.ndarray]]:
     rows, home = np.arange(len(x)), np.ones(len(x), bool)
     if trees is None:
-        yield Leaf(0, 0.0), rows, home
+        yield Leaf(0, 0.0), rows, home  # one piece
     else:
         part = x[:, block * BLOCK_DIMS:(block + 1) * BLOCK_DIMS]
         yield from trees[block].visit(part, rows, np.zeros_like(part), home, share)
