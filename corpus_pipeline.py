@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelane.llm import decontam, pieces, secrets, simhash, toxicity
-from bytelane.llm.store import settle
+from bytelane.llm.store import free_name, settle
 from bytelane.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by the machine learned from `labels`."""
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, machine, "_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return toxicity.score(docs, machine, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mark."""
-    found = secrets.find_spans(docs, out="_secrets")
-    return secrets.redact(found, "_secrets").drop("_secrets").select(*docs.columns)
+    name = free_name(docs, "_secrets")
+    return secrets.redact(secrets.find_spans(docs, out=name), name).drop(name)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
