@@ -93,12 +93,25 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_columns_of_any_name_pass_every_stage(spark):
+    names = ["_s0", "_rules", "_candidate", "_toxicity", "_secrets", "row", "doc", "_row", "id", "fp", "root", "h"]
+    rows = [(1, "a clean text", *names), (2, "password = 'abcdefgh'", *names), (3, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", *names]
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == {1, 2, 3} and "abcdefgh" not in got[2]["text"]
+    assert all(r[n] == n for r in got.values() for n in names)
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == 3
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(6)]
     docs = [(1, items[0][1]), (1, "clean text"), (2, items[5][1] + " tail"), (3, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(decontam, "test_blocks", lambda b: [decontam.build_tests(*zip(*items[i::2])) for i in range(2)])
-    kept = decontam.decontaminate(d, None).collect()
+    monkeypatch.setattr(decontam, "TEST_BYTES", 300)
+    kept = decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, "clean text"), (3, "")]
 
 
