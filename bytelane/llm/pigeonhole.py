@@ -52,7 +52,7 @@ from bytelane.llm.store import settle
 
 THRESHOLD = 0.93
 BLOCK_DIMS = 8
-PIECE = 4096  # vectors of one kind in a group
+PIECE = 16_384  # vectors of one kind in a group
 SAMPLE = 20_000  # rows that the layout is made from
 LEAF_SAMPLE = 8  # a leaf is not cut further below so many sampled vectors
 PAIRS = 1 << 16  # candidates that are verified at once
