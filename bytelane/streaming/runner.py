@@ -9,13 +9,11 @@ stream of files with `write_token_files`.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelane.session import ensure_checkpoint_dir
+from bytelane.session import scratch_path
 
 TOKEN_SCHEMA = T.StructType(
     [
@@ -28,8 +26,7 @@ TOKEN_SCHEMA = T.StructType(
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/bytelane-{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"bytelane-{name}")
 
 
 ROWS_PER_FILE = 2_000_000
