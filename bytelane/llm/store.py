@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelane.session import ensure_checkpoint_dir
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir` (a scratch one only if unset)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
+from bytelane.session import scratch_path
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -21,7 +14,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     point, and later stages read exactly the rows that were written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm-{label}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
