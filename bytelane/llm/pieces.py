@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelane.llm.words import text_blocks
+from bytelane.llm.words import expand, text_blocks
 
 BLANK = "▁"
 SHORT = 96
 NEVER = float("inf")
-CACHE_STRETCHES = 150_000  # or as many as one block of texts holds
+NO_RANK = np.iinfo(np.int32).max
+CACHE_STRETCHES = 250_000  # or as many as one block of texts holds
 TOKENS = "array<struct<id:int,start:int,end:int>>"
 
 # Piece types and field numbers of the public model format (fixed values).
@@ -155,9 +156,15 @@ class Model:
         # normalised bytes of each piece
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, kinds, strict=True)], np.int64)
         self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
-        self.cache: dict[str, tuple[bytes, str, str]] = {}
+        self.odd = np.array([x is None for x in self.plain])  # ids that do not decode alone
+        self.forget()
         self._pair_table()
 
+    def forget(self) -> None:
+        """Empty the cache of segmented stretches: a number for each, and their ids end to end."""
+        self.cache: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     # -- normalisation -----------------------------------------------------
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
@@ -286,16 +293,21 @@ class Model:
         wanted = set(stretches)
         missing = [x for x in wanted if x not in self.cache]
         if len(self.cache) + len(missing) > CACHE_STRETCHES:
-            self.cache.clear()
+            self.forget()
             missing = list(wanted)
-        ids, bounds = self.segment_all(missing)
-        names, texts, raw = [self.id_texts[i] for i in ids], [self.plain[i] for i in ids], np.array(ids, np.int32).tobytes()
-        for stretch, a, b in zip(missing, bounds, bounds[1:], strict=False):
-            part = texts[a:b]
-            self.cache[stretch] = (
-                raw[4 * a:4 * b], ",".join(names[a:b]), "".join(part) if None not in part else self.text_of(ids[a:b]))
-
-    def segment_all(self, stretches: list[str]) -> tuple[list[int], list[int]]:
+        if missing:
+            ids, bounds = self.segment_all(missing)
+            self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
+            self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def ids_of(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of learned stretches, end to end, and the places where each stretch begins, with the end."""
+        at = np.fromiter(map(self.cache.__getitem__, stretches), np.int64, len(stretches))
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        return self.flat[expand(self.bounds[at], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+    def segment_all(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """`segment` of each stretch, end to end, and the bounds of each.
 
         Short stretches are merged side by side, one pair of each a round.
@@ -303,8 +315,8 @@ class Model:
         short = [i for i, x in enumerate(stretches) if 0 < len(x) <= SHORT]
         points = np.frombuffer("".join([stretches[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.symbol_of[points]
-        sizes = np.array([len(stretches[i]) for i in short], np.int64)
-        owner = np.repeat(np.arange(len(short)), sizes)
+        sizes = np.array([len(stretches[i]) for i in short], np.int32)
+        owner = np.repeat(np.arange(len(short), dtype=np.int32), sizes)
         # characters that are no piece and longer than a byte: one by one, below
         odd = np.zeros(len(short), bool)
         odd[owner[symbols < 0]] = True
@@ -317,7 +329,7 @@ class Model:
             best = np.minimum.reduceat(cost, first)
             counts = np.diff(np.concatenate([first, [len(symbols)]]))
             least = np.repeat(best, counts)
-            rest = least < NEVER
+            rest = least < NO_RANK
             if not rest.all():
                 done.append((owner[~rest], symbols[~rest]))
                 symbols, owner, cost, merged, least = symbols[rest], owner[rest], cost[rest], merged[rest], least[rest]
@@ -344,16 +356,16 @@ class Model:
         order = np.argsort(owner, kind="stable")
         ids = np.concatenate([np.zeros(0, np.int64)] + [d[1] for d in done])[order]
         bounds = np.searchsorted(owner[order], np.arange(len(stretches) + 1))
-        return ids.tolist(), bounds.tolist()
+        return ids, bounds
 
     def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost and result of merging each place with the next one of the same stretch."""
         after = np.minimum(at + 1, len(symbols) - 1)
-        keys = np.where((after > at) & (owner[after] == owner[at]), symbols[at] * len(self.pieces) + symbols[after], -1)
+        keys = np.where((after > at) & (owner[after] == owner[at]), symbols[at].astype(np.int64) * len(self.pieces) + symbols[after], -1)
         found = np.searchsorted(self.pair_keys, keys)
         found[found == len(self.pair_keys)] = 0
         same = self.pair_keys[found] == keys
-        return np.where(same, self.pair_costs[found], NEVER), self.pair_results[found]
+        return np.where(same, self.pair_ranks[found], NO_RANK), self.pair_results[found]
 
     def _pair_table(self) -> None:
         """All ways to make a piece of two pieces, and the symbol of each character."""
@@ -367,9 +379,10 @@ class Model:
                     raise ValueError("a character of a piece is no piece itself")
         rows.sort()
         self.pair_keys = np.array([r[0] for r in rows], np.int64)
-        self.pair_results = np.array([r[1] for r in rows], np.int64)
-        self.pair_costs = np.array([r[2] for r in rows], np.float64)
-        self.symbol_of = np.full(0x110000, -1, np.int64)
+        self.pair_results = np.array([r[1] for r in rows], np.int32)
+        # the costs' order, equal ones alike: half the bytes to compare
+        self.pair_ranks = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1].astype(np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
         self.symbol_of[:128] = self.byte_ids[:128]
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -378,7 +391,7 @@ class Model:
     def encode(self, text: str) -> list[int]:
         stretches = self.stretches(self.normalize(text)[0])
         self.learn(stretches)
-        return _ids([self.cache[x] for x in stretches]).tolist()
+        return self.ids_of(stretches)[0].tolist()
 
     def spans(self, ids, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Original byte span of each piece."""
@@ -390,9 +403,8 @@ class Model:
 
     def text_of(self, ids) -> str:
         """Text of the pieces, without the rule for the first one."""
-        plain = [self.plain[i] for i in ids]
-        if None not in plain:
-            return "".join(plain)
+        if not self.odd[ids].any():
+            return "".join(map(self.plain.__getitem__, ids))
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -413,38 +425,32 @@ class Model:
         text = self.text_of(ids)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
-    def blocks(self, texts: list[str]) -> Iterator[tuple[list[tuple[bytes, str, str]], np.ndarray]]:
-        """For each text its stretches' `(ids as bytes, comma-joined ids, decoded text)`, and its source record."""
+    def blocks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and its source record."""
         normal = [self.normalize(t) for t in texts]
         stretches = [self.stretches(n) for n, _ in normal]
-        self.learn(chain.from_iterable(stretches))
-        cache = self.cache
-        for own, (_, source) in zip(stretches, normal, strict=True):
-            yield [cache[x] for x in own], source
+        together = list(chain.from_iterable(stretches))
+        self.learn(together)
+        ids, begins = self.ids_of(together)
+        upto = begins[np.cumsum([0, *map(len, stretches)])].tolist()
+        for a, b, (_, source) in zip(upto, upto[1:], normal, strict=False):
+            yield ids[a:b], source
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
         """Token count, hash of the ids, hash of the decoded text, original bytes covered by spans."""
-        for parts, source in self.blocks(texts):
-            # stretches hold whole characters, so decoding them apart is the same
-            decoded = "".join([p[2] for p in parts])
-            if self.dummy_prefix and decoded.startswith(" "):
-                decoded = decoded[1:]
-            ids = _ids(parts)
+        for ids, source in self.blocks(texts):
+            listed = ids.tolist()
+            decoded = self.decode(listed)
             starts, ends = self.spans(ids, source)
-            yield (len(ids), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(),
+            yield (len(listed), hashlib.sha256(",".join(map(self.id_texts.__getitem__, listed)).encode()).hexdigest(),
                    hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), int((ends - starts).sum()))
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[list[dict], str]]:
         """Tokens with original byte spans, and the decoded text."""
-        for parts, source in self.blocks(texts):
-            ids = _ids(parts).tolist()
+        for ids, source in self.blocks(texts):
             starts, ends = self.spans(ids, source)
-            yield ([{"id": i, "start": a, "end": b} for i, a, b in zip(ids, starts.tolist(), ends.tolist(), strict=True)],
-                   self.decode(ids))
-
-
-def _ids(parts: list[tuple[bytes, str, str]]) -> np.ndarray:
-    return np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
+            yield ([{"id": i, "start": a, "end": b} for i, a, b in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)],
+                   self.decode(ids.tolist()))
 
 
 _models: dict[bytes, Model] = {}
@@ -474,7 +480,7 @@ def _each_block(docs: DataFrame, id_col: str, text_col: str, blob: bytes, row, c
             rows = list(row(model, [t or "" for t in block.column("text").to_pylist()]))
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
             yield pa.RecordBatch.from_arrays([block.column("id"), *arrays], names=["id", *columns])
-        model.cache.clear()
+        model.forget()
         gc.enable()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
