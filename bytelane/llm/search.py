@@ -300,11 +300,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     parts = None
     for block in query_blocks(queries, query_id, query_text):
         q = with_statistics(block, shards)
-        found = _pilot_then_rest(shards, q, k)
+        # written before the next block is read, so that one block at a time is on the driver
+        found = settle(_ranked(_pilot_then_rest(shards, q, k), k), "answers")
         parts = found if parts is None else parts.union(found)
     if parts is None:
-        parts = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return _ranked(parts, k)
+        return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    return parts  # a query is in one block
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
