@@ -171,10 +171,10 @@ def running_total(
     """
     ties = ties or []
     keep = [c for c in df.columns if c not in {group, order, *ties}]
-    sums, _ = prefix_sum(df, group, F.coalesce(F.col(value), F.lit(0)), "_before", tiebreak=[order, *ties], keep=keep)
+    sums, totals = prefix_sum(df, group, F.coalesce(F.col(value), F.lit(0)), "_before", tiebreak=[order, *ties], keep=keep)
     base = sums.groupBy(F.col(group).alias("_group")).agg(F.min("_before").alias("_base"), F.count(F.lit(1)).alias("_n"))
-    # one base row per group: bounded by the number of groups, checked by count
-    joined = sums.join(F.broadcast(base) if base.count() <= 500_000 else base, sums[group].eqNullSafe(F.col("_group")))
+    # there are no more groups than rows, whose number is known; for more rows the engine decides by the groups' actual size
+    joined = sums.join(F.broadcast(base) if totals.rows <= 500_000 else base, sums[group].eqNullSafe(F.col("_group")))
     return joined.select(*df.columns, (F.col("_before") - F.col("_base") + F.col("_value")).alias(out))
 
 

@@ -160,11 +160,14 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The committed rows with their commit id; columns must be those of the header."""
     folder = Folder(path)
     check_header(folder, schema.names)
-    files = [f for name in folder.names("commits") if name.endswith(".json") for f in json.loads(folder.read(f"commits/{name}"))["files"]]
+    base = path.rstrip("/") if urlparse(path).scheme else folder.root
+    files = []
+    if any(name.endswith(".json") for name in folder.names("commits")):
+        manifests = spark.read.schema("files ARRAY<STRING>").option("pathGlobFilter", "*.json").json(f"{base}/commits")
+        files = [r["file"] for r in manifests.select(F.explode("files").alias("file")).collect()]  # the listing that the reader needs anyway
     if not files:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("commit", T.StringType())]))
-    scheme = urlparse(path).scheme
-    paths = [f"{path.rstrip('/')}/{f}" if scheme else folder.at(f) for f in files]
+    paths = [f"{base}/{f}" for f in files]
     # an unquoted empty field is null, a quoted one the empty string: Spark's reader tells them apart by a stand-in
     rows = spark.read.schema(schema).options(mode="FAILFAST", multiLine=True, escape='"', nullValue="", emptyValue=EMPTY).csv(paths)
     values = [F.when(F.col(f.name) == EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema.fields]

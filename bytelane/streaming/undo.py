@@ -35,27 +35,21 @@ class UndoLog(StatefulProcessor):
         self.handle = handle
         self.present = handle.getListState("present", ROW)  # rows that an undo can reach, oldest first
         self.waiting = handle.getMapState("waiting", "seq LONG", "op STRING, item STRING")
-        self.progress = handle.getValueState("progress", "next LONG, released LONG, closed BOOLEAN")
+        self.progress = handle.getValueState("progress", "next LONG, released LONG, closed BOOLEAN, waiting LONG")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_, released, closed = self.progress.get() if self.progress.exists() else (0, 0, False)
-        early: dict[int, tuple] = {}
+        next_, released, closed, waiting = self.progress.get() if self.progress.exists() else (0, 0, False, 0)
+        # state is asked once a batch, not once a row
+        early: dict[int, tuple] = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if waiting else {}
+        before = set(early)
         for pdf in rows:
             for seq, op, item in zip(pdf["seq"].tolist(), pdf["op"].tolist(), pdf["item"].tolist(), strict=True):
                 if seq >= next_ and not closed:
                     early[seq] = (op, item)
         present = [tuple(r) for r in self.present.get()] if self.present.exists() else []
         out: list[tuple] = []
-        while not closed:
-            if next_ in early:
-                op, item = early.pop(next_)
-                if self.waiting.containsKey((next_,)):
-                    self.waiting.removeKey((next_,))
-            elif self.waiting.containsKey((next_,)):
-                op, item = self.waiting.getValue((next_,))
-                self.waiting.removeKey((next_,))
-            else:
-                break
+        while not closed and next_ in early:
+            op, item = early.pop(next_)
             if op == "put":
                 present.append((next_, item))
             elif op == "undo":
@@ -75,11 +69,12 @@ class UndoLog(StatefulProcessor):
         n = max(len(present) - (0 if closed else self.reach), 0)
         out, present, released = out + present[:n], present[n:], released + n
         if closed:
-            self.waiting.clear()
-        else:
-            for seq, value in early.items():
-                self.waiting.updateValue((seq,), value)
-        self._hold(present, next_, released, closed)
+            early = {}
+        for seq in before - set(early):
+            self.waiting.removeKey((seq,))
+        for seq in set(early) - before:
+            self.waiting.updateValue((seq,), early[seq])
+        self._hold(present, next_, released, closed, len(early))
         if self.ttl_ms is not None and not closed:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
@@ -89,16 +84,16 @@ class UndoLog(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The writer has fallen silent: what it holds is final."""
         present = [tuple(r) for r in self.present.get()] if self.present.exists() else []
-        next_, released, closed = self.progress.get()
-        self._hold([], next_, released + len(present), closed)
+        next_, released, closed, waiting = self.progress.get()
+        self._hold([], next_, released + len(present), closed, waiting)
         yield self._rows(key, present)
 
-    def _hold(self, present: list[tuple], next_: int, released: int, closed: bool) -> None:
+    def _hold(self, present: list[tuple], next_: int, released: int, closed: bool, waiting: int) -> None:
         if present:
             self.present.put(present)
         else:
             self.present.clear()
-        self.progress.update((next_, released, closed))
+        self.progress.update((next_, released, closed, waiting))
 
     def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame({
