@@ -8,6 +8,8 @@ them back through the source under test.
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -192,6 +194,37 @@ def q_resize(spark: SparkSession, d: str) -> DataFrame:
     return small.select("image_id", C._md5_ints(F.col("img.data")).alias("data_md5"))
 
 
+def png(height: int, width: int, data: bytes) -> bytes:
+    """An RGB image file without filters."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + data[y * width * 3:(y + 1) * width * 3] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def q_image_files(spark: SparkSession, d: str) -> DataFrame:
+    """IO-9: image files, written one for each document, read by Spark's image source."""
+    path = RN.scratch(spark, "image-files")
+
+    def write(batches):
+        folder = append_log.Folder(path)
+        for batch in batches:
+            for i, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a repeated task writes the same bytes under the same name
+                folder.publish(f"{i}.png", png(h, w, bytes(data)))
+            yield batch.select(["image_id"])
+
+    im = C.images(spark, d).where("img.height > 0").select("image_id", "img.height", "img.width", "img.data")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    im.repartition(parts, "image_id").mapInArrow(write, "image_id BIGINT").write.format("noop").mode("overwrite").save()
+    read = QA_.read_images(spark, path)
+    return read.select(
+        F.element_at(F.split("image_filename", r"\."), 1).cast("bigint").alias("image_id"), F.col("height").cast("bigint").alias("height"),
+        F.col("width").cast("bigint").alias("width"), F.md5(F.hex("data")).alias("bgr_md5"))
+
+
 def write_books(spark: SparkSession, d: str) -> str:
     """A corpus folder with a `train` split: one file for each `BOOK` documents, in the order of doc_id."""
     path = RN.scratch(spark, "books")
@@ -265,6 +298,7 @@ QUERIES = {
     "mapped_state": q_mapped_state,
     "parsed_lines": q_parsed_lines,
     "resize": q_resize,
+    "image_files": q_image_files,
     "books": q_books,
     "book_texts": q_book_texts,
     "masked_books": q_masked_books,

@@ -21,6 +21,8 @@ SELECT r.j::BIGINT AS idx, least({S.SAMPLE_BYTES}, t - r.j * {S.SAMPLE_BYTES})::
 FROM files, range(0, (t + {S.SAMPLE_BYTES} - 1) // {S.SAMPLE_BYTES}) r(j)"""
 
 
+_ROW = C.IMG["width"] * C.IMG["channels"]
+
 
 def _weights(name: str, sizes: str, n_out: int) -> str:
     """CTEs of integer resampling weights `(n, o, i, k)` from n to `n_out` pixels."""
@@ -101,6 +103,13 @@ SELECT CASE WHEN event_id % {S.BROKEN_EVERY} <> 0 THEN event_id END AS event_id,
        CASE WHEN event_id % {S.BROKEN_EVERY} = 0 THEN 'JSONDecodeError' END AS error
 FROM events""",
     "resize": _resize_sql(),
+    "image_files": f"""
+WITH d AS (
+  SELECT doc_id AS image_id, (octet_length(encode(text)) + {_ROW - 1}) // {_ROW} AS h, regexp_extract_all(hex(encode(text)) || repeat('00', {_ROW}), '..') AS x
+  FROM documents WHERE octet_length(encode(text)) > 0)
+SELECT image_id, h::BIGINT AS height, {C.IMG['width']}::BIGINT AS width,
+       md5(array_to_string(list_transform(range(0, h * {_ROW}), lambda i: x[(i // 3) * 3 + 3 - i % 3]), '')) AS bgr_md5
+FROM d""",
     "books": f"""
 {BOOKS}
 SELECT row_number() OVER (ORDER BY book) - 1 AS doc_id, octet_length(encode(t))::BIGINT AS n_bytes, md5(t) AS md5 FROM books""",
