@@ -116,10 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     # at most TRAIN_ROWS rows and TRAIN_TERMS terms, as Arrow
     rows = sets.toArrow()
     lists, y = rows.column("terms").combine_chunks(), rows.column("label").to_numpy()
+    del rows
     bounds, found = lists.offsets.to_numpy(), lists.values.to_numpy()
     known = np.unique(found[bounds[0]:bounds[-1]])
     slots[known] = np.arange(len(known))
-    features = [slots[found[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+    features = [slots[found[a:b]].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])]
+    del lists, found
     order = sorted(range(len(y)), key=lambda i: (y[i], features[i].astype(">i4").tobytes()))
     return _learn([features[i] for i in order], y[order].astype(float), slots, base, len(known))
 
@@ -187,26 +189,32 @@ def _learn(features: list[np.ndarray], y: np.ndarray, slots: np.ndarray, base: f
     sizes = np.array([len(f) for f in features])
     shuffled = np.random.default_rng(8).permutation(len(y))
     apart, rows = shuffled[:len(y) // 5], shuffled[len(y) // 5:]
-    text_apart = np.repeat(np.arange(len(apart)), sizes[apart])
-    f_apart = np.concatenate([np.zeros(0, np.int64), *(features[i] for i in apart)])
 
     def loss(m: Machine) -> float:
-        chance = sigmoid(m.logits(text_apart, f_apart, len(apart)))
-        return float(-np.log(np.where(y[apart] == 1, chance, 1 - chance)).sum())
+        total = 0.0
+        for at in range(0, len(apart), 500):  # a few documents at a time: their pairs take memory
+            some = apart[at:at + 500]
+            text = np.repeat(np.arange(len(some)), sizes[some])
+            chance = sigmoid(m.logits(text, np.concatenate([features[i] for i in some]), len(some)))
+            total -= float(np.log(np.where(y[some] == 1, chance, 1 - chance)).sum())
+        return total
 
     least, state = np.inf, None
     for penalty in PENALTIES if len(apart) else PENALTIES[:1]:
         tried = _State(n, base, penalty)
         for _ in range(EPOCHS):
             tried.epoch(features, sizes, y, rows, factors=False)
-        if state is None or loss(tried.machine(slots)) < least:
-            state, least = tried, loss(tried.machine(slots))
+        found = loss(tried.machine(slots))
+        if state is None or found < least:
+            state, least = tried, found
+        del tried
     best, best_epoch = state.machine(slots), 0
     for epoch in range(1, EPOCHS + 1):
         state.epoch(features, sizes, y, rows, factors=True)
         m = state.machine(slots)
-        if loss(m) < least or not len(apart):
-            least, best, best_epoch = loss(m), m, epoch
+        found = loss(m)
+        if found < least or not len(apart):
+            least, best, best_epoch = found, m, epoch
         elif epoch - best_epoch >= PATIENCE:
             break
     return best
