@@ -16,15 +16,19 @@ operations that wait for earlier ones. A closed writer keeps one number.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OPERATIONS = "writer_id LONG, seq LONG, op STRING, item STRING"
 OUTPUT = "writer_id LONG, seq LONG, item STRING"
 ROW = "seq LONG, item STRING"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class UndoLog(StatefulProcessor):
@@ -105,8 +109,15 @@ class UndoLog(StatefulProcessor):
 
 
 def live_view(operations: DataFrame, reach: int, ttl_ms: int | None = None) -> DataFrame:
-    """The rows of a stream of operations that are left for good, each handed out once."""
+    """The rows of a stream of operations that are left for good, each handed out once.
+
+    State of several kinds needs the RocksDB state store, which is set for the
+    session's streams that start from now on.
+    """
     if reach < 0:
         raise ValueError("reach counts rows")
+    operations.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    # Spark starts the processor in a worker that does not get files sent to the executors
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return operations.groupBy("writer_id").transformWithStateInPandas(
         statefulProcessor=UndoLog(reach, ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms is not None else "None")
