@@ -10,9 +10,11 @@ joined to its many questions afterwards (see `operators/qa.py`).
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,45 @@ BIN_VALUES = {"lower": min, "upper": max, "mean": lambda lo, hi: (lo + hi) / 2}
 LUMA = (19595, 38470, 7471, 32768)
 
 
+def _each_row(data: pa.Array, shapes: list[pa.Array], known: np.ndarray, move: Callable[..., np.ndarray]) -> pa.Array:
+    """Lists of moved elements: `move(elements, *shape)` for each row that is `known`, else null."""
+    values, offsets = data.values, data.offsets.to_numpy()
+    # elements that can be null are moved by their places
+    source = np.arange(len(values)) if values.null_count else values.to_numpy(zero_copy_only=False)
+    numbers = [x.fill_null(0).to_numpy(zero_copy_only=False).tolist() for x in shapes]
+    out = [move(source[a:b], *shape) if k else source[:0]
+           for a, b, k, *shape in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known.tolist(), *numbers, strict=True)]
+    upto = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32), mask=np.append(~known, False))
+    moved = pa.array(np.concatenate([*out, source[:0]]))
+    return pa.ListArray.from_arrays(upto, (values.take(moved) if values.null_count else moved).cast(pa.int32()))
+
+
+def _known(*columns: pa.Array) -> np.ndarray:
+    return np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+
+
+@lru_cache(maxsize=64)
+def _padded(row: int):
+    """BINARY -> ARRAY<INT> of its bytes, filled up with zeros to whole rows."""
+
+    def run(content: pa.Array) -> pa.Array:
+        known = _known(content)
+        data = [x.as_buffer() if k else b"" for x, k in zip(content, known.tolist(), strict=True)]
+        upto = np.concatenate([[0], np.cumsum([-(-len(x) // row) * row for x in data])])
+        pixels = np.zeros(int(upto[-1]), np.int32)
+        for x, a in zip(data, upto.tolist(), strict=False):
+            pixels[a:a + len(x)] = np.frombuffer(x, np.uint8)
+        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32), mask=np.append(~known, False)), pa.array(pixels))
+
+    run.__annotations__ = {"content": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<int>")
+
+
 def image_from_bytes(content: Column | str, width: int, channels: int = 3) -> Column:
     """Read a byte string as an HWC image `width` pixels wide; the last row is zero-padded."""
-    px = bytes_to_array(content)
     row = width * channels
-
-    def body(a: Column) -> Column:
-        h = F.ceil(F.size(a) / F.lit(row)).cast("int")
-        data = F.concat(a, F.array_repeat(F.lit(0), h * F.lit(row) - F.size(a)))
-        return F.struct(h.alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("n_channels"), data.alias("data"))
-
-    return let(px, body)
+    h = F.ceil(F.octet_length(content) / F.lit(row)).cast("int")
+    return F.struct(h.alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("n_channels"), _padded(row)(content).alias("data"))
 
 
 def _positions(n: Column) -> Column:
@@ -62,34 +92,51 @@ def bgr_to_rgb(img: Column) -> Column:
     return let(img, body)
 
 
-def hwc_to_chw(img: Column) -> Column:
-    """F-9: flat HWC data -> flat CHW data (the tensor layout)."""
+@lru_cache(maxsize=2)
+def _layout(to_chw: bool):
+    """Flat HWC <-> flat CHW data of the shape (height, width, channels)."""
 
-    def body(i: Column) -> Column:
-        h, w, c = i["height"], i["width"], i["n_channels"]
-        n = h * w * c
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda k: F.element_at(
-                i["data"], ((F.floor(k / (h * w)) + (F.pmod(F.floor(k / w), h) * w + F.pmod(k, w)) * c) + 1).cast("int")
-            ),
-        )
+    def move(x: np.ndarray, h: int, w: int, c: int) -> np.ndarray:
+        if len(x) < h * w * c:
+            raise ValueError(f"{len(x)} values are no image of {h} x {w} x {c}")
+        if to_chw:
+            return x[:h * w * c].reshape(h, w, c).transpose(2, 0, 1).ravel()
+        return x[:h * w * c].reshape(c, h, w).transpose(1, 2, 0).ravel()
 
-    return let(img, lambda i: F.when(i["height"] * i["width"] == 0, F.array().cast("array<int>")).otherwise(body(i)))
+    def run(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
+        return _each_row(data, [h, w, c], _known(data, h, w, c), move)
+
+    run.__annotations__ = dict.fromkeys(("data", "h", "w", "c", "return"), pa.Array)
+    return F.arrow_udf(run, "array<int>")
+
+
+def hwc_to_chw(img: Column) -> Column:
+    """F-9: flat HWC data -> flat CHW data (the tensor layout)."""
+    return _layout(True)(img["data"], img["height"], img["width"], img["n_channels"])
 
 
 def chw_to_hwc(data: Column, height: Column, width: Column, channels: Column) -> Column:
     """F-9 inverse: flat CHW -> flat HWC."""
-    return let(
-        data,
-        lambda a: F.transform(
-            _positions(F.size(a)),
-            lambda k: F.element_at(
-                a,
-                (F.pmod(k, channels) * height * width + F.floor(k / (width * channels)) * width + F.pmod(F.floor(k / channels), width) + 1).cast("int"),
-            ),
-        ),
-    )
+    return _layout(False)(data, height, width, channels)
+
+
+@lru_cache(maxsize=1)
+def _inside():
+    """Flat HWC data without margins of (mh, mw) pixels on each side."""
+
+    def move(x: np.ndarray, h: int, w: int, c: int, mh: int, mw: int) -> np.ndarray:
+        whole = x[:h * w * c]
+        if len(whole) == h * w * c:
+            return whole.reshape(h, w, c)[mh:h - mh, mw:w - mw].ravel()
+        k = np.arange(len(whole))  # an image that ends early
+        y, at = k // (w * c), k // c % w
+        return whole[(y >= mh) & (y < h - mh) & (at >= mw) & (at < w - mw)]
+
+    def run(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, mh: pa.Array, mw: pa.Array) -> pa.Array:
+        return _each_row(data, [h, w, c, mh, mw], _known(data, h, w, c), move)
+
+    run.__annotations__ = dict.fromkeys(("data", "h", "w", "c", "mh", "mw", "return"), pa.Array)
+    return F.arrow_udf(run, "array<int>")
 
 
 def crop(img: Column, factor_h: float, factor_w: float) -> Column:
@@ -100,23 +147,11 @@ def crop(img: Column, factor_h: float, factor_w: float) -> Column:
     """
     if not (factor_h and factor_w):
         return img
-
-    def body(i: Column) -> Column:
-        h, w, c = i["height"], i["width"], i["n_channels"]
-        mh = F.floor(F.least(h * F.lit(float(factor_h)), h / 2.0)).cast("int")
-        mw = F.floor(F.least(w * F.lit(float(factor_w)), w / 2.0)).cast("int")
-        kept = F.filter(
-            i["data"],
-            lambda v, k: (F.floor(k / (w * c)) >= mh)
-            & (F.floor(k / (w * c)) < h - mh)
-            & (F.pmod(F.floor(k / c), w) >= mw)
-            & (F.pmod(F.floor(k / c), w) < w - mw),
-        )
-        return F.struct(
-            (h - 2 * mh).alias("height"), (w - 2 * mw).alias("width"), c.alias("n_channels"), kept.alias("data")
-        )
-
-    return let(img, body)
+    h, w, c = img["height"], img["width"], img["n_channels"]
+    mh = F.floor(F.least(h * F.lit(float(factor_h)), h / 2.0)).cast("int")
+    mw = F.floor(F.least(w * F.lit(float(factor_w)), w / 2.0)).cast("int")
+    kept = _inside()(img["data"], h, w, c, mh, mw)
+    return F.struct((h - 2 * mh).alias("height"), (w - 2 * mw).alias("width"), c.alias("n_channels"), kept.alias("data"))
 
 
 def bin_lookup(n_bins: int, mode: str = "mean") -> list[int]:
@@ -234,8 +269,6 @@ def resize_images(df, key: str, img: str, width: int, height: int):
     imaging libraries use for bytes: sums are rounded to a byte after each
     pass, so every engine that follows it gets the same bytes.
     """
-    import pyarrow as pa
-
     if not (width and height):
         return df.select(key, img)
     flat = df.select(key, F.col(f"{img}.height").alias("h"), F.col(f"{img}.width").alias("w"),
@@ -260,7 +293,7 @@ def resize_images(df, key: str, img: str, width: int, height: int):
 
 
 def process_images(df, key: str, img: str, *, crop_hw=None, resize_wh=None, bins=None, shift_start=None):
-    """F-22: crop -> resize -> channel bins -> optional dense remap -> flatten to CHW.
+    """F-22: crop -> resize -> flatten to CHW -> channel bins -> optional dense remap.
 
     Applied to each distinct image once; join the result to its questions (J-1).
     Steps follow the reference's guards: crop needs both factors, resize both
@@ -271,12 +304,11 @@ def process_images(df, key: str, img: str, *, crop_hw=None, resize_wh=None, bins
         x = x.select(key, crop(F.col("_img"), *crop_hw).alias("_img"))
     if resize_wh and resize_wh[0] and resize_wh[1]:
         x = resize_images(x, key, "_img", resize_wh[0], resize_wh[1])
+    # the layout only moves values, so it may come before the steps that map each value (and Spark
+    # does not evaluate an Arrow function over a lambda over another Arrow function)
+    x = x.select(key, hwc_to_chw(F.col("_img")).alias("pixels"))
     if bins:
-        i = F.col("_img")
-        x = x.select(key, F.struct(i["height"].alias("height"), i["width"].alias("width"), i["n_channels"].alias("n_channels"),
-                                   downsample_channels(i["data"], bins).alias("data")).alias("_img"))
+        x = x.select(key, downsample_channels(F.col("pixels"), bins).alias("pixels"))
         if shift_start:
-            i = F.col("_img")
-            x = x.select(key, F.struct(i["height"].alias("height"), i["width"].alias("width"), i["n_channels"].alias("n_channels"),
-                                       dense_remap(i["data"], shift_start)["remapped"].alias("data")).alias("_img"))
-    return x.select(key, hwc_to_chw(F.col("_img")).alias("pixels"))
+            x = x.select(key, dense_remap(F.col("pixels"), shift_start)["remapped"].alias("pixels"))
+    return x

@@ -132,3 +132,23 @@ def test_images_without_pixels_and_gray_ones(spark):
     assert got == [[], [7, 7, 7, 9, 9, 9], [3, 2, 1]]
     assert [r.d for r in df.limit(2).select(PX.grayscale(F.col("img"))["data"].alias("d")).collect()] == [[], [7, 9]]
     assert df.limit(1).select(PX.chw_to_hwc(F.col("img.data"), F.col("img.height"), F.col("img.width"), F.col("img.n_channels")).alias("d")).first().d == []
+
+
+def test_pixel_moves_are_not_interpreted(spark):
+    """Moves of pixels run over Arrow batches, and null, empty and short images keep their results."""
+    rows = [(0, None), (1, b""), (2, bytes(range(200))), (3, bytes(48))]
+    df = spark.createDataFrame(rows, "k INT, content BINARY").select("k", PX.image_from_bytes("content", 16).alias("img"))
+    out = df.select("k", "img", PX.crop(F.col("img"), 0.25, 0.20).alias("c"), PX.hwc_to_chw(F.col("img")).alias("chw"))
+    back = out.select("k", "c", "chw", (PX.chw_to_hwc(F.col("chw"), F.col("img.height"), F.col("img.width"), F.col("img.n_channels")) == F.col("img.data")).alias("same"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+    got = {r.k: r for r in back.collect()}
+    full = np.zeros((5, 16, 3), np.int64)
+    full.reshape(-1)[:200] = range(200)
+    assert (got[0].c.height, got[0].c.width, got[0].c.data, got[0].chw, got[0].same) == (None, 10, None, None, None)
+    assert (got[1].c.height, got[1].c.data, got[1].chw, got[1].same) == (0, [], [], True)
+    assert got[2].c.data == full[1:4, 3:13].reshape(-1).tolist() and got[2].chw == full.transpose(2, 0, 1).reshape(-1).tolist() and got[2].same
+    assert got[3].c.height == 1 and got[3].same
+    # an image that ends early, with a null among its values
+    odd = spark.createDataFrame([((4, 5, 1, [*range(7), None, *range(8, 13)]),)], "img STRUCT<height: INT, width: INT, n_channels: INT, data: ARRAY<INT>>")
+    assert odd.select(PX.crop(F.col("img"), 0.25, 0.20)["data"].alias("d")).first().d == [6, None, 8, 11, 12]
