@@ -35,6 +35,7 @@ from bytelane.operators.offsets import Totals, global_row_index, join_small_or_s
 
 
 SMALL_PER_CORE = 32 << 20  # bytes of text
+MASK_POSITIONS = 1 << 20  # of the windows that are masked at a time
 
 
 @dataclass(frozen=True)
@@ -216,7 +217,8 @@ def masked_sample(
     epoch and survives task retries. Padding is never masked. In md5 mode one
     digest of (seed, epoch, worker, idx, i div 4) gives the units of four
     positions; "xxhash64" stands for the fast mode, a vectorised counter hash.
-    Both run over Arrow batches of windows, which hold a few MB.
+    Both run over Arrow batches of windows, `MASK_POSITIONS` positions at a
+    time, as a position takes some 40 bytes meanwhile.
     """
     if mask_token_id == pad_token_id:
         raise ValueError("mask and padding need two different ids")
@@ -224,9 +226,10 @@ def masked_sample(
         raise ValueError(f"unknown hash mode {hash_mode!r}")
     kept = [c for c in windows.columns if c != tokens]
     limit = min(max(math.ceil(masking_proba * 2**32), 0), 2**32)
+    rows = max(MASK_POSITIONS // max(seq_len, 1), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
             workers, idx = batch.column("worker").to_pylist(), batch.column("idx").to_pylist()
             data = batch.column(tokens)
             pieces = [x or b"" for x in data.to_pylist()]

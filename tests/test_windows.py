@@ -198,3 +198,25 @@ def test_duplicate_document_ids_are_refused(spark):
     docs = spark.createDataFrame([(1, "a", b"x" * 50), (1, "b", b"y" * 50)], "doc_id LONG, name STRING, content BINARY")
     with pytest.raises(ValueError, match="unique"):
         W.byte_windows(docs, 10)
+
+
+def test_masking_holds_a_bounded_number_of_positions():
+    """However many windows an Arrow batch has, only `MASK_POSITIONS` positions are masked at a time."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Windows:
+        schema = T.StructType([T.StructField("worker", T.IntegerType()), T.StructField("idx", T.LongType()), T.StructField("tokens", T.BinaryType())])
+        columns = schema.names
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = W.masked_sample(Windows(), 2048, seed=1)
+    batch = pa.record_batch({"worker": pa.array([0] * 1500, pa.int32()), "idx": pa.array(range(1500)), "tokens": pa.array([bytes(2048)] * 1499 + [b"x"])})
+    got = list(run([batch]))
+    assert max(b.num_rows for b in got) * 2048 <= W.MASK_POSITIONS
+    one_by_one = [r for i in range(0, 1500, 500) for b in run([batch.slice(i, 1)]) for r in b.to_pylist()]
+    rows = [r for b in got for r in b.to_pylist()[:1] if r["idx"] % 500 == 0]
+    assert [i for b in got for i in b.column("idx").to_pylist()] == list(range(1500))
+    assert all(r in one_by_one for r in rows)
