@@ -121,9 +121,11 @@ def iter_records(
     return parts.orderBy(*order).select("idx", "question", "answer", *[c for c in images.columns if c != key])
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """IO-9: image files decoded by Spark's image source, one row per file.
 
+    `path`: a folder or several; more than 32 are listed side by side.
+
     An unreadable file is an error. Files of different folders may share a
     name: `image_path` tells them apart, and `join_images` refuses a name that
     stands for two images.

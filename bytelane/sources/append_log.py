@@ -59,8 +59,11 @@ class Folder:
         with self.system.open_input_stream(self.at(name)) as f:
             return f.read()
 
+    def make(self, folder: str) -> None:
+        self.system.create_dir(self.at(folder), recursive=True)
+
     def output(self, name: str):
-        self.system.create_dir(os.path.dirname(self.at(name)), recursive=True)
+        self.make(os.path.dirname(name))
         return self.system.open_output_stream(self.at(name))
 
     def publish(self, name: str, data: bytes) -> None:

@@ -197,3 +197,26 @@ def test_resize_fixed_vectors():
     edge = np.array([[0, 0, 0, 255, 255, 255]], np.uint8)[:, :, None]
     assert PX.resize_array(edge, 3, 1).ravel().tolist() == plain_resize(edge.ravel().tolist(), 1, 6, 1, 3, 1) == [0, 128, 255]
     assert (PX.resize_array(np.full((5, 4, 3), 77, np.uint8), 9, 2) == 77).all()
+
+
+def test_image_files_are_read_folders_at_a_time(spark, tmp_path, monkeypatch):
+    """No read lists more than `FOLDERS_A_READ` folders; documents without text have no image."""
+    import hashlib
+
+    from bytelane import catalog_sources as S
+
+    texts = {i: "é€" * i for i in range(9)} | {9: None}
+    spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "IMAGES_A_FOLDER", 2)
+    monkeypatch.setattr(S, "FOLDERS_A_READ", 2)
+    asked, read = [], QA.read_images
+    monkeypatch.setattr(QA, "read_images", lambda s, paths: asked.append(len(paths)) or read(s, paths))
+    got = {r.image_id: (r.height, r.width, r.bgr_md5) for r in S.q_image_files(spark, str(tmp_path)).collect()}
+    assert asked == [2, 2, 1] and spark.conf.get(S.CODE) == "FALLBACK"
+    want = {}
+    for i in range(1, 9):
+        data = texts[i].encode()
+        h = -(-len(data) // 48)
+        bgr = np.frombuffer(data.ljust(h * 48, b"\0"), np.uint8).reshape(-1, 3)[:, ::-1].tobytes()
+        want[i] = (h, 16, hashlib.md5(bgr.hex().upper().encode()).hexdigest())
+    assert got == want
