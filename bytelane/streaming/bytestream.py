@@ -5,10 +5,10 @@ while a model generates. Stateless steps (overflow filter, raw bytes) are
 plain column expressions. Decoding needs state per stream: the undecoded
 bytes of a character cut by a micro-batch boundary, whether the stream has
 started, stopped or been flushed, and rows that arrived before their
-predecessors. `applyInPandasWithState` keeps that state per `stream_id` in
-the state store, so it survives executor loss and restarts from the
-checkpoint. One stream is one group by nature: its bytes must be decoded in
-order.
+predecessors. `applyInPandasWithState` keeps that state in the state store, for
+a few neighbouring streams a row, so it survives executor loss and restarts
+from the checkpoint. One stream is in one group by nature: its bytes must be
+decoded in order.
 
 End of stream: Structured Streaming has no end-of-input event, so a marker
 row with token = `END` (-1) flushes a stream (ST-2): a dangling partial
@@ -35,6 +35,14 @@ STATE_SCHEMA = (
     "next_seq LONG, pending BINARY, started BOOLEAN, done BOOLEAN, emitted LONG, "
     "buf_seq ARRAY<LONG>, buf_tok ARRAY<LONG>"
 )
+# the same for several streams, one entry a stream
+GROUPED_STATE_SCHEMA = (
+    "ids ARRAY<LONG>, next_seq ARRAY<LONG>, pending ARRAY<BINARY>, started ARRAY<BOOLEAN>, done ARRAY<BOOLEAN>, "
+    "emitted ARRAY<LONG>, buf_seq ARRAY<ARRAY<LONG>>, buf_tok ARRAY<ARRAY<LONG>>"
+)
+OUTPUT_COLUMNS = ["stream_id", "first_seq", "text", "finished"]
+NEW = (0, b"", False, False, 0, [], [])  # the state of a stream that has no row yet
+STREAMS_A_CALL = 64
 
 
 def drop_overflow_rows(stream: DataFrame, token: str = "token") -> DataFrame:
@@ -73,6 +81,7 @@ def make_processor(
     max_tokens: int | None = None,
     ignore_overflowing: bool = True,
     ttl_ms: int | None = None,
+    grouped: bool = False,
 ):
     """Build the per-stream function for `applyInPandasWithState`.
 
@@ -88,6 +97,7 @@ def make_processor(
     bytes are flushed and the rows behind the gap are dropped. For live
     streams; `None` keeps the state (a drain with `availableNow` would go on
     with empty batches until every timeout had passed).
+    grouped: the function takes several streams a call, without timeouts.
 
     The contiguous run of tokens of a call is sorted, cut at its stop and
     decoded with one call.
@@ -107,26 +117,14 @@ def make_processor(
         text = dec.decode(pending + tokens[fits].astype(np.uint8).tobytes(), final=final)
         return text, b"" if final else dec.getstate()[0]
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (stream_id,) = key
-        if state.exists:
-            next_seq, pending, started, done, emitted, buf_seq, buf_tok = state.get
-        else:
-            next_seq, pending, started, done, emitted, buf_seq, buf_tok = 0, b"", False, False, 0, [], []
+    def step(stream_id, held: tuple, seq: np.ndarray, tok: np.ndarray) -> tuple[tuple, tuple | None]:
+        """The state of one stream after these rows, and its row of output if there is one."""
+        next_seq, pending, started, done, emitted, buf_seq, buf_tok = held
         pending = bytes(pending or b"")
-        if ttl_ms is not None and state.hasTimedOut:
-            text = "" if done else render(np.zeros(0, np.int64), pending, started, True, stream_id)[0]
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [next_seq], "text": [text], "finished": [True]})
-            return
-        seqs, toks = [np.asarray(buf_seq or [], np.int64)], [np.asarray(buf_tok or [], np.int64)]
-        for pdf in pdfs:
-            if not done:
-                seqs.append(pdf["seq"].to_numpy(np.int64))
-                toks.append(pdf["token"].to_numpy(np.int64))
-        seq, first = np.unique(np.concatenate(seqs), return_index=True)
-        tok = np.concatenate(toks)[first]
+        if done:
+            seq, tok = seq[:0], tok[:0]
+        seq, first = np.unique(np.concatenate([np.asarray(buf_seq or [], np.int64), seq]), return_index=True)
+        tok = np.concatenate([np.asarray(buf_tok or [], np.int64), tok])[first]
         seq, tok = seq[seq >= next_seq], tok[seq >= next_seq]
         run = int((seq == next_seq + np.arange(len(seq))).sum())
         first_seq, text, stop = next_seq, "", False
@@ -135,21 +133,67 @@ def make_processor(
             text, pending = render(tok[:n], pending, started, stop and mode == "utf8", stream_id)
             started, emitted, next_seq, done = started or bool(text), emitted + n, next_seq + run, stop
         left = slice(len(seq), None) if done else slice(run, None)
-        state.update((next_seq, b"" if done else pending, started, done, emitted, seq[left].tolist(), tok[left].tolist()))
+        held = (next_seq, b"" if done else pending, started, done, emitted, seq[left].tolist(), tok[left].tolist())
+        return held, (stream_id, first_seq, text, stop) if text or stop else None
+
+    def one(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (stream_id,) = key
+        held = state.get if state.exists else NEW
+        if ttl_ms is not None and state.hasTimedOut:
+            next_seq, pending, started, done = held[:4]
+            text = "" if done else render(np.zeros(0, np.int64), bytes(pending or b""), started, True, stream_id)[0]
+            state.remove()
+            if not done:
+                yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [next_seq], "text": [text], "finished": [True]})
+            return
+        seqs, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for pdf in pdfs:
+            if not held[3]:
+                seqs.append(pdf["seq"].to_numpy(np.int64))
+                toks.append(pdf["token"].to_numpy(np.int64))
+        held, row = step(stream_id, held, np.concatenate(seqs), np.concatenate(toks))
+        state.update(held)
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
-        if text or stop:
-            yield pd.DataFrame({"stream_id": [stream_id], "first_seq": [first_seq], "text": [text], "finished": [stop]})
+        if row:
+            yield pd.DataFrame([row], columns=OUTPUT_COLUMNS)
 
-    return fn
+    def several(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
+        parts = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for pdf in pdfs:
+            ids = pdf["stream_id"].to_numpy(np.int64) if key[0] is not None else np.zeros(len(pdf), np.int64)
+            for part, x in zip(parts, (ids, pdf["seq"].to_numpy(np.int64), pdf["token"].to_numpy(np.int64)), strict=True):
+                part.append(x)
+        ids, seq, tok = map(np.concatenate, parts)
+        order = np.argsort(ids, kind="stable")
+        ids, seq, tok = ids[order], seq[order], tok[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+            stream_id = int(ids[a]) if key[0] is not None else None
+            held[stream_id], row = step(stream_id, held.get(stream_id, NEW), seq[a:b], tok[a:b])
+            out += [row] if row else []
+        state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+        if out:
+            yield pd.DataFrame(out, columns=OUTPUT_COLUMNS).astype({"stream_id": "Int64"})
+
+    return several if grouped else one
 
 
 def decode_stream(stream: DataFrame, mode: str = "utf8", **kw) -> DataFrame:
-    """ST-1 / ST-2 / ST-3 / ST-6 on a (streaming or batch) token DataFrame."""
-    return stream.groupBy("stream_id").applyInPandasWithState(
-        make_processor(mode, **kw), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        "NoTimeout" if kw.get("ttl_ms") is None else "ProcessingTimeTimeout",
-    )
+    """ST-1 / ST-2 / ST-3 / ST-6 on a (streaming or batch) token DataFrame.
+
+    A call of a processor costs milliseconds, however short its stream is, so
+    streams of `STREAMS_A_CALL` neighbouring ids share a call and a row of
+    state. With a timeout, which is a stream's own, each has its own call.
+    """
+    if kw.get("ttl_ms") is not None:
+        return stream.groupBy("stream_id").applyInPandasWithState(
+            make_processor(mode, **kw), OUTPUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")
+    near = stream.withColumn("_near", F.floor(F.col("stream_id") / STREAMS_A_CALL))
+    return near.groupBy("_near").applyInPandasWithState(
+        make_processor(mode, grouped=True, **kw), OUTPUT_SCHEMA, GROUPED_STATE_SCHEMA, "append", "NoTimeout")
 
 
 def stop_at(tokens: Column, eos: int | None = None, max_len: int | None = None) -> Column:

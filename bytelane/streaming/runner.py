@@ -39,13 +39,14 @@ def write_token_files(tokens: DataFrame, path: str, chunks: int) -> int:
     A part is as many files as its rows need; their number, the files of one
     micro-batch, is returned.
     """
-    files = max(1, -(-tokens.count() // (chunks * ROWS_PER_FILE)))
-    span = tokens.groupBy("stream_id").agg(F.max("seq").alias("_n"))
-    t = tokens.join(span, "stream_id").withColumn(
+    span = tokens.groupBy("stream_id").agg(F.max("seq").alias("_n"), F.count(F.lit(1)).alias("_rows")).persist()
+    files = max(1, -(-(span.agg(F.sum("_rows")).first()[0] or 0) // (chunks * ROWS_PER_FILE)))
+    t = tokens.join(span.drop("_rows"), "stream_id").withColumn(
         "_chunk", F.floor(F.col("seq") * F.lit(chunks) / (F.col("_n") + 1)).cast("int")
     )
     t = t.withColumn("_file", F.pmod(F.xxhash64("stream_id"), F.lit(files)).cast("int"))
     t.repartition(chunks * files, "_chunk", "_file").drop("_chunk", "_n", "_file").write.mode("overwrite").parquet(path)
+    span.unpersist()
     return files
 
 

@@ -151,3 +151,27 @@ def test_every_row_is_a_stream_of_its_own(spark, tmp_path):
         assert got(q, lambda r: r.text) == want
     assert got(C.q_stream_int, lambda r: r.text) == sorted(((c, t, " ".join(map(str, x.encode()))) for c, t, x in want), key=str)
     assert got(C.q_raw_bytes, lambda r: bytes.fromhex(r.hex).decode()) == want
+
+
+def test_neighbouring_streams_share_a_call():
+    """A call takes many streams, keeps each one's state apart, and goes on with them in the next batch."""
+    import pandas as pd
+
+    class State:
+        held = None
+        exists = property(lambda self: self.held is not None)
+        get = property(lambda self: self.held)
+
+        def update(self, held):
+            self.held = held
+
+    texts = {i: "é€ü"[: 1 + i % 3] * (i + 1) for i in range(40)}
+    rows = [(i, n, b) for i, t in texts.items() for n, b in enumerate([*t.encode(), BS.END])]
+    fn, state, got = BS.make_processor(grouped=True), State(), {}
+    for odd in (1, 0):  # the first batch holds every other row, so that most rows wait
+        part = pd.DataFrame([r for r in rows if r[1] % 2 == odd or r[0] % 7 == 0 and not odd], columns=["stream_id", "seq", "token"])
+        pieces = [part.iloc[:11], part.iloc[11:]]
+        for out in fn((0,), iter(pieces), state):
+            for r in out.itertuples():
+                got[r.stream_id] = got.get(r.stream_id, "") + r.text
+    assert got == texts and all(state.held[4]) and not any(state.held[6])
