@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from bytelane.sources import logs
@@ -85,3 +86,46 @@ def test_a_silent_writer_is_final(spark):
 def test_reach_is_checked(spark):
     with pytest.raises(ValueError, match="reach"):
         U.live_view(spark.createDataFrame([], U.OPERATIONS), -1)
+
+
+class CountedState:
+    """A list state that counts the requests it gets."""
+
+    def __init__(self):
+        self.rows, self.requests = None, 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.requests += 1
+        return self.rows is not None
+
+    def get(self):
+        self.requests += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.requests += 1
+        self.rows = rows
+
+
+def test_requests_to_the_state_do_not_grow_with_writers_or_waiting_operations():
+    ops, left = operations(4, writers=8, n=200)
+    table = pd.DataFrame(ops, columns=["writer_id", "seq", "op", "item"])
+    state, log, got = CountedState(), U.UndoLog(200), []
+    log.init(state)
+    for part in (2, 1, 0):  # all wait until the last third is there
+        for pdf in log.handleInputRows((0,), iter([table[table["seq"] % 3 == part]]), None):
+            got += [(r.writer_id, r.seq, r.item) for r in pdf.itertuples()]
+    assert sorted(got) == left
+    assert state.requests <= 3 * 3
+
+
+def test_writers_far_apart_and_side_by_side(spark):
+    ops, left = operations(5, writers=40, n=12)
+    far = {w: (w - 20) * (1 if w % 2 else 10**17) for w in range(40)}
+    ops, left = [(far[w], *x) for w, *x in ops], sorted((far[w], *x) for w, *x in left)
+    ops.append((far[3], None, "put", "no number"))
+    random.Random(5).shuffle(ops)
+    assert follow(spark, [ops[:150], ops[150:300], ops[300:]], 12) == left
