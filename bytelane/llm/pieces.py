@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelane.llm.words import expand, text_blocks
+from bytelane.llm.words import expand, give_back, text_blocks
 
 BLANK = "▁"
 SHORT = 96
@@ -482,6 +482,7 @@ def _each_block(docs: DataFrame, id_col: str, text_col: str, blob: bytes, row, c
             yield pa.RecordBatch.from_arrays([block.column("id"), *arrays], names=["id", *columns])
         model.forget()
         gc.enable()
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

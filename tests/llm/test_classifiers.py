@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bytelane.llm import labelled, quality, toxicity
+from bytelane.llm import labelled, quality, toxicity, words
 from bytelane.sources.tables import table
 
 SF = "/root/testdata/sf0.1"
@@ -255,3 +256,20 @@ def test_scores_do_not_depend_on_blocks():
     texts = ["a b c " * n for n in (0, 1, 50, 3000)] + ["été\n" * 700]
     whole = net.scores(pa.array(texts))
     assert np.allclose(whole, [net.scores(pa.array([t]))[0] for t in texts], atol=1e-5)
+
+
+def test_a_task_takes_little_memory_and_keeps_less(monkeypatch):
+    monkeypatch.setattr(words, "_powers", np.ones(1, np.uint64))
+    monkeypatch.setattr(words, "_inverse", np.ones(1, np.uint64))
+    batch = pa.record_batch({"text": ["some words that a document may hold " * 100] * 1200})
+    machine = toxicity.Machine(0.0, np.arange(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS), np.zeros((1 << toxicity.BITS, toxicity.FACTORS)))
+    tracemalloc.start()
+    try:
+        scores = [machine.scores(block.column("text")) for block in words.text_blocks(iter([batch]), "text")]
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, scores)) == batch.num_rows and batch.nbytes > 4 << 20
+    # before, blocks of 2 MB: 105 MB at most, 40 MB kept
+    assert most < 50 << 20
+    assert kept < 20 << 20
