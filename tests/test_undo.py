@@ -126,6 +126,6 @@ def test_writers_far_apart_and_side_by_side(spark):
     ops, left = operations(5, writers=40, n=12)
     far = {w: (w - 20) * (1 if w % 2 else 10**17) for w in range(40)}
     ops, left = [(far[w], *x) for w, *x in ops], sorted((far[w], *x) for w, *x in left)
-    ops.append((far[3], None, "put", "no number"))
+    ops += [(far[3], None, "put", "no number"), *((None, i, "put", "no writer") for i in range(20))]
     random.Random(5).shuffle(ops)
-    assert follow(spark, [ops[:150], ops[150:300], ops[300:]], 12) == left
+    assert follow(spark, [ops[:150], ops[150:300], ops[300:]], 12) == left  # no writer without an id, and none lost beside it
