@@ -1,17 +1,20 @@
 """Exact BM25 top-k by an inverted index with block-max pruning, shard by shard.
 
-1. Every shard (a few MB of documents) is indexed once: its terms with the
+1. Every shard (`SHARD_BYTES` of documents) is indexed once: its terms with the
    documents and counts of each. Documents of a shard are put in order of
    their most frequent term, so that a block of `BLOCK` neighbours shares a
    vocabulary and its maxima are tight.
 2. Global statistics: the number of documents, their mean length, and the
    document frequency of each query term, summed over all shards.
-3. Search, per shard and chunk of queries: the scores of rare terms are
-   exact; for frequent terms the block's greatest weight bounds what a
-   document of the block can get. A block whose bound stays below the k-th
-   best score that the task knows is skipped for the chunk; the others are
-   scored exactly. The k-th best score rises from shard to shard, and starts
-   from that of a pilot: one shard in `PILOT`, searched before the others.
+3. Search, per shard and chunk of queries: the terms that many of the chunk's
+   queries and the shard's documents share are summed by matrix products, the
+   others by their postings. The latter's sums are exact; for the former the
+   block's greatest weight bounds what a document of the block can get. A block
+   whose bound stays below the k-th best score that the task knows is left out;
+   the others are summed in single precision, and what can reach that score
+   within the error of this is summed again in double precision. The k-th best
+   score rises from shard to shard, and starts from that of a pilot: one shard
+   in `PILOT`, searched before the others.
 4. The tasks' lists are merged by score, then id. Every document that can be
    in the answer was scored with the global statistics, so the merge is exact.
 
@@ -41,13 +44,17 @@ from bytelane.llm.words import ALNUM, LOWER, expand, prefix_hash, span_hashes, s
 
 K1, B = 1.2, 0.75
 DIGITS = 6
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 BLOCK = 32  # documents under one maximum
-FREQUENT = 192  # terms in at least this many documents of a shard are scored by block
-CHUNK = 128  # queries scored together
+FREQUENT = 24  # terms in at least one in so many documents of a shard can be scored by block
+SHARED = 125  # they are, if one in so many pairs of a chunk's queries and the shard's documents share them
+CHUNK = 256  # queries scored together
+CELLS = 1 << 20  # pairs of queries and documents scored together
+POSTINGS = 1 << 18  # added together
+WIDE = 4  # a block that at least one in so many queries needs is scored for the whole chunk
 QUERY_TERMS = 4_000_000
 PILOT = 8  # one shard in so many is searched first
-SHARDS_PER_PILOT_TASK = 8
+SHARDS_PER_PILOT_TASK = 2
 LAST = (1 << 63) - 1  # stands for a null id in comparisons
 
 
@@ -164,13 +171,13 @@ def query_blocks(queries: DataFrame, id_col: str, text_col: str) -> Iterator[Que
         flat = lists.flatten().to_numpy().view(np.uint64)
         sizes = np.diff(lists.offsets.to_numpy())
         ids = np.array([LAST if x is None else x for x in rows.column("id").to_pylist()], np.int64)
-        # neighbours share a vocabulary: by their commonest term of the block
+        # neighbours share a vocabulary and need the same blocks: by their commonest term of the block, then by size
         vocabulary, term = np.unique(flat, return_inverse=True)
         query = np.repeat(np.arange(len(ids)), sizes)
         often = np.bincount(term)
         lead = np.lexsort((-often[term], query))
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        order = np.lexsort((ids, term[lead][first]))
+        order = np.lexsort((ids, sizes, term[lead][first]))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         query = place[query]
@@ -232,64 +239,118 @@ class Best:
         return query, self.scores[query, nth], self.ids[query, nth]
 
 
+def _padded(doc: np.ndarray, value: np.ndarray, upto: np.ndarray, size: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Postings as tables of rows of one width, so that many lists are read as whole rows.
+
+    Returns each term's table and its row there, and the tables `(documents, values)`;
+    rows are filled up with the document `none` and the value 0.
+    """
+    widths = [1]
+    while widths[-1] < size.max():
+        widths.append(max(widths[-1] + 1, int(widths[-1] * 1.3)))
+    kind = np.searchsorted(widths, size).astype(np.int8)
+    row, tables = np.zeros(len(size), np.int64), []
+    for k, width in enumerate(widths):
+        terms = np.flatnonzero(kind == k)
+        row[terms] = np.arange(len(terms))
+        d, v = np.full((len(terms), width), none, np.int32), np.zeros((len(terms), width))
+        place = expand(np.arange(len(terms)) * width, size[terms])
+        post = expand(upto[terms], size[terms])
+        d.ravel()[place], v.ravel()[place] = doc[post], value[post]
+        tables.append((d, v))
+    return kind, row, tables
+
+
 def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
     """Add the shard's documents that can be among the best; returns the number of (query, block) pairs scored."""
     at, number = queries.known(shard)
     if not len(at):
         return 0
-    n_docs, n_terms = len(shard.ids), len(queries.vocabulary)
+    n_docs = len(shard.ids)
+    n_blocks = -(-n_docs // BLOCK)
     df = shard.upto[at + 1] - shard.upto[at]
     post = expand(shard.upto[at], df)
     term, doc = np.repeat(np.arange(len(at)), df), shard.docs[post].astype(np.int64)
     tf = shard.counts[post].astype(np.float64)
     norm = K1 * (1 - B + B * shard.lengths / queries.mean_length)
     value = queries.weight[number][term] * tf * (K1 + 1) / (tf + norm[doc])
-    often = df >= FREQUENT
+    # frequent terms by document, in blocks: exact, and in single precision for all but what is reported
+    often = df * FREQUENT >= n_docs
     column = np.cumsum(often) - 1
-    dense = np.zeros((int(often.sum()), n_docs))
     f = often[term]
+    dense = np.zeros((int(often.sum()), n_blocks * BLOCK))
     dense[column[term[f]], doc[f]] = value[f]
-    blocks = np.arange(0, n_docs, BLOCK)
-    peak = np.maximum.reduceat(dense, blocks, axis=1)
-    # rare postings by term
-    rare_doc, rare_value = doc[~f], value[~f]
-    rare_upto = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
-    slot = np.full(n_terms, -1, np.int64)
+    light = dense.astype(np.float32).reshape(-1, n_blocks, BLOCK)
+    peak = light.max(axis=2)
+    # one block more takes what rows are filled up with
+    kind, place, tables = _padded(doc, value, np.cumsum(df) - df, df, n_blocks * BLOCK)
+    stride = (n_blocks + 1) * BLOCK
+    del post, term, doc, tf, value, f
+    slot = np.full(len(queries.vocabulary), -1, np.int32)
     slot[number] = np.arange(len(at))
+    chunk = max(1, min(CHUNK, CELLS // n_docs))
     scored = 0
-    for lo in range(0, len(queries.ids), CHUNK):
-        hi = min(lo + CHUNK, len(queries.ids))
+    for lo in range(0, len(queries.ids), chunk):
+        hi = min(lo + chunk, len(queries.ids))
         a, b = np.searchsorted(queries.query, [lo, hi])
         q, s = queries.query[a:b] - lo, slot[queries.term[a:b]]
-        q, s = q[s >= 0], s[s >= 0]
+        found = s >= 0
+        q, s = q[found], s[found]
         if not len(s):
             continue
-        isf = often[s]
-        # only the frequent terms that this chunk asks for
-        used, asked = np.unique(column[s[isf]], return_inverse=True)
-        wants = np.zeros((hi - lo, len(used)))
-        wants[q[isf], asked] = 1
-        q, s = q[~isf], s[~isf]
-        n = rare_upto[s + 1] - rare_upto[s]
-        entry = expand(rare_upto[s], n)
-        rare = np.bincount(np.repeat(q, n) * n_docs + rare_doc[entry], rare_value[entry], (hi - lo) * n_docs).reshape(hi - lo, n_docs)
-        bound = wants @ peak[used] + np.maximum.reduceat(rare, blocks, axis=1)
+        # only the frequent terms that this chunk asks for often
+        by_block = often[s]
+        asked = np.bincount(column[s[by_block]], minlength=len(dense))
+        shared = asked * df[often] * SHARED >= (hi - lo) * n_docs
+        by_block[by_block] = shared[column[s[by_block]]]
+        used = np.flatnonzero(shared)
+        wants = np.zeros((hi - lo, len(used)), np.float32)
+        wants[q[by_block], (np.cumsum(shared) - 1)[column[s[by_block]]]] = 1
+        # the others by their postings
+        q, s = q[~by_block], s[~by_block]
+        order = np.argsort(kind[s], kind="stable")
+        q, s = q[order], s[order]
+        cuts = np.searchsorted(kind[s], np.arange(len(tables) + 1)).tolist()
+        rare = np.zeros((hi - lo) * stride)
+        for (docs, values), x, y in zip(tables, cuts, cuts[1:], strict=False):
+            step = max(1, POSTINGS // docs.shape[1])
+            for i in range(x, y, step):
+                at_once = slice(i, min(i + step, y))
+                rows = place[s[at_once]]
+                to = docs.take(rows, axis=0) + (q[at_once] * stride)[:, None]
+                np.add.at(rare, to.ravel(), values.take(rows, axis=0).ravel())
+        rare = rare.reshape(hi - lo, n_blocks + 1, BLOCK)
+        # no sum of so many positive numbers in single precision is off by more
+        off = 1 + (len(used) + 8) * 2.0 ** -23
         least = best.least(lo, hi)
-        open_ = (bound > 0) & (bound >= least - 10.0 ** -DIGITS)
+        bound = wants @ peak[used] + rare[:, :-1].max(axis=2)
+        open_ = (bound > 0) & (bound * off >= least - 10.0 ** -DIGITS)
         scored += int(open_.sum())
-        picked = np.flatnonzero(open_.any(axis=0))
-        if not len(picked):
-            continue
-        docs = expand(blocks[picked], np.minimum(BLOCK, n_docs - blocks[picked]))
-        score = wants @ dense[np.ix_(used, docs)] + rare[:, docs]
-        # the k-th best here or so far, whichever is higher
-        if len(docs) > best.k:
-            here = -np.partition(-score, best.k - 1, axis=1)[:, best.k - 1:best.k]
-            least = np.maximum(least, here)
-        row, col = np.nonzero((score >= least - 10.0 ** -DIGITS) & (score > 0))
-        exact = np.round(score[row, col], DIGITS)
-        fits = exact >= best.floor[lo + row]
-        best.add(lo, hi, row[fits], exact[fits], shard.ids[docs[col[fits]]])
+        needed = open_.sum(axis=0)
+        wide = needed * WIDE >= hi - lo
+        for picked in (np.flatnonzero(wide), np.flatnonzero((needed > 0) & ~wide)):
+            rows = np.flatnonzero(open_[:, picked].any(axis=1))
+            if not len(rows):
+                continue
+            size = len(picked) * BLOCK
+            score = wants[rows] @ light[used[:, None], picked].reshape(len(used), size) + rare[rows[:, None], picked].reshape(len(rows), size)
+            reach = np.maximum((best.least(lo, hi)[rows] - 10.0 ** -DIGITS) / off, np.finfo(float).tiny)
+            row, col = np.nonzero(score >= reach)
+            # the k-th best here or so far, whichever is higher
+            if len(row) > 4 * best.k * len(rows) and size > best.k:
+                here = -np.partition(-score, best.k - 1, axis=1)[:, best.k - 1:best.k]
+                row, col = np.nonzero(score >= np.maximum(reach, (here / off - 10.0 ** -DIGITS) / off))
+            if not len(row):
+                continue
+            block, nth = picked[col // BLOCK], col % BLOCK
+            row, doc = rows[row], block * BLOCK + nth
+            exact = rare[row, block, nth]
+            step = max(1, CELLS // max(len(used), 1))
+            for i in range(0, len(row), step):
+                exact[i:i + step] += np.einsum("ij,ji->i", wants[row[i:i + step]], dense[used[:, None], doc[i:i + step]])
+            exact = np.round(exact, DIGITS)
+            fits = (exact > 0) & (exact >= best.floor[lo + row])
+            best.add(lo, hi, row[fits], exact[fits], shard.ids[doc[fits]])
     return scored
 
 

@@ -73,3 +73,42 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     assert first < n and again <= first
     want = sorted(((-s, i) for s, i in zip(best.scores[0].tolist(), best.ids[0].tolist())))[:1]
     assert want[0][1] == 0
+
+
+@pytest.mark.parametrize("shared,cells,postings,wide", [(1, 64, 8, 1), (10 ** 9, 1 << 20, 1 << 18, 4), (20, 500, 1, 50)])
+def test_every_way_of_scoring_against_brute_force(spark, monkeypatch, shared, cells, postings, wide):
+    for name, value in (("SHARED", shared), ("CELLS", cells), ("POSTINGS", postings), ("WIDE", wide), ("BLOCK", 8), ("SHARD_BYTES", 3000)):
+        monkeypatch.setattr(search, name, value)
+    docs = cases(shared % 7, 300)
+    queries = [d for d in docs if d[0] is not None and d[0] % 4 == 0]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2, "doc_id")
+    got = sorted((tuple(r) for r in search.top_k(d, spark.createDataFrame(queries, "doc_id long, text string"), 5).collect()), key=str)
+    want = brute(docs, queries, 5)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
+def test_shared_terms_are_not_added_posting_by_posting(monkeypatch):
+    """Terms that most queries and documents of a small shard share are multiplied by block, not listed for each query."""
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    docs = [(i, " ".join(f"w{j}" for j in rnd.sample(range(50), 40))) for i in range(100)]
+    shard = search.Shard.of(search._packed([([i for i, _ in docs], *search.block_terms(pa.array([t for _, t in docs])))]), 0)
+    text, term, _, _ = search.block_terms(pa.array([t for _, t in docs[:64]]))
+    vocabulary, number = np.unique(term, return_inverse=True)
+    q = search.Queries(np.arange(64), vocabulary, text, number, np.ones(len(vocabulary)), 40.0)
+    listed = []
+
+    def counted(starts, counts, whole=search.expand):
+        listed.append(int(np.sum(counts)))
+        return whole(starts, counts)
+
+    monkeypatch.setattr(search, "expand", counted)
+    best = search.Best(64, 5)
+    search.search_shard(shard, q, best)
+    assert sum(listed) <= 4 * len(shard.docs)
+    bags = [set(t.split()) for _, t in docs]
+    for i in range(64):
+        n = sorted((-len(bags[i] & b), j) for j, b in enumerate(bags))[:5]
+        assert best.ids[i].tolist() == [j for _, j in n]
