@@ -23,7 +23,7 @@ from bytelane.operators.offsets import global_row_index
 from bytelane.plans import epochs as P
 from bytelane.session import written
 from bytelane.sources import logs as LG
-from bytelane.sources.corpus import corpus_from_table
+from bytelane.sources.corpus import corpus_from_table, small_parts
 from bytelane.streaming import bytestream as BS
 from bytelane.streaming import runner as RN
 from bytelane.sources.tables import table
@@ -554,7 +554,7 @@ IMG = {"width": 16, "channels": 3, "crop": (0.25, 0.20), "bins": 5, "remap_start
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     """Document bytes read as 16-pixel-wide RGB images (last row zero-padded)."""
-    docs = documents(spark, d)
+    docs = small_parts(documents(spark, d).select("doc_id", "content"))
     return docs.select(F.col("doc_id").alias("image_id"), PX.image_from_bytes("content", IMG["width"], IMG["channels"]).alias("img"))
 
 

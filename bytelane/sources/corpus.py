@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from bytelane.functions.bytes import bytes_to_text_strict, text_to_bytes
 from bytelane.functions.hashing import hash_bits
 
+PART_BYTES = 4 << 20  # of contents in a task of `small_parts`
+
 # fixed values: split name -> folder name, per dataset family
 SPLIT_FOLDERS = {
     "books": {"train": "train", "valid": "validation", "test": "test"},
@@ -43,6 +45,19 @@ def corpus_from_table(df: DataFrame, key: str, text: str, name: str | None = Non
     return df.select(*cols)
 
 
+def small_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The corpus dealt over tasks of about `part_bytes` of contents each.
+
+    An Arrow function gets up to 10,000 rows at once, whatever they hold; where
+    each byte becomes an integer there and on the way back, a task of few bytes
+    is what bounds its memory, and that of the JVM beside it. Rows are dealt in
+    turn, so that neither repeated keys nor long documents meet in one task.
+    """
+    total = docs.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    parts = -(-total // part_bytes)
+    return docs.repartition(parts) if parts > 1 else docs
+
+
 def corpus_from_files(
     spark: SparkSession,
     root: str,

@@ -152,3 +152,18 @@ def test_pixel_moves_are_not_interpreted(spark):
     # an image that ends early, with a null among its values
     odd = spark.createDataFrame([((4, 5, 1, [*range(7), None, *range(8, 13)]),)], "img STRUCT<height: INT, width: INT, n_channels: INT, data: ARRAY<INT>>")
     assert odd.select(PX.crop(F.col("img"), 0.25, 0.20)["data"].alias("d")).first().d == [6, None, 8, 11, 12]
+
+
+def test_images_are_made_a_few_bytes_a_task(spark, tmp_path):
+    """Arrow functions over pixels get a task's rows at once, so no task may hold many bytes, whatever part of a file it reads."""
+    from bytelane import catalog
+
+    rows = [(i if i % 3 else 7, None if i == 5 else chr(97 + i % 26) * (40_000 if i % 50 == 0 else 9_000)) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = F.sum(F.coalesce(F.size("img.data"), F.lit(0)))
+    held = catalog.images(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(sizes.alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r.rows for r in held) == 1500
+    assert max(r.n for r in held) <= 6 << 20
+    got = catalog.q_chw(spark, str(tmp_path)).collect()
+    assert len(got) == 1500 and sum(r.round_trip is None for r in got) == 1 and all(r.round_trip in (True, None) for r in got)
+    assert len({r.chw_md5 for r in got}) == len({t for _, t in rows})
