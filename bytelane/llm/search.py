@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelane.llm.store import settle
-from bytelane.llm.words import ALNUM, LOWER, expand, prefix_hash, span_hashes, split_words, text_blocks, text_buffer
+from bytelane.llm.words import ALNUM, LOWER, expand, give_back, prefix_hash, span_hashes, split_words, text_blocks, text_buffer
 
 K1, B = 1.2, 0.75
 DIGITS = 6
 SHARD_BYTES = 16 << 20
 BLOCK = 32  # documents under one maximum
-FREQUENT = 24  # terms in at least one in so many documents of a shard can be scored by block
+FREQUENT = 16  # terms in at least one in so many documents of a shard can be scored by block
 SHARED = 125  # they are, if one in so many pairs of a chunk's queries and the shard's documents share them
 CHUNK = 256  # queries scored together
 CELLS = 1 << 20  # pairs of queries and documents scored together
@@ -58,6 +58,11 @@ SHARDS_PER_PILOT_TASK = 2
 LAST = (1 << 63) - 1  # stands for a null id in comparisons
 
 
+def _by_number(x: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of numbers below `n`; short ones are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
+
+
 def block_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """`(text, term, count)` of the distinct terms of each text, by text; and the texts' lengths in words."""
     raw, offsets = text_buffer(texts)
@@ -65,7 +70,8 @@ def block_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts, ends, first = split_words(raw, offsets, ALNUM)
     h = span_hashes(prefix_hash(raw), starts, ends)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((h, text))
+    order = np.argsort(h, kind="stable")
+    order = order[_by_number(text[order], len(first) - 1)]
     h, text = h[order], text[order]
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
     return text[new], h[new], np.diff(np.append(new, len(h))), np.diff(first)
@@ -77,7 +83,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for block in text_blocks(batches, "text"):
-            held.append((block.column("id").to_pylist(), *block_terms(block.column("text"))))
+            text, term, count, length = block_terms(block.column("text"))
+            held.append((block.column("id").to_pylist(), text.astype(np.int32), term, count.astype(np.int32), length))
             size += int(block.column("text").nbytes)
             if size >= SHARD_BYTES:
                 yield _packed(held)
@@ -90,21 +97,27 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _packed(held: list) -> pa.RecordBatch:
+    """One shard of blocks of documents, which `held` is emptied of."""
     ids = np.array([LAST if i is None else i for h in held for i in h[0]], np.int64)
     sizes = np.cumsum([0] + [len(h[0]) for h in held])
-    doc = np.concatenate([h[1] + s for h, s in zip(held, sizes, strict=False)])
+    doc = np.concatenate([h[1] + s for h, s in zip(held, sizes.tolist(), strict=False)])
     term, count = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
     lengths = np.concatenate([h[4] for h in held])
-    # order the documents by their most frequent term
-    top = np.lexsort((term, -count, doc))
+    held.clear()
+    # order the documents by their most frequent term, the first of these; terms are in order in a document
     lead = np.zeros(len(ids), np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], doc[top][1:] != doc[top][:-1]])) if len(doc) else np.zeros(0, np.int64)
-    lead[doc[top][first]] = term[top][first]
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.append(first, len(doc))))
+        top = np.flatnonzero(count == most)
+        top = top[np.concatenate([[True], doc[top][1:] != doc[top][:-1]])]
+        lead[doc[top]] = term[top]
     order = np.lexsort((lengths, lead))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     doc = place[doc]
-    by_term = np.lexsort((doc, term))
+    by_term = _by_number(doc, len(ids))
+    by_term = by_term[np.argsort(term[by_term], kind="stable")]
     doc, term, count = doc[by_term], term[by_term], count[by_term]
     new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     columns = (ids[order], lengths[order].astype(np.int64), term[new], np.append(new, len(term)).astype(np.int64), doc.astype(np.int32), count.astype(np.int32))
@@ -182,7 +195,7 @@ def query_blocks(queries: DataFrame, id_col: str, text_col: str) -> Iterator[Que
         place[order] = np.arange(len(ids))
         query = place[query]
         by = np.lexsort((term, query))
-        yield Queries(ids[order], vocabulary, query[by], term[by])
+        yield Queries(ids[order], vocabulary, query[by].astype(np.int32), term[by].astype(np.int32))
 
 
 def with_statistics(queries: Queries, shards: DataFrame) -> Queries:
@@ -272,8 +285,10 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
     post = expand(shard.upto[at], df)
     term, doc = np.repeat(np.arange(len(at)), df), shard.docs[post].astype(np.int64)
     tf = shard.counts[post].astype(np.float64)
+    del post
     norm = K1 * (1 - B + B * shard.lengths / queries.mean_length)
     value = queries.weight[number][term] * tf * (K1 + 1) / (tf + norm[doc])
+    del tf
     # frequent terms by document, in blocks: exact, and in single precision for all but what is reported
     often = df * FREQUENT >= n_docs
     column = np.cumsum(often) - 1
@@ -285,15 +300,15 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> int:
     # one block more takes what rows are filled up with
     kind, place, tables = _padded(doc, value, np.cumsum(df) - df, df, n_blocks * BLOCK)
     stride = (n_blocks + 1) * BLOCK
-    del post, term, doc, tf, value, f
+    del term, doc, value, f
     slot = np.full(len(queries.vocabulary), -1, np.int32)
     slot[number] = np.arange(len(at))
     chunk = max(1, min(CHUNK, CELLS // n_docs))
     scored = 0
     for lo in range(0, len(queries.ids), chunk):
         hi = min(lo + chunk, len(queries.ids))
-        a, b = np.searchsorted(queries.query, [lo, hi])
-        q, s = queries.query[a:b] - lo, slot[queries.term[a:b]]
+        a, b = np.searchsorted(queries.query, np.array([lo, hi], queries.query.dtype))
+        q, s = queries.query[a:b].astype(np.int64) - lo, slot[queries.term[a:b]]
         found = s >= 0
         q, s = q[found], s[found]
         if not len(s):
@@ -398,6 +413,7 @@ def _searched(shards: DataFrame, queries: Queries, k: int, floor: np.ndarray | N
         for batch in batches:
             for i in range(batch.num_rows):
                 search_shard(Shard.of(batch, i), queries, best)
+        give_back()
         query, score, ids = best.rows()
         columns = [queries.ids[query], ids]
         yield pa.RecordBatch.from_arrays(
